@@ -1,0 +1,36 @@
+"""Small array idioms shared by the extractors.
+
+The extractors keep a page's matches in one array until they are complete, so that
+de-duplicating within a page needs no shuffle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_occurrences(df: DataFrame, column: str, key: str) -> DataFrame:
+    """Keep the first struct per ``key`` in an array of structs, in array order.
+
+    Sorting (key, position) puts equal keys side by side, which is n log n however
+    many entries a page holds; comparing every entry with every other would not be.
+    """
+    ordered = f"__{column}_sorted"
+    tagged = F.transform(
+        F.col(column), lambda item, i: F.struct(item[key].alias("k"), i.alias("i"), item.alias("item"))
+    )
+    df = df.withColumn(ordered, F.sort_array(tagged))
+    kept = F.filter(
+        F.col(ordered),
+        lambda entry, i: (i == 0) | ~entry["k"].eqNullSafe(F.get(F.col(ordered), i - 1)["k"]),
+    )
+    in_order = F.sort_array(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["item"].alias("item"))))
+    return df.withColumn(column, F.transform(in_order, lambda e: e["item"])).drop(ordered)
