@@ -2,105 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from leafmill.functions.arrays import let
 from leafmill.functions.markup import BLOCK, attr, inside
+from leafmill.functions.sqltext import each, first, fold, keep, let, quote
 from leafmill.functions.text import strip_space
 
 MIN_ARTICLE_CHARS = 200  # a shorter main body counts as a miss
-_HEADINGS = [f"h{n}" for n in range(1, 7)]
-_PLAIN_BLOCKS = sorted(BLOCK - set(_HEADINGS) - {"pre", "blockquote", "hr", "ul", "ol"})
+_HEADINGS = ", ".join(f"'h{n}'" for n in range(1, 7))
+_PLAIN_BLOCKS = ", ".join(
+    quote(tag) for tag in sorted(BLOCK) if tag not in ("pre", "blockquote", "hr", "ul", "ol") and not tag[1:].isdigit()
+)
 
 
-def _piece(e: Column) -> Column:
+def _piece(e: str) -> str:
     """What one event contributes."""
-    tag, opening, link = e["tag"], e["kind"] == "open", attr(e, "href")
-    flowed = F.regexp_replace(F.regexp_replace(e["text"], r"([*_])", r"\\$1"), r"[ \t\r\n\f]+", " ")
-    text = F.when(e["pre"], e["text"]).otherwise(flowed)
-    gap = F.lit("\n\n")
-    indent = F.repeat(F.lit("  "), F.greatest(e["lists"] - 1, F.lit(0)))
-    bullet = F.when(e["item"] > 0, F.concat(e["item"].cast("string"), F.lit(". "))).otherwise("* ")
-    title = attr(e, "title")
-    image = F.concat(
-        F.lit("!["), F.coalesce(attr(e, "alt"), F.lit("")), F.lit("]("), F.coalesce(attr(e, "src"), F.lit("")),
-        F.when(title.isNotNull(), F.concat(F.lit(' "'), title, F.lit('"'))).otherwise(""), F.lit(")"),
-    )
-    rule = F.concat(F.lit(" |\n"), F.repeat(F.lit("| --- "), e["item"]), F.lit("|"))
-    opened = (
-        F.when(tag.isin(_HEADINGS), F.concat(gap, F.repeat(F.lit("#"), F.substring(tag, 2, 1).cast("int")), F.lit(" ")))
-        .when(tag == "a", F.when(link.isNotNull(), "[").otherwise(""))
-        .when(tag.isin("b", "strong"), "**")
-        .when(tag.isin("i", "em"), "*")
-        .when(tag == "br", "  \n")
-        .when(tag == "hr", "\n\n---\n\n")
-        .when(tag == "img", image)
-        .when(tag == "li", F.concat(F.lit("\n"), indent, bullet))
-        .when(tag.isin("ul", "ol"), F.when(e["lists"] <= 1, gap).otherwise(""))
-        .when(tag == "blockquote", "\n\n> ")
-        .when(tag == "pre", "\n\n```\n")
-        .when(tag == "code", F.when(e["pre"], "").otherwise("`"))
-        .when(tag == "tr", "\n")
-        .when(tag.isin("td", "th"), F.when(e["item"] > 1, " | ").otherwise("| "))
-        .when(tag.isin(_PLAIN_BLOCKS), gap)
-        .otherwise("")
+    link, title = attr(e, "href"), attr(e, "title")
+    flowed = f"regexp_replace(regexp_replace({e}.text, '([*_])', {quote(r'\\$1')}), {quote(r'[ \t\r\n\f]+')}, ' ')"
+    image = (
+        f"concat('![', coalesce({attr(e, 'alt')}, ''), '](', coalesce({attr(e, 'src')}, ''), "
+        f"CASE WHEN {title} IS NULL THEN '' ELSE concat(' \"', {title}, '\"') END, ')')"
     )
-    closed = (
-        F.when(tag.isin(_HEADINGS), gap)
-        .when(tag == "a", F.when(link.isNotNull(), F.concat(F.lit("]("), link, F.lit(")"))).otherwise(""))
-        .when(tag.isin("b", "strong"), "**")
-        .when(tag.isin("i", "em"), "*")
-        .when(tag.isin("ul", "ol"), F.when(e["lists"] <= 1, gap).otherwise(""))
-        .when(tag == "pre", "\n```\n\n")
-        .when(tag == "code", F.when(e["pre"], "").otherwise("`"))
-        .when(tag == "tr", F.when(e["lists"] == 1, rule).otherwise(" |"))
-        .when(tag.isin("blockquote", *_PLAIN_BLOCKS), gap)
-        .otherwise("")
+    item = (
+        f"concat('\\n', repeat('  ', greatest({e}.lists - 1, 0)), "
+        f"CASE WHEN {e}.item > 0 THEN concat({e}.item, '. ') ELSE '* ' END)"
     )
-    return F.when(e["hidden"], "").when(e["kind"] == "text", text).when(opening, opened).otherwise(closed)
-
-
-def _tidy(markdown: Column) -> Column:
+    outer = f"CASE WHEN {e}.lists <= 1 THEN '\\n\\n' ELSE '' END"
+    code = f"CASE WHEN {e}.pre THEN '' ELSE '`' END"
+    opened = f"""CASE
+ WHEN {e}.tag IN ({_HEADINGS}) THEN concat('\\n\\n', repeat('#', CAST(substring({e}.tag, 2, 1) AS INT)), ' ')
+ WHEN {e}.tag = 'a' THEN CASE WHEN {link} IS NULL THEN '' ELSE '[' END
+ WHEN {e}.tag IN ('b', 'strong') THEN '**' WHEN {e}.tag IN ('i', 'em') THEN '*'
+ WHEN {e}.tag = 'br' THEN '  \\n' WHEN {e}.tag = 'hr' THEN '\\n\\n---\\n\\n' WHEN {e}.tag = 'img' THEN {image}
+ WHEN {e}.tag = 'li' THEN {item} WHEN {e}.tag IN ('ul', 'ol') THEN {outer}
+ WHEN {e}.tag = 'blockquote' THEN '\\n\\n> ' WHEN {e}.tag = 'pre' THEN '\\n\\n```\\n' WHEN {e}.tag = 'code' THEN {code}
+ WHEN {e}.tag = 'tr' THEN '\\n' WHEN {e}.tag IN ('td', 'th') THEN CASE WHEN {e}.item > 1 THEN ' | ' ELSE '| ' END
+ WHEN {e}.tag IN ({_PLAIN_BLOCKS}) THEN '\\n\\n' ELSE '' END"""
+    closed = f"""CASE
+ WHEN {e}.tag = 'a' THEN CASE WHEN {link} IS NULL THEN '' ELSE concat('](', {link}, ')') END
+ WHEN {e}.tag IN ('b', 'strong') THEN '**' WHEN {e}.tag IN ('i', 'em') THEN '*'
+ WHEN {e}.tag IN ('ul', 'ol') THEN {outer} WHEN {e}.tag = 'pre' THEN '\\n```\\n\\n' WHEN {e}.tag = 'code' THEN {code}
+ WHEN {e}.tag = 'tr' THEN CASE WHEN {e}.lists = 1 THEN concat(' |\\n', repeat('| --- ', {e}.item), '|') ELSE ' |' END
+ WHEN {e}.tag IN ('blockquote', {_HEADINGS}, {_PLAIN_BLOCKS}) THEN '\\n\\n' ELSE '' END"""
+    return f"""CASE WHEN {e}.hidden THEN ''
+ WHEN {e}.kind = 'text' THEN CASE WHEN {e}.pre THEN {e}.text ELSE {flowed} END
+ WHEN {e}.kind = 'open' THEN {opened} ELSE {closed} END"""
+
+
+def _tidy(markdown: str) -> str:
     """Blank lines hold nothing, come singly, and none stands at the ends."""
-    trimmed = F.regexp_replace(markdown, r"\n[ \t]+(?=\n|[^ \t*0-9])", "\n")
-    return strip_space(F.regexp_replace(F.regexp_replace(trimmed, r"(?<![ ])[ \t](?=\n)", ""), r"\n{3,}", "\n\n"))
+    trimmed = f"regexp_replace({markdown}, {quote(r'\n[ \t]+(?=\n|[^ \t*0-9])')}, '\\n')"
+    single = f"regexp_replace({trimmed}, {quote(r'(?<![ ])[ \t](?=\n)')}, '')"
+    return strip_space(f"regexp_replace({single}, '\\n{{3,}}', '\\n\\n')")
 
 
-def events_to_markdown(events: Column) -> Column:
-    return _tidy(F.array_join(F.transform(events, _piece), ""))
+def events_to_markdown(events: str) -> str:
+    return _tidy(f"array_join({each(events, _piece)}, '')")
 
 
-def main_events(events: Column) -> Column:
+def main_events(events: str) -> str:
     """Events of the article body without navigation, banners and footers.
 
     The first article or main element is the body. Without one, the page itself is,
     if at least half of its remaining text stands in paragraphs.
     """
 
-    def is_body(e: Column) -> Column:
-        named = e["tag"].isin("article", "main") | attr(e, "role").isin("article", "main")
-        return (e["kind"] == "open") & F.coalesce(named | attr(e, "itemprop").eqNullSafe("articleBody"), F.lit(False))
+    def is_body(e: str) -> str:
+        return (
+            f"({e}.kind = 'open' AND ({e}.tag IN ('article', 'main') OR coalesce({attr(e, 'role')} IN ('article', 'main')"
+            f" OR {attr(e, 'itemprop')} = 'articleBody', false)))"
+        )
 
-    def kept(found: Column) -> Column:
-        return F.filter(found, lambda e: ~e["aside"] & ~e["hidden"])
+    def kept(found: str) -> str:
+        return keep(found, lambda e: f"NOT {e}.aside AND NOT {e}.hidden")
 
-    def letters(found: Column) -> Column:
-        lengths = F.transform(found, lambda e: F.length(F.coalesce(e["text"], F.lit(""))))
-        return F.aggregate(lengths, F.lit(0), lambda total, n: total + n)
+    def letters(found: str) -> str:
+        return fold(found, "0", lambda total, e: f"{total} + length(coalesce({e}.text, ''))")
 
-    def in_paragraph(e: Column) -> Column:
-        return F.get(events, e["parent"])["tag"].isin("p", "b", "i", "em", "strong", "a")
+    def whole_page(page: str) -> str:
+        parent = lambda e: f"get({events}, {e}.parent).tag"
+        prose = keep(page, lambda e: f"{e}.kind = 'text' AND {parent(e)} IN ('p', 'b', 'i', 'em', 'strong', 'a')")
+        total = letters(page)
+        return f"CASE WHEN {total} > 0 AND {letters(prose)} * 2 >= {total} THEN {page} END"
 
-    body = F.get(F.filter(events, is_body), F.lit(0))
-    prose = letters(F.filter(kept(events), lambda e: (e["kind"] == "text") & in_paragraph(e)))
-    whole = letters(kept(events))
-    return F.when(F.exists(events, is_body), kept(let(body, lambda b: inside(events, b)))).when(
-        (prose * 2 >= whole) & (whole > 0), kept(events)
+    body = first(keep(events, is_body))
+    return let(
+        body,
+        lambda b: f"CASE WHEN {b} IS NOT NULL THEN {kept(inside(events, b))} ELSE {let(kept(events), whole_page)} END",
     )
 
 
-def article_markdown(events: Column) -> Column:
+def article_markdown(events: str) -> str:
     """Main content as markdown, or NULL when there is no clear article."""
     written = events_to_markdown(main_events(events))
-    return let(written, lambda m: F.when(F.length(m) >= MIN_ARTICLE_CHARS, m))
+    return let(written, lambda m: f"CASE WHEN length({m}) >= {MIN_ARTICLE_CHARS} THEN {m} END")

@@ -2,7 +2,7 @@
 
 Spark has no tree reader for tag soup, so this one small Arrow function walks a page
 once and writes flat events. Everything asked of a page afterwards (selectors,
-microdata, markdown, main content) is a Column expression over that array, so it
+microdata, markdown, main content) is an expression over that array, so it
 needs no further Python and no shuffle.
 """
 
@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions.sqltext import each, keep, quote
+from leafmill.functions.text import strip_space
+
 EVENTS = (
     "array<struct<kind:string,tag:string,pos:int,end:int,parent:int,up:array<int>,"
     "attrs:map<string,string>,text:string,hidden:boolean,aside:boolean,pre:boolean,"
@@ -167,20 +170,16 @@ def page_events(html: Column) -> Column:
     return F.arrow_udf(_events, EVENTS).asNondeterministic()(html)
 
 
-def inside(events: Column, node: Column) -> Column:
+def inside(events: str, node: str) -> str:
     """The events strictly inside an open event."""
-    return F.slice(events, node["pos"] + 2, F.greatest(node["end"] - node["pos"] - 1, F.lit(0)))
+    return f"slice({events}, {node}.pos + 2, greatest({node}.`end` - {node}.pos - 1, 0))"
 
 
-def text_of(events: Column, node: Column, separator: str = " ") -> Column:
+def text_of(events: str, node: str, separator: str = " ") -> str:
     """Stripped text nodes below an open event, empty ones dropped, joined."""
-    from leafmill.functions.text import strip_space
-
-    texts = F.transform(
-        F.filter(inside(events, node), lambda e: e["kind"] == "text"), lambda e: strip_space(e["text"])
-    )
-    return F.array_join(F.filter(texts, lambda t: t != ""), separator)
+    texts = each(keep(inside(events, node), lambda e: f"{e}.kind = 'text'"), lambda e: strip_space(f"{e}.text"))
+    return f"array_join({keep(texts, lambda t: f'length({t}) > 0')}, {quote(separator)})"
 
 
-def attr(node: Column, name: str) -> Column:
-    return F.try_element_at(node["attrs"], F.lit(name))
+def attr(node: str, name: str) -> str:
+    return f"try_element_at({node}.attrs, {quote(name)})"

@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from leafmill.functions.markup import attr
+from leafmill.functions.sqltext import any_of, quote, some
 
 _NAME = r"-?[A-Za-z_][\w-]*"
 _PART = re.compile(
@@ -19,14 +17,20 @@ _PART = re.compile(
     |\[\s*(?P<key>[\w:-]+)\s*(?:(?P<op>[~^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[\w-]+))\s*)?\]""",
     re.VERBOSE,
 )
+_LIST = re.compile(r"""((?:[^,\["']|\[[^\]]*\])+)(?:,|$)""")
+_STEP = re.compile(r"""\s*>\s*|\s+|(?:\[[^\]]*\]|[^\s>\[])+""")
 
 
 class BadSelector(ValueError):
     """The selector is empty or outside the supported subset."""
 
 
-def _compound(text: str, node: Column) -> Column:
-    position, test = 0, node["kind"] == "open"
+def _words(value: str) -> str:
+    return f"split(coalesce({value}, ''), {quote(chr(92) + 's+')})"
+
+
+def _compound(text: str, node: str) -> str:
+    position, tests = 0, [f"{node}.kind = 'open'"]
     while position < len(text):
         found = _PART.match(text, position)
         if found is None or (found["tag"] and position):
@@ -34,74 +38,64 @@ def _compound(text: str, node: Column) -> Column:
         position = found.end()
         if found["tag"]:
             if found["tag"] != "*":
-                test &= node["tag"] == found["tag"].lower()
+                tests.append(f"{node}.tag = {quote(found['tag'].lower())}")
         elif found["cls"]:
-            test &= F.array_contains(F.split(F.coalesce(attr(node, "class"), F.lit("")), r"\s+"), found["cls"])
+            tests.append(f"array_contains({_words(attr(node, 'class'))}, {quote(found['cls'])})")
         elif found["id"]:
-            test &= attr(node, "id").eqNullSafe(found["id"])
+            tests.append(f"{attr(node, 'id')} <=> {quote(found['id'])}")
         else:
-            test &= _attribute(attr(node, found["key"].lower()), found)
-    return test
+            tests.append(_attribute(attr(node, found["key"].lower()), found))
+    return "(" + " AND ".join(tests) + ")"
 
 
-def _attribute(value: Column, found: re.Match) -> Column:
+def _attribute(value: str, found: re.Match) -> str:
     if found["op"] is None:
-        return value.isNotNull()
+        return f"{value} IS NOT NULL"
     wanted = next(found[g] for g in ("dq", "sq", "bare") if found[g] is not None)
-    held = F.coalesce(value, F.lit(""))
-    tests = {
-        "=": value.eqNullSafe(wanted),
-        "^=": held.startswith(wanted) & F.lit(wanted != ""),
-        "$=": held.endswith(wanted) & F.lit(wanted != ""),
-        "*=": held.contains(wanted) & F.lit(wanted != ""),
-        "~=": F.array_contains(F.split(held, r"\s+"), wanted) & F.lit(wanted != ""),
-    }
-    return tests[found["op"]]
-
-
-def matches(selector: str, events: Column, node: Column) -> Column:
+    if found["op"] == "=":
+        return f"{value} <=> {quote(wanted)}"
+    if not wanted:
+        return "false"
+    held = f"coalesce({value}, '')"
+    test = {"^=": "startswith", "$=": "endswith", "*=": "contains"}.get(found["op"])
+    if test is None:
+        return f"array_contains({_words(value)}, {quote(wanted)})"
+    return f"{test}({held}, {quote(wanted)})"
+
+
+def matches(selector: str, events: str, node: str) -> str:
     """Whether an event is an element the selector picks.
 
     Ancestors are read by position from the event's own ancestor list, so the cost
     per element is its depth, not the size of the page.
     """
-    options = [_chain(_steps(part), events, node) for part in _pieces(selector)]
-    result = options[0]
-    for option in options[1:]:
-        result = result | option
-    return result
-
-
-def _pieces(selector: str) -> list[str]:
-    parts = [p.strip() for p in re.split(r""",(?=(?:[^"'\]]|"[^"]*"|'[^']*')*$|[^\]]*(?:\[|$))""", selector)]
-    if not parts or any(not p for p in parts):
+    parts = [p.strip() for p in _LIST.findall(selector)]
+    if not parts or any(not p for p in parts) or selector.rstrip().endswith(","):
         raise BadSelector(selector)
-    return parts
+    return any_of([_chain(_steps(part), events, node) for part in parts])
 
 
 def _steps(part: str) -> list[tuple[str, str]]:
     """(combinator, compound) pairs from left to right."""
-    tokens = re.findall(r"""\s*>\s*|\s+|(?:\[(?:"[^"]*"|'[^']*'|[^\]])*\]|[^\s>\[])+""", part)
+    tokens = _STEP.findall(part)
+    if "".join(tokens) != part or tokens[0].strip() in ("", ">") or tokens[-1].strip() in ("", ">"):
+        raise BadSelector(part)
     steps, combinator = [], " "
     for token in tokens:
-        if not token.strip():
-            combinator = " "
-        elif token.strip() == ">":
-            combinator = ">"
+        if token.strip() in ("", ">"):
+            combinator = token.strip() or " "
         else:
             steps.append((combinator, token))
-    if not steps or not part or tokens[-1].strip() in ("", ">") or tokens[0].strip() == ">":
-        raise BadSelector(part)
     return steps
 
 
-def _chain(steps: list[tuple[str, str]], events: Column, node: Column) -> Column:
+def _chain(steps: list[tuple[str, str]], events: str, node: str) -> str:
     combinator, compound = steps[-1]
     test = _compound(compound, node)
     if len(steps) == 1:
         return test
     if combinator == ">":
-        parent = F.get(events, node["parent"])
-        return test & (node["parent"] >= 0) & _chain(steps[:-1], events, parent)
-    above = F.exists(node["up"], lambda p: _chain(steps[:-1], events, F.get(events, p)))
-    return test & F.coalesce(above, F.lit(False))
+        above = _chain(steps[:-1], events, f"get({events}, {node}.parent)")
+        return f"({test} AND {node}.parent >= 0 AND {above})"
+    above = some(f"{node}.up", lambda p: _chain(steps[:-1], events, f"get({events}, {p})"))
+    return f"({test} AND coalesce({above}, false))"

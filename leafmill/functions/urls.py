@@ -1,112 +1,93 @@
-"""URL pieces and reference resolution (RFC 3986) as Column expressions."""
+"""URL pieces and reference resolution (RFC 3986) as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from leafmill.functions.sqltext import fold, let, quote
 
-from leafmill.functions.arrays import let
+_SCHEME = quote(r"^([A-Za-z][A-Za-z0-9+.\-]*):")
+_AUTHORITY = quote(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)")
+_PARTS = quote(r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$")
 
-_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 
+def scheme_of(url: str) -> str:
+    return f"lower(regexp_extract({url}, {_SCHEME}, 1))"
 
-def scheme_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, _SCHEME, 1))
 
-
-def authority_of(url: Column) -> Column:
+def authority_of(url: str) -> str:
     """Lower-cased host, with port and user part if written."""
-    return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1))
+    return f"lower(regexp_extract({url}, {_AUTHORITY}, 1))"
 
 
-def origin_of(url: Column) -> Column:
-    return F.concat(
-        scheme_of(url), F.lit("://"), F.regexp_extract(url, r"^[^/]*//([^/?#]*)", 1), F.lit("/")
-    )
+def origin_of(url: str) -> str:
+    return f"concat({scheme_of(url)}, '://', regexp_extract({url}, {_AUTHORITY}, 1), '/')"
 
 
-def is_web_url(url: Column) -> Column:
-    return scheme_of(url).isin("http", "https")
+def is_web_url(url: str) -> str:
+    return f"({scheme_of(url)} IN ('http', 'https'))"
 
 
-def split_url(url: Column) -> Column:
+def split_url(url: str) -> str:
     """Scheme, authority (case kept), path, query and fragment as a struct."""
-    pattern = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-    return F.struct(
-        scheme_of(url).alias("scheme"),
-        F.regexp_extract(url, pattern, 1).alias("authority"),
-        F.regexp_extract(url, pattern, 2).alias("path"),
-        F.regexp_extract(url, pattern, 3).alias("query"),
-        F.regexp_extract(url, pattern, 4).alias("fragment"),
-    )
+    names = ("authority", "path", "query", "fragment")
+    parts = [f"regexp_extract({url}, {_PARTS}, {i}) AS {name}" for i, name in enumerate(names, 1)]
+    return f"struct({scheme_of(url)} AS scheme, {', '.join(parts)})"
 
 
-def _joined(scheme: Column, authority: Column, path: Column, query: Column, fragment: Column) -> Column:
-    rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    return F.concat(
-        scheme,
-        F.lit("://"),
-        authority,
-        rooted,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+def _joined(scheme: str, authority: str, path: str, query: str, fragment: str) -> str:
+    return (
+        f"concat({scheme}, '://', {authority}, CASE WHEN {path} = '' OR startswith({path}, '/') THEN {path} "
+        f"ELSE concat('/', {path}) END, CASE WHEN {query} = '' THEN '' ELSE concat('?', {query}) END, "
+        f"CASE WHEN {fragment} = '' THEN '' ELSE concat('#', {fragment}) END)"
     )
 
 
-def _without_dots(path: Column) -> Column:
+def _without_dots(path: str) -> str:
     """Remove ``.`` and ``..`` segments."""
 
-    def collapse(segments: Column) -> Column:
-        kept = F.aggregate(
-            segments,
-            F.array().cast("array<string>"),
-            lambda done, segment: F.when(
-                segment == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-            )
-            .when(segment == ".", done)
-            .otherwise(F.array_append(done, segment)),
+    def step(done: str, segment: str) -> str:
+        return (
+            f"CASE WHEN {segment} = '..' THEN slice({done}, 1, greatest(size({done}) - 1, 0)) "
+            f"WHEN {segment} = '.' THEN {done} ELSE array_append({done}, {segment}) END"
         )
-        ends_open = F.element_at(segments, -1).isin(".", "..")
-        closed = F.when(ends_open, F.array_append(kept, F.lit(""))).otherwise(kept)
-        return let(F.array_join(closed, "/"), lambda p: F.when(p == "", "/").otherwise(p))
 
-    dotted = path.rlike(r"(?:^|/)\.\.?(?:/|$)")
-    return F.when(dotted, let(F.split(path, "/", -1), collapse)).otherwise(path)
+    def collapsed(parts: str) -> str:
+        kept = fold(parts, "CAST(array() AS ARRAY<STRING>)", step)
+        closed = f"CASE WHEN element_at({parts}, -1) IN ('.', '..') THEN array_append({kept}, '') ELSE {kept} END"
+        return let(f"array_join({closed}, '/')", lambda p: f"CASE WHEN {p} = '' THEN '/' ELSE {p} END")
 
+    dotted = quote(r"(?:^|/)\.\.?(?:/|$)")
+    return f"CASE WHEN regexp_like({path}, {dotted}) THEN {let(f'split({path}, {quote(chr(47))}, -1)', collapsed)} ELSE {path} END"
 
-def _merged_path(base_path: Column, path: Column) -> Column:
+
+def _merged_path(base_path: str, path: str) -> str:
     """Path of the base up to its last slash, then the reference; no empty middle parts."""
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    rooted = F.when(folder == "", "/").otherwise(folder)
-    joined = F.concat(rooted, path)
-    return F.regexp_replace(joined, r"/{2,}", "/")
+    folder = f"regexp_replace({base_path}, '[^/]*$', '')"
+    return f"regexp_replace(concat(coalesce(nullif({folder}, ''), '/'), {path}), '/{{2,}}', '/')"
 
 
-def resolve(base: Column, reference: Column) -> Column:
+def resolve(base: str, reference: str) -> str:
     """Absolute form of ``reference`` as seen from the page ``base``."""
-    cleaned = F.regexp_replace(reference, r"^[\x00-\x20]+|[\t\r\n]+", "")
-
-    def against(b: Column, ref: Column) -> Column:
-        def parts(r: Column) -> Column:
-            same = _joined(b["scheme"], r["authority"], r["path"], r["query"], r["fragment"])
-            query = F.when(r["query"] != "", r["query"]).otherwise(b["query"])
-            here = _joined(b["scheme"], b["authority"], b["path"], query, r["fragment"])
-            rooted = r["path"].startswith("/")
-            target = F.when(rooted, r["path"]).otherwise(_merged_path(b["path"], r["path"]))
+    cleaned = f"regexp_replace({reference}, {quote(r'^[\x00-\x20]+|[\t\r\n]+')}, '')"
+
+    def against(ref: str) -> str:
+        def parts(s: str) -> str:
+            b, r = f"{s}.b", f"{s}.r"
+            same = _joined(f"{b}.scheme", f"{r}.authority", f"{r}.path", f"{r}.query", f"{r}.fragment")
+            query = f"coalesce(nullif({r}.query, ''), {b}.query)"
+            here = _joined(f"{b}.scheme", f"{b}.authority", f"{b}.path", query, f"{r}.fragment")
+            target = (
+                f"CASE WHEN startswith({r}.path, '/') THEN {r}.path ELSE {_merged_path(f'{b}.path', f'{r}.path')} END"
+            )
+            clean = let(target, _without_dots)
             there = let(
-                target,
-                lambda p: _joined(b["scheme"], b["authority"], _without_dots(p), r["query"], r["fragment"]),
+                clean, lambda p: _joined(f"{b}.scheme", f"{b}.authority", p, f"{r}.query", f"{r}.fragment")
             )
             return (
-                F.when((r["scheme"] != "") & (r["scheme"] != b["scheme"]), ref)
-                .when(r["authority"] != "", same)
-                .when(r["path"] == "", here)
-                .otherwise(there)
+                f"CASE WHEN {r}.scheme <> '' AND {r}.scheme <> {b}.scheme THEN {ref} WHEN {r}.authority <> '' THEN {same} "
+                f"WHEN {r}.path = '' THEN {here} ELSE {there} END"
             )
 
-        return F.when(ref == "", base).otherwise(let(split_url(ref), parts))
+        both = f"struct({split_url(base)} AS b, {split_url(ref)} AS r)"
+        return f"CASE WHEN {ref} = '' THEN {base} ELSE {let(both, parts)} END"
 
-    return let(
-        F.struct(split_url(base).alias("b"), cleaned.alias("ref")),
-        lambda s: against(s["b"], s["ref"]),
-    )
+    return let(cleaned, against)

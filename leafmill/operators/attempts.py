@@ -66,7 +66,7 @@ def best_attempt(attempts: DataFrame, browser_first: bool = False) -> tuple[Data
     keys = [c for c in ("page_id", "url") if c in attempts.columns]
     attempt, via, answered = F.col("attempt"), F.col("via"), ~F.col("failed")
     judged = attempts.withColumn(
-        "block_reason", F.when(answered, block_reason(F.col("status_code"), F.col("html")))
+        "block_reason", F.when(answered, block_reason())
     )
     clear = answered & F.col("block_reason").isNull()
     blocked = answered & F.col("block_reason").isNotNull()

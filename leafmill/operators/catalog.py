@@ -133,8 +133,8 @@ def variant_rows(products: DataFrame) -> DataFrame:
         p["title"].alias("product_title"),
         v["title"].alias("variant_title"),
         F.nullif(v["sku"], F.lit("")).alias("sku"),
-        catalog_number(v["price"]).alias("price"),
-        catalog_number(v["compare_at_price"]).alias("compare_at_price"),
+        F.expr(catalog_number("variant.price")).alias("price"),
+        F.expr(catalog_number("variant.compare_at_price")).alias("compare_at_price"),
         F.coalesce(~v["available"].isin("false", "", "0"), F.lit(False)).alias("available"),
         F.nullif(options, F.lit("")).alias("options"),
         p["vendor"].alias("vendor"),

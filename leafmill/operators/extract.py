@@ -6,10 +6,10 @@ captures is followed by no shuffle and the html never leaves the scan stage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.arrays import first_occurrences, let
+from leafmill.functions.sqltext import each, each_at, first_by, keep, let, quote, zipped
 from leafmill.functions.text import (
     ATTRIBUTES,
     attribute,
@@ -44,202 +44,173 @@ SOCIAL_HOSTS = {
 }
 SEARCH_MAX = 50
 
-ANCHOR = "(?is)<a" + ATTRIBUTES + r">(.*?)(?:</a\s*>|(?=<a[\s>])|\z)"
+_ANCHOR = quote("(?is)<a" + ATTRIBUTES + r">(.*?)(?:</a\s*>|(?=<a[\s>])|\z)")
 
 
-def _text_matches(df: DataFrame, pattern: str, shortest: int, hint: Column, accept=None) -> DataFrame:
-    """Matches of ``pattern`` in ``__text`` with their surroundings, first per value.
+def _text_matches(text: str, pattern: str, shortest: int, hint, accept) -> str:
+    """Matches of ``pattern`` with their surroundings, first per value, in text order.
 
     Context is rebuilt from the pieces between matches. ``shortest`` bounds how many
     earlier matches can lie within the context window, so this stays linear.
     """
     back = CONTEXT_CHARS // shortest + 1
-    df = df.withColumns(
-        {
-            "__found": F.when(hint, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))),
-            "__between": F.when(hint, F.split("__text", pattern, -1)),
-        }
-    )
-    df = df.filter(F.size("__found") > 0)
-    found, between = F.col("__found"), F.col("__between")
-
-    def before(i: Column) -> Column:
-        start = F.greatest(i - back, F.lit(0))
-        count = i - start
-        pieces = F.zip_with(
-            F.slice(between, start + 1, count), F.slice(found, start + 1, count), lambda gap, hit: F.concat(gap, hit)
+    glue = lambda gap, hit: f"concat({gap}, coalesce({hit}, ''))"
+
+    def hits(found: str, between: str) -> str:
+        def one(hit: str, i: str) -> str:
+            start = f"greatest({i} - {back}, 0)"
+            earlier = zipped(
+                f"slice({between}, {start} + 1, {i} - {start})", f"slice({found}, {start} + 1, {i} - {start})", glue
+            )
+            later = zipped(f"slice({between}, {i} + 2, {back + 1})", f"slice({found}, {i} + 2, {back})", glue)
+            before = f"right(concat(array_join({earlier}, ''), get({between}, {i})), {CONTEXT_CHARS})"
+            after = f"left(array_join({later}, ''), {CONTEXT_CHARS})"
+            context = strip_space(f"concat({before}, {hit}, {after})")
+            return f"struct({i} AS pos, {hit} AS value, {context} AS context)"
+
+        rows = each_at(found, one)
+        return first_by(keep(rows, lambda h: accept(f"{h}.value")) if accept else rows, "value")
+
+    def search(held: str) -> str:
+        pieces = (
+            f"struct(regexp_extract_all({held}, {quote(pattern)}, 0) AS found, split({held}, {quote(pattern)}, -1) AS between)"
         )
-        text = F.concat(F.array_join(pieces, ""), F.get(between, i))
-        return F.right(text, F.lit(CONTEXT_CHARS))
-
-    def after(i: Column) -> Column:
-        pieces = F.zip_with(
-            F.slice(between, i + 2, back + 1),
-            F.slice(F.concat(found, F.array(F.lit(""))), i + 2, back + 1),
-            lambda gap, hit: F.concat(gap, hit),
-        )
-        return F.left(F.array_join(pieces, ""), F.lit(CONTEXT_CHARS))
+        return f"CASE WHEN {hint(held)} THEN {let(pieces, lambda p: hits(f'{p}.found', f'{p}.between'))} END"
 
-    hits = F.transform(
-        found,
-        lambda hit, i: F.struct(
-            i.alias("pos"), strip_space(hit).alias("value"), strip_space(F.concat(before(i), hit, after(i))).alias("context")
-        ),
-    )
-    if accept is not None:
-        hits = F.filter(hits, lambda h: accept(h["value"]))
-    df = first_occurrences(df.withColumn("__hits", hits), "__hits", "value")
-    return df.drop("__text", "__found", "__between")
+    return let(text, search)
 
 
-def _keys(captures: DataFrame, keep: tuple[str, ...]) -> list[str]:
-    return ["url", *[k for k in keep if k != "url"]]
+def _contacts(captures: DataFrame, carry: tuple[str, ...], hits: str) -> DataFrame:
+    keys = ["url", *carry]
+    return captures.select(*keys, F.explode(F.expr(hits)).alias("hit")).select(
+        *keys, "hit.value", "hit.context", "hit.pos"
+    )
 
 
-def extract_emails(captures: DataFrame, keep: tuple[str, ...] = (), text: str | None = None) -> DataFrame:
+def extract_emails(captures: DataFrame, carry: tuple[str, ...] = (), text: str | None = None) -> DataFrame:
     """Email addresses in the visible text: url, value, context, pos."""
-    source = F.col(text) if text else visible_text(F.col("html"))
-    hint = F.col("__text").contains("@")
-    return _contacts(captures, keep, source, EMAIL, EMAIL_MIN_CHARS, hint, None, text)
+    source = text or visible_text("html")
+    return _contacts(captures, carry, _text_matches(source, EMAIL, EMAIL_MIN_CHARS, lambda t: f"contains({t}, '@')", None))
 
 
-def extract_phones(captures: DataFrame, keep: tuple[str, ...] = (), text: str | None = None) -> DataFrame:
+def extract_phones(captures: DataFrame, carry: tuple[str, ...] = (), text: str | None = None) -> DataFrame:
     """Phone numbers with a country code or a leading zero: url, value, context, pos."""
-    source = F.col(text) if text else visible_text(F.col("html"))
-    hint = F.col("__text").contains("+") | F.col("__text").contains("0")
 
-    def plausible(value: Column) -> Column:
-        digits = F.length(F.regexp_replace(value, r"(?U)\D", ""))
-        return digits.between(PHONE_MIN_DIGITS, PHONE_MAX_DIGITS)
+    def hint(t: str) -> str:
+        return f"(contains({t}, '+') OR contains({t}, '0'))"
 
-    return _contacts(captures, keep, source, PHONE, PHONE_MIN_CHARS, hint, plausible, text)
+    def plausible(value: str) -> str:
+        digits = f"length(regexp_replace({value}, {quote(r'(?U)\D')}, ''))"
+        return f"{digits} BETWEEN {PHONE_MIN_DIGITS} AND {PHONE_MAX_DIGITS}"
 
-
-def _contacts(captures, keep, source, pattern, shortest, hint, accept, text) -> DataFrame:
-    keys = _keys(captures, keep)
-    df = captures.select(*keys, source.alias("__text"))
-    df = _text_matches(df, pattern, shortest, hint, accept)
-    return df.select(*keys, F.explode("__hits").alias("hit")).select(
-        *keys, "hit.value", "hit.context", F.col("hit.pos").alias("pos")
-    )
+    source = text or visible_text("html")
+    return _contacts(captures, carry, _text_matches(source, PHONE, PHONE_MIN_CHARS, hint, plausible))
 
 
-def anchors(html: Column) -> Column:
+def anchors(html: str) -> str:
     """Anchors with an href: attribute text, href, inner html, in document order."""
-    visible = strip_hidden(html)
-    heads = F.regexp_extract_all(visible, F.lit(ANCHOR), F.lit(1))
-    inner = F.regexp_extract_all(visible, F.lit(ANCHOR), F.lit(2))
-    every = F.zip_with(
-        heads,
-        inner,
-        lambda head, body: F.struct(head.alias("attrs"), attribute(head, "href").alias("href"), body.alias("inner")),
-    )
-    return F.filter(every, lambda a: a["href"].isNotNull())
 
+    def found(visible: str) -> str:
+        every = zipped(
+            f"regexp_extract_all({visible}, {_ANCHOR}, 1)",
+            f"regexp_extract_all({visible}, {_ANCHOR}, 2)",
+            lambda head, body: f"struct({head} AS attrs, {attribute(head, 'href')} AS href, {body} AS inner_html)",
+        )
+        return keep(every, lambda a: f"{a}.href IS NOT NULL")
 
-def _resolved_anchors(captures: DataFrame, keys: list[str]) -> DataFrame:
-    return captures.filter(F.lower("html").contains("href")).select(*keys, anchors(F.col("html")).alias("__anchors"))
+    return let(strip_hidden(html), found)
 
 
-def extract_links(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def extract_links(captures: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Absolute http(s) links, first per target: url, value, context (anchor text), pos."""
-    keys = _keys(captures, keep)
-    df = _resolved_anchors(captures, keys)
-    wanted = F.filter(
-        F.transform(
-            "__anchors",
-            lambda a, i: F.struct(i.alias("pos"), strip_space(a["href"]).alias("href"), a["inner"].alias("inner")),
-        ),
-        lambda a: (a["href"] != "") & ~a["href"].startswith("#"),
+    keys = ["url", *carry]
+    named = each_at(
+        anchors("html"),
+        lambda a, i: f"struct({i} AS pos, {strip_space(a + '.href')} AS href, {a}.inner_html AS inner_html)",
     )
-    absolute = F.transform(
-        wanted,
-        lambda a: F.struct(a["pos"].alias("pos"), resolve(F.col("url"), a["href"]).alias("value"), a["inner"].alias("inner")),
+    wanted = keep(named, lambda a: f"{a}.href <> '' AND NOT startswith({a}.href, '#')")
+    absolute = each(
+        wanted, lambda a: f"struct({a}.pos AS pos, {resolve('url', a + '.href')} AS value, {a}.inner_html AS inner_html)"
     )
-    df = df.withColumn("__links", F.filter(absolute, lambda a: is_web_url(a["value"]))).drop("__anchors")
-    df = first_occurrences(df, "__links", "value")
-    return df.select(*keys, F.explode("__links").alias("link")).select(
-        *keys, "link.value", compact_text(F.col("link.inner")).alias("context"), F.col("link.pos").alias("pos")
+    links = first_by(keep(absolute, lambda a: is_web_url(a + ".value")), "value")
+    return captures.select(*keys, F.explode(F.expr(links)).alias("link")).select(
+        *keys, "link.value", F.expr(compact_text("link.inner_html")).alias("context"), "link.pos"
     )
 
 
-def extract_social_links(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def extract_social_links(captures: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Profile links on the known social hosts: url, platform, value, pos."""
-    keys = _keys(captures, keep)
-    table = F.create_map(*[F.lit(x) for pair in SOCIAL_HOSTS.items() for x in pair])
-    df = _resolved_anchors(captures, keys)
-    absolute = F.transform(
-        "__anchors", lambda a, i: F.struct(i.alias("pos"), resolve(F.col("url"), strip_space(a["href"])).alias("value"))
+    keys = ["url", *carry]
+    table = f"map({', '.join(quote(x) for pair in SOCIAL_HOSTS.items() for x in pair)})"
+    absolute = each_at(
+        anchors("html"), lambda a, i: f"struct({i} AS pos, {resolve('url', strip_space(a + '.href'))} AS value)"
     )
 
-    def platform(value: Column) -> Column:
-        return F.try_element_at(table, F.regexp_replace(authority_of(value), r"^www\.", ""))
+    def named(a: str) -> str:
+        host = f"regexp_replace({authority_of(a + '.value')}, '^www[.]', '')"
+        return f"struct({a}.pos AS pos, {a}.value AS value, try_element_at({table}, {host}) AS platform)"
 
-    profiles = F.filter(
-        F.transform(absolute, lambda a: F.struct(a["pos"].alias("pos"), a["value"].alias("value"), platform(a["value"]).alias("platform"))),
-        lambda a: a["platform"].isNotNull(),
-    )
-    df = first_occurrences(df.withColumn("__links", profiles).drop("__anchors"), "__links", "value")
-    return df.select(*keys, F.explode("__links").alias("link")).select(
-        *keys, "link.platform", "link.value", F.col("link.pos").alias("pos")
+    profiles = first_by(keep(each(absolute, named), lambda a: f"{a}.platform IS NOT NULL"), "value")
+    return captures.select(*keys, F.explode(F.expr(profiles)).alias("link")).select(
+        *keys, "link.platform", "link.value", "link.pos"
     )
 
 
-def _search_target(href: Column) -> Column:
+def _search_target(href: str) -> str:
     """Unwrap the search engine's redirect; other schemes give an empty string."""
 
-    def unwrapped(full: Column) -> Column:
-        redirect = authority_of(full).contains("duckduckgo.com") & F.regexp_extract(
-            full, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1
-        ).startswith("/l/")
-        packed = F.regexp_extract(F.regexp_extract(full, r"\?([^#]*)", 1), r"(?:^|&)uddg=([^&]+)", 1)
-        plain = F.when(is_web_url(full), full).otherwise("")
-        return F.when(redirect, F.coalesce(F.try_url_decode(packed), F.lit(""))).otherwise(plain)
+    def unwrapped(full: str) -> str:
+        path = f"regexp_extract({full}, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
+        redirect = f"contains({authority_of(full)}, 'duckduckgo.com') AND startswith({path}, '/l/')"
+        packed = f"regexp_extract(regexp_extract({full}, {quote(r'\?([^#]*)')}, 1), '(?:^|&)uddg=([^&]+)', 1)"
+        return (
+            f"CASE WHEN {redirect} THEN coalesce(try_url_decode({packed}), '') "
+            f"WHEN {is_web_url(full)} THEN {full} ELSE '' END"
+        )
 
-    return let(F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).otherwise(href), unwrapped)
+    return let(f"CASE WHEN startswith({href}, '//') THEN concat('https:', {href}) ELSE {href} END", unwrapped)
 
 
-def has_class(attributes: Column, name: str) -> Column:
-    return F.array_contains(F.split(F.coalesce(attribute(attributes, "class"), F.lit("")), r"\s+"), name)
+def has_class(attributes: str, name: str) -> str:
+    return f"array_contains(split(coalesce({attribute(attributes, 'class')}, ''), {quote(r'\s+')}), {quote(name)})"
 
 
-def search_results(pages: DataFrame, limit: int = 10, keep: tuple[str, ...] = ("query",)) -> DataFrame:
+def search_results(pages: DataFrame, limit: int = 10, carry: tuple[str, ...] = ("query",)) -> DataFrame:
     """Ranked hits of captured result pages: rank, title, url, snippet."""
     limit = clamp(limit, 1, SEARCH_MAX)
-    visible = strip_hidden(F.col("html"))
-    block = r"(?is)<([a-z][a-z0-9]*)(?=[^>]*result-snippet)" + ATTRIBUTES + r">(.*?)</\1\s*>"
-    heads = F.regexp_extract_all(visible, F.lit(block), F.lit(2))
-    bodies = F.regexp_extract_all(visible, F.lit(block), F.lit(3))
-    blocks = F.zip_with(heads, bodies, lambda h, b: F.struct(h.alias("attrs"), b.alias("inner")))
-    snippets = F.transform(
-        F.filter(blocks, lambda b: has_class(b["attrs"], "result-snippet")), lambda b: stripped_text(b["inner"])
-    )
-    links = F.filter(anchors(F.col("html")), lambda a: has_class(a["attrs"], "result-link"))
-    df = pages.select(*keep, links.alias("__links"), snippets.alias("__snippets"))
-    hits = F.filter(
-        F.transform(
-            "__links",
-            lambda a, i: F.struct(
-                _search_target(a["href"]).alias("url"),
-                a["inner"].alias("inner"),
-                F.coalesce(F.get(F.col("__snippets"), i), F.lit("")).alias("snippet"),
-            ),
-        ),
-        lambda h: h["url"] != "",
-    )
-    df = first_occurrences(df.withColumn("__hits", hits).drop("__links", "__snippets"), "__hits", "url")
-    return df.select(*keep, F.posexplode(F.slice("__hits", 1, limit)).alias("i", "hit")).select(
-        *keep,
+    block = quote(r"(?is)<([a-z][a-z0-9]*)(?=[^>]*result-snippet)" + ATTRIBUTES + r">(.*?)</\1\s*>")
+
+    def found(visible: str) -> str:
+        blocks = zipped(
+            f"regexp_extract_all({visible}, {block}, 2)",
+            f"regexp_extract_all({visible}, {block}, 3)",
+            lambda head, body: f"struct({head} AS attrs, {body} AS inner_html)",
+        )
+        return each(
+            keep(blocks, lambda b: has_class(b + ".attrs", "result-snippet")), lambda b: stripped_text(b + ".inner_html")
+        )
+
+    links = keep(anchors("html"), lambda a: has_class(a + ".attrs", "result-link"))
+
+    def paired(snippets: str) -> str:
+        hits = each_at(
+            links,
+            lambda a, i: f"struct({_search_target(a + '.href')} AS url, {a}.inner_html AS inner_html, "
+            f"coalesce(get({snippets}, {i}), '') AS snippet)",
+        )
+        return first_by(keep(hits, lambda h: f"{h}.url <> ''"), "url")
+
+    ranked = f"slice({let(let(strip_hidden('html'), found), paired)}, 1, {limit})"
+    return pages.select(*carry, F.posexplode(F.expr(ranked)).alias("i", "hit")).select(
+        *carry,
         (F.col("i") + 1).alias("rank"),
-        stripped_text(F.col("hit.inner")).alias("title"),
-        F.col("hit.url").alias("url"),
-        F.col("hit.snippet").alias("snippet"),
+        F.expr(stripped_text("hit.inner_html")).alias("title"),
+        "hit.url",
+        "hit.snippet",
     )
 
 
-def network_responses(
-    log: DataFrame, include_types: str = "json", max_body_chars: int = 4000
-) -> DataFrame:
+def network_responses(log: DataFrame, include_types: str = "json", max_body_chars: int = 4000) -> DataFrame:
     """Logged responses whose content type names a wanted kind, with bounded bodies."""
     kinds = [k.strip().lower() for k in include_types.split(",") if k.strip()] or ["json"]
     test = F.lit(False)

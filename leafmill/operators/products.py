@@ -2,196 +2,204 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.arrays import let
 from leafmill.functions.markup import attr, inside, page_events, text_of
 from leafmill.functions.numbers import price_count, price_number
+from leafmill.functions.sqltext import blank_to_null, each, first, keep, let, quote, some
 from leafmill.functions.text import ATTRIBUTES, attribute, strip_comments, strip_hidden, strip_space
 from leafmill.functions.urls import resolve
 
-PRODUCT = (
-    "struct<name:string,price:double,currency:string,availability:string,brand:string,sku:string,"
-    "image:string,rating:double,review_count:int,description:string,source:string>"
-)
-FIELDS = [f.split(":")[0] for f in PRODUCT[len("struct<") : -1].split(",")]
+FIELDS = {
+    "name": "STRING",
+    "price": "DOUBLE",
+    "currency": "STRING",
+    "availability": "STRING",
+    "brand": "STRING",
+    "sku": "STRING",
+    "image": "STRING",
+    "rating": "DOUBLE",
+    "review_count": "INT",
+    "description": "STRING",
+    "source": "STRING",
+}
 NO_PRODUCT = "no structured product data on this page"
 NESTING = 4  # arrays and @graph wrappers followed around a Product
 
 # The script type and the image suffixes that are trusted.
-_LD_JSON = (
+_LD_JSON = quote(
     r"""(?is)<script(?=[^>]*\stype\s*=\s*["']?application/ld\+json["']?[\s>/])[^>]*>(.*?)(?:</script\s*>|\z)"""
 )
-_IMAGE_SUFFIX = r"(?i)\.(?:jpe?g|png|gif|webp|avif|svg|bmp|tiff?)(?:[?#]|$)"
-
+_IMAGE = quote(r"(?i)^(?:https?://|/)|\.(?:jpe?g|png|gif|webp|avif|svg|bmp|tiff?)(?:[?#]|$)")
 
-def _record(**values: Column) -> Column:
-    filled = [values.get(name, F.lit(None)).alias(name) for name in FIELDS]
-    return F.struct(*filled).cast(PRODUCT)
 
+def _record(**values: str) -> str:
+    cells = [f"CAST({values.get(name, 'NULL')} AS {kind}) AS {name}" for name, kind in FIELDS.items()]
+    return f"struct({', '.join(cells)})"
 
-def _blank_to_null(text: Column) -> Column:
-    return let(strip_space(text), lambda t: F.when(t != "", t))
 
+def _get(value: str, name: str) -> str:
+    return f"try_variant_get({value}, {quote(f'$[{chr(39)}{name}{chr(39)}]')}, 'variant')"
 
-def _get(value: Column, *path: str, kind: str = "variant") -> Column:
-    steps = "$" + "".join(f"['{p}']" for p in path)
-    return F.try_variant_get(value, steps, kind)
 
+def _is_list(value: str) -> str:
+    return f"startswith(coalesce(schema_of_variant({value}), ''), 'ARRAY')"
 
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
+def _is_object(value: str) -> str:
+    return f"startswith(coalesce(schema_of_variant({value}), ''), 'OBJECT')"
 
-def _is_list(value: Column) -> Column:
-    return _kind(value).startswith("ARRAY")
 
+def _items(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'array<variant>')"
 
-def _is_object(value: Column) -> Column:
-    return _kind(value).startswith("OBJECT")
 
+def _string(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'string')"
 
-def _items(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
 
-
-def _scalar(value: Column) -> Column:
+def _scalar(value: str) -> str:
     """Text of a scalar; lists and objects are not text."""
-    plain = ~_is_list(value) & ~_is_object(value)
-    return F.when(plain, _blank_to_null(F.try_variant_get(value, "$", "string")))
+    return let(
+        value,
+        lambda v: f"CASE WHEN NOT {_is_list(v)} AND NOT {_is_object(v)} THEN {blank_to_null(strip_space(_string(v)))} END",
+    )
 
 
-def _first_of(value: Column, pick) -> Column:
+def _first_of(value: str, pick) -> str:
     """``pick`` of the value, or of the first list item for which it is not NULL."""
-    listed = F.get(F.filter(F.transform(_items(value), pick), lambda v: v.isNotNull()), F.lit(0))
-    return F.when(_is_list(value), listed).otherwise(pick(value))
 
+    def choose(v: str) -> str:
+        listed = first(keep(each(_items(v), pick), lambda x: f"{x} IS NOT NULL"))
+        return f"CASE WHEN {_is_list(v)} THEN {listed} ELSE {pick(v)} END"
 
-def _is_product(value: Column) -> Column:
-    def named(kind: Column) -> Column:
-        return F.lower(F.try_variant_get(kind, "$", "string")).endswith("product")
+    return let(value, choose)
 
-    declared = _get(value, "@type")
-    several = F.exists(F.coalesce(_items(declared), F.array().cast("array<variant>")), named)
-    test = F.when(_is_list(declared), several).otherwise(named(declared))
-    return _is_object(value) & F.coalesce(test, F.lit(False))
 
+def _is_product(value: str) -> str:
+    def named(kind: str) -> str:
+        return f"endswith(lower({_string(kind)}), 'product')"
 
-def _unwrapped(value: Column) -> Column:
+    def test(kind: str) -> str:
+        return f"coalesce(CASE WHEN {_is_list(kind)} THEN {some(_items(kind), named)} ELSE {named(kind)} END, false)"
+
+    return f"({_is_object(value)} AND {let(_get(value, '@type'), test)})"
+
+
+def _unwrapped(value: str) -> str:
     """A Product stays as it is; a list or @graph gives its members in order."""
-    graph = _get(value, "@graph")
-    empty = F.array().cast("array<variant>")
-    inner = F.when(_is_list(graph), _items(graph)).when(graph.isNotNull(), F.array(graph)).otherwise(empty)
-    return F.when(_is_list(value), _items(value)).when(_is_product(value), F.array(value)).otherwise(inner)
+    inner = let(
+        _get(value, "@graph"),
+        lambda g: f"CASE WHEN {_is_list(g)} THEN {_items(g)} WHEN {g} IS NOT NULL THEN array({g}) "
+        f"ELSE CAST(array() AS ARRAY<VARIANT>) END",
+    )
+    return f"CASE WHEN {_is_list(value)} THEN {_items(value)} WHEN {_is_product(value)} THEN array({value}) ELSE {inner} END"
 
 
-def _json_ld_record(product: Column) -> Column:
-    def offer_price(offer: Column) -> Column:
-        return _get(offer, "price")
+def _without_schema(text: str) -> str:
+    return let(text, lambda t: f"CASE WHEN startswith({t}, 'http') THEN element_at(split({t}, '/', -1), -1) ELSE {t} END")
 
-    def image(value: Column) -> Column:
-        linked = F.coalesce(_scalar(_get(value, "url")), _scalar(_get(value, "contentUrl")))
-        return F.when(_is_object(value), linked).otherwise(_scalar(value))
 
-    def brand(value: Column) -> Column:
-        single = F.when(_is_list(value), F.get(_items(value), F.lit(0))).otherwise(value)
-        return let(single, lambda b: F.when(_is_object(b), _scalar(_get(b, "name"))).otherwise(_scalar(b)))
+def _json_ld_product(html: str) -> str:
+    """First Product node of the ld+json scripts in page order; malformed ones skipped."""
+    scripts = f"regexp_extract_all({strip_comments(html)}, {_LD_JSON}, 1)"
+    nodes = keep(each(scripts, lambda s: f"try_parse_json({s})"), lambda v: f"{v} IS NOT NULL")
+    for _ in range(NESTING):
+        nodes = f"flatten({each(nodes, _unwrapped)})"
+    return first(keep(nodes, _is_product))
+
+
+def _json_ld_record(node: str) -> str:
+    def object_only(value: str) -> str:
+        return f"CASE WHEN {_is_object(value)} THEN {value} END"
+
+    def image(value: str) -> str:
+        linked = f"coalesce({_scalar(_get(value, 'url'))}, {_scalar(_get(value, 'contentUrl'))})"
+        return f"CASE WHEN {_is_object(value)} THEN {linked} ELSE {_scalar(value)} END"
 
-    def build(parts: Column) -> Column:
-        offer, rating, node = parts["offer"], parts["rating"], parts["node"]
+    def brand(value: str) -> str:
+        return f"CASE WHEN {_is_object(value)} THEN {_scalar(_get(value, 'name'))} ELSE {_scalar(value)} END"
+
+    def either(value: str, one: str, two: str) -> str:
+        return f"coalesce({_scalar(_get(value, one))}, {_scalar(_get(value, two))})"
+
+    def build(p: str) -> str:
+        offer, rating = f"{p}.offer", f"{p}.rating"
         return _record(
             name=_scalar(_get(node, "name")),
-            price=price_number(_scalar(offer_price(offer))),
+            price=price_number(_scalar(_get(offer, "price"))),
             currency=_scalar(_get(offer, "priceCurrency")),
             availability=_without_schema(_scalar(_get(offer, "availability"))),
-            brand=brand(_get(node, "brand")),
-            sku=F.coalesce(_scalar(_get(node, "sku")), _scalar(_get(node, "mpn"))),
+            brand=let(
+                _get(node, "brand"),
+                lambda b: let(f"CASE WHEN {_is_list(b)} THEN {first(_items(b))} ELSE {b} END", brand),
+            ),
+            sku=either(node, "sku", "mpn"),
             image=_first_of(_get(node, "image"), image),
             rating=price_number(_scalar(_get(rating, "ratingValue"))),
-            review_count=price_count(
-                F.coalesce(_scalar(_get(rating, "reviewCount")), _scalar(_get(rating, "ratingCount")))
-            ),
+            review_count=price_count(either(rating, "reviewCount", "ratingCount")),
             description=_scalar(_get(node, "description")),
-            source=F.lit("json-ld"),
+            source="'json-ld'",
         )
 
-    def object_only(value: Column) -> Column:
-        return F.when(_is_object(value), value)
-
-    parts = F.struct(
-        product.alias("node"),
-        _first_of(_get(product, "offers"), object_only).alias("offer"),
-        object_only(_get(product, "aggregateRating")).alias("rating"),
+    parts = (
+        f"struct({_first_of(_get(node, 'offers'), object_only)} AS offer, "
+        f"{let(_get(node, 'aggregateRating'), object_only)} AS rating)"
     )
-    return F.when(product.isNotNull(), let(parts, build))
-
-
-def _without_schema(text: Column) -> Column:
-    return F.when(text.startswith("http"), F.element_at(F.split(text, "/", -1), -1)).otherwise(text)
-
-
-def _json_ld_products(html: Column) -> Column:
-    """Product nodes of every ld+json script in page order; malformed scripts skipped."""
-    scripts = F.regexp_extract_all(strip_comments(html), F.lit(_LD_JSON), F.lit(1))
-    nodes = F.filter(F.transform(scripts, lambda s: F.try_parse_json(s)), lambda v: v.isNotNull())
-    for _ in range(NESTING):
-        nodes = F.flatten(F.transform(nodes, _unwrapped))
-    return F.filter(nodes, _is_product)
-
-
-def _opengraph_record(html: Column) -> Column:
-    def entry(tag: Column) -> Column:
-        prop = attribute(tag, "property")
-        key = F.when(F.coalesce(prop, F.lit("")) != "", prop).otherwise(attribute(tag, "name"))
-        return F.struct(F.lower(key).alias("key"), strip_space(attribute(tag, "content")).alias("content"))
-
-    tags = F.regexp_extract_all(strip_hidden(html), F.lit("(?is)<meta" + ATTRIBUTES + ">"), F.lit(1))
-    entries = F.filter(F.transform(tags, entry), lambda e: e["key"].isNotNull() & e["content"].isNotNull())
-
-    def build(found: Column) -> Column:
-        def first(key: str) -> Column:
-            return F.get(F.filter(found, lambda e: e["key"] == key), F.lit(0))["content"]
-
-        def either(one: str, two: str) -> Column:
-            return F.coalesce(F.nullif(first(one), F.lit("")), first(two))
+    return f"CASE WHEN {node} IS NOT NULL THEN {let(parts, build)} END"
+
+
+def _opengraph_record(html: str) -> str:
+    def entry(tag: str) -> str:
+        key = f"lower(coalesce({blank_to_null(attribute(tag, 'property'))}, {attribute(tag, 'name')}))"
+        return f"struct({key} AS name, {strip_space(attribute(tag, 'content'))} AS content)"
+
+    tags = f"regexp_extract_all({strip_hidden(html)}, {quote('(?is)<meta' + ATTRIBUTES + '>')}, 1)"
+    entries = keep(each(tags, entry), lambda e: f"{e}.name IS NOT NULL AND {e}.content IS NOT NULL")
+
+    def build(found: str) -> str:
+        def value(name: str) -> str:
+            return first(keep(found, lambda e: f"{e}.name = {quote(name)}")) + ".content"
+
+        def either(one: str, two: str) -> str:
+            return f"coalesce({blank_to_null(value(one))}, {value(two)})"
+
+        def record(price: str) -> str:
+            titled = f"coalesce({value('og:title')}, '') <> '' AND {value('og:type')} <=> 'product'"
+            filled = _record(
+                name=value("og:title"),
+                price=price_number(price),
+                currency=either("product:price:currency", "og:price:currency"),
+                availability=either("product:availability", "og:availability"),
+                brand=value("product:brand"),
+                sku=value("product:retailer_item_id"),
+                image=value("og:image"),
+                description=value("og:description"),
+                source="'opengraph'",
+            )
+            return f"CASE WHEN coalesce({price}, '') <> '' OR ({titled}) THEN {filled} END"
 
-        price = either("product:price:amount", "og:price:amount")
-        titled = (F.coalesce(first("og:title"), F.lit("")) != "") & first("og:type").eqNullSafe("product")
-        record = _record(
-            name=first("og:title"),
-            price=price_number(price),
-            currency=either("product:price:currency", "og:price:currency"),
-            availability=either("product:availability", "og:availability"),
-            brand=first("product:brand"),
-            sku=first("product:retailer_item_id"),
-            image=first("og:image"),
-            description=first("og:description"),
-            source=F.lit("opengraph"),
-        )
-        return F.when((F.coalesce(price, F.lit("")) != "") | titled, record)
+        return let(either("product:price:amount", "og:price:amount"), record)
 
     return let(entries, build)
 
 
-def _microdata_record(events: Column) -> Column:
+def _microdata_record(events: str) -> str:
     """First schema.org Product scope; only the image reads a link attribute."""
 
-    def is_scope(e: Column) -> Column:
-        return (e["kind"] == "open") & F.coalesce(attr(e, "itemtype").rlike(r"(?i)schema\.org/Product"), F.lit(False))
+    def is_scope(e: str) -> str:
+        return f"({e}.kind = 'open' AND coalesce(regexp_like({attr(e, 'itemtype')}, '(?i)schema[.]org/Product'), false))"
 
-    def build(scope: Column) -> Column:
-        def prop(name: str, url_valued: bool = False) -> Column:
-            held = F.filter(
-                inside(events, scope), lambda e: (e["kind"] == "open") & attr(e, "itemprop").eqNullSafe(name)
-            )
+    def build(scope: str) -> str:
+        def prop(name: str, attributes: tuple[str, ...] = ("content",)) -> str:
+            held = keep(inside(events, scope), lambda e: f"{e}.kind = 'open' AND {attr(e, 'itemprop')} <=> {quote(name)}")
 
-            def read(node: Column) -> Column:
-                names = ("content", "src", "href") if url_valued else ("content",)
-                written = [_blank_to_null(attr(node, n)) for n in names]
-                return F.coalesce(*written, F.nullif(text_of(events, node, ""), F.lit("")))
+            def read(node: str) -> str:
+                written = [blank_to_null(strip_space(attr(node, a))) for a in attributes]
+                return f"coalesce({', '.join(written)}, {blank_to_null(text_of(events, node, ''))})"
 
-            return F.get(F.transform(F.slice(held, 1, 1), read), F.lit(0))
+            return first(each(f"slice({held}, 1, 1)", read))
 
         record = _record(
             name=prop("name"),
@@ -200,43 +208,38 @@ def _microdata_record(events: Column) -> Column:
             availability=_without_schema(prop("availability")),
             brand=prop("brand"),
             sku=prop("sku"),
-            image=prop("image", url_valued=True),
+            image=prop("image", ("content", "src", "href")),
             description=prop("description"),
-            source=F.lit("microdata"),
+            source="'microdata'",
         )
-        return F.when(scope.isNotNull(), record)
+        return f"CASE WHEN {scope} IS NOT NULL THEN {record} END"
 
-    return let(F.get(F.filter(events, is_scope), F.lit(0)), build)
+    return let(first(keep(events, is_scope)), build)
 
 
-def clean_image(value: Column, url: Column) -> Column:
+def clean_image(value: str, url: str) -> str:
     """Absolute image URL, if the value looks like a URL or an image path at all."""
-    link_like = value.rlike(r"^(?:https?://|/)") | value.rlike(_IMAGE_SUFFIX)
-    return F.when(~value.contains(" ") & link_like, resolve(url, value))
+    return f"CASE WHEN NOT contains({value}, ' ') AND regexp_like({value}, {_IMAGE}) THEN {resolve(url, value)} END"
 
 
-def extract_products(pages: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def extract_products(pages: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(product records, errors).
 
     The first source that yields a record wins. Only pages that name a schema.org
     Product and have neither JSON-LD nor OpenGraph data are parsed for microdata.
     """
-    html, keys = F.col("html"), ["url", *keep]
-    has_script = F.lower(html).contains("ld+json")
-    has_meta = html.rlike(r"(?i)<meta\s")
-    read = pages.select(
-        *keys,
-        "html",
-        F.when(has_script, F.get(_json_ld_products(html), F.lit(0))).alias("__node"),
-        F.when(has_meta, _opengraph_record(html)).alias("__og"),
-    )
-    read = read.withColumn("__linked", F.coalesce(_json_ld_record(F.col("__node")), F.col("__og"))).drop("__node", "__og")
-    needs_scope = F.col("__linked").isNull() & html.rlike(r"(?i)schema\.org/product")
-    read = read.withColumn("__events", page_events(F.when(needs_scope, html))).drop("html")
-    record = F.coalesce(F.col("__linked"), F.when(F.size("__events") > 0, _microdata_record(F.col("__events"))))
-    read = read.select(*keys, record.alias("__p"))
-    image = clean_image(F.nullif(strip_space(F.col("__p.image")), F.lit("")), F.col("url"))
-    columns = [image.alias(n) if n == "image" else F.col(f"__p.{n}").alias(n) for n in FIELDS]
-    found = read.filter(F.col("__p").isNotNull()).select(*keys, *columns)
-    missed = read.filter(F.col("__p").isNull()).select(*keys, F.lit(NO_PRODUCT).alias("error"))
+    keys = ["url", *carry]
+    json_ld = f"CASE WHEN contains(lower(html), 'ld+json') THEN {let(_json_ld_product('html'), _json_ld_record)} END"
+    opengraph = f"CASE WHEN regexp_like(html, {quote(r'(?i)<meta\s')}) THEN {_opengraph_record('html')} END"
+    read = pages.select(*keys, "html", F.expr(f"coalesce({json_ld}, {opengraph})").alias("__linked"))
+    needs_scope = F.col("__linked").isNull() & F.col("html").rlike("(?i)schema[.]org/product")
+    read = read.withColumn("__events", page_events(F.when(needs_scope, F.col("html")))).drop("html")
+    record = f"coalesce(__linked, CASE WHEN size(__events) > 0 THEN {_microdata_record('__events')} END)"
+    missed = read.filter(F.expr(record).isNull()).select(*keys, F.lit(NO_PRODUCT).alias("error"))
+    image = let(blank_to_null(strip_space("__p.image")), lambda v: clean_image(v, "url"))
+    columns = [F.expr(image).alias(n) if n == "image" else F.col(f"__p.{n}").alias(n) for n in FIELDS]
+    # Exploding an array of at most one record keeps it computed once; a filter on the
+    # record would be pushed below its projection and compute it again.
+    present = keep(f"array({record})", lambda r: f"{r} IS NOT NULL")
+    found = read.select(*keys, F.explode(F.expr(present)).alias("__p")).select(*keys, *columns)
     return found, missed

@@ -2,45 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.markup import attr, inside, page_events, text_of
 from leafmill.functions.selectors import BadSelector, matches
+from leafmill.functions.sqltext import any_of, each, first, keep, unnest
 from leafmill.functions.urls import resolve
 
 NO_MATCH = "no elements matched those selectors"
 
 
-def _field(selector: str, events: Column, scope: Column | None, url: Column) -> Column:
+def _field(selector: str, events: str, scope: str | None, url: str) -> str:
     """One field's value; a selector that cannot be read gives an empty string."""
-    expression, _, attribute = selector.partition("@")
-    expression, attribute = expression.strip(), attribute.strip()
+    expression, _, attribute = (part.strip() for part in selector.partition("@"))
     within = events if scope is None else inside(events, scope)
     if expression:
         try:
-            nodes = F.filter(within, lambda e: matches(expression, events, e))
+            nodes = keep(within, lambda e: matches(expression, events, e))
         except BadSelector:
-            return F.lit("")
-    elif scope is not None:
-        nodes = F.array(scope)
+            return "''"
     else:
-        nodes = F.filter(within, lambda e: (e["kind"] == "open") & (e["parent"] < 0))
+        nodes = f"array({scope})" if scope else keep(within, lambda e: f"{e}.kind = 'open' AND {e}.parent < 0")
 
-    def read(node: Column) -> Column:
+    def read(node: str) -> str:
         if not attribute:
             return text_of(events, node)
         value = attr(node, attribute.lower())
         if attribute in ("href", "src"):
-            value = F.when(value.isNotNull(), resolve(url, value))
-        return F.regexp_replace(value, r"\s+", " ") if attribute == "class" else value
+            return f"CASE WHEN {value} IS NOT NULL THEN {resolve(url, value)} END"
+        return f"regexp_replace({value}, '\\\\s+', ' ')" if attribute == "class" else value
 
-    first = F.get(F.transform(F.slice(nodes, 1, 1), read), F.lit(0))
-    return F.coalesce(first, F.lit(""))
+    return f"coalesce({first(each(f'slice({nodes}, 1, 1)', read))}, '')"
 
 
 def extract_by_selector(
-    pages: DataFrame, fields: dict[str, str], row_selector: str = "", keep: tuple[str, ...] = ()
+    pages: DataFrame, fields: dict[str, str], row_selector: str = "", carry: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, errors): one row per page, or per ``row_selector`` match within it.
 
@@ -49,27 +46,19 @@ def extract_by_selector(
     """
     if not fields:
         raise ValueError("provide at least one field, e.g. {'title': 'h1'}")
-    keys = ["url", *keep]
-    events, url = F.col("__events"), F.col("url")
+    keys = ["url", *carry]
 
-    def row(scope: Column | None) -> Column:
-        return F.struct(*[_field(s, events, scope, url).alias(name) for name, s in fields.items()])
+    def row(scope: str | None) -> str:
+        cells = [f"{_field(s, '__events', scope, 'url')} AS `{name}`" for name, s in fields.items()]
+        return f"struct({', '.join(cells)})"
 
     if row_selector:
-        scopes = F.filter(events, lambda e: matches(row_selector, events, e))
-        rows = F.transform(scopes, row)
+        scopes = keep("__events", lambda e: matches(row_selector, "__events", e))
+        rows = each(scopes, row)
     else:
-        rows = F.array(row(None))
-
-    def filled(r: Column) -> Column:
-        test = F.lit(False)
-        for name in fields:
-            test = test | (r[name] != "")
-        return test
-
-    read = pages.select(*keys, page_events(F.col("html")).alias("__events")).select(
-        *keys, F.filter(rows, filled).alias("__rows")
-    )
-    found = read.select(*keys, F.posexplode("__rows").alias("pos", "row")).select(*keys, "pos", "row.*")
+        rows = f"array({row(None)})"
+    filled = keep(rows, lambda r: any_of([f"{r}.`{name}` <> ''" for name in fields]))
+    read = pages.select(*keys, page_events(F.col("html")).alias("__events")).select(*keys, F.expr(filled).alias("__rows"))
+    found = read.select(*keys, F.posexplode(F.expr(unnest("__rows"))).alias("pos", "row")).select(*keys, "pos", "row.*")
     missed = read.filter(F.size("__rows") == 0).select(*keys, F.lit(NO_MATCH).alias("error"))
     return found, missed

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.sqltext import each, keep, quote
 from leafmill.functions.text import decode_entities, strip_space
 from leafmill.functions.urls import authority_of, is_web_url, origin_of, resolve
 from leafmill.operators.signals import block_reason, platform, requires_js
@@ -15,6 +16,7 @@ from leafmill.session import durable, scratch_path
 # Sitemap namespace and how deep indexes are followed.
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 MAX_SITEMAP_DEPTH = 3
+_HREF = r"""href=["']([^"']+)["']"""
 
 
 def sitemap_documents(documents: DataFrame) -> DataFrame:
@@ -34,26 +36,25 @@ def sitemap_documents(documents: DataFrame) -> DataFrame:
     read = documents.select("url", name.alias("root"), F.when(closed, mark).alias("mark"), body.alias("body"))
     plain = F.regexp_extract_all("body", F.lit(r"(?s)<loc(?:\s[^>]*)?>(.*?)</loc\s*>"), F.lit(1))
     prefixed = F.regexp_extract_all("body", F.lit(r"(?s)<([\w.-]+:)loc(?:\s[^>]*)?>.*?</\1loc\s*>"), F.lit(0))
-    own = F.filter(prefixed, lambda e: e.startswith(F.concat(F.lit("<"), F.col("mark"))))
-    inner = F.transform(own, lambda e: F.regexp_extract(e, r"(?s)^<[^>]*>(.*)</[^>]*>$", 1))
-    raw = F.when(F.col("mark") == "", plain).otherwise(inner)
-    locs = F.transform(
-        F.filter(raw, lambda t: t != ""),
-        lambda t: strip_space(decode_entities(F.regexp_replace(t, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))),
-    )
+    read = read.withColumns({"plain": plain, "prefixed": prefixed}).filter(F.col("mark").isNotNull())
+    own = keep("prefixed", lambda e: f"startswith({e}, concat('<', mark))")
+    inner = each(own, lambda e: f"regexp_extract({e}, '(?s)^<[^>]*>(.*)</[^>]*>$', 1)")
+    raw = keep(f"CASE WHEN mark = '' THEN plain ELSE {inner} END", lambda t: f"{t} <> ''")
+    cdata = quote(r"(?s)<!\[CDATA\[(.*?)\]\]>")
+    locs = each(raw, lambda t: strip_space(decode_entities(f"regexp_replace({t}, {cdata}, '$1')")))
     is_index = F.col("root") == F.concat(F.col("mark"), F.lit("sitemapindex"))
-    return read.filter(F.col("mark").isNotNull()).select("url", is_index.alias("is_index"), locs.alias("locs"))
+    return read.select("url", is_index.alias("is_index"), F.expr(locs).alias("locs"))
 
 
 def robots_sitemaps(documents: DataFrame) -> DataFrame:
     """(origin, url, pos) of every ``Sitemap:`` line in captured robots files."""
     lines = F.split("body", r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
     rows = documents.filter(F.col("url").endswith("/robots.txt")).select(
-        origin_of(F.col("url")).alias("origin"), F.col("url").alias("robots"), F.posexplode(lines).alias("pos", "line")
+        F.expr(origin_of("url")).alias("origin"), F.col("url").alias("robots"), F.posexplode(lines).alias("pos", "line")
     )
     rows = rows.filter(F.col("robots") == F.concat("origin", F.lit("robots.txt")))
     return rows.filter(F.lower("line").startswith("sitemap:")).select(
-        "origin", strip_space(F.regexp_extract("line", r"(?s)^[^:]*:(.*)$", 1)).alias("url"), "pos"
+        "origin", F.expr(strip_space("regexp_extract(line, '(?s)^[^:]*:(.*)$', 1)")).alias("url"), "pos"
     )
 
 
@@ -83,7 +84,7 @@ def sitemap_pages(sites: DataFrame, documents: DataFrame) -> DataFrame:
     """Page URLs of each site from /sitemap.xml, or else from its robots file."""
     usable = documents if "status_code" not in documents.columns else documents.filter("status_code = 200")
     sitemaps = durable(sitemap_documents(usable))
-    roots = sites.select("site", origin_of(F.col("site")).alias("origin")).distinct()
+    roots = sites.select("site", F.expr(origin_of("site")).alias("origin")).distinct()
     none = F.array().cast("array<int>")
     direct = expand_sitemaps(
         roots.select("site", F.concat("origin", F.lit("sitemap.xml")).alias("url"), none.alias("path")), sitemaps
@@ -99,17 +100,16 @@ def page_links(captures: DataFrame) -> DataFrame:
     Any ``href`` in the markup counts, not only anchors. Blocked pages keep their row
     with no links: they can be visited but lead nowhere.
     """
-    hrefs = F.regexp_extract_all("html", F.lit(r"""href=["']([^"']+)["']"""), F.lit(1))
-    absolute = F.transform(hrefs, lambda h: F.substring_index(resolve(F.col("url"), h), "#", 1))
-    here = authority_of(F.col("url"))
-    local = F.filter(absolute, lambda u: is_web_url(u) & (authority_of(u) == here))
+    hrefs = f"regexp_extract_all(html, {quote(_HREF)}, 1)"
+    absolute = each(hrefs, lambda h: f"substring_index({resolve('url', h)}, '#', 1)")
+    local = keep(absolute, lambda u: f"{is_web_url(u)} AND {authority_of(u)} = {authority_of('url')}")
     blocked = F.lit(False)
     if "blocked" in captures.columns:
         blocked = F.col("blocked")
     elif "status_code" in captures.columns:
-        blocked = block_reason(F.col("status_code"), F.col("html")).isNotNull()
-    empty = F.array().cast("array<string>")
-    return captures.select("url", F.when(blocked, empty).otherwise(F.array_distinct(local)).alias("links"))
+        blocked = block_reason().isNotNull()
+    links = F.array_distinct(F.expr(local))
+    return captures.select("url", F.when(blocked, F.array().cast("array<string>")).otherwise(links).alias("links"))
 
 
 def crawl_by_links(sites: DataFrame, captures: DataFrame, limit: int = 500) -> DataFrame:
@@ -183,19 +183,18 @@ def site_pages(sites: DataFrame, documents: DataFrame, captures: DataFrame, limi
 def site_profiles(sites: DataFrame, documents: DataFrame, captures: DataFrame) -> DataFrame:
     """Status, block state, platform, sitemap and rendering need of each site."""
     mapped = sitemap_pages(sites, documents).groupBy("site").agg(F.count("*").alias("n"))
-    html = F.col("html")
-    headers = F.col("headers") if "headers" in captures.columns else None
+    headers = "headers" if "headers" in captures.columns else None
     home = captures.join(sites.select(F.col("site").alias("url")).distinct(), "url", "left_semi").select(
         F.col("url").alias("site"),
         "status_code",
-        block_reason(F.col("status_code"), html).isNotNull().alias("blocked"),
+        block_reason().isNotNull().alias("blocked"),
         *([F.col("via")] if "via" in captures.columns else []),
-        platform(html, headers).alias("platform"),
-        requires_js(html).alias("requires_js"),
+        platform("html", headers).alias("platform"),
+        requires_js().alias("requires_js"),
     )
     pages = F.coalesce("n", F.lit(0))
     return home.join(mapped, "site", "left").select(
         *home.columns,
-        F.when(pages > 0, F.concat(origin_of(F.col("site")), F.lit("sitemap.xml"))).alias("sitemap_url"),
+        F.when(pages > 0, F.concat(F.expr(origin_of("site")), F.lit("sitemap.xml"))).alias("sitemap_url"),
         pages.alias("page_count_estimate"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as text_functions
 from leafmill.functions.markdown import article_markdown
 from leafmill.functions.markup import page_events
-from leafmill.functions.urls import authority_of, is_web_url, origin_of, resolve, scheme_of
+from leafmill.functions.urls import authority_of, resolve, scheme_of
 from leafmill.operators import documents, extract, products, selectors, signals
 from leafmill.plans import workflows
 from leafmill.plans.registry import query
@@ -69,11 +69,11 @@ def captures(spark, sf):
 def page_overview(spark, sf):
     """Pages, articles, links and text per host: the flagship query."""
     pages = table(spark, sf, "pages").select(
-        authority_of(F.col("url")).alias("host"),
-        signals.looks_like_an_article(F.col("html")).alias("article"),
-        signals.link_count(F.col("html")).alias("links"),
-        F.length(text_functions.visible_text(F.col("html"))).alias("chars"),
-        (F.length(text_functions.page_title(F.col("html"))) > 0).alias("titled"),
+        F.expr(authority_of("url")).alias("host"),
+        signals.looks_like_an_article().alias("article"),
+        signals.link_count().alias("links"),
+        F.length(F.expr(text_functions.visible_text("html"))).alias("chars"),
+        (F.length(signals.title()) > 0).alias("titled"),
     )
     return (
         pages.groupBy("host")
@@ -99,18 +99,18 @@ query(
 
 @query("page_titles", f"SELECT page_id, {_TITLE} AS title FROM pages")
 def page_titles(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text_functions.page_title(F.col("html")).alias("title"))
+    return table(spark, sf, "pages").select("page_id", signals.title().alias("title"))
 
 
 @query("visible_text", f"SELECT page_id, {_visible('html')} AS text FROM pages")
 def visible_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text_functions.visible_text(F.col("html")).alias("text"))
+    return table(spark, sf, "pages").select("page_id", F.expr(text_functions.visible_text("html")).alias("text"))
 
 
 @query("link_counts", f"SELECT page_id, CAST({_links('html')} AS BIGINT) AS links FROM ({portable('captures')}) c")
 def link_counts(spark, sf):
     df = view(spark, sf, "captures")
-    return df.select("page_id", signals.link_count(F.col("html")).cast("bigint").alias("links"))
+    return df.select("page_id", signals.link_count().cast("bigint").alias("links"))
 
 
 @query(
@@ -119,7 +119,7 @@ def link_counts(spark, sf):
 )
 def article_flags(spark, sf):
     return view(spark, sf, "captures").select(
-        "page_id", signals.looks_like_an_article(F.col("html")).alias("article")
+        "page_id", signals.looks_like_an_article().alias("article")
     )
 
 
@@ -129,12 +129,8 @@ def article_flags(spark, sf):
  regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || '/' AS origin FROM pages""",
 )
 def url_pieces(spark, sf):
-    url = F.col("url")
-    return (
-        table(spark, sf, "pages")
-        .filter(is_web_url(url))
-        .select("page_id", scheme_of(url).alias("scheme"), authority_of(url).alias("domain"), origin_of(url).alias("origin"))
-    )
+    web, _ = signals.split_by_scheme(table(spark, sf, "pages"))
+    return signals.with_url_parts(web).select("page_id", F.expr(scheme_of("url")).alias("scheme"), "domain", "origin")
 
 
 @query(
@@ -144,13 +140,13 @@ def url_pieces(spark, sf):
 )
 def content_routes(spark, sf):
     return view(spark, sf, "captures").select(
-        "page_id", signals.content_route(F.col("content_type"), F.col("html")).alias("route")
+        "page_id", signals.content_route().alias("route")
     )
 
 
 @query("real_content", f"SELECT page_id, {_CONTENT} AS real_content FROM ({portable('captures')}) c")
 def real_content(spark, sf):
-    return view(spark, sf, "captures").select("page_id", signals.looks_like_content(F.col("html")).alias("real_content"))
+    return view(spark, sf, "captures").select("page_id", signals.looks_like_content().alias("real_content"))
 
 
 @query(
@@ -174,7 +170,7 @@ _HAY = "lower(html || ' ' || header_name || ' ' || header_value)"
     + f" ELSE 'unknown' END AS platform FROM ({portable('captures')}) c",
 )
 def platform_detection(spark, sf):
-    return captures(spark, sf).select("page_id", signals.platform(F.col("html"), F.col("headers")).alias("platform"))
+    return captures(spark, sf).select("page_id", signals.platform("html", "headers").alias("platform"))
 
 
 @query(
@@ -183,7 +179,7 @@ def platform_detection(spark, sf):
  AND {_links('html')} < 3) AS requires_js FROM ({portable('captures')}) c""",
 )
 def rendering_need(spark, sf):
-    return view(spark, sf, "captures").select("page_id", signals.requires_js(F.col("html")).alias("requires_js"))
+    return view(spark, sf, "captures").select("page_id", signals.requires_js().alias("requires_js"))
 
 
 @query(
@@ -231,7 +227,7 @@ _ARTICLE = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
 def main_content(spark, sf):
     """Letters of the isolated article; short articles count as a miss."""
     read = table(spark, sf, "pages").select("page_id", page_events(F.col("html")).alias("events"))
-    found = read.select("page_id", article_markdown(F.col("events")).alias("markdown"))
+    found = read.select("page_id", F.expr(article_markdown("events")).alias("markdown"))
     letters = F.regexp_replace("markdown", "[^A-Za-z0-9]", "")
     return found.filter(F.length("markdown") >= 220).select("page_id", F.md5(letters).alias("letters"))
 
@@ -257,7 +253,8 @@ def resolved_references(spark, sf):
     host = F.concat(F.lit("https://s"), (F.col("p_partkey") % 5).cast("string"), F.lit(".example/a/b?z=2#f"))
     kind = F.col("p_partkey") % 4
     reference = F.when(kind == 0, "x").when(kind == 1, "../x").when(kind == 2, "?q=1").otherwise("./c/..")
-    return table(spark, sf, "part").select("p_partkey", resolve(host, reference).alias("target"))
+    cases = table(spark, sf, "part").select("p_partkey", host.alias("host"), reference.alias("ref"))
+    return cases.select("p_partkey", F.expr(resolve("host", "ref")).alias("target"))
 
 
 # ------------------------------------------------------------------------ extraction
@@ -287,7 +284,7 @@ def emails(spark, sf):
 )
 def document_emails(spark, sf):
     df = table(spark, sf, "documents").select(F.col("source").alias("url"), "doc_id", "text")
-    return extract.extract_emails(df, keep=("doc_id",), text="text").select("doc_id", "value")
+    return extract.extract_emails(df, carry=("doc_id",), text="text").select("doc_id", "value")
 
 
 @query("phones", f"SELECT {_CONTACT_URL} AS url, {_PHONE} AS value, {_context(_PHONE)} AS context FROM documents")
@@ -337,7 +334,7 @@ def selector_rows(spark, sf):
 )
 def selector_pages(spark, sf):
     fields = {"heading": "article > h1", "first_link": "nav li:bad, x", "link": "nav ul li a[href]@href"}
-    rows, _ = selectors.extract_by_selector(table(spark, sf, "pages"), fields, keep=("page_id",))
+    rows, _ = selectors.extract_by_selector(table(spark, sf, "pages"), fields, carry=("page_id",))
     return rows.select("page_id", (F.col("heading") != "").alias("headed"), F.col("link").alias("first_link"))
 
 
@@ -395,10 +392,10 @@ def price_comparison(spark, sf):
     "search_hits",
     """WITH h AS (SELECT p_brand || ' ' || CAST(p_partkey // 1000 AS VARCHAR) AS query, p_partkey, p_name, p_type,
  CASE p_partkey % 2 WHEN 0 THEN 'https://r.example/' ELSE 'https://d.example/' END || CAST(p_size AS VARCHAR) AS url FROM part),
- f AS (SELECT query, url, min(p_partkey) AS at, arg_min(p_name, p_partkey) AS title, arg_min(p_type, p_partkey) AS kind
+ f AS (SELECT query, url, min(p_partkey) AS first_at, arg_min(p_name, p_partkey) AS title, arg_min(p_type, p_partkey) AS kind
  FROM h GROUP BY query, url),
- r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY at) AS rank FROM f)
- SELECT query, CAST(rank AS BIGINT) AS rank, title, url, 'about ' || kind AS snippet FROM r WHERE rank <= 10""",
+ r AS (SELECT *, row_number() OVER (PARTITION BY f.query ORDER BY f.first_at) AS n FROM f)
+ SELECT query, CAST(n AS BIGINT) AS rank, title, url, 'about ' || kind AS snippet FROM r WHERE n <= 10""",
 )
 def search_hits(spark, sf):
     return extract.search_results(view(spark, sf, "search_pages")).withColumn("rank", F.col("rank").cast("bigint"))

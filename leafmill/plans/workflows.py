@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.urls import authority_of
 from leafmill.operators import catalog, extract, products, signals, site
 
 # What a contact page is called and which mailboxes are shared ones.
@@ -68,13 +69,13 @@ def find_contacts(captures: DataFrame, per_site: int = 50) -> DataFrame:
     Pages are chosen on their URLs alone; html is read for the chosen ones only, which
     are few enough a site that no site can dominate what follows.
     """
-    urls = captures.select(signals.authority_of(F.col("url")).alias("site"), "url").distinct()
+    urls = captures.select(F.expr(authority_of("url")).alias("site"), "url").distinct()
     chosen = contact_pages(urls, per_site).select("site", "url")
     pages = captures.select("url", "html").join(chosen, "url")
     found = (
-        extract.extract_emails(pages, keep=("site",)).select("site", "url", F.lit("email").alias("type"), "value")
-        .unionByName(extract.extract_phones(pages, keep=("site",)).select("site", "url", F.lit("phone").alias("type"), "value"))
-        .unionByName(extract.extract_social_links(pages, keep=("site",)).select("site", "url", F.col("platform").alias("type"), "value"))
+        extract.extract_emails(pages, carry=("site",)).select("site", "url", F.lit("email").alias("type"), "value")
+        .unionByName(extract.extract_phones(pages, carry=("site",)).select("site", "url", F.lit("phone").alias("type"), "value"))
+        .unionByName(extract.extract_social_links(pages, carry=("site",)).select("site", "url", F.col("platform").alias("type"), "value"))
     )
     mailbox = F.lower(F.substring_index("value", "@", 1))
     return found.groupBy("site", "type", "value").agg(F.countDistinct("url").alias("pages")).withColumn(
