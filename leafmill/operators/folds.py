@@ -244,6 +244,13 @@ def _entering_captures(runs: DataFrame, ttl: int) -> DataFrame:
     return chained.select("url", "js_render", F.inline(F.aggregate("runs", start, step)["out"]))
 
 
+def _micros(log: DataFrame, column: str) -> Column:
+    """Microseconds since 1970, also of a timestamp without a time zone."""
+    if log.schema[column].dataType.simpleString() == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', `{column}`)")
+    return F.unix_micros(column)
+
+
 def reuse_log(requests: DataFrame, ttl_s: int = 300, order: str = "ts", key: str = "event_id") -> DataFrame:
     """For each request, whether a stored capture served it and when that was stored.
 
@@ -251,7 +258,7 @@ def reuse_log(requests: DataFrame, ttl_s: int = 300, order: str = "ts", key: str
     ``key``. A stored capture serves requests up to ``ttl_s`` after it was stored; a later
     one is stored in its place. Requests that bypass the store neither read nor write it.
     """
-    base = requests.select(key, "url", "js_render", "bypass", F.unix_micros(order).alias("t"))
+    base = requests.select(key, "url", "js_render", "bypass", _micros(requests, order).alias("t"))
     if ttl_s <= 0:
         return base.select(key, "url", "js_render", F.lit(False).alias("from_cache"), F.col("t").alias("stored_us"))
     ttl = int(ttl_s * 1_000_000)

@@ -1 +1,195 @@
-"""Pending."""
+"""Queries over saved tables: the SQL surface and the table operations."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.plans.registry import query
+from leafmill.plans.views import run, table, view
+from leafmill.session import scratch_path
+from leafmill.sources.captures import as_captures, read_captures
+from leafmill.sources.tables import ResultTables, json_rows, shrink
+
+# --------------------------------------------------- statements in both dialects alike
+
+_STATEMENTS = {
+    "sql_projection": "SELECT p_partkey AS id, p_name AS title, p_retailprice AS price FROM @part",
+    "sql_filter": """SELECT o_orderkey, o_orderstatus, o_totalprice FROM @orders WHERE o_totalprice > 100000
+ AND o_orderstatus IN ('O', 'F') AND o_orderpriority LIKE '1%' AND o_custkey IS NOT NULL""",
+    "sql_sort_limit": """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM @lineitem
+ ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 25""",
+    "sql_sort": """SELECT r, c_custkey FROM (SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC,
+ c_custkey) AS BIGINT) AS r FROM @customer) t ORDER BY r, c_custkey DESC""",
+    "sql_global_aggregates": """SELECT count(*) AS n, min(l_shipdate) AS first_ship, max(l_extendedprice) AS top,
+ CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, round(avg(l_discount), 6) AS discount FROM @lineitem""",
+    "sql_group_by": """SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity,
+ round(avg(l_extendedprice), 2) AS price FROM @lineitem GROUP BY l_returnflag, l_linestatus""",
+    "sql_distinct": "SELECT DISTINCT p_brand, p_type FROM @part",
+    "sql_concat": """SELECT c_custkey, c_name || ', ' || c_mktsegment AS label, c_name || CAST(NULL AS STRING) AS nothing FROM @customer""",
+    "sql_scalars": """SELECT o_orderkey, round(o_totalprice, 0) AS total, replace(o_orderpriority, '-', ' ') AS priority,
+ CAST(length(o_orderpriority) AS BIGINT) AS width FROM @orders""",
+    "sql_cte": """WITH spend AS (SELECT o_custkey, count(*) AS n FROM @orders GROUP BY o_custkey),
+ busy AS (SELECT o_custkey, n FROM spend WHERE n > 12) SELECT c_name, n FROM busy JOIN @customer ON c_custkey = o_custkey""",
+    "sql_inner_join": """SELECT n_name, count(*) AS orders FROM @orders JOIN @customer ON o_custkey = c_custkey
+ JOIN @nation ON c_nationkey = n_nationkey GROUP BY n_name""",
+    "sql_left_join": """SELECT c_custkey, count(o_orderkey) AS orders FROM @customer LEFT JOIN @orders ON o_custkey = c_custkey
+ GROUP BY c_custkey""",
+    "sql_cross_join": "SELECT r_name, n_name FROM @region CROSS JOIN @nation",
+    "sql_subqueries": """SELECT s_suppkey, s_name FROM @supplier WHERE s_suppkey IN (SELECT l_suppkey FROM @lineitem
+ WHERE l_quantity > 49) AND s_acctbal > (SELECT avg(s_acctbal) FROM @supplier)
+ AND NOT EXISTS (SELECT 1 FROM @nation WHERE n_nationkey = s_nationkey AND n_regionkey = 0)""",
+    "sql_union": """SELECT c_nationkey AS nation, 'customer' AS kind FROM @customer UNION SELECT s_nationkey, 'supplier' FROM @supplier""",
+    "sql_intersect": "SELECT c_nationkey AS nation FROM @customer INTERSECT SELECT s_nationkey FROM @supplier",
+    "sql_except": "SELECT p_partkey FROM @part EXCEPT SELECT l_partkey FROM @lineitem WHERE l_quantity > 49",
+    "sql_windows": """SELECT event_id, user_id, CAST(row_number() OVER w AS BIGINT) AS n, lag(event_type) OVER w AS previous,
+ round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 2) AS recent
+ FROM @events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+}
+
+
+def _statement(spark: SparkSession, sf: str, sql: str) -> DataFrame:
+    return run(spark, sf, sql)
+
+
+for _name, _sql in _STATEMENTS.items():
+    query(_name, _sql.replace("@", "").replace("AS STRING", "AS VARCHAR"))(partial(_statement, sql=_sql))
+
+
+@query(
+    "sql_json",
+    """SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total
+ FROM events GROUP BY event_type""",
+)
+def sql_json(spark, sf):
+    return run(
+        spark,
+        sf,
+        "SELECT event_type, count(*) AS n, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS total FROM @events GROUP BY event_type",
+    )
+
+
+# -------------------------------------------------------------------- table operations
+
+
+def _tables(spark: SparkSession) -> ResultTables:
+    return ResultTables(spark, "leafmill")
+
+
+@query(
+    "read_captures",
+    "SELECT page_id, url, 200 AS status_code, 'text/html' AS content_type, 'plain' AS via, false AS js_render FROM pages",
+)
+def captured_pages(spark, sf):
+    return read_captures(spark, f"{sf}/pages.parquet").drop("html", "headers", "seen_at")
+
+
+@query("save_table", "SELECT p_brand, count(*) AS parts, min(p_retailprice) AS cheapest FROM part GROUP BY p_brand")
+def save_table(spark, sf):
+    tables = _tables(spark)
+    rows = table(spark, sf, "part").groupBy("p_brand").agg(
+        F.count("*").alias("parts"), F.min("p_retailprice").alias("cheapest")
+    )
+    tables.save("brand_prices", rows)
+    return tables.read("brand_prices")
+
+
+@query(
+    "append_table",
+    """SELECT c_custkey AS id, c_name AS name, CAST(NULL AS VARCHAR) AS balance FROM customer
+ UNION ALL SELECT s_suppkey, s_name, CAST(CAST(round(s_acctbal) AS BIGINT) AS VARCHAR) FROM supplier""",
+)
+def append_table(spark, sf):
+    tables = _tables(spark)
+    tables.save("parties", table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    supplier = table(spark, sf, "supplier").select(
+        F.round("s_acctbal").cast("bigint").alias("balance"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")
+    )
+    tables.append("parties", supplier)
+    return tables.read("parties")
+
+
+@query(
+    "ragged_rows",
+    """SELECT CASE WHEN p_partkey % 3 < 2 THEN p_partkey END AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS name,
+ CASE WHEN p_partkey % 3 = 1 THEN 1 END::BIGINT AS flag, CASE WHEN p_partkey % 3 = 1 THEN '["a","' || p_brand || '"]' END AS tags,
+ CASE WHEN p_partkey % 3 = 2 THEN p_size END::BIGINT AS size, CASE WHEN p_partkey % 3 = 2 THEN 0.5 END::DOUBLE AS ratio FROM part""",
+)
+def ragged_rows(spark, sf):
+    return json_rows(view(spark, sf, "ragged"))
+
+
+@query(
+    "list_tables",
+    """SELECT 'nations' AS name, count(*) AS row_count, 'n_nationkey,n_name,n_regionkey' AS columns FROM nation
+ UNION ALL SELECT 'suppliers', count(*), 's_suppkey,s_name' FROM supplier""",
+)
+def list_tables(spark, sf):
+    tables = _tables(spark)
+    tables.save("nations", table(spark, sf, "nation"))
+    tables.save("suppliers", table(spark, sf, "supplier").select("s_suppkey", "s_name"))
+    listed = tables.list_tables().filter(F.col("name").isin("nations", "suppliers"))
+    return listed.withColumn("columns", F.array_join("columns", ","))
+
+
+@query(
+    "table_preview",
+    """SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '… (+' || CAST(length(text) - 200 AS VARCHAR) || ' chars)'
+ ELSE text END AS text FROM documents""",
+)
+def table_preview(spark, sf):
+    return shrink(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("query_saved", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'drop' GROUP BY o_orderstatus")
+def query_saved(spark, sf):
+    tables = _tables(spark)
+    tables.save("saved_orders", table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"))
+    return tables.select("SELECT o_orderstatus, count(*) AS n FROM saved_orders WHERE o_orderstatus <> 'drop' GROUP BY o_orderstatus")
+
+
+@query("query_to_table", "SELECT DISTINCT p_brand || ' / ' || p_type AS label FROM part WHERE p_size > 10")
+def query_to_table(spark, sf):
+    """A query may be saved over the very table it reads."""
+    tables = _tables(spark)
+    tables.save("labels_of_parts", table(spark, sf, "part"))
+    tables.query_to_table("SELECT DISTINCT p_brand || ' / ' || p_type AS label FROM labels_of_parts WHERE p_size > 10", "labels_of_parts")
+    return tables.read("labels_of_parts")
+
+
+def _exported(spark: SparkSession, sf: str, fmt: str, schema: str) -> DataFrame:
+    tables = _tables(spark)
+    tables.save(f"exported_{fmt}", table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"))
+    path = tables.export(f"exported_{fmt}", fmt, scratch_path(spark, "export"))
+    options = {"header": "true"} if fmt == "csv" else {}
+    return spark.read.format(fmt).options(**options).schema(schema).load(path)
+
+
+for _fmt in ("csv", "json"):
+    query(f"export_{_fmt}", "SELECT c_custkey, c_name, c_acctbal FROM customer")(
+        partial(_exported, fmt=_fmt, schema="c_custkey bigint, c_name string, c_acctbal double")
+    )
+
+
+@query("drop_table", "SELECT count(*) AS rows_deleted, false AS still_there FROM region")
+def drop_table(spark, sf):
+    tables = _tables(spark)
+    tables.save("short_lived", table(spark, sf, "region"))
+    deleted = tables.drop("short_lived")
+    return table(spark, sf, "region").agg(
+        F.max(F.lit(deleted)).cast("bigint").alias("rows_deleted"), F.max(F.lit(tables.exists("short_lived"))).alias("still_there")
+    )
+
+
+@query("overflow_to_table", "SELECT p_partkey, p_name FROM part")
+def overflow_to_table(spark, sf):
+    tables = _tables(spark)
+    for name in ("auto_parts", "auto_parts_2"):
+        if tables.exists(name):
+            tables.drop(name)
+    inline, saved = tables.emit("parts", table(spark, sf, "part").select("p_partkey", "p_name"))
+    if saved is None:
+        return spark.createDataFrame(inline, "p_partkey bigint, p_name string")
+    return tables.read(saved.name)

@@ -1 +1,118 @@
-"""Pending."""
+"""Queries over histories: snapshots, request logs and their streaming forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from leafmill.operators import changes, folds
+from leafmill.plans.registry import query
+from leafmill.plans.views import portable, table, view
+
+_HISTORY = f"""h AS (SELECT url, turn, content, lag(content) OVER (PARTITION BY url ORDER BY turn) AS before,
+ lag(turn) OVER (PARTITION BY url ORDER BY turn) AS previous_seen_at FROM ({portable('snapshots')}) s)"""
+_STATUS = "CASE WHEN previous_seen_at IS NULL THEN 'new' WHEN sha256(before) = sha256(content) THEN 'same' ELSE 'changed' END"
+
+
+@query(
+    "change_history",
+    f"WITH {_HISTORY} SELECT url, turn, sha256(content) AS digest, {_STATUS} AS status, previous_seen_at FROM h",
+)
+def change_history(spark, sf):
+    return changes.change_history(view(spark, sf, "snapshots"), order="turn")
+
+
+@query("change_diffs")
+def change_diffs(spark, sf):
+    return changes.history_diffs(view(spark, sf, "snapshots"), order="turn")
+
+
+@query(
+    "snapshot_check",
+    f"""WITH s AS ({portable('snapshots')}), o AS (SELECT * FROM s WHERE turn = 0), n AS (SELECT * FROM s WHERE turn = 1)
+ SELECT n.url, CASE WHEN sha256(o.content) = sha256(n.content) THEN 'same' ELSE 'changed' END AS status,
+ CAST(o.turn AS BIGINT) AS previous_seen_at FROM n JOIN o ON n.url = o.url""",
+)
+def snapshot_check(spark, sf):
+    checks = view(spark, sf, "snapshots").withColumnRenamed("turn", "seen_at")
+    _, store = changes.compare_snapshots(None, checks.filter("seen_at = 0"))
+    found, _ = changes.compare_snapshots(store, checks.filter("seen_at = 1"))
+    return found.select("url", "status", "previous_seen_at")
+
+
+@query(
+    "tracked_pages",
+    f"""SELECT url, max(turn) AS turn, CAST(arg_max(length(content), turn) AS BIGINT) AS size FROM ({portable('snapshots')}) s GROUP BY url""",
+)
+def tracked_pages(spark, sf):
+    store = changes.latest_snapshots(view(spark, sf, "snapshots"), order="turn")
+    return changes.tracked(store, order="turn").withColumn("size", F.col("size").cast("bigint"))
+
+
+@query(
+    "forgotten_pages",
+    """SELECT 'https://t.example/' || CAST(p_partkey * 2 AS VARCHAR) AS url, p_partkey * 2 IN (SELECT conv_id FROM conversations)
+ AS forgotten FROM part""",
+)
+def forgotten_pages(spark, sf):
+    store = changes.latest_snapshots(view(spark, sf, "snapshots"), order="turn")
+    asked = table(spark, sf, "part").select(
+        F.concat(F.lit("https://t.example/"), (F.col("p_partkey") * 2).cast("string")).alias("url")
+    )
+    return changes.forget(store, asked)[1]
+
+
+_FOLD = """list_reduce(list_prepend({start}, list(CASE event_type WHEN 'error' THEN 1.0 ELSE 0.0 END::DOUBLE ORDER BY ts, event_id)),
+ lambda d, b: CASE WHEN b = 1 THEN least(CASE WHEN d = 0 THEN 0.5 ELSE d END * 2, 60.0)
+ ELSE CASE WHEN greatest({base}, d * 0.9::DOUBLE) - {base} < 1e-6 THEN {base} ELSE greatest({base}, d * 0.9::DOUBLE) END END)"""
+
+
+@query(
+    "current_delays",
+    f"""SELECT 'd' || CAST(user_id AS VARCHAR) || '.example' AS domain,
+ round({_FOLD.format(start='1.0::DOUBLE', base='1.0::DOUBLE')}, 6) AS delay_s FROM events GROUP BY user_id""",
+)
+def current_delays(spark, sf):
+    found = folds.current_delays(view(spark, sf, "fetch_log"))
+    return found.select("domain", F.round("delay_s", 6).alias("delay_s"))
+
+
+@query(
+    "current_delays_no_base",
+    f"""SELECT 'd' || CAST(user_id AS VARCHAR) || '.example' AS domain,
+ round({_FOLD.format(start='0.0::DOUBLE', base='0.0::DOUBLE')}, 6) AS delay_s FROM events GROUP BY user_id""",
+)
+def current_delays_no_base(spark, sf):
+    found = folds.current_delays(view(spark, sf, "fetch_log"), base_s=0.0)
+    return found.select("domain", F.round("delay_s", 6).alias("delay_s"))
+
+
+@query(
+    "delay_trace",
+    f"""SELECT domain, event_id, round({{fold}}, 6) AS delay_s FROM (SELECT 'd' || CAST(user_id AS VARCHAR) || '.example' AS domain,
+ event_id, list(CASE event_type WHEN 'error' THEN 1.0 ELSE 0.0 END::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seen
+ FROM events) w""".format(
+        fold="""list_reduce(list_prepend(1.0::DOUBLE, seen), lambda d, b: CASE WHEN b = 1 THEN least(d * 2, 60.0)
+ ELSE CASE WHEN greatest(1.0, d * 0.9::DOUBLE) - 1.0 < 1e-6 THEN 1.0::DOUBLE ELSE greatest(1.0, d * 0.9::DOUBLE) END END)"""
+    ),
+)
+def delay_trace(spark, sf):
+    found = folds.delay_trace(view(spark, sf, "fetch_log"))
+    return found.select("domain", "event_id", F.round("delay_s", 6).alias("delay_s"))
+
+
+TTL_S = 86_400
+
+
+@query(
+    "ttl_reuse",
+    f"""WITH RECURSIVE r AS (SELECT event_id, 'https://u.example/' || CAST(user_id AS VARCHAR) AS url, event_type = 'view' AS js_render,
+ event_type = 'error' AS bypass, epoch_us(ts) AS t FROM events),
+ u AS (SELECT *, row_number() OVER (PARTITION BY url, js_render ORDER BY t, event_id) AS n FROM r WHERE NOT bypass),
+ f AS (SELECT event_id, url, js_render, n, t, t AS stored_us, false AS from_cache FROM u WHERE n = 1
+ UNION ALL SELECT u.event_id, u.url, u.js_render, u.n, u.t, CASE WHEN u.t - f.stored_us <= {TTL_S * 1_000_000} THEN f.stored_us ELSE u.t END,
+ u.t - f.stored_us <= {TTL_S * 1_000_000} FROM f JOIN u ON u.url = f.url AND u.js_render = f.js_render AND u.n = f.n + 1)
+ SELECT event_id, url, js_render, from_cache, stored_us FROM f
+ UNION ALL SELECT event_id, url, js_render, false, NULL FROM r WHERE bypass""",
+)
+def ttl_reuse(spark, sf):
+    return folds.reuse_log(view(spark, sf, "request_log"), ttl_s=TTL_S)
