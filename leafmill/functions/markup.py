@@ -9,7 +9,7 @@ needs no further Python and no shuffle.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,9 +19,8 @@ from leafmill.functions.sqltext import each, keep, quote
 from leafmill.functions.text import strip_space
 
 EVENTS = (
-    "array<struct<kind:string,tag:string,pos:int,end:int,parent:int,up:array<int>,"
-    "attrs:map<string,string>,text:string,hidden:boolean,aside:boolean,pre:boolean,"
-    "lists:int,item:int>>"
+    "array<struct<kind:string,tag:string,pos:int,parent:int,up:array<int>,attrs:map<string,string>,"
+    "text:string,hidden:boolean,aside:boolean,pre:boolean,lists:int,item:int,end:int>>"
 )
 
 # Element classes of HTML that decide nesting and visibility.
@@ -45,121 +44,158 @@ ENDS_ITEM = {
     "a": (("a",), ("td", "table", "li")),
 }
 ENDS_PARAGRAPH = (("p",), ("td", "th", "li", "table", "div", "section", "article", "blockquote", "body"))
+COUNTED = frozenset(("li", "tr", "td", "th"))
 DEEPEST = 256  # deeper elements become siblings, so an ancestor list stays short
 
 
-class _Walker(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
-        self.open: list[dict] = []
-
-    def _add(self, kind: str, tag: str, attrs: dict | None, text: str | None) -> int:
-        top = self.open[-1] if self.open else {"pos": -1}
-        get = top.get
-        position = len(self.rows)
-        self.rows.append([
-            kind, tag, position, position, top["pos"], [o["pos"] for o in self.open] if kind == "open" else None,
-            attrs, text, get("hidden", False), get("aside", False), get("pre", False),
-            get("lists", 0), get("item", 0),
-        ])
-        return position
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        ends = ENDS_ITEM.get(tag) or (ENDS_PARAGRAPH if tag in BLOCK else None)
-        if ends:
-            self._close(ends[0], ends[1])
-        if len(self.open) >= DEEPEST and tag not in VOID:
-            self._close((self.open[-1]["tag"],), ())
-        values: dict[str, str] = {}
-        for name, value in attrs:
-            values.setdefault(name, value or "")
-        top = self.open[-1] if self.open else {}
-        owner = next((o for o in reversed(self.open) if o["tag"] in ("ul", "ol", "tr", "table")), None)
-        item = 0
-        if owner is not None and tag in ("li", "tr", "td", "th"):
-            owner["children"] += 1
-            item = owner["children"] if tag != "li" or owner["tag"] == "ol" else 0
-        name = f"{values.get('id', '')} {values.get('class', '')}"
-        in_story = top.get("story", False)
-        aside = top.get("aside", False) or tag in ASIDE or values.get("role") in ASIDE_ROLES or (
-            not in_story and (tag == "header" or bool(ASIDE_NAMES.search(name)))
-        )
-        position = self._add("open", tag, values, None)
-        state = {
-            "tag": tag, "pos": position, "children": 0, "item": item, "href": values.get("href"),
-            "hidden": top.get("hidden", False) or tag in HIDDEN,
-            "aside": aside and tag not in ("body", "html"),
-            "pre": top.get("pre", False) or tag == "pre",
-            "story": in_story or tag in ("article", "main"),
-            "lists": top.get("lists", 0) + (tag in ("ul", "ol")),
-        }
-        self.rows[position][8:13] = [state["hidden"], state["aside"], state["pre"], state["lists"], item]
-        if tag not in VOID:
-            self.open.append(state)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        self._close((tag,), ())
-
-    def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1]["tag"] in ("script", "style", "template")):
-            self._add("text", "", None, data)
-
-    def _close(self, tags: tuple, stops: tuple) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth]["tag"] in tags:
-                while len(self.open) > depth:
-                    self._pop()
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>"""
+    r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|([^<]+|<)""",
+    re.S | re.I,
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_RAW = {tag: re.compile(rf"</{tag}\s*>|\Z", re.I) for tag in ("script", "style", "textarea", "title")}
+
+
+def _attributes(text: str) -> list[tuple[str, str]]:
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        if value[:1] in ("'", '"') and value:
+            value = value[1:-1]
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return list(found.items())
+
+
+class _Open:
+    """An element that is still open, with what its descendants inherit."""
+
+    __slots__ = ("tag", "pos", "up", "href", "hidden", "aside", "pre", "story", "lists", "item", "children")
+
+
+_ROOT = _Open()
+_ROOT.tag, _ROOT.pos, _ROOT.up, _ROOT.href = "", -1, [], None
+_ROOT.hidden = _ROOT.aside = _ROOT.pre = _ROOT.story = False
+_ROOT.lists = _ROOT.item = _ROOT.children = 0
+
+
+def walk(html: str) -> tuple[list[tuple], list[int]]:
+    """Events of one page in document order, and the position each one ends at."""
+    rows: list[tuple] = []
+    ends: list[int] = []
+    stack: list[_Open] = []
+    top = _ROOT
+    pending: list[str] = []
+    position, size = 0, len(html)
+
+    def close(depth: int) -> None:
+        nonlocal top
+        while len(stack) > depth:
+            done = stack.pop()
+            place = len(rows)
+            row = done.tag == "tr"
+            link = [("href", done.href)] if done.tag == "a" and done.href is not None else None
+            top = stack[-1] if stack else _ROOT
+            rows.append((
+                "close", done.tag, place, top.pos, None, link, None, done.hidden, done.aside, done.pre,
+                done.item if row else done.lists, done.children if row else done.item,
+            ))
+            ends.append(place)
+            ends[done.pos] = place
+
+    def close_to(tags: tuple, stops: tuple) -> None:
+        for depth in range(len(stack) - 1, -1, -1):
+            tag = stack[depth].tag
+            if tag in tags:
+                close(depth)
                 return
-            if self.open[depth]["tag"] in stops:
+            if tag in stops:
                 return
 
-    def _pop(self) -> None:
-        state = self.open[-1]
-        link = {"href": state["href"]} if state["tag"] == "a" and state["href"] is not None else None
-        position = self._add("close", state["tag"], link, None)
-        self.rows[position][12] = state["children"] if state["tag"] == "tr" else state["item"]
-        self.rows[position][11] = state["item"] if state["tag"] == "tr" else state["lists"]
-        self.open.pop()
-        self.rows[state["pos"]][3] = position
-
-
-def walk(html: str) -> list[list]:
-    """Events of one page in document order; unclosed elements close at the end."""
-    for body in (html, html.replace("<![", "&lt;![")):
-        walker = _Walker()
-        try:
-            walker.feed(body)
-            walker.close()
-        except AssertionError:  # a malformed marked section; read it as text instead
+    def text(raw: str) -> None:
+        place = len(rows)
+        value = unescape(raw) if "&" in raw else raw
+        rows.append(("text", "", place, top.pos, None, None, value, top.hidden, top.aside, top.pre, top.lists, top.item))
+        ends.append(place)
+
+    while position < size:
+        token = _TOKEN.match(html, position)
+        position = token.end()
+        if token[7] is not None:
+            pending.append(token[7])
+            continue
+        if pending:
+            text("".join(pending))
+            pending.clear()
+        tag = token[2] or token[5]
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if token[1] or token[4]:
+            close_to((tag,), ())
             continue
-        while walker.open:
-            walker._pop()
-        return walker.rows
-    return []
+        if tag in ENDS_ITEM:
+            close_to(*ENDS_ITEM[tag])
+        elif tag in BLOCK:
+            close_to(*ENDS_PARAGRAPH)
+        if len(stack) >= DEEPEST and tag not in VOID:
+            close(len(stack) - 1)
+        attrs = _attributes(token[3] or token[6] or "")
+        place, new = len(rows), _Open()
+        held = dict(attrs)
+        new.tag, new.pos, new.href, new.children, new.item = tag, place, held.get("href"), 0, 0
+        if tag in COUNTED:
+            owner = next((o for o in reversed(stack) if o.tag in ("ul", "ol", "tr", "table")), _Open)
+            if owner is not _Open:
+                owner.children += 1
+                new.item = owner.children if tag != "li" or owner.tag == "ol" else 0
+        new.up = [*top.up, top.pos] if top.pos >= 0 else []
+        new.hidden = top.hidden or tag in HIDDEN
+        new.pre = top.pre or tag == "pre"
+        new.story = top.story or tag in ("article", "main")
+        new.lists = top.lists + (tag in ("ul", "ol"))
+        new.aside = tag not in ("body", "html") and (
+            top.aside
+            or tag in ASIDE
+            or held.get("role") in ASIDE_ROLES
+            or not top.story
+            and (tag == "header" or bool(ASIDE_NAMES.search(f"{held.get('id', '')} {held.get('class', '')}")))
+        )
+        rows.append((
+            "open", tag, place, top.pos, new.up, attrs, None, new.hidden, new.aside, new.pre, new.lists, new.item,
+        ))
+        ends.append(place)
+        if tag not in VOID:
+            stack.append(new)
+            top = new
+            if tag in _RAW:
+                stop = _RAW[tag].search(html, position)
+                if tag in ("textarea", "title") and stop.start() > position:
+                    text(html[position : stop.start()])
+                position = stop.end()
+                close(len(stack) - 1)
+    if pending:
+        text("".join(pending))
+    close(0)
+    return rows, ends
 
 
 _FIELDS = [
-    ("kind", pa.string()), ("tag", pa.string()), ("pos", pa.int32()), ("end", pa.int32()),
-    ("parent", pa.int32()), ("up", pa.list_(pa.int32())), ("attrs", pa.map_(pa.string(), pa.string())),
-    ("text", pa.string()), ("hidden", pa.bool_()), ("aside", pa.bool_()), ("pre", pa.bool_()),
-    ("lists", pa.int32()), ("item", pa.int32()),
+    ("kind", pa.string()), ("tag", pa.string()), ("pos", pa.int32()), ("parent", pa.int32()),
+    ("up", pa.list_(pa.int32())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
+    ("hidden", pa.bool_()), ("aside", pa.bool_()), ("pre", pa.bool_()), ("lists", pa.int32()),
+    ("item", pa.int32()), ("end", pa.int32()),
 ]
 
 
 def _events(pages: pa.Array) -> pa.Array:
-    columns: list[list] = [[] for _ in _FIELDS]
-    offsets = [0]
-    for page in pages:
-        html = page.as_py()
-        for row in walk(html) if html else ():
-            row[6] = None if row[6] is None else list(row[6].items())
-            for column, value in zip(columns, row):
-                column.append(value)
-        offsets.append(len(columns[0]))
+    rows, ends, offsets = [], [], [0]
+    for page in pages.to_pylist():
+        if page:
+            found, stops = walk(page)
+            rows += found
+            ends += stops
+        offsets.append(len(rows))
+    columns = [*zip(*rows), ends] if rows else [[] for _ in _FIELDS]
     arrays = [pa.array(column, type=kind) for column, (_, kind) in zip(columns, _FIELDS)]
     struct = pa.StructArray.from_arrays(arrays, names=[name for name, _ in _FIELDS])
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), struct)

@@ -119,7 +119,9 @@ def _enter(runs: DataFrame, entering: DataFrame, keys: list[str], default: Colum
     return runs.join(F.broadcast(entering), [*keys, "run"], "left").withColumn("entering", F.coalesce("entering", default))
 
 
-def delay_trace(log: DataFrame, base_s: float = 1.0, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+def delay_trace(
+    log: DataFrame, base_s: float = 1.0, order: tuple[str, ...] = ("ts", "event_id"), partitions: int | None = None
+) -> DataFrame:
     """The delay after every logged outcome of each domain.
 
     ``log`` holds domain, blocked (0/1) and the ``order`` columns. With no base delay the
@@ -132,18 +134,20 @@ def delay_trace(log: DataFrame, base_s: float = 1.0, order: tuple[str, ...] = ("
     if base_s <= 0:
         ordered = slim.repartition("domain").sortWithinPartitions("domain", *order)
         return ordered.withColumn("entering", F.lit(0.0)).mapInPandas(_delay_fold(0.0, ["domain"]), schema)
-    runs = sorted_runs(slim, ["domain"], list(order))
+    runs = sorted_runs(slim, ["domain"], list(order), partitions)
     later = entering_delays(runs, base_s).filter("later").select("domain", "run", "entering")
     entered = _enter(runs, later, ["domain"], F.lit(float(base_s)))
     return entered.select(*columns, "run", "entering").mapInPandas(_delay_fold(base_s, ["domain", "run"]), schema)
 
 
-def current_delays(log: DataFrame, base_s: float = 1.0, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+def current_delays(
+    log: DataFrame, base_s: float = 1.0, order: tuple[str, ...] = ("ts", "event_id"), partitions: int | None = None
+) -> DataFrame:
     """The delay of each domain after its whole log."""
     if base_s <= 0:
         trace = delay_trace(log, base_s, order)
         return trace.groupBy("domain").agg(F.max_by("delay_s", F.struct(*order)).alias("delay_s"))
-    runs = sorted_runs(log.select("domain", *order, "blocked"), ["domain"], list(order))
+    runs = sorted_runs(log.select("domain", *order, "blocked"), ["domain"], list(order), partitions)
     return entering_delays(runs, base_s).groupBy("domain").agg(F.max_by("leaving", "run").alias("delay_s"))
 
 
@@ -251,7 +255,9 @@ def _micros(log: DataFrame, column: str) -> Column:
     return F.unix_micros(column)
 
 
-def reuse_log(requests: DataFrame, ttl_s: int = 300, order: str = "ts", key: str = "event_id") -> DataFrame:
+def reuse_log(
+    requests: DataFrame, ttl_s: int = 300, order: str = "ts", key: str = "event_id", partitions: int | None = None
+) -> DataFrame:
     """For each request, whether a stored capture served it and when that was stored.
 
     ``requests`` holds url, js_render, bypass, ``order`` (a timestamp) and a unique
@@ -265,7 +271,7 @@ def reuse_log(requests: DataFrame, ttl_s: int = 300, order: str = "ts", key: str
     through = base.filter(F.col("bypass")).select(
         key, "url", "js_render", F.lit(False).alias("from_cache"), F.lit(None).cast("bigint").alias("stored_us")
     )
-    runs = sorted_runs(base.filter(~F.col("bypass")).drop("bypass"), ["url", "js_render"], ["t", key])
+    runs = sorted_runs(base.filter(~F.col("bypass")).drop("bypass"), ["url", "js_render"], ["t", key], partitions)
     entering = _entering_captures(runs, ttl)
     later = entering.filter(F.col("entering").isNotNull())
     entered = _enter(runs, later, ["url", "js_render"], F.lit(NOTHING))

@@ -84,17 +84,19 @@ def _is_product(value: str) -> str:
     def test(kind: str) -> str:
         return f"coalesce(CASE WHEN {_is_list(kind)} THEN {some(_items(kind), named)} ELSE {named(kind)} END, false)"
 
-    return f"({_is_object(value)} AND {let(_get(value, '@type'), test)})"
+    return let(_get(value, "@type"), test)
 
 
 def _unwrapped(value: str) -> str:
     """A Product stays as it is; a list or @graph gives its members in order."""
     inner = let(
         _get(value, "@graph"),
-        lambda g: f"CASE WHEN {_is_list(g)} THEN {_items(g)} WHEN {g} IS NOT NULL THEN array({g}) "
-        f"ELSE CAST(array() AS ARRAY<VARIANT>) END",
+        lambda g: f"coalesce({_items(g)}, CASE WHEN {g} IS NOT NULL THEN array({g}) END, CAST(array() AS ARRAY<VARIANT>))",
+    )
+    return let(
+        _items(value),
+        lambda items: f"CASE WHEN {items} IS NOT NULL THEN {items} WHEN {_is_product(value)} THEN array({value}) ELSE {inner} END",
     )
-    return f"CASE WHEN {_is_list(value)} THEN {_items(value)} WHEN {_is_product(value)} THEN array({value}) ELSE {inner} END"
 
 
 def _without_schema(text: str) -> str:

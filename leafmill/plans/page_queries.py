@@ -11,7 +11,7 @@ from leafmill.functions.urls import authority_of, resolve, scheme_of
 from leafmill.operators import documents, extract, products, selectors, signals
 from leafmill.plans import workflows
 from leafmill.plans.registry import query
-from leafmill.plans.views import portable, table, view
+from leafmill.plans.views import pages, portable, table, view
 
 # --------------------------------------------------------------- pieces of oracle SQL
 
@@ -68,7 +68,7 @@ def captures(spark, sf):
 
 def page_overview(spark, sf):
     """Pages, articles, links and text per host: the flagship query."""
-    pages = table(spark, sf, "pages").select(
+    read = pages(spark, sf).select(
         F.expr(authority_of("url")).alias("host"),
         signals.looks_like_an_article().alias("article"),
         signals.link_count().alias("links"),
@@ -76,7 +76,7 @@ def page_overview(spark, sf):
         (F.length(signals.title()) > 0).alias("titled"),
     )
     return (
-        pages.groupBy("host")
+        read.groupBy("host")
         .agg(
             F.count("*").alias("pages"),
             F.sum(F.col("article").cast("bigint")).alias("articles"),
@@ -99,12 +99,12 @@ query(
 
 @query("page_titles", f"SELECT page_id, {_TITLE} AS title FROM pages")
 def page_titles(spark, sf):
-    return table(spark, sf, "pages").select("page_id", signals.title().alias("title"))
+    return pages(spark, sf).select("page_id", signals.title().alias("title"))
 
 
 @query("visible_text", f"SELECT page_id, {_visible('html')} AS text FROM pages")
 def visible_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.expr(text_functions.visible_text("html")).alias("text"))
+    return pages(spark, sf).select("page_id", F.expr(text_functions.visible_text("html")).alias("text"))
 
 
 @query("link_counts", f"SELECT page_id, CAST({_links('html')} AS BIGINT) AS links FROM ({portable('captures')}) c")
@@ -129,7 +129,7 @@ def article_flags(spark, sf):
  regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || '/' AS origin FROM pages""",
 )
 def url_pieces(spark, sf):
-    web, _ = signals.split_by_scheme(table(spark, sf, "pages"))
+    web, _ = signals.split_by_scheme(pages(spark, sf))
     return signals.with_url_parts(web).select("page_id", F.expr(scheme_of("url")).alias("scheme"), "domain", "origin")
 
 
@@ -189,8 +189,8 @@ def rendering_need(spark, sf):
 )
 def page_split(spark, sf):
     df = view(spark, sf, "captures").withColumn("url", F.concat("url", F.lit("|"), F.col("page_id").cast("string")))
-    pages, errors = documents.split_pages(df)
-    both = pages.select("url", F.lit(None).cast("string").alias("error")).unionByName(errors)
+    usable, errors = documents.split_pages(df)
+    both = usable.select("url", F.lit(None).cast("string").alias("error")).unionByName(errors)
     cut = F.split("url", r"\|")
     return both.select(F.element_at(cut, -1).cast("bigint").alias("page_id"), F.element_at(cut, 1).alias("url"), "error")
 
@@ -211,8 +211,8 @@ def front_matter(spark, sf):
 
 @query("page_documents")
 def page_documents(spark, sf):
-    pages = signals.with_markdown(signals.page_signals(captures(spark, sf)))
-    return documents.page_document(pages).select("page_id", "document")
+    written = signals.with_markdown(signals.page_signals(captures(spark, sf)))
+    return documents.page_document(written).select("page_id", "document")
 
 
 _LETTERS = "regexp_replace({}, '[^A-Za-z0-9]', '', 'g')"
@@ -226,7 +226,7 @@ _ARTICLE = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
 )
 def main_content(spark, sf):
     """Letters of the isolated article; short articles count as a miss."""
-    read = table(spark, sf, "pages").select("page_id", page_events(F.col("html")).alias("events"))
+    read = pages(spark, sf).select("page_id", page_events(F.col("html")).alias("events"))
     found = read.select("page_id", F.expr(article_markdown("events")).alias("markdown"))
     letters = F.regexp_replace("markdown", "[^A-Za-z0-9]", "")
     return found.filter(F.length("markdown") >= 220).select("page_id", F.md5(letters).alias("letters"))
@@ -240,8 +240,7 @@ def main_content(spark, sf):
  FROM part GROUP BY p_brand, p_partkey // 1000""",
 )
 def listing_markdown(spark, sf):
-    pages = view(spark, sf, "listing_pages")
-    return signals.with_markdown(pages, "off").select("url", "markdown")
+    return signals.with_markdown(view(spark, sf, "listing_pages"), "off").select("url", "markdown")
 
 
 @query(
@@ -334,7 +333,7 @@ def selector_rows(spark, sf):
 )
 def selector_pages(spark, sf):
     fields = {"heading": "article > h1", "first_link": "nav li:bad, x", "link": "nav ul li a[href]@href"}
-    rows, _ = selectors.extract_by_selector(table(spark, sf, "pages"), fields, carry=("page_id",))
+    rows, _ = selectors.extract_by_selector(pages(spark, sf), fields, carry=("page_id",))
     return rows.select("page_id", (F.col("heading") != "").alias("headed"), F.col("link").alias("first_link"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +76,8 @@ def sql_json(spark, sf):
 
 
 def _tables(spark: SparkSession) -> ResultTables:
-    return ResultTables(spark, "leafmill")
+    """A database of this application's own, as its saved tables need not outlive it."""
+    return ResultTables(spark, "leafmill_" + re.sub(r"\W", "_", spark.sparkContext.applicationId))
 
 
 @query(

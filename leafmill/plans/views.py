@@ -27,7 +27,24 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return run(spark, sf_dir, VIEWS[name])
+    df = run(spark, sf_dir, VIEWS[name])
+    source = PAGE_VIEWS.get(name)
+    return df if source is None else spread(df, table(spark, sf_dir, source))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "pages")
+    return spread(df, df)
+
+
+def spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Give page work one partition per core when its source file has fewer splits.
+
+    Parsing is bound by CPU, and a small file is read by a single task. A source that
+    already fills the cluster is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if source.rdd.getNumPartitions() < cores else df
 
 
 def portable(name: str) -> str:
@@ -220,6 +237,19 @@ SELECT page_id AS request_id, a AS attempt, 'm' || CAST(a AS STRING) || '.exampl
 FROM @pages CROSS JOIN (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3) k
 """
 
+# Views whose rows are parsed as pages, with the table they come from.
+PAGE_VIEWS = {
+    "captures": "pages",
+    "product_pages": "part",
+    "contact_pages": "documents",
+    "site_pages": "part",
+    "listing_pages": "part",
+    "search_pages": "part",
+    "catalog": "part",
+    "places": "customer",
+    "attempts": "pages",
+}
+
 VIEWS = {
     "captures": _CAPTURES,
     "product_pages": _PRODUCTS,
