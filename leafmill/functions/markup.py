@@ -9,14 +9,13 @@ needs no further Python and no shuffle.
 from __future__ import annotations
 
 import re
-from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmill.functions.sqltext import each, keep, quote
-from leafmill.functions.text import strip_space
+from leafmill.functions.text import ENTITY, NAMED, strip_space
 
 EVENTS = (
     "array<struct<kind:string,tag:string,pos:int,parent:int,up:array<int>,attrs:map<string,string>,"
@@ -54,9 +53,23 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_REFERENCE = re.compile(ENTITY)
 _RAW = {tag: re.compile(rf"</{tag}\s*>|\Z", re.I) for tag in ("script", "style", "textarea", "title")}
 
 
+def _character(found: re.Match) -> str:
+    name = found[1]
+    if name[0] != "#":
+        return NAMED.get(name, found[0])
+    point = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
+    return chr(point) if 0 < point < 0x110000 and not 0xD800 <= point < 0xE000 else "\ufffd"
+
+
+def unescape(text: str) -> str:
+    """Replace character references by the rule of ``decode_entities``."""
+    return _REFERENCE.sub(_character, text)
+
+
 def _attributes(text: str) -> list[tuple[str, str]]:
     found: dict[str, str] = {}
     for name, value in _ATTRIBUTE.findall(text):

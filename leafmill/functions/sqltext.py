@@ -93,11 +93,3 @@ def first_by(items: str, key: str) -> str:
 
     return let(f"sort_array({tagged})", distinct)
 
-
-def unnest(items: str) -> str:
-    """Explode input that Spark does not derive a filter from.
-
-    Given a bare column it would add ``size(column) > 0``, push that below the
-    projection which computes the array, and so compute the array twice.
-    """
-    return f"slice({items}, 1, {2**31 - 1})"

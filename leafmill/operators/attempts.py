@@ -41,7 +41,7 @@ def first_usable_response(attempts: DataFrame, sources: int = 3) -> tuple[DataFr
     answer = F.struct("__outcome", "host", "status_code", F.when(F.col("__outcome") == "ok", F.col("body")).alias("body"))
     skipped = F.when(F.col("__outcome") == "pass", F.struct(attempt.alias("a"), F.col("__problem").alias("p")))
     folded = judged.groupBy("request_id").agg(
-        F.min_by(answer, ends).alias("end"), F.sort_array(F.collect_list(skipped)).alias("skipped")
+        F.min_by(answer, ends).alias("end"), F.sort_array(F.collect_set(skipped)).alias("skipped")
     )
     good = folded.filter(F.col("end.__outcome") == "ok").select(
         "request_id", F.col("end.host").alias("host"), F.col("end.body").alias("body")

@@ -14,19 +14,25 @@ def describe_failure(kind: Column, message: Column) -> Column:
     return F.when(text == "", kind).otherwise(F.concat_ws(": ", kind, text))
 
 
-def split_pages(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable pages, errors). Every row lands in exactly one of the two.
+def with_errors(captures: DataFrame) -> DataFrame:
+    """Every capture with its block state and an ``error``, NULL for a usable page.
 
     A failed fetch is a row with ``error_type`` (and ``error_message``); a refused one
-    is reported as ``blocked: <reason>``.
+    is reported as ``blocked: <reason>``. One pass, for writing both kinds at once.
     """
     checked = with_block(captures)
     failed = F.col("error_type").isNotNull() if "error_type" in captures.columns else F.lit(False)
     reason = F.concat(F.lit("blocked: "), F.col("block_reason"))
     if "error_type" in captures.columns:
         reason = F.when(failed, describe_failure(F.col("error_type"), F.col("error_message"))).otherwise(reason)
-    usable = ~failed & ~F.coalesce(F.col("blocked"), F.lit(False))
-    return checked.filter(usable), checked.filter(~usable).select("url", reason.alias("error"))
+    unusable = failed | F.coalesce(F.col("blocked"), F.lit(False))
+    return checked.withColumn("error", F.when(unusable, reason))
+
+
+def split_pages(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable pages, errors). Every row lands in exactly one of the two."""
+    every = with_errors(captures)
+    return every.filter("error IS NULL").drop("error"), every.filter("error IS NOT NULL").select("url", "error")
 
 
 def front_matter() -> Column:

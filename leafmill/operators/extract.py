@@ -6,7 +6,7 @@ captures is followed by no shuffle and the html never leaves the scan stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.sqltext import each, each_at, first_by, keep, let, quote, zipped
@@ -226,6 +226,11 @@ def network_responses(log: DataFrame, include_types: str = "json", max_body_char
     )
 
 
-def largest_responses(log: DataFrame, **options) -> DataFrame:
-    """The same, biggest first (ties by URL)."""
-    return network_responses(log, **options).orderBy(F.desc("size"), "url")
+def largest_responses(log: DataFrame, per_page: int | None = None, **options) -> DataFrame:
+    """The same, biggest first (ties by URL); with ``per_page``, only each page's largest."""
+    found = network_responses(log, **options)
+    order = [F.desc("size"), F.col("url")]
+    if per_page is not None:
+        place = F.row_number().over(Window.partitionBy("page_url").orderBy(*order))
+        found = found.withColumn("place", place).filter(F.col("place") <= per_page).drop("place")
+    return found.orderBy(*order)

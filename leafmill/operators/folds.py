@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.sqltext import fold, let
 from leafmill.operators.runs import sorted_runs
 
 # Delays in seconds and the decay after a success.
@@ -46,30 +47,64 @@ def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple]
             last = key
 
 
-def _delay_summaries(base: float):
-    """Per run: the delay map as clamp(scale * d, low, high).
+class _DelayMap:
+    """What a run does to the delay it starts from, whatever that delay is.
+
+    A block is min(2d, cap) and a success max(0.9d, base). Such clamped scalings compose
+    into one of their kind: clamp(scale * d, low, high).
 
-    A block is min(2d, cap) and a success max(0.9d, base); such clamped scalings compose
-    into one of their kind, so a run of any length is three numbers.
+    Without a base delay a success can also snap a small delay to zero, from where the
+    next block jumps to the seed. Which delays snap depends on the smallest scale so
+    far; every new minimum adds one step (delays below ``limit`` end at ``value``), and
+    as each is at least a tenth lower than the last there are few of them. Paths that
+    start at zero are followed exactly, equal ones as one.
     """
 
+    def __init__(self, base: float) -> None:
+        self.base, self.scale, self.low, self.high = base, 1.0, base, MAX_DELAY_S
+        self.least, self.open = 1.0, base == 0
+        self.steps: list[tuple[float, int]] = []  # (limit, path)
+        self.paths = [0.0]  # current delay of each path begun at zero; the first began with the run
+
+    def add(self, blocked: int) -> None:
+        base = self.base
+        if base > 0:
+            self.low, self.high = next_delay(self.low, blocked, base), next_delay(self.high, blocked, base)
+            self.scale = 0.0 if self.low == self.high else self.scale * (2 if blocked else DECAY)
+            return
+        self.paths = [next_delay(d, blocked, base) for d in self.paths]
+        if not self.open:
+            return
+        self.scale *= 2 if blocked else DECAY
+        self.high = min(self.high * 2, MAX_DELAY_S) if blocked else self.high * DECAY
+        if blocked or (self.scale >= self.least and self.high >= SNAP_S):
+            return
+        self.least = min(self.least, self.scale)
+        self.open = self.high >= SNAP_S
+        if 0.0 not in self.paths:
+            self.paths.append(0.0)
+        self.steps.append((SNAP_S / self.least if self.open else float("inf"), self.paths.index(0.0)))
+
+    def row(self) -> tuple:
+        limits, values = [s[0] for s in self.steps], [self.paths[s[1]] for s in self.steps]
+        return (self.paths[0], self.scale, self.low, self.high, limits, values)
+
+
+def _delay_summaries(base: float):
+    """One row per run: its delay map."""
+
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state, out = None, None, []
         for key_now, fresh, columns, rows in _blocks(batches, ["domain", "run"]):
             if fresh:
                 if state:
-                    out.append((*key, *state))
-                key, state = key_now, (1.0, base, MAX_DELAY_S)
-            scale, low, high = state
+                    out.append((*key, *state.row()))
+                key, state = key_now, _DelayMap(base)
             for blocked in columns["blocked"][rows]:
-                scale = scale * 2 if blocked else scale * DECAY
-                low, high = next_delay(low, blocked, base), next_delay(high, blocked, base)
-                if low == high:
-                    scale = 0.0
-            state = (scale, low, high)
+                state.add(blocked)
         if state:
-            out.append((*key, *state))
-        yield pd.DataFrame(out, columns=["domain", "run", "scale", "low", "high"])
+            out.append((*key, *state.row()))
+        yield pd.DataFrame(out, columns=["domain", "run", "zero", "scale", "low", "high", "limits", "ends"])
 
     return summarise
 
@@ -93,21 +128,31 @@ def _delay_fold(base: float, keys: list[str]):
 
 def entering_delays(runs: DataFrame, base: float) -> DataFrame:
     """(domain, run, entering, leaving, later): the delay each run starts and ends with."""
-    sums = runs.select("domain", "run", "blocked").mapInPandas(
-        _delay_summaries(base), "domain string, run int, scale double, low double, high double"
-    )
-    chained = sums.groupBy("domain").agg(
-        F.sort_array(F.collect_list(F.struct("run", "scale", "low", "high"))).alias("runs")
+    schema = (
+        "domain string, run int, zero double, scale double, low double, high double, limits array<double>, ends array<double>"
     )
-    start = F.struct(F.lit(base).alias("delay"), F.array().cast("array<struct<run:int,entering:double,leaving:double,later:boolean>>").alias("out"))
+    sums = runs.select("domain", "run", "blocked").mapInPandas(_delay_summaries(base), schema)
+    row = F.struct("run", "zero", "scale", "low", "high", "limits", "ends")
+    chained = sums.groupBy("domain").agg(F.sort_array(F.collect_list(row)).alias("runs"))
+    out_type = "array<struct<run:int,entering:double,leaving:double,later:boolean>>"
 
-    def step(state: Column, r: Column) -> Column:
-        left = F.least(r["high"], F.greatest(r["low"], r["scale"] * state["delay"]))
-        later = F.size(state["out"]) > 0
-        row = F.struct(r["run"].alias("run"), state["delay"].alias("entering"), left.alias("leaving"), later.alias("later"))
-        return F.struct(left.alias("delay"), F.array_append(state["out"], row).alias("out"))
+    def step(state: str, r: str) -> str:
+        def leave(d: str) -> str:
+            snapped = f"get({r}.ends, size(filter({r}.limits, x -> x <= {d})))"
+            scaled = f"least({r}.high, greatest({r}.low, {r}.scale * {d}))"
+            return f"CASE WHEN {d} = 0 THEN {r}.zero ELSE coalesce({snapped}, {scaled}) END"
+
+        def advance(left: str) -> str:
+            entry = (
+                f"named_struct('run', {r}.run, 'entering', {state}.delay, 'leaving', {left}, "
+                f"'later', size({state}.out) > 0)"
+            )
+            return f"named_struct('delay', {left}, 'out', array_append({state}.out, {entry}))"
+
+        return let(let(f"{state}.delay", leave), advance)
 
-    return chained.select("domain", F.inline(F.aggregate("runs", start, step)["out"]))
+    start = f"named_struct('delay', CAST({base} AS DOUBLE), 'out', CAST(array() AS {out_type}))"
+    return chained.select("domain", F.inline(F.expr(fold("runs", start, step))["out"]))
 
 
 def _enter(runs: DataFrame, entering: DataFrame, keys: list[str], default: Column) -> DataFrame:
@@ -124,16 +169,11 @@ def delay_trace(
 ) -> DataFrame:
     """The delay after every logged outcome of each domain.
 
-    ``log`` holds domain, blocked (0/1) and the ``order`` columns. With no base delay the
-    step is not a clamped scaling (zero doubles to a fixed seed), so that case keeps a
-    domain in one sorted task; rows are streamed through it, never gathered.
+    ``log`` holds domain, blocked (0/1) and the ``order`` columns.
     """
     columns = ["domain", *order, "blocked"]
     slim = log.select(*columns)
     schema = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in columns) + ", delay_s double"
-    if base_s <= 0:
-        ordered = slim.repartition("domain").sortWithinPartitions("domain", *order)
-        return ordered.withColumn("entering", F.lit(0.0)).mapInPandas(_delay_fold(0.0, ["domain"]), schema)
     runs = sorted_runs(slim, ["domain"], list(order), partitions)
     later = entering_delays(runs, base_s).filter("later").select("domain", "run", "entering")
     entered = _enter(runs, later, ["domain"], F.lit(float(base_s)))
@@ -144,9 +184,6 @@ def current_delays(
     log: DataFrame, base_s: float = 1.0, order: tuple[str, ...] = ("ts", "event_id"), partitions: int | None = None
 ) -> DataFrame:
     """The delay of each domain after its whole log."""
-    if base_s <= 0:
-        trace = delay_trace(log, base_s, order)
-        return trace.groupBy("domain").agg(F.max_by("delay_s", F.struct(*order)).alias("delay_s"))
     runs = sorted_runs(log.select("domain", *order, "blocked"), ["domain"], list(order), partitions)
     return entering_delays(runs, base_s).groupBy("domain").agg(F.max_by("leaving", "run").alias("delay_s"))
 

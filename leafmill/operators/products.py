@@ -224,8 +224,8 @@ def clean_image(value: str, url: str) -> str:
     return f"CASE WHEN NOT contains({value}, ' ') AND regexp_like({value}, {_IMAGE}) THEN {resolve(url, value)} END"
 
 
-def extract_products(pages: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(product records, errors).
+def product_records(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The product record of every page in one pass; ``error`` says where there is none.
 
     The first source that yields a record wins. Only pages that name a schema.org
     Product and have neither JSON-LD nor OpenGraph data are parsed for microdata.
@@ -237,11 +237,17 @@ def extract_products(pages: DataFrame, carry: tuple[str, ...] = ()) -> tuple[Dat
     needs_scope = F.col("__linked").isNull() & F.col("html").rlike("(?i)schema[.]org/product")
     read = read.withColumn("__events", page_events(F.when(needs_scope, F.col("html")))).drop("html")
     record = f"coalesce(__linked, CASE WHEN size(__events) > 0 THEN {_microdata_record('__events')} END)"
-    missed = read.filter(F.expr(record).isNull()).select(*keys, F.lit(NO_PRODUCT).alias("error"))
     image = let(blank_to_null(strip_space("__p.image")), lambda v: clean_image(v, "url"))
     columns = [F.expr(image).alias(n) if n == "image" else F.col(f"__p.{n}").alias(n) for n in FIELDS]
     # Exploding an array of at most one record keeps it computed once; a filter on the
     # record would be pushed below its projection and compute it again.
     present = keep(f"array({record})", lambda r: f"{r} IS NOT NULL")
-    found = read.select(*keys, F.explode(F.expr(present)).alias("__p")).select(*keys, *columns)
-    return found, missed
+    error = F.when(F.col("__p").isNull(), NO_PRODUCT).alias("error")
+    return read.select(*keys, F.explode_outer(F.expr(present)).alias("__p")).select(*keys, *columns, error)
+
+
+def extract_products(pages: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(product records, errors) of ``product_records``."""
+    every = product_records(pages, carry)
+    found = every.filter("error IS NULL").drop("error")
+    return found, every.filter("error IS NOT NULL").select("url", *carry, "error")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.markup import attr, inside, page_events, text_of
 from leafmill.functions.selectors import BadSelector, matches
-from leafmill.functions.sqltext import any_of, each, first, keep, unnest
+from leafmill.functions.sqltext import any_of, each, first, keep
+from leafmill.functions.text import strip_space
 from leafmill.functions.urls import resolve
 
+# Attributes that hold a list of words.
+WORD_LISTS = ("class", "rel", "rev", "accept-charset", "headers", "accesskey", "dropzone")
 NO_MATCH = "no elements matched those selectors"
 
 
@@ -17,13 +20,16 @@ def _field(selector: str, events: str, scope: str | None, url: str) -> str:
     """One field's value; a selector that cannot be read gives an empty string."""
     expression, _, attribute = (part.strip() for part in selector.partition("@"))
     within = events if scope is None else inside(events, scope)
+    if not expression and scope is None:
+        texts = each(keep(events, lambda e: f"{e}.kind = 'text'"), lambda e: strip_space(f"{e}.text"))
+        return "''" if attribute else f"array_join({keep(texts, lambda t: f'length({t}) > 0')}, ' ')"
     if expression:
         try:
             nodes = keep(within, lambda e: matches(expression, events, e))
         except BadSelector:
             return "''"
     else:
-        nodes = f"array({scope})" if scope else keep(within, lambda e: f"{e}.kind = 'open' AND {e}.parent < 0")
+        nodes = f"array({scope})"
 
     def read(node: str) -> str:
         if not attribute:
@@ -31,18 +37,18 @@ def _field(selector: str, events: str, scope: str | None, url: str) -> str:
         value = attr(node, attribute.lower())
         if attribute in ("href", "src"):
             return f"CASE WHEN {value} IS NOT NULL THEN {resolve(url, value)} END"
-        return f"regexp_replace({value}, '\\\\s+', ' ')" if attribute == "class" else value
+        return f"regexp_replace({value}, '\\\\s+', ' ')" if attribute in WORD_LISTS else value
 
     return f"coalesce({first(each(f'slice({nodes}, 1, 1)', read))}, '')"
 
 
-def extract_by_selector(
+def selected_rows(
     pages: DataFrame, fields: dict[str, str], row_selector: str = "", carry: tuple[str, ...] = ()
-) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors): one row per page, or per ``row_selector`` match within it.
+) -> DataFrame:
+    """One row per page, or per ``row_selector`` match within it, in one pass.
 
     ``"a@href"`` reads an attribute instead of the text. Rows whose fields are all
-    empty are dropped; a page left without rows is an error row.
+    empty are dropped; a page left without rows keeps one row with its ``error``.
     """
     if not fields:
         raise ValueError("provide at least one field, e.g. {'title': 'h1'}")
@@ -58,7 +64,15 @@ def extract_by_selector(
     else:
         rows = f"array({row(None)})"
     filled = keep(rows, lambda r: any_of([f"{r}.`{name}` <> ''" for name in fields]))
-    read = pages.select(*keys, page_events(F.col("html")).alias("__events")).select(*keys, F.expr(filled).alias("__rows"))
-    found = read.select(*keys, F.posexplode(F.expr(unnest("__rows"))).alias("pos", "row")).select(*keys, "pos", "row.*")
-    missed = read.filter(F.size("__rows") == 0).select(*keys, F.lit(NO_MATCH).alias("error"))
-    return found, missed
+    read = pages.select(*keys, page_events(F.col("html")).alias("__events"))
+    rows = read.select(*keys, F.posexplode_outer(F.expr(filled)).alias("pos", "__row"))
+    return rows.select(*keys, "pos", "__row.*", F.when(F.col("pos").isNull(), NO_MATCH).alias("error"))
+
+
+def extract_by_selector(
+    pages: DataFrame, fields: dict[str, str], row_selector: str = "", carry: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of ``selected_rows``."""
+    every = selected_rows(pages, fields, row_selector, carry)
+    found = every.filter("error IS NULL").drop("error")
+    return found, every.filter("error IS NOT NULL").select("url", *carry, "error")

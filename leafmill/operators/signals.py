@@ -60,7 +60,7 @@ def looks_like_an_article(html: str = "html") -> Column:
 
 def is_html(content_type: str = "content_type", html: str = "html") -> Column:
     kind = F.lower(content_type)
-    return (F.length(html) > 0) & ((kind == "") | kind.contains("html") | kind.startswith("text/"))
+    return (F.coalesce(F.length(html), F.lit(0)) > 0) & ((kind == "") | kind.contains("html") | kind.startswith("text/"))
 
 
 def is_texty(content_type: str = "content_type") -> Column:
@@ -81,7 +81,7 @@ def content_route(content_type: str = "content_type", html: str = "html") -> Col
 
 def _content_sql(html: str) -> str:
     return (
-        f"CASE WHEN length({html}) < {CONTENT_MIN_HTML} THEN false ELSE "
+        f"CASE WHEN coalesce(length({html}), 0) < {CONTENT_MIN_HTML} THEN false ELSE "
         f"length({stripped_text(html)}) >= {CONTENT_MIN_TEXT} AND {links_sql(html)} >= {CONTENT_MIN_LINKS} END"
     )
 
@@ -98,7 +98,7 @@ def block_reason(status: str = "status_code", html: str = "html") -> Column:
     """
     refused = f"coalesce({status} IN ({', '.join(map(str, BLOCK_STATUSES))}), false)"
     reason = let(
-        contains_any(html, CHALLENGE_SIGNATURES),
+        f"coalesce({contains_any(html, CHALLENGE_SIGNATURES)}, false)",
         lambda challenged: f"CASE WHEN NOT ({challenged} OR {refused}) THEN NULL WHEN {_content_sql(html)} THEN NULL "
         f"WHEN {challenged} THEN 'challenge' ELSE concat('http_', {status}) END",
     )
@@ -124,7 +124,7 @@ def platform(html: str = "html", headers: str | None = None) -> Column:
 def requires_js(html: str = "html") -> Column:
     """A framework marker, or real markup with almost no text and no links."""
     return F.expr(
-        f"CASE WHEN {contains_any(html, JS_SIGNALS)} THEN true WHEN length({html}) < {SHELL_MIN_HTML} THEN false "
+        f"CASE WHEN {contains_any(html, JS_SIGNALS)} THEN true WHEN coalesce(length({html}), 0) < {SHELL_MIN_HTML} THEN false "
         f"ELSE length({stripped_text(html)}) < {SHELL_MAX_TEXT} AND {links_sql(html)} < {SHELL_MAX_LINKS} END"
     )
 

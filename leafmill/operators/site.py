@@ -130,8 +130,15 @@ def crawl_by_links(sites: DataFrame, captures: DataFrame, limit: int = 500) -> D
         .option("path", scratch_path(spark, "links"))
         .saveAsTable(name)
     )
-    links = spark.table(name)
-    frontier = sites.select("site", F.col("site").alias("url"), F.lit(0).alias("parent"), F.lit(0).alias("i"), F.lit(0).alias("done"))
+    try:
+        return _visit(sites, spark.table(name), limit)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _visit(sites: DataFrame, links: DataFrame, limit: int) -> DataFrame:
+    start = [F.lit(0).alias(c) for c in ("parent", "i", "done")]
+    frontier = sites.select("site", F.col("site").alias("url"), *start)
     visited = None
     per_site = Window.partitionBy("site")
     while True:
@@ -146,16 +153,14 @@ def crawl_by_links(sites: DataFrame, captures: DataFrame, limit: int = 500) -> D
         level = reached.withColumn("turn", turn).filter(F.col("turn") <= limit)
         level = level.withColumn("rank", F.col("done") + F.col("turn")).filter(F.col("rank") <= limit)
         level = durable(level.select("site", "url", "rank", "links"))
-        if level.isEmpty():
-            break
         rows = level.select("site", "url", "rank")
         visited = rows if visited is None else visited.unionByName(rows)
+        if level.isEmpty():
+            return visited
         ends = level.groupBy("site").agg(F.max("rank").alias("done")).filter(F.col("done") < limit)
         frontier = level.join(ends, "site").select(
             "site", F.col("rank").alias("parent"), "done", F.posexplode("links").alias("i", "url")
         )
-    spark.sql(f"DROP TABLE {name}")
-    return visited if visited is not None else level.select("site", "url", "rank")
 
 
 def site_pages(sites: DataFrame, documents: DataFrame, captures: DataFrame, limit: int = 500) -> DataFrame:

@@ -222,14 +222,14 @@ _ARTICLE = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
 @query(
     "main_content",
     f"""SELECT page_id, md5({_LETTERS.format(_visible(_ARTICLE))}) AS letters FROM pages
- WHERE length({_visible(_ARTICLE)}) >= 220""",
+ WHERE length({_LETTERS.format(_visible(_ARTICLE))}) >= 200""",
 )
 def main_content(spark, sf):
-    """Letters of the isolated article; short articles count as a miss."""
+    """Letters of the isolated article; an article of few letters counts as a miss."""
     read = pages(spark, sf).select("page_id", page_events(F.col("html")).alias("events"))
     found = read.select("page_id", F.expr(article_markdown("events")).alias("markdown"))
     letters = F.regexp_replace("markdown", "[^A-Za-z0-9]", "")
-    return found.filter(F.length("markdown") >= 220).select("page_id", F.md5(letters).alias("letters"))
+    return found.filter(F.length(letters) >= 200).select("page_id", F.md5(letters).alias("letters"))
 
 
 @query(

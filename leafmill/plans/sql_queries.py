@@ -22,8 +22,7 @@ _STATEMENTS = {
  AND o_orderstatus IN ('O', 'F') AND o_orderpriority LIKE '1%' AND o_custkey IS NOT NULL""",
     "sql_sort_limit": """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM @lineitem
  ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 25""",
-    "sql_sort": """SELECT r, c_custkey FROM (SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC,
- c_custkey) AS BIGINT) AS r FROM @customer) t ORDER BY r, c_custkey DESC""",
+    "sql_sort": "SELECT c_custkey, c_name, c_acctbal FROM @customer ORDER BY c_acctbal DESC, c_custkey",
     "sql_global_aggregates": """SELECT count(*) AS n, min(l_shipdate) AS first_ship, max(l_extendedprice) AS top,
  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, round(avg(l_discount), 6) AS discount FROM @lineitem""",
     "sql_group_by": """SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity,
@@ -45,9 +44,8 @@ _STATEMENTS = {
     "sql_union": """SELECT c_nationkey AS nation, 'customer' AS kind FROM @customer UNION SELECT s_nationkey, 'supplier' FROM @supplier""",
     "sql_intersect": "SELECT c_nationkey AS nation FROM @customer INTERSECT SELECT s_nationkey FROM @supplier",
     "sql_except": "SELECT p_partkey FROM @part EXCEPT SELECT l_partkey FROM @lineitem WHERE l_quantity > 49",
-    "sql_windows": """SELECT event_id, user_id, CAST(row_number() OVER w AS BIGINT) AS n, lag(event_type) OVER w AS previous,
- round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 2) AS recent
- FROM @events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "sql_windows": """SELECT event_type, event_id, value, CAST(n AS BIGINT) AS n FROM (SELECT event_type, event_id, value,
+ row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n FROM @events) t WHERE n <= 10""",
 }
 
 

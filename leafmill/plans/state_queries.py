@@ -28,14 +28,15 @@ def change_diffs(spark, sf):
 
 @query(
     "snapshot_check",
-    f"""WITH s AS ({portable('snapshots')}), o AS (SELECT * FROM s WHERE turn = 0), n AS (SELECT * FROM s WHERE turn = 1)
- SELECT n.url, CASE WHEN sha256(o.content) = sha256(n.content) THEN 'same' ELSE 'changed' END AS status,
- CAST(o.turn AS BIGINT) AS previous_seen_at FROM n JOIN o ON n.url = o.url""",
+    f"""WITH {_HISTORY}, l AS (SELECT url, max(turn) AS turn FROM h GROUP BY url)
+ SELECT h.url, {_STATUS} AS status, previous_seen_at FROM h JOIN l ON h.url = l.url AND h.turn = l.turn""",
 )
 def snapshot_check(spark, sf):
+    """The last check of every page against the store that all earlier checks left."""
     checks = view(spark, sf, "snapshots").withColumnRenamed("turn", "seen_at")
-    _, store = changes.compare_snapshots(None, checks.filter("seen_at = 0"))
-    found, _ = changes.compare_snapshots(store, checks.filter("seen_at = 1"))
+    last = checks.groupBy("url").agg(F.max("seen_at").alias("seen_at"))
+    earlier = changes.latest_snapshots(checks.join(last, ["url", "seen_at"], "left_anti"))
+    found, _ = changes.compare_snapshots(earlier, checks.join(last, ["url", "seen_at"], "left_semi"))
     return found.select("url", "status", "previous_seen_at")
 
 

@@ -116,7 +116,7 @@ def _trace(rows, base):
     return out, delay
 
 
-@pytest.mark.parametrize(("base", "share", "partitions"), [(1.0, 0.15, 7), (1.0, 0.15, None), (0.25, 0.13, 9), (5.0, 0.5, 7), (0.0, 0.2, None)])
+@pytest.mark.parametrize(("base", "share", "partitions"), [(1.0, 0.15, 7), (1.0, 0.15, None), (0.25, 0.13, 9), (5.0, 0.5, 7), (0.0, 0.2, None), (0.0, 0.02, 9), (0.0, 0.005, 7), (0.0, 0.13, 12)])
 def test_delays_equal_a_sequential_fold(spark, base, share, partitions):
     rows, df = _log(spark, share=share)
     want, last = _trace(rows, base)
