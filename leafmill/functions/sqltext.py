@@ -65,7 +65,7 @@ def first(items: str) -> str:
 
 
 def blank_to_null(text: str) -> str:
-    return f"nullif({text}, '')"
+    return let(text, lambda held: f"CASE WHEN {held} <> '' THEN {held} END")
 
 
 def any_of(tests: list[str]) -> str:

@@ -9,14 +9,15 @@ from leafmill.functions.sqltext import each, keep, let, quote, zipped
 
 # Markup whose content is never part of a page's text.
 _HIDDEN = (
-    r"<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
-    r"|<style\b.*?(?:</style\s*>|\z)|<template\b.*?(?:</template\s*>|\z)"
+    r"!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)"
+    r"|style\b.*?(?:</style\s*>|\z)|template\b.*?(?:</template\s*>|\z)"
 )
 # Inside of a tag, stepping over quoted values that may hold '>'. The quantifiers
 # are possessive so that long tags cannot exhaust the regex stack.
 _IN_TAG = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
 ATTRIBUTES = rf"""((?:\s|/){_IN_TAG})"""
-_ANY_MARKUP = quote("(?is)" + _HIDDEN + rf"|<![a-z\[][^>]*>|</?[a-z]{_IN_TAG}>|</?[a-z][^>]*>")
+# One shared '<' first, so that text between tags is skipped at a character a step.
+_ANY_MARKUP = quote(rf"(?is)<(?:{_HIDDEN}|![a-z\[][^>]*>|/?[a-z]{_IN_TAG}>|/?[a-z][^>]*>)")
 # The characters that count as surrounding whitespace.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -38,7 +39,7 @@ def strip_comments(html: str) -> str:
 
 def strip_hidden(html: str) -> str:
     """Drop comments, scripts, styles and templates."""
-    return f"regexp_replace({html}, {quote('(?is)' + _HIDDEN)}, ' ')"
+    return f"regexp_replace({html}, {quote(f'(?is)<(?:{_HIDDEN})')}, ' ')"
 
 
 def strip_space(text: str) -> str:

@@ -65,16 +65,18 @@ def _merged_path(base_path: str, path: str) -> str:
     return f"regexp_replace(concat(coalesce(nullif({folder}, ''), '/'), {path}), '/{{2,}}', '/')"
 
 
-def resolve(base: str, reference: str) -> str:
-    """Absolute form of ``reference`` as seen from the page ``base``."""
+def resolve(base: str, reference: str, base_parts: str | None = None) -> str:
+    """Absolute form of ``reference`` as seen from the page ``base``.
+
+    A caller with many references on one page passes ``base_parts``, the base split once.
+    """
     cleaned = f"regexp_replace({reference}, {quote(r'^[\x00-\x20]+|[\t\r\n]+')}, '')"
 
     def against(ref: str) -> str:
-        def parts(s: str) -> str:
-            b, r = f"{s}.b", f"{s}.r"
+        def parts(b: str, r: str) -> str:
             same = _joined(f"{b}.scheme", f"{r}.authority", f"{r}.path", f"{r}.query", f"{r}.fragment")
-            query = f"coalesce(nullif({r}.query, ''), {b}.query)"
-            here = _joined(f"{b}.scheme", f"{b}.authority", f"{b}.path", query, f"{r}.fragment")
+            query = f"CASE WHEN {r}.query <> '' THEN {r}.query ELSE {b}.query END"
+            here = let(query, lambda q: _joined(f"{b}.scheme", f"{b}.authority", f"{b}.path", q, f"{r}.fragment"))
             target = (
                 f"CASE WHEN startswith({r}.path, '/') THEN {r}.path ELSE {_merged_path(f'{b}.path', f'{r}.path')} END"
             )
@@ -87,7 +89,8 @@ def resolve(base: str, reference: str) -> str:
                 f"WHEN {r}.path = '' THEN {here} ELSE {there} END"
             )
 
-        both = f"struct({split_url(base)} AS b, {split_url(ref)} AS r)"
-        return f"CASE WHEN {ref} = '' THEN {base} ELSE {let(both, parts)} END"
+        split = base_parts or split_url(base)
+        both = f"struct({split} AS b, {split_url(ref)} AS r)"
+        return f"CASE WHEN {ref} = '' THEN {base} ELSE {let(both, lambda s: parts(f'{s}.b', f'{s}.r'))} END"
 
     return let(cleaned, against)

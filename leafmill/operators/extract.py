@@ -19,7 +19,7 @@ from leafmill.functions.text import (
     stripped_text,
     visible_text,
 )
-from leafmill.functions.urls import authority_of, is_web_url, resolve
+from leafmill.functions.urls import authority_of, is_web_url, resolve, split_url
 from leafmill.session import clamp
 
 # Patterns, limits and the social hosts.
@@ -129,8 +129,12 @@ def extract_links(captures: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
         lambda a, i: f"struct({i} AS pos, {strip_space(a + '.href')} AS href, {a}.inner_html AS inner_html)",
     )
     wanted = keep(named, lambda a: f"{a}.href <> '' AND NOT startswith({a}.href, '#')")
-    absolute = each(
-        wanted, lambda a: f"struct({a}.pos AS pos, {resolve('url', a + '.href')} AS value, {a}.inner_html AS inner_html)"
+    absolute = let(
+        split_url("url"),
+        lambda base: each(
+            wanted,
+            lambda a: f"struct({a}.pos AS pos, {resolve('url', a + '.href', base)} AS value, {a}.inner_html AS inner_html)",
+        ),
     )
     links = first_by(keep(absolute, lambda a: is_web_url(a + ".value")), "value")
     return captures.select(*keys, F.explode(F.expr(links)).alias("link")).select(
@@ -142,8 +146,12 @@ def extract_social_links(captures: DataFrame, carry: tuple[str, ...] = ()) -> Da
     """Profile links on the known social hosts: url, platform, value, pos."""
     keys = ["url", *carry]
     table = f"map({', '.join(quote(x) for pair in SOCIAL_HOSTS.items() for x in pair)})"
-    absolute = each_at(
-        anchors("html"), lambda a, i: f"struct({i} AS pos, {resolve('url', strip_space(a + '.href'))} AS value)"
+    absolute = let(
+        split_url("url"),
+        lambda base: each_at(
+            anchors("html"),
+            lambda a, i: f"struct({i} AS pos, {resolve('url', strip_space(a + '.href'), base)} AS value)",
+        ),
     )
 
     def named(a: str) -> str:

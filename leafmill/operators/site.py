@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.sqltext import each, keep, quote
+from leafmill.functions.sqltext import each, keep, let, quote
 from leafmill.functions.text import decode_entities, strip_space
-from leafmill.functions.urls import authority_of, is_web_url, origin_of, resolve
+from leafmill.functions.urls import authority_of, is_web_url, origin_of, resolve, split_url
 from leafmill.operators.signals import block_reason, platform, requires_js
 from leafmill.session import durable, scratch_path
 
@@ -101,8 +101,12 @@ def page_links(captures: DataFrame) -> DataFrame:
     with no links: they can be visited but lead nowhere.
     """
     hrefs = f"regexp_extract_all(html, {quote(_HREF)}, 1)"
-    absolute = each(hrefs, lambda h: f"substring_index({resolve('url', h)}, '#', 1)")
-    local = keep(absolute, lambda u: f"{is_web_url(u)} AND {authority_of(u)} = {authority_of('url')}")
+
+    def local_links(base: str) -> str:
+        absolute = each(hrefs, lambda h: f"substring_index({resolve('url', h, base)}, '#', 1)")
+        return keep(absolute, lambda u: f"{is_web_url(u)} AND {authority_of(u)} = lower({base}.authority)")
+
+    local = let(split_url("url"), local_links)
     blocked = F.lit(False)
     if "blocked" in captures.columns:
         blocked = F.col("blocked")

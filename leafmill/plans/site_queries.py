@@ -149,9 +149,9 @@ def catalog_errors(spark, sf):
 @query(
     "catalog_collections",
     """SELECT store AS store_url, title, handle, products_count, store || '/collections/' || handle AS url FROM (
- SELECT 'https://store' || CAST(r_regionkey AS VARCHAR) || '.example' AS store, r_name AS title,
- 'c' || CAST(r_regionkey AS VARCHAR) AS handle, r_regionkey * 3 AS products_count FROM region
- UNION ALL SELECT 'https://store' || CAST(r_regionkey AS VARCHAR) || '.example', 'All', 'all', 9 FROM region) c""",
+ SELECT 'https://store' || CAST(s_suppkey AS VARCHAR) || '.example' AS store, s_name AS title,
+ 'c' || CAST(s_suppkey AS VARCHAR) AS handle, s_nationkey * 3 AS products_count FROM supplier
+ UNION ALL SELECT 'https://store' || CAST(s_suppkey AS VARCHAR) || '.example', 'All', 'all', 9 FROM supplier) c""",
 )
 def catalog_collections(spark, sf):
     return catalog.collections(view(spark, sf, "collections"))[0]

@@ -37,7 +37,8 @@ _STATEMENTS = {
  JOIN @nation ON c_nationkey = n_nationkey GROUP BY n_name""",
     "sql_left_join": """SELECT c_custkey, count(o_orderkey) AS orders FROM @customer LEFT JOIN @orders ON o_custkey = c_custkey
  GROUP BY c_custkey""",
-    "sql_cross_join": "SELECT r_name, n_name FROM @region CROSS JOIN @nation",
+    "sql_cross_join": """SELECT r_name, count(*) AS customers, count(CASE WHEN n_regionkey = r_regionkey THEN 1 END) AS inside
+ FROM @customer JOIN @nation ON c_nationkey = n_nationkey CROSS JOIN @region GROUP BY r_name""",
     "sql_subqueries": """SELECT s_suppkey, s_name FROM @supplier WHERE s_suppkey IN (SELECT l_suppkey FROM @lineitem
  WHERE l_quantity > 49) AND s_acctbal > (SELECT avg(s_acctbal) FROM @supplier)
  AND NOT EXISTS (SELECT 1 FROM @nation WHERE n_nationkey = s_nationkey AND n_regionkey = 0)""",
@@ -123,14 +124,14 @@ def ragged_rows(spark, sf):
 
 @query(
     "list_tables",
-    """SELECT 'nations' AS name, count(*) AS row_count, 'n_nationkey,n_name,n_regionkey' AS columns FROM nation
+    """SELECT 'customers' AS name, count(*) AS row_count, 'c_custkey,c_name' AS columns FROM customer
  UNION ALL SELECT 'suppliers', count(*), 's_suppkey,s_name' FROM supplier""",
 )
 def list_tables(spark, sf):
     tables = _tables(spark)
-    tables.save("nations", table(spark, sf, "nation"))
+    tables.save("customers", table(spark, sf, "customer").select("c_custkey", "c_name"))
     tables.save("suppliers", table(spark, sf, "supplier").select("s_suppkey", "s_name"))
-    listed = tables.list_tables().filter(F.col("name").isin("nations", "suppliers"))
+    listed = tables.list_tables().filter(F.col("name").isin("customers", "suppliers"))
     return listed.withColumn("columns", F.array_join("columns", ","))
 
 
@@ -173,12 +174,12 @@ for _fmt in ("csv", "json"):
     )
 
 
-@query("drop_table", "SELECT count(*) AS rows_deleted, false AS still_there FROM region")
+@query("drop_table", "SELECT count(*) AS rows_deleted, false AS still_there FROM orders")
 def drop_table(spark, sf):
     tables = _tables(spark)
-    tables.save("short_lived", table(spark, sf, "region"))
+    tables.save("short_lived", table(spark, sf, "orders"))
     deleted = tables.drop("short_lived")
-    return table(spark, sf, "region").agg(
+    return table(spark, sf, "orders").agg(
         F.max(F.lit(deleted)).cast("bigint").alias("rows_deleted"), F.max(F.lit(tables.exists("short_lived"))).alias("still_there")
     )
 

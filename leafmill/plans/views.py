@@ -49,7 +49,8 @@ def spread(df: DataFrame, source: DataFrame) -> DataFrame:
 
 def portable(name: str) -> str:
     """The text of a view with bare table names, for an engine that has them as views."""
-    return re.sub(r"@(\w+)", lambda m: m[1] if m[1] in TABLES else m[0], VIEWS[name])
+    text = re.sub(r"@(\w+)", lambda m: m[1] if m[1] in TABLES else m[0], VIEWS[name])
+    return text.replace("explode(array(", "unnest(list_value(")
 
 
 # Captures with refusals, challenges, shells, real content under a refusal and headers.
@@ -194,10 +195,10 @@ GROUP BY store, page
 """
 
 _COLLECTIONS = """
-SELECT 'https://store' || CAST(r_regionkey AS STRING) || '.example' AS store_url, CAST(1 AS BIGINT) AS page,
- 200 AS status_code, '{"collections":[{"id":1,"title":"' || r_name || '","handle":"c' || CAST(r_regionkey AS STRING)
-  || '","products_count":' || CAST(r_regionkey * 3 AS STRING)
-  || '},{"id":2,"title":"All","handle":"all","products_count":9}]}' AS body FROM @region
+SELECT 'https://store' || CAST(s_suppkey AS STRING) || '.example' AS store_url, CAST(1 AS BIGINT) AS page,
+ 200 AS status_code, '{"collections":[{"id":1,"title":"' || s_name || '","handle":"c' || CAST(s_suppkey AS STRING)
+  || '","products_count":' || CAST(s_nationkey * 3 AS STRING)
+  || '},{"id":2,"title":"All","handle":"all","products_count":9}]}' AS body FROM @supplier
 """
 
 _RAGGED = """
@@ -220,21 +221,21 @@ SELECT s_name AS query, r AS rank, '{"display_name":"' || s_name || ', Street '
   || lpad(CAST(s_suppkey * 13 % 997 AS STRING), 4, '0') || '","lon":"-2.' || lpad(CAST(s_suppkey * 17 % 991 AS STRING), 4, '0')
   || '","category":"tourism","type":"museum","osm_type":"way","osm_id":' || CAST(s_suppkey AS STRING)
   || ',"extratags":{"contact:phone":"+44 2"}}' AS body
-FROM @supplier CROSS JOIN (SELECT 1 AS r UNION ALL SELECT 2) k WHERE s_suppkey % 6 <> 5
+FROM (SELECT *, explode(array(1, 2)) AS r FROM @supplier) t WHERE s_suppkey % 6 <> 5
 """
 
 _ATTEMPTS = """
 SELECT page_id, url, a AS attempt, CASE a WHEN 1 THEN 'plain' WHEN 2 THEN 'profile1' ELSE 'profile2' END AS via,
  CASE WHEN page_id % 10 = 0 THEN 403 WHEN (page_id + a) % 3 = 0 THEN 200 WHEN (page_id + a) % 3 = 1 THEN 403 ELSE 503 END
   AS status_code, page_id % 8 = a AS failed, html
-FROM @pages CROSS JOIN (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3) k
+FROM (SELECT *, explode(array(1, 2, 3)) AS a FROM @pages) t
 """
 
 _MIRRORS = """
 SELECT page_id AS request_id, a AS attempt, 'm' || CAST(a AS STRING) || '.example' AS host,
  CASE WHEN page_id % 5 = 0 THEN 504 WHEN (page_id * a) % 4 = 1 THEN 429 WHEN (page_id * a) % 9 = 2 THEN 400 ELSE 200 END
   AS status_code, CASE WHEN (page_id + a) % 4 = 0 THEN '<busy>' ELSE '{"elements":[]}' END AS body
-FROM @pages CROSS JOIN (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3) k
+FROM (SELECT *, explode(array(1, 2, 3)) AS a FROM @pages) t
 """
 
 # Views whose rows are parsed as pages, with the table they come from.
