@@ -156,13 +156,14 @@ def _visit(sites: DataFrame, links: DataFrame, limit: int) -> DataFrame:
         turn = F.row_number().over(per_site.orderBy("order"))
         level = reached.withColumn("turn", turn).filter(F.col("turn") <= limit)
         level = level.withColumn("rank", F.col("done") + F.col("turn")).filter(F.col("rank") <= limit)
-        level = durable(level.select("site", "url", "rank", "links"))
+        # At most ``limit`` rows a site by now, already together for the numbering.
+        level = level.withColumn("done", F.max("rank").over(per_site))
+        level = durable(level.select("site", "url", "rank", "done", "links"))
         rows = level.select("site", "url", "rank")
         visited = rows if visited is None else visited.unionByName(rows)
         if level.isEmpty():
             return visited
-        ends = level.groupBy("site").agg(F.max("rank").alias("done")).filter(F.col("done") < limit)
-        frontier = level.join(ends, "site").select(
+        frontier = level.filter(F.col("done") < limit).select(
             "site", F.col("rank").alias("parent"), "done", F.posexplode("links").alias("i", "url")
         )
 
