@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.markup import attr, inside, page_events, text_of
 from leafmill.functions.numbers import price_count, price_number
-from leafmill.functions.sqltext import blank_to_null, each, first, keep, let, quote, some
+from leafmill.functions.sqltext import blank_to_null, each, first, fold, keep, let, quote, some
 from leafmill.functions.text import ATTRIBUTES, attribute, strip_comments, strip_hidden, strip_space
 from leafmill.functions.urls import resolve
 
@@ -25,7 +25,7 @@ FIELDS = {
     "source": "STRING",
 }
 NO_PRODUCT = "no structured product data on this page"
-NESTING = 4  # arrays and @graph wrappers followed around a Product
+NESTING = 3  # arrays and @graph wrappers opened in any case; deeper ones only where some are left
 
 # The script type and the image suffixes that are trusted.
 _LD_JSON = quote(
@@ -109,7 +109,17 @@ def _json_ld_product(html: str) -> str:
     nodes = keep(each(scripts, lambda s: f"try_parse_json({s})"), lambda v: f"{v} IS NOT NULL")
     for _ in range(NESTING):
         nodes = f"flatten({each(nodes, _unwrapped)})"
-    return first(keep(nodes, _is_product))
+
+    def wrapped(v: str) -> str:
+        return f"({_items(v)} IS NOT NULL OR ({_get(v, '@graph')} IS NOT NULL AND NOT {_is_product(v)}))"
+
+    def opened(left: str) -> str:
+        # A page cannot nest deeper than it has opening brackets and graphs.
+        rounds = f"sequence(1, greatest(1, regexp_count({html}, {quote(r'\[|@graph')})))"
+        step = lambda n, _: f"CASE WHEN {some(n, wrapped)} THEN flatten({each(n, _unwrapped)}) ELSE {n} END"
+        return f"CASE WHEN {some(left, wrapped)} THEN {fold(rounds, left, step)} ELSE {left} END"
+
+    return first(keep(let(nodes, opened), _is_product))
 
 
 def _json_ld_record(node: str) -> str:

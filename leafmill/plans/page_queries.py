@@ -209,6 +209,21 @@ def front_matter(spark, sf):
     return signals.page_signals(captures(spark, sf)).select("page_id", documents.front_matter().alias("front_matter"))
 
 
+@query(
+    "blocked_documents",
+    f"""SELECT page_id, '---' || chr(10) || 'url: ' || url || chr(10) || 'status_code: ' || CAST(status_code AS VARCHAR) || chr(10)
+ || 'title: ' || CASE WHEN as_html THEN title ELSE '' END || chr(10) || 'links_count: '
+ || CAST(CASE WHEN as_html THEN links ELSE 0 END AS VARCHAR) || chr(10) || 'blocked: true' || chr(10) || 'block_reason: ' || block_reason
+ || chr(10) || '---' || chr(10) || chr(10) || 'This page was blocked (' || block_reason || '). The rate limiter has increased the delay '
+ || 'for this domain; retrying later may succeed. For challenge pages, try js_render=true.' AS document
+ FROM (SELECT page_id, url, status_code, (content_type = '' OR contains(content_type, 'html')) AS as_html, {_TITLE} AS title,
+ {_links('html')} AS links, {_REASON} AS block_reason FROM ({portable('captures')}) c) r WHERE block_reason IS NOT NULL""",
+)
+def blocked_documents(spark, sf):
+    refused = signals.page_signals(captures(spark, sf)).filter("blocked").withColumn("markdown", F.lit(""))
+    return documents.page_document(refused).select("page_id", "document")
+
+
 @query("page_documents")
 def page_documents(spark, sf):
     written = signals.with_markdown(signals.page_signals(captures(spark, sf)))

@@ -26,6 +26,18 @@ def change_diffs(spark, sf):
     return changes.history_diffs(view(spark, sf, "snapshots"), order="turn")
 
 
+@query(
+    "change_line_balance",
+    f"""WITH {_HISTORY} SELECT url, turn, CAST(len(string_split(content, chr(10))) - len(string_split(before, chr(10))) AS BIGINT) AS balance,
+ true AS shown FROM h WHERE content <> before""",
+)
+def change_line_balance(spark, sf):
+    """Lines added less lines removed, which the texts alone must bear out."""
+    found = changes.history_diffs(view(spark, sf, "snapshots"), order="turn")
+    balance = (F.col("added_lines") - F.col("removed_lines")).cast("bigint")
+    return found.select("url", "turn", balance.alias("balance"), F.col("diff").startswith("--- before").alias("shown"))
+
+
 @query(
     "snapshot_check",
     f"""WITH {_HISTORY}, l AS (SELECT url, max(turn) AS turn FROM h GROUP BY url)

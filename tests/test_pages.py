@@ -226,6 +226,8 @@ def test_json_ld_variants(make_pages):
     plain = _product(make_pages, _ld('{"@type":"Product","name":"P","brand":"Z","offers":{"price":5},"image":"⚑image/svg+xml"}'))
     assert (plain["price"], plain["brand"], plain["image"], plain["rating"]) == (5.0, "Z", None, None)
     assert _product(make_pages, _ld('{"@type":"Article","name":"x"}')) is None
+    deep = '{"@graph":[' * 9 + '{"@type":"WebSite"},{"@type":"Product","name":"deep"}' + "]}" * 9
+    assert _product(make_pages, _ld("[[[[[" + deep + "]]]]]"))["name"] == "deep"
 
 
 def test_opengraph(make_pages):
