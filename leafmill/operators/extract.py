@@ -107,8 +107,8 @@ def extract_phones(captures: DataFrame, carry: tuple[str, ...] = (), text: str |
     return _contacts(captures, carry, _text_matches(source, PHONE, PHONE_MIN_CHARS, hint, plausible))
 
 
-def anchors(html: str) -> str:
-    """Anchors with an href: attribute text, href, inner html, in document order."""
+def anchors(html: str, linked: bool = True) -> str:
+    """Anchors in document order: attribute text, href, inner html; ``linked`` wants an href."""
 
     def found(visible: str) -> str:
         every = zipped(
@@ -116,7 +116,7 @@ def anchors(html: str) -> str:
             f"regexp_extract_all({visible}, {_ANCHOR}, 2)",
             lambda head, body: f"struct({head} AS attrs, {attribute(head, 'href')} AS href, {body} AS inner_html)",
         )
-        return keep(every, lambda a: f"{a}.href IS NOT NULL")
+        return keep(every, lambda a: f"{a}.href IS NOT NULL") if linked else every
 
     return let(strip_hidden(html), found)
 
@@ -172,7 +172,7 @@ def _search_target(href: str) -> str:
         redirect = f"contains({authority_of(full)}, 'duckduckgo.com') AND startswith({path}, '/l/')"
         packed = f"regexp_extract(regexp_extract({full}, {quote(r'\?([^#]*)')}, 1), '(?:^|&)uddg=([^&]+)', 1)"
         return (
-            f"CASE WHEN {redirect} THEN coalesce(try_url_decode({packed}), '') "
+            f"CASE WHEN {redirect} THEN coalesce(try_url_decode({packed}), {packed}) "
             f"WHEN {is_web_url(full)} THEN {full} ELSE '' END"
         )
 
@@ -198,12 +198,13 @@ def search_results(pages: DataFrame, limit: int = 10, carry: tuple[str, ...] = (
             keep(blocks, lambda b: has_class(b + ".attrs", "result-snippet")), lambda b: stripped_text(b + ".inner_html")
         )
 
-    links = keep(anchors("html"), lambda a: has_class(a + ".attrs", "result-link"))
+    # An anchor without a target is no hit, but it still takes up its snippet's place.
+    links = keep(anchors("html", linked=False), lambda a: has_class(a + ".attrs", "result-link"))
 
     def paired(snippets: str) -> str:
         hits = each_at(
             links,
-            lambda a, i: f"struct({_search_target(a + '.href')} AS url, {a}.inner_html AS inner_html, "
+            lambda a, i: f"struct({_search_target(f"coalesce({a}.href, '')")} AS url, {a}.inner_html AS inner_html, "
             f"coalesce(get({snippets}, {i}), '') AS snippet)",
         )
         return first_by(keep(hits, lambda h: f"{h}.url <> ''"), "url")

@@ -133,8 +133,13 @@ def _json_ld_record(node: str) -> str:
     def brand(value: str) -> str:
         return f"CASE WHEN {_is_object(value)} THEN {_scalar(_get(value, 'name'))} ELSE {_scalar(value)} END"
 
+    def nonzero(value: str) -> str:
+        """A scalar, unless it is a number or flag that counts as nothing."""
+        nothing = f"schema_of_variant({value}) <> 'STRING' AND {_string(value)} IN ('0', 'false')"
+        return f"CASE WHEN {nothing} THEN NULL ELSE {_scalar(value)} END"
+
     def either(value: str, one: str, two: str) -> str:
-        return f"coalesce({_scalar(_get(value, one))}, {_scalar(_get(value, two))})"
+        return f"coalesce({let(_get(value, one), nonzero)}, {_scalar(_get(value, two))})"
 
     def build(p: str) -> str:
         offer, rating = f"{p}.offer", f"{p}.rating"

@@ -428,9 +428,6 @@ def network_responses(spark, sf):
     return found.drop("event_id").withColumn("size", F.col("size").cast("bigint"))
 
 
-_GROUP = "'src' || regexp_extract(source, '[0-9]+$', 0)"
-
-
 @query(
     "contact_finder",
     f"""WITH d AS (SELECT source || '.example' AS site, {_CONTACT_URL} AS url, {_PHONE} AS phone, {_EMAIL} AS email,

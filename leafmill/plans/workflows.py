@@ -66,8 +66,8 @@ def contact_pages(pages: DataFrame, per_site: int = 50) -> DataFrame:
 def find_contacts(captures: DataFrame, per_site: int = 50) -> DataFrame:
     """site, type, value, pages, shared: contacts of each site's preferred pages.
 
-    Pages are chosen on their URLs alone; html is read for the chosen ones only, which
-    are few enough a site that no site can dominate what follows.
+    Pages are chosen on their URLs alone, and only chosen ones are searched. They are
+    few enough a site that no site can dominate what follows.
     """
     urls = captures.select(F.expr(authority_of("url")).alias("site"), "url").distinct()
     chosen = contact_pages(urls, per_site).select("site", "url")
