@@ -146,12 +146,16 @@ def _visit(sites: DataFrame, links: DataFrame, limit: int) -> DataFrame:
     visited = None
     per_site = Window.partitionBy("site")
     while True:
-        fresh = frontier.groupBy("site", "url").agg(
-            F.min(F.struct("parent", "i")).alias("order"), F.first("done").alias("done")
-        )
+        links_in = frontier.select("site", "url", F.struct("parent", "i").alias("order"), "done", F.lit(False).alias("seen"))
         if visited is not None:
-            fresh = fresh.join(visited.select("site", "url"), ["site", "url"], "left_anti")
-        # Only captured pages are ever visited, so unvisited URLs need not be remembered.
+            links_in = links_in.unionByName(visited.select("site", "url", F.lit(True).alias("seen")), allowMissingColumns=True)
+        # One shuffle drops repeats and what was visited before. Only captured pages are
+        # ever visited, so other URLs need not be remembered.
+        fresh = (
+            links_in.groupBy("site", "url")
+            .agg(F.min("order").alias("order"), F.max("done").alias("done"), F.bool_or("seen").alias("seen"))
+            .filter(~F.col("seen"))
+        )
         reached = fresh.join(links, "url")
         turn = F.row_number().over(per_site.orderBy("order"))
         level = reached.withColumn("turn", turn).filter(F.col("turn") <= limit)

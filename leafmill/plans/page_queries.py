@@ -10,7 +10,7 @@ from leafmill.functions.markup import page_events
 from leafmill.functions.urls import authority_of, resolve, scheme_of
 from leafmill.operators import documents, extract, products, selectors, signals
 from leafmill.plans import workflows
-from leafmill.plans.registry import query
+from leafmill.plans.registry import ORACLES, query
 from leafmill.plans.views import pages, portable, table, view
 
 # --------------------------------------------------------------- pieces of oracle SQL
@@ -258,6 +258,20 @@ def listing_markdown(spark, sf):
     return signals.with_markdown(view(spark, sf, "listing_pages"), "off").select("url", "markdown")
 
 
+@query(
+    "listing_documents",
+    f"""SELECT '---' || chr(10) || 'url: ' || url || chr(10) || 'status_code: 200' || chr(10) || 'title: ' || chr(10) || 'links_count: '
+ || CAST(n AS VARCHAR) || chr(10) || 'blocked: false' || chr(10) || 'block_reason: ' || chr(10) || '---' || chr(10) || chr(10) || markdown
+ AS document FROM (SELECT m.url, m.markdown, c.n FROM ({ORACLES["listing_markdown"]}) m JOIN
+ (SELECT 'https://list.example/' || p_brand || '/' || CAST(p_partkey // 1000 AS VARCHAR) AS url, count(*) AS n FROM part
+ GROUP BY p_brand, p_partkey // 1000) c ON m.url = c.url) r""",
+)
+def listing_documents(spark, sf):
+    pages_ = view(spark, sf, "listing_pages").withColumns({"status_code": F.lit(200), "content_type": F.lit("text/html")})
+    written = signals.with_markdown(signals.page_signals(pages_))
+    return documents.page_document(written).select("document")
+
+
 @query(
     "resolved_references",
     """SELECT p_partkey, 'https://s' || CAST(p_partkey % 5 AS VARCHAR) || '.example/' ||

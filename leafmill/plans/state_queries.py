@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.operators import changes, folds
-from leafmill.plans.registry import query
-from leafmill.plans.views import portable, table, view
+from leafmill.plans.registry import ORACLES, query
+from leafmill.plans.views import VIEWS, portable, run, table, view
+from leafmill.session import scratch_path
+from leafmill.streaming import stateful
 
 _HISTORY = f"""h AS (SELECT url, turn, content, lag(content) OVER (PARTITION BY url ORDER BY turn) AS before,
  lag(turn) OVER (PARTITION BY url ORDER BY turn) AS previous_seen_at FROM ({portable('snapshots')}) s)"""
@@ -129,3 +131,63 @@ TTL_S = 86_400
 )
 def ttl_reuse(spark, sf):
     return folds.reuse_log(view(spark, sf, "request_log"), ttl_s=TTL_S)
+
+
+# ------------------------------------------------------------------------- planted diffs
+
+_EDITED = """SELECT 'https://e.example/' || CAST(p_partkey AS STRING) AS url, v AS turn, 'one' || chr(10) || 'two' || chr(10) || 'three'
+ || chr(10) || CASE v WHEN 0 THEN p_name ELSE p_type END || chr(10) || 'five' || chr(10) || 'six' || chr(10) || 'seven' AS content
+ FROM (SELECT *, explode(array(0, 1)) AS v FROM @part) t"""
+
+
+@query(
+    "planted_diffs",
+    """SELECT 'https://e.example/' || CAST(p_partkey AS VARCHAR) AS url, CAST(1 AS BIGINT) AS added_lines, CAST(1 AS BIGINT) AS removed_lines,
+ '--- before' || chr(10) || '+++ after' || chr(10) || '@@ -2,5 +2,5 @@' || chr(10) || ' two' || chr(10) || ' three' || chr(10) || '-' || p_name
+ || chr(10) || '+' || p_type || chr(10) || ' five' || chr(10) || ' six' AS diff FROM part WHERE p_name <> p_type""",
+)
+def planted_diffs(spark, sf):
+    found = changes.history_diffs(run(spark, sf, _EDITED), order="turn")
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("added_lines", "removed_lines")]
+    return found.select("url", *counts, "diff")
+
+
+# ---------------------------------------------------------------------------- streaming
+
+
+def _stream(spark, sf, name: str, view_name: str | None = None, sql: str | None = None):
+    """A table as a stream, seen through a view that needs no other rows."""
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    # A pattern, as a stream takes no bare path to a single file.
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    text = (sql or VIEWS[view_name]).replace(f"@{name}", "{rows}")
+    return spark.sql(text, rows=rows)
+
+
+@query("streamed_delays", ORACLES["delay_trace"])
+def streamed_delays(spark, sf):
+    log = _stream(spark, sf, "events", "fetch_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    done = stateful.run_available(stateful.stream_delays(log), scratch_path(spark, "delays"))
+    return done.select("domain", "event_id", F.round("delay_s", 6).alias("delay_s"))
+
+
+@query("streamed_reuse", f"SELECT event_id, url, js_render, from_cache FROM ({ORACLES['ttl_reuse']}) r")
+def streamed_reuse(spark, sf):
+    log = _stream(spark, sf, "events", "request_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    done = stateful.run_available(stateful.stream_reuse(log, TTL_S, lateness="1 day"), scratch_path(spark, "reuse"))
+    return done.select("event_id", "url", "js_render", "from_cache")
+
+
+@query(
+    "streamed_changes",
+    """SELECT url, turn, CASE WHEN p IS NULL THEN 'new' WHEN p = text THEN 'same' ELSE 'changed' END AS status FROM (
+ SELECT 'https://t.example/' || CAST(conv_id AS VARCHAR) AS url, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p
+ FROM conversations) h""",
+)
+def streamed_changes(spark, sf):
+    pages = _stream(
+        spark, sf, "conversations",
+        sql="SELECT 'https://t.example/' || CAST(conv_id AS STRING) AS url, text AS content, timestamp_seconds(turn) AS seen_at FROM @conversations",
+    )
+    done = stateful.run_available(stateful.stream_changes(pages), scratch_path(spark, "changes"))
+    return done.select("url", F.unix_seconds("seen_at").alias("turn"), "status")

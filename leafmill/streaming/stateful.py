@@ -115,3 +115,13 @@ def stream_reuse(requests: DataFrame, ttl_s: int = 300, lateness: str = "10 minu
     return slim.groupBy("url", "js_render").applyInPandasWithState(
         fold, out, "stored_at timestamp", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """Process all input there is, write it as Parquet below ``folder`` and read it back."""
+    query = (
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True).start(f"{folder}/rows")
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
