@@ -80,17 +80,18 @@ def _text_matches(text: str, pattern: str, shortest: int, hint, accept) -> str:
     return let(text, search)
 
 
-def _contacts(captures: DataFrame, carry: tuple[str, ...], hits: str) -> DataFrame:
+def _contacts(captures: DataFrame, carry: tuple[str, ...], hits: str, possible: str = "true") -> DataFrame:
     keys = ["url", *carry]
-    return captures.select(*keys, F.explode(F.expr(hits)).alias("hit")).select(
+    return captures.select(*keys, F.explode(F.expr(f"CASE WHEN {possible} THEN {hits} END")).alias("hit")).select(
         *keys, "hit.value", "hit.context", "hit.pos"
     )
 
 
 def extract_emails(captures: DataFrame, carry: tuple[str, ...] = (), text: str | None = None) -> DataFrame:
     """Email addresses in the visible text: url, value, context, pos."""
-    source = text or visible_text("html")
-    return _contacts(captures, carry, _text_matches(source, EMAIL, EMAIL_MIN_CHARS, lambda t: f"contains({t}, '@')", None))
+    hits = _text_matches(text or visible_text("html"), EMAIL, EMAIL_MIN_CHARS, lambda t: f"contains({t}, '@')", None)
+    # Markup without an at sign, plain or as a character number, need not be read as text.
+    return _contacts(captures, carry, hits, "true" if text else "contains(html, '@') OR contains(html, '&#')")
 
 
 def extract_phones(captures: DataFrame, carry: tuple[str, ...] = (), text: str | None = None) -> DataFrame:

@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.sqltext import fold, let
 from leafmill.operators.runs import sorted_runs
 
 # Delays in seconds and the decay after a success.
@@ -126,33 +125,40 @@ def _delay_fold(base: float, keys: list[str]):
     return trace
 
 
+def _chain_delays(base: float):
+    """Walk each domain's summaries in run order; there is one row per run, so few."""
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, delay = None, base
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                entering = delay if r.domain == last else base
+                step = int(np.searchsorted(r.limits, entering, side="right"))
+                if entering == 0:
+                    delay = r.zero
+                elif step < len(r.limits):
+                    delay = r.ends[step]
+                else:
+                    delay = min(r.high, max(r.low, r.scale * entering))
+                out.append((r.domain, r.run, entering, delay, r.domain == last))
+                last = r.domain
+            yield pd.DataFrame(out, columns=["domain", "run", "entering", "leaving", "later"])
+
+    return chain
+
+
 def entering_delays(runs: DataFrame, base: float) -> DataFrame:
     """(domain, run, entering, leaving, later): the delay each run starts and ends with."""
     schema = (
         "domain string, run int, zero double, scale double, low double, high double, limits array<double>, ends array<double>"
     )
     sums = runs.select("domain", "run", "blocked").mapInPandas(_delay_summaries(base), schema)
-    row = F.struct("run", "zero", "scale", "low", "high", "limits", "ends")
-    chained = sums.groupBy("domain").agg(F.sort_array(F.collect_list(row)).alias("runs"))
-    out_type = "array<struct<run:int,entering:double,leaving:double,later:boolean>>"
-
-    def step(state: str, r: str) -> str:
-        def leave(d: str) -> str:
-            snapped = f"get({r}.ends, size(filter({r}.limits, x -> x <= {d})))"
-            scaled = f"least({r}.high, greatest({r}.low, {r}.scale * {d}))"
-            return f"CASE WHEN {d} = 0 THEN {r}.zero ELSE coalesce({snapped}, {scaled}) END"
-
-        def advance(left: str) -> str:
-            entry = (
-                f"named_struct('run', {r}.run, 'entering', {state}.delay, 'leaving', {left}, "
-                f"'later', size({state}.out) > 0)"
-            )
-            return f"named_struct('delay', {left}, 'out', array_append({state}.out, {entry}))"
-
-        return let(let(f"{state}.delay", leave), advance)
-
-    start = f"named_struct('delay', CAST({base} AS DOUBLE), 'out', CAST(array() AS {out_type}))"
-    return chained.select("domain", F.inline(F.expr(fold("runs", start, step))["out"]))
+    return (
+        sums.repartition("domain")
+        .sortWithinPartitions("domain", "run")
+        .mapInPandas(_chain_delays(base), "domain string, run int, entering double, leaving double, later boolean")
+    )
 
 
 def _enter(runs: DataFrame, entering: DataFrame, keys: list[str], default: Column) -> DataFrame:
@@ -221,7 +227,7 @@ def _reuse_summaries(ttl: int):
         # An entering capture at a makes times[k] the first miss for the smallest k with
         # times[k] > a + ttl, so step k begins where a + ttl >= times[k - 1].
         since = [int(times[k - 1]) if k else NOTHING for k in steps]
-        after = int(final[first]) if first < len(times) else None
+        after = int(final[first]) if first < len(times) else NOTHING
         return (*key, since, [int(ends[k]) for k in steps], int(times[first - 1]), after)
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,7 +241,7 @@ def _reuse_summaries(ttl: int):
         if held:
             out.append(one(key, np.concatenate(held)))
         names = ["url", "js_render", "run", "since", "ends", "window_end", "after"]
-        yield pd.DataFrame(out, columns=names).astype({"after": "Int64"})
+        yield pd.DataFrame(out, columns=names)
 
     return summarise
 
@@ -262,28 +268,39 @@ def _reuse_apply(ttl: int):
     return apply
 
 
+def _chain_captures(ttl: int):
+    """Walk each key's summaries in run order; there is one row per run, so few."""
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, stored = None, NOTHING
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                key = (r.url, r.js_render)
+                entering = stored if key == last else NOTHING
+                reach = entering + ttl
+                if reach < r.window_end:
+                    stored = int(r.ends[int(np.searchsorted(r.since, reach, side="right")) - 1])
+                else:
+                    stored = entering if r.after == NOTHING else r.after
+                out.append((*key, r.run, entering))
+                last = key
+            yield pd.DataFrame(out, columns=["url", "js_render", "run", "entering"])
+
+    return chain
+
+
 def _entering_captures(runs: DataFrame, ttl: int) -> DataFrame:
-    summary = (
-        "url string, js_render boolean, run int, since array<bigint>, ends array<bigint>, "
-        "window_end bigint, after bigint"
+    schema = (
+        "url string, js_render boolean, run int, since array<bigint>, ends array<bigint>, window_end bigint, after bigint"
     )
-    sums = runs.select("url", "js_render", "run", "t").mapInPandas(_reuse_summaries(ttl), summary)
-    row = F.struct("run", "since", "ends", "window_end", "after")
-    chained = sums.groupBy("url", "js_render").agg(F.sort_array(F.collect_list(row)).alias("runs"))
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("stored"),
-        F.array().cast("array<struct<run:int,entering:bigint>>").alias("out"),
+    sums = runs.select("url", "js_render", "run", "t").mapInPandas(_reuse_summaries(ttl), schema)
+    return (
+        sums.repartition("url", "js_render")
+        .sortWithinPartitions("url", "js_render", "run")
+        .mapInPandas(_chain_captures(ttl), "url string, js_render boolean, run int, entering bigint")
     )
 
-    def step(state: Column, r: Column) -> Column:
-        reach = F.coalesce(state["stored"] + ttl, F.lit(-(2**61)))
-        chosen = F.element_at(r["ends"], F.size(F.filter(r["since"], lambda s: s <= reach)))
-        leaving = F.when(reach >= r["window_end"], F.coalesce(r["after"], state["stored"])).otherwise(chosen)
-        out = F.array_append(state["out"], F.struct(r["run"].alias("run"), state["stored"].alias("entering")))
-        return F.struct(leaving.alias("stored"), out.alias("out"))
-
-    return chained.select("url", "js_render", F.inline(F.aggregate("runs", start, step)["out"]))
-
 
 def _micros(log: DataFrame, column: str) -> Column:
     """Microseconds since 1970, also of a timestamp without a time zone."""
@@ -310,7 +327,7 @@ def reuse_log(
     )
     runs = sorted_runs(base.filter(~F.col("bypass")).drop("bypass"), ["url", "js_render"], ["t", key], partitions)
     entering = _entering_captures(runs, ttl)
-    later = entering.filter(F.col("entering").isNotNull())
+    later = entering.filter(F.col("entering") != NOTHING)
     entered = _enter(runs, later, ["url", "js_render"], F.lit(NOTHING))
     kind = base.schema[key].dataType.simpleString()
     applied = entered.select(key, "url", "js_render", "t", "run", "entering").mapInPandas(
