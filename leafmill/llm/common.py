@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +53,8 @@ def ascii_words(text: bytes | None, lower: bool = False) -> list[bytes]:
     return (text.translate(LOWER) if lower else text).split()
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def hashes(words: Iterable[bytes], size: int | None = None) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words) if size is None else size)
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:

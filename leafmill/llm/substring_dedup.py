@@ -5,13 +5,14 @@ with a smaller id. Broadcasting an automaton of every shard of the corpus to eve
 times corpus, so texts meet only the shard that can match them:
 
 1. Every window has an anchor, its least hashed run of ``ANCHOR`` words, the same wherever the window stands.
+   The windows around one occurrence of it make a passage of at most 20 words, kept as a hash of 64 bits beside its anchor's.
    Anchors of one document only are dropped by an aggregate with partial sums.
-2. For the rest, the stretch of text whose windows have that anchor (a passage, at most 20 words) is
-   routed by its anchor. Equal passages are one row with its smallest id, so a hot group of copies is one
-   reference. An anchor of very many documents is routed window by window instead.
-3. A shard is a run of routes of bounded size. Its automaton knows for each state the smallest id
-   of the passages it occurs in; passages stream through it, and wherever the match is long enough the state of
-   the last ``WINDOW`` words gives the smallest id that has that window.
+2. Equal passages are one reference with their smallest id, so a hot group of copies is one row. Words are
+   fetched only for anchors with several different passages, once for each, from the document that has it first.
+3. A shard is a run of anchors of bounded size. Its automaton knows for each state the smallest id
+   of the passages it occurs in; the passages stream through it, and wherever the match is long enough the state of
+   the last ``WINDOW`` words gives the smallest id that has that window. An anchor with very many different
+   passages is not one task's: its windows are grouped each by itself.
 4. The windows found go back to their documents; maximal spans of covered words are removed.
 """
 
@@ -21,8 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import arrow_rows, ascii_words, free_name, gram_hashes, hashes, map_arrow, release, written
@@ -31,7 +31,7 @@ from leafmill.llm.decontamination import SuffixAutomaton
 WINDOW = 13
 ANCHOR = 6
 SHARD_WORDS = 20_000
-HOT = 5_000  # documents of an anchor from which its windows are routed each by itself
+HOT = 5_000  # different passages of an anchor from which its windows are grouped each by itself
 
 
 def anchored(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,52 +47,52 @@ def anchored(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarra
     return grams[place[first]], first, last
 
 
+def _text_hash(text_col: str) -> Column:
+    """Tells apart different texts that share an id."""
+    return F.hash(F.col(text_col).cast("string"))
+
+
 def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
-def _anchors(documents: DataFrame, window: int) -> DataFrame:
+def _occurrences(documents: DataFrame, window: int) -> DataFrame:
+    """Each anchor occurrence of each document: the hash of its passage, and where its ``more + 1`` windows start."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, ids, keys = [np.empty(0, np.uint64)], [], []
+            parts: list[tuple] = []
             for doc, key, text in arrow_rows(batch, "id", "th", "text"):
-                a = np.unique(anchored(hashes(ascii_words(text)), window)[0])
-                found.append(a)
-                ids.append(np.full(len(a), doc, np.int64))
-                keys.append(np.full(len(a), key, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate(found)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["anchor", "id", "th"]
-                )
+                words = ascii_words(text)
+                anchors, first, last = anchored(hashes(words), window)
+                if not len(anchors):
+                    continue
+                passages = (b" ".join(words[i : j + window]) for i, j in zip(first.tolist(), last.tolist(), strict=True))
+                parts.append((anchors, hashes(passages, len(anchors)), np.full(len(anchors), doc, np.int64), np.full(len(anchors), key, np.int32), first.astype(np.int32), (last - first).astype(np.int8)))
+            if parts:
+                anchors, owns, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([_signed(anchors), _signed(owns), *map(pa.array, rest)], names=["anchor", "own", "id", "th", "start", "more"])
 
-    return map_arrow(documents, scan, "anchor long, id long, th long")
+    return map_arrow(documents, scan, "anchor long, own long, id long, th int, start int, more byte")
 
 
 def _passages(documents: DataFrame, window: int) -> DataFrame:
-    """The passages of the marked anchors: where they start, their route, their own hash, and their words."""
+    """The words of the wanted passages, by (anchor, own), of each document: ``wanted`` has the starts and lengths."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, key, text, marks, hot in arrow_rows(batch, "id", "th", "text", "marks", "hot"):
-                marks, hot = set(marks), set(hot)
+            for text, wanted in arrow_rows(batch, "text", "wanted"):
                 words = ascii_words(text)
-                anchors, first, last = anchored(hashes(words), window)
-                for a, i, j in zip(anchors.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
-                    if a not in marks:
-                        continue
-                    for s, e in ((k, k) for k in range(i, j + 1)) if a in hot else ((i, j),):
-                        passage = b" ".join(words[s : e + window])
-                        own = xxhash.xxh3_64_intdigest(passage)
-                        rows.append((doc, key, s, xxhash.xxh3_64_intdigest(passage, 1) if a in hot else a & 0xFFFFFFFFFFFFFFFF, own, passage))
+                rows.extend((w["anchor"], w["own"], w["least"], b" ".join(words[w["start"] : w["start"] + w["more"] + window])) for w in wanted)
             if rows:
-                ids, keys, starts, routes, owns, texts = zip(*rows, strict=True)
+                anchors, owns, least, texts = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), _signed(routes), _signed(owns), pa.array(texts, pa.binary()).cast(pa.string())],
-                    names=["id", "th", "start", "route", "own", "passage"],
+                    [pa.array(anchors, pa.int64()), pa.array(owns, pa.int64()), pa.array(least, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
+                    names=["anchor", "own", "least", "passage"],
                 )
 
-    return map_arrow(documents, scan, "id long, th long, start int, route long, own long, passage string")
+    return map_arrow(documents, scan, "anchor long, own long, least long, passage string")
 
 
 class Shard:
@@ -120,65 +120,74 @@ class Shard:
         return [self.least[self.machine.holding(state, self.window)] for state, length in self.machine.matches(tokens) if length >= self.window]
 
 
-def _owners(distinct: DataFrame, window: int) -> DataFrame:
-    """For each different passage of a route, the smallest id of each of its windows."""
-
-    def answer(rows: list[tuple]) -> tuple[list, list, list]:
-        routes, owns, mins = [], [], []
-        shard, alone = [], []
-        for k, row in enumerate(rows):
-            # A passage alone on its route can match itself only.
-            single = (k == 0 or rows[k - 1][0] != row[0]) and (k + 1 == len(rows) or rows[k + 1][0] != row[0])
-            (alone if single else shard).append((row, row[2].split(b" ")))
-        for (route, own, _, doc), words in alone:
-            routes.append(route), owns.append(own), mins.append([doc] * (len(words) - window + 1))
-        if shard:
-            built = Shard([(row[3], words) for row, words in shard], window)
-            for ((route, own, _, _), _), (_, tokens) in zip(shard, built.coded, strict=True):
-                routes.append(route), owns.append(own), mins.append(built.owners(tokens))
-        return routes, owns, mins
+def _owners(passages: DataFrame, window: int) -> DataFrame:
+    """For each different passage, the smallest id of each of its windows, from the automaton of its shard."""
+
+    def answer(rows: list[tuple]) -> pa.RecordBatch:
+        shard = Shard([(least, text.split(b" ")) for _, _, least, text in rows], window)
+        mins = [shard.owners(tokens) for _, tokens in shard.coded]
+        anchors, owns, *_ = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(owns, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], names=["anchor", "own", "mins"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        size = 0
         for batch in batches:
-            for row in arrow_rows(batch, "route", "own", "passage", "least"):
-                if size >= SHARD_WORDS and row[0] != rows[-1][0]:
-                    yield as_batch(answer(rows))
-                    rows, size = [], 0
+            for row in arrow_rows(batch, "anchor", "own", "least", "passage"):
+                if len(rows) * window >= SHARD_WORDS and row[0] != rows[-1][0]:
+                    yield answer(rows)
+                    rows = []
                 rows.append(row)
-                size += 2 * window
         if rows:
-            yield as_batch(answer(rows))
+            yield answer(rows)
 
-    def as_batch(out: tuple[list, list, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["route", "own", "mins"])
+    return map_arrow(passages.repartition("anchor").sortWithinPartitions("anchor"), scan, "anchor long, own long, mins array<long>")
 
-    return map_arrow(distinct.repartition("route").sortWithinPartitions("route"), scan, "route long, own long, mins array<long>")
 
+def _window_owners(passages: DataFrame, window: int) -> DataFrame:
+    """The same for anchors with very many different passages: each window goes its own way, so no task gets them all."""
+    words = F.split("passage", " ")
+    starts = F.sequence(F.lit(1), F.size(words) - window + 1)
+    cut = passages.select("anchor", "own", "least", F.posexplode(F.transform(starts, lambda k: F.array_join(F.slice(words, k, window), " "))).alias("k", "w"))
+    least = cut.groupBy("w").agg(F.min("least").alias("m"))
+    per = cut.join(least, "w").groupBy("anchor", "own").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("all"))
+    return per.select("anchor", "own", F.col("all.m").alias("mins"))
 
-def repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+
+def repeated_windows(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(id, th, starts): the windows of each (id, text hash) that also start in a document with a smaller id."""
     spark = documents.sparkSession
     known = documents.filter("id is not null and text is not null")
-    anchors = _anchors(known, window)
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    shared = written(shared.select("anchor", (F.col("n") >= HOT).alias("hot")), "anchors")
+    every = _occurrences(known, window)
+    shared = every.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("anchor")
+    shared = written(shared, "anchors")
     release(spark)
-    marks = anchors.join(shared, "anchor").groupBy("id", "th").agg(
-        F.collect_set("anchor").alias("marks"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
-    )
-    marks = written(marks, "marks")
+    every = written(every.join(shared, "anchor"), "occurrences")
     release(spark)
-    occurrences = written(_passages(known.join(marks, ["id", "th"]), window), "passages")
+    # Equal passages are one reference, that of the smallest id. A passage alone on its anchor can match only itself.
+    distinct = written(every.groupBy("anchor", "own").agg(F.min("id").alias("least")), "passages")
     release(spark)
-    distinct = occurrences.groupBy("route", "own", "passage").agg(F.min("id").alias("least"))
-    found = occurrences.select("id", "th", "start", "route", "own").join(_owners(distinct, window), ["route", "own"])
-    later = found.withColumn("later", F.transform("mins", lambda m: m < F.col("id"))).filter(F.exists("later", lambda x: x))
-    starts = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("later") - 1), lambda k: F.element_at("later", k + 1)), lambda k: k + F.col("start")
+    variants = written(distinct.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1"), "variants")
+    first = every.join(distinct.join(variants, "anchor"), ["anchor", "own"]).filter("id = least")
+    first = first.groupBy("anchor", "own", "variants").agg(F.min(F.struct("id", "th", "start", "more")).alias("at"))
+    wanted = first.groupBy("at.id", "at.th").agg(
+        F.collect_list(F.struct("anchor", "own", F.col("at.id").alias("least"), "at.start", F.col("at.more").cast("int").alias("more"))).alias("wanted")
     )
-    gone = written(later.groupBy("id", "th").agg(F.flatten(F.collect_set(starts)).alias("starts")), "windows")
+    wanted = written(wanted, "wanted")
+    release(spark)
+    texts = written(_passages(known.join(wanted, ["id", "th"]), window).join(variants, "anchor"), "references")
+    release(spark)
+    owners = _owners(texts.filter(F.col("variants") < hot).drop("variants"), window)
+    owners = owners.unionByName(_window_owners(texts.filter(F.col("variants") >= hot).drop("variants"), window))
+    owners = written(owners, "owners")
+    release(spark)
+    owners = distinct.join(owners, ["anchor", "own"], "left")
+    found = every.join(owners, ["anchor", "own"])
+    windows = F.sequence(F.lit(0), F.col("more").cast("int"))
+    repeated = F.filter(windows, lambda k: F.coalesce(F.element_at("mins", k + 1), F.col("least")) < F.col("id"))
+    found = found.withColumn("repeated", F.when(F.col("mins").isNull() & (F.col("least") < F.col("id")), windows).when(F.col("mins").isNotNull(), repeated))
+    starts = F.transform("repeated", lambda k: k + F.col("start"))
+    gone = found.filter(F.size("repeated") > 0).groupBy("id", "th").agg(F.flatten(F.collect_list(starts)).alias("starts"))
+    gone = written(gone, "windows")
     release(spark)
     return gone
 
@@ -194,10 +203,10 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     whole; an empty table gives an empty one.
     """
     plain = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    gone = repeated_windows(plain.withColumn("th", F.xxhash64("text")), window)
+    gone = repeated_windows(plain.withColumn("th", _text_hash("text")), window)
     name, th, starts = free_name(documents, "repeats"), free_name(documents, "th"), free_name(documents, "starts")
     gone = gone.select(F.col("id").alias(f"{th}_id"), F.col("th").alias(f"{th}_of"), F.col("starts").alias(starts))
-    keyed = documents.withColumn(th, F.xxhash64(F.col(text_col).cast("string")))
+    keyed = documents.withColumn(th, _text_hash(text_col))
     same = (F.col(id_col).cast("long") == F.col(f"{th}_id")) & (F.col(th) == F.col(f"{th}_of"))
     joined = keyed.join(gone, same, "left").drop(th, f"{th}_id", f"{th}_of")
     return _cut(joined, documents.columns, text_col, starts, name, window)
