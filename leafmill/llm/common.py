@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafmill.session import scratch_path
 
@@ -81,8 +82,15 @@ def arrow_rows(source: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*columns, strict=True)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of few rows, so that a worker holds few texts as Python objects at a time."""
+    return df.mapInArrow(lambda batches: function(sliced(batches)), schema)
 
 
 def shards(total: float, per_shard: float) -> int:

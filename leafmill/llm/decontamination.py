@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from leafmill.llm.common import arrow_rows, free_name, shards
+from leafmill.llm.common import arrow_rows, free_name, map_arrow, shards
 
 WINDOW = 13
 SHARD_WORDS = 200_000
@@ -188,8 +189,6 @@ _HITS = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<int>
 
 
 def _pass(df: DataFrame, kept: list[str], name: str, shard: list, text_col: str, window: int, first: bool) -> DataFrame:
-    from pyspark.sql.types import StructType
-
     shared = df.sparkSession.sparkContext.broadcast(shard)
     schema = StructType([f for f in df.schema.fields if f.name != name]).add(name, StructType.fromDDL(f"h {_HITS}")["h"].dataType)
 
@@ -212,7 +211,7 @@ def _pass(df: DataFrame, kept: list[str], name: str, shard: list, text_col: str,
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], names=[*kept, name])
 
-    return df.mapInArrow(scan, schema)
+    return map_arrow(df, scan, schema)
 
 
 def cut_hits(documents: DataFrame, hits: str, text_col: str = "text") -> DataFrame:
@@ -220,8 +219,6 @@ def cut_hits(documents: DataFrame, hits: str, text_col: str = "text") -> DataFra
 
     Texts without hits stay as they are, octet for octet.
     """
-    from pyspark.sql.types import StructType
-
     schema = StructType(documents.schema.fields)
     names = documents.columns
 
@@ -236,7 +233,7 @@ def cut_hits(documents: DataFrame, hits: str, text_col: str = "text") -> DataFra
             columns[at] = pa.array([None if t is None else t.decode() for t in texts], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return documents.mapInArrow(cut, schema)
+    return map_arrow(documents, cut, schema)
 
 
 def without(text: bytes, spans: list[int]) -> bytes:

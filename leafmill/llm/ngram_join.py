@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import arrow_rows, ascii_words, components, gram_hashes, hashes, map_arrow, octets, release, written
+from leafmill.llm.common import ascii_words, components, gram_hashes, hashes, map_arrow, octets, release, written
 
 WORDS = 5
 PERCENT = 75
@@ -44,31 +44,39 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def _signatures(documents: DataFrame, n: int, seed: int) -> DataFrame:
+    """Each document's set: size, two signatures and a sketch; and, once a task, what it adds to the frequency table.
+
+    The sketch is how many shingles fall into each of ``SKETCH`` classes, at most 255. The frequency table counts the
+    shingles of all documents by hash class, so it has the same size whatever the corpus.
+    """
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CLASSES, np.uint64)
         for batch in batches:
-            sizes, sigs, checks = [], [], []
-            for text in octets(batch.column(1)):
+            sizes, sigs, checks, sketches = [], [], [], []
+            for text in octets(batch.column(2)):
                 s = shingle_set(text, n)
                 raw = s.tobytes()
+                np.add.at(counts, (s & np.uint64(CLASSES - 1)).astype(np.int64), np.uint64(1))
                 sizes.append(len(s))
                 sigs.append(xxhash.xxh3_64_intdigest(raw, 2 * seed) if len(s) else None)
                 checks.append(xxhash.xxh3_64_intdigest(raw, 2 * seed + 1) if len(s) else None)
+                kinds = np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
+                sketches.append(np.minimum(kinds, 255).astype(np.uint8).tobytes() if len(s) else None)
             signed = [pa.array(x, pa.uint64()).view(pa.int64()) for x in (sigs, checks)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *signed], names=["id", "n", "sig", "chk"])
-
-    return map_arrow(documents, scan, "id long, n long, sig long, chk long")
+            nothing = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *signed, pa.array(sketches, pa.binary()), *nothing], names=names)
+        if counts.any():
+            parts = counts.reshape(CHUNKS, -1)
+            rest = [pa.nulls(CHUNKS, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
+    names = ["id", "th", "n", "sig", "chk", "sketch", "chunk", "counts"]
+    return map_arrow(documents, scan, "id long, th int, n long, sig long, chk long, sketch binary, chunk int, counts binary")
 
-def _frequencies(documents: DataFrame, n: int) -> np.ndarray:
-    """How often the shingles of each hash class occur in all documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CLASSES, np.uint64)
-        for batch in batches:
-            for text in octets(batch.column(1)):
-                np.add.at(counts, (shingle_set(text, n) & np.uint64(CLASSES - 1)).astype(np.int64), np.uint64(1))
-        if counts.any():
-            yield from _chunks(counts)
+def _frequencies(parts: DataFrame) -> np.ndarray:
+    """How often the shingles of each hash class occur in all documents: the tasks' counts, added up chunk by chunk."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -81,18 +89,11 @@ def _frequencies(documents: DataFrame, n: int) -> np.ndarray:
 
     schema = "chunk int, counts binary"
     out = np.zeros(CLASSES, np.uint64).reshape(CHUNKS, -1)
-    for row in map_arrow(map_arrow(documents, count, schema).repartition(CHUNKS, "chunk"), total, schema).collect():
+    for row in map_arrow(parts.select("chunk", "counts").repartition(CHUNKS, "chunk"), total, schema).collect():
         out[row["chunk"]] += np.frombuffer(bytes(row["counts"]), np.uint64)
     return out.ravel()
 
 
-def _chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    parts = counts.reshape(CHUNKS, -1)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"]
-    )
-
-
 def _prefixes(documents: DataFrame, n: int, percent: int, seed: int, counts) -> DataFrame:
     """The prefix of each different set: token, set, its size, and the token's place from 0."""
 
@@ -100,7 +101,7 @@ def _prefixes(documents: DataFrame, n: int, percent: int, seed: int, counts) ->
         often, seen = counts.value, set()
         for batch in batches:
             tokens, sets, sizes, places = [], [], [], []
-            for text in octets(batch.column(1)):
+            for text in octets(batch.column(2)):
                 s = shingle_set(text, n)
                 if not len(s):
                     continue
@@ -128,43 +129,46 @@ def _prefixes(documents: DataFrame, n: int, percent: int, seed: int, counts) ->
     return map_arrow(documents, scan, "token long, sig long, size int, place int")
 
 
-def _whole_sets(documents: DataFrame, n: int) -> DataFrame:
-    """(id, text, sig) rows to the whole set and its sketch: how many shingles fall into each of ``SKETCH`` classes."""
+def _whole_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(sig, text) rows to whole sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items, sketches = [], []
-            for text in octets(batch.column(1)):
-                s = shingle_set(text, n)
-                items.append(s.view(np.int64))
-                sketches.append(np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH).astype(np.uint16).tobytes())
+            items = [shingle_set(text, n).view(np.int64) for text in octets(batch.column(1))]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in items]))).astype(np.int32)
-            flat = np.concatenate(items) if items else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sketches, pa.binary())], names=["sig", "items", "sketch"]
-            )
-
-    return map_arrow(documents, scan, "sig long, items array<long>, sketch binary")
+            flat = np.concatenate([np.empty(0, np.int64), *items])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["sig", "items"])
 
+    return map_arrow(texts, scan, "sig long, items array<long>")
 
-def _may_link(size_a, place_a, size_b, place_b, percent: int):
-    """Length and positional filters, for columns or arrays: what is left from the common token on must allow the overlap."""
-    needed = percent * (size_a + size_b)  # overlap * (100 + percent) must reach it
-    from_a, from_b = size_a - place_a, size_b - place_b
-    return needed, from_a, from_b
 
+def _star_pairs(group: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Each prefix group's sets against its set of smallest ``rep``, where length, position and sketch allow a link.
 
-def _star_pairs(group: DataFrame, percent: int) -> DataFrame:
-    """Each prefix group's sets against its set of smallest ``rep``."""
+    An overlap o of sets of a and b makes a similarity of percent if o (100 + percent) >= percent (a + b). What
+    both have from the common token on bounds o, and 2 o = a + b - difference, which the sketches' distance bounds.
+    """
     lead = group.groupBy("token").agg(F.min("rep").alias("lead"))
     first = group.join(lead, "token").filter("rep = lead").select(
         "token", F.col("sig").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a")
     ).distinct()
     pairs = group.join(first, "token").filter("sig <> a")
-    needed, left_a, left_b = _may_link(F.col("size_a"), F.col("place_a"), F.col("size"), F.col("place"), percent)
-    fits = F.least(left_a, left_b) * (100 + percent) >= needed
-    long = F.least("size_a", "size") * 100 >= F.greatest("size_a", "size") * percent
-    return pairs.filter(fits & long).select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
+    most = F.least(F.col("size_a") - F.col("place_a"), F.col("size") - F.col("place"))
+    fits = (most * (100 + percent) >= (F.col("size_a") + F.col("size")) * percent) & (F.least("size_a", "size") * 100 >= F.greatest("size_a", "size") * percent)
+    pairs = pairs.filter(fits).select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b"), (F.col("size_a") + F.col("size")).alias("both")).distinct()
+    one = sketches.select(F.col("sig").alias("a"), F.col("sketch").alias("sketch_a"))
+    two = sketches.select(F.col("sig").alias("b"), F.col("sketch").alias("sketch_b"))
+    compared = pairs.join(one, "a").join(two, "b").select("a", "b", "both", "sketch_a", "sketch_b")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for k in (3, 4))
+            both = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            keep = (both - apart) * (100 + percent) >= 2 * percent * both
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+
+    return map_arrow(compared, scan, "a long, b long").distinct()
 
 
 def _cross_pairs(group: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +191,7 @@ def _cross_pairs(group: DataFrame, percent: int) -> DataFrame:
         if rows.num_rows < 2:
             return np.empty((0, 2), np.int64)
         sig, size, place, comp, own, p, q = (rows.column(c).to_numpy() for c in ("sig", "size", "place", "comp", "own", "p", "q"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(len(sig), SKETCH).astype(np.int16)
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(sig), SKETCH).astype(np.int16)
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
         found = []
         size, place = size.astype(np.int64), place.astype(np.int64)
@@ -241,14 +245,24 @@ def _cross_pairs(group: DataFrame, percent: int) -> DataFrame:
     return map_arrow(dealt, scan, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough; each pair is looked at once."""
+def _verified(pairs: DataFrame, source: DataFrame, owners: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough; each pair is looked at once.
+
+    ``owners`` (sig, id, th) names a document of each set; only the sets of these pairs are made.
+    """
+    pairs = written(pairs, "pairs")
+    release(source.sparkSession)
+    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    texts = source.join(owners.join(wanted, "sig"), ["id", "th"]).select("sig", "text")
+    sets = written(_whole_sets(texts, n), "whole-sets")
+    release(source.sparkSession)
     one = sets.select(F.col("sig").alias("a"), F.col("items").alias("items_a"))
     two = sets.select(F.col("sig").alias("b"), F.col("items").alias("items_b"))
-    common = F.size(F.array_intersect("items_a", "items_b"))
+    joined = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("items_a", "items_b")))
     total = F.size("items_a") + F.size("items_b") - F.col("common")
-    joined = pairs.join(one, "a").join(two, "b").withColumn("common", common)
-    return joined.filter(F.col("common") * 100 >= total * percent).select("a", "b")
+    links = written(joined.filter(F.col("common") * 100 >= total * percent).select("a", "b").distinct(), "links")
+    release(source.sparkSession)
+    return links
 
 
 def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -261,36 +275,34 @@ def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     has a null component. Other columns are ignored; an empty table gives an empty one.
     """
     spark: SparkSession = documents.sparkSession
-    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = documents.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
     seed = 0
     while True:
         signed = written(_signatures(source, n, seed), "signatures")
+        frequent, signed = signed.filter("chunk is not null"), signed.filter("chunk is null").drop("chunk", "counts")
         known = signed.filter("sig is not null and id is not null")
         reps = written(known.groupBy("sig").agg(F.min("id").alias("rep"), F.min("chk").alias("lo"), F.max("chk").alias("hi")), "sets")
         if reps.filter("lo <> hi").isEmpty():
             break
         seed += 1  # two different sets had one signature
     reps = reps.select("sig", "rep")
-    texts = source.filter("id is not null")
-    counts = spark.sparkContext.broadcast(_frequencies(texts, n))
-    prefixes = _prefixes(texts, n, percent, seed, counts)
+    counts = spark.sparkContext.broadcast(_frequencies(frequent))
+    prefixes = written(_prefixes(source.filter("id is not null"), n, percent, seed, counts), "prefixes")
     shared = prefixes.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("token")
     shared = written(shared, "tokens")
     release(spark)
-    group = written(prefixes.join(shared, "token").distinct().join(reps, "sig"), "prefixes")
-    release(spark)
-    wanted = group.select("sig", "rep").distinct()
-    marked = signed.select("id", "sig").distinct().join(wanted, "sig").filter("id = rep").select("id", F.col("sig"))
-    sets = written(_whole_sets(_texts_of(source, marked, seed, n), n).dropDuplicates(["sig"]), "whole-sets")
+    group = written(prefixes.join(shared, "token").distinct().join(reps, "sig"), "groups")
     release(spark)
+    owners = known.join(group.select("sig", "rep").distinct(), "sig").filter("id = rep").groupBy("sig", "id").agg(F.min("th").alias("th"), F.min("sketch").alias("sketch"))
+    owners = written(owners, "owners")
+    sketches, owners = owners.select("sig", "sketch"), owners.select("sig", "id", "th")
 
-    links = written(_verified(_star_pairs(group, percent), sets, percent), "star-links")
-    comps = components(links)
-    labelled = group.join(comps.withColumnsRenamed({"node": "sig", "root": "comp"}), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    links = _verified(_star_pairs(group, sketches, percent), source, owners, n, percent)
+    comps = components(links).withColumnsRenamed({"node": "sig", "root": "comp"})
+    labelled = written(group.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "labelled")
     mixed = labelled.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    crossing = labelled.join(mixed.select("token", "n"), "token").join(sets.select("sig", "sketch"), "sig")
-    more = _verified(_cross_pairs(crossing, percent), sets, percent)
-    links = links.unionByName(more)
+    crossing = labelled.join(mixed.select("token", "n"), "token").join(sketches, "sig")
+    links = links.unionByName(_verified(_cross_pairs(crossing, percent), source, owners, n, percent))
 
     one = reps.withColumnsRenamed({"sig": "a", "rep": "rep_a"})
     two = reps.withColumnsRenamed({"sig": "b", "rep": "rep_b"})
@@ -300,18 +312,3 @@ def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     out = signed.join(classes, "sig", "left")
     mine = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), mine.alias("component_id"))
-
-
-def _texts_of(source: DataFrame, marked: DataFrame, seed: int, n: int) -> DataFrame:
-    """(id, text, sig) of one document for each wanted set; an id may have several texts, so the set decides."""
-    joined = source.join(marked, "id").select("id", "text", "sig")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [
-                bool(text) and np.uint64(xxhash.xxh3_64_intdigest(shingle_set(text, n).tobytes(), 2 * seed)).view(np.int64) == sig
-                for text, sig in arrow_rows(batch, "text", "sig")
-            ]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(joined, scan, "id long, text string, sig long")

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafmill.llm.common import arrow_rows, ascii_words, free_name, gram_hashes, hashes, map_arrow, release, written
 from leafmill.llm.decontamination import SuffixAutomaton
@@ -213,8 +214,6 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _cut(joined: DataFrame, names: list[str], text_col: str, starts: str, name: str, window: int) -> DataFrame:
-    from pyspark.sql.types import StructType
-
     kind = "struct<n_words:bigint,n_removed:bigint,kept:string>"
     schema = StructType([f for f in joined.schema.fields if f.name != starts]).add(name, StructType.fromDDL(f"r {kind}")["r"].dataType)
 
@@ -240,4 +239,4 @@ def _cut(joined: DataFrame, names: list[str], text_col: str, starts: str, name:
             )
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), out], names=[*names, name])
 
-    return joined.mapInArrow(scan, schema)
+    return map_arrow(joined, scan, schema)
