@@ -88,3 +88,79 @@ def near(rows):
                     ra, rb = root(a), root(b)
                     parent[max(ra, rb)] = min(ra, rb)
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def archives(rows):
+    """(page_id, html) rows to {page_id: (bytes, digest, type, refers_to)}; ids are unique here."""
+    first = {}
+    for page, html in rows:
+        raw = (html or "").encode()
+        if len(raw) >= 100:
+            first[raw] = min(page, first.get(raw, page))
+    out = {}
+    for page, html in rows:
+        raw = (html or "").encode()
+        to = first.get(raw, page)
+        out[page] = (len(raw), hashlib.sha256(raw).hexdigest(), "response" if to == page else "revisit", None if to == page else to)
+    return out
+
+
+def chats(rows):
+    """(conv, turn, role, text) rows to {conv: (n_turns, turns digest, loss_chars, loss digest)}."""
+    by = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        by.setdefault(conv, []).append((role or "", text or ""))
+    out = {}
+    for conv, turns in by.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        out[conv] = (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss))
+    return out
+
+
+def nearest(vectors, k=5):
+    """{id: vector} to {query: [ids]} for the ids divisible by 50, by exact cosine."""
+    import numpy as np
+
+    ids = np.array(sorted(vectors))
+    m = np.array([vectors[i] for i in ids], dtype=np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    out = {}
+    for at in np.flatnonzero(ids % 50 == 0):
+        scores = m @ m[at]
+        order = [j for j in np.lexsort((ids, -scores)) if j != at][:k]
+        out[int(ids[at])] = [int(ids[j]) for j in order]
+    return out
+
+
+def packing_faults(rows, documents, capacity):
+    """What is wrong with a packing: rows (doc_id, piece, start, n_words, bin_id, bin_offset), documents {id: (words, source, cluster)}."""
+    faults, words, bins = [], {}, {}
+    for doc, piece, start, n, number, at in rows:
+        words.setdefault(doc, []).append((start, n))
+        if number is None:
+            if n:
+                faults.append(("no bin", doc))
+            continue
+        bins.setdefault(number, []).append((at, n, doc))
+    for doc, (n, _, _) in documents.items():
+        end = 0
+        for start, size in sorted(words.get(doc, [])):
+            if start != end:
+                faults.append(("gap", doc))
+            end = start + size
+        if end != n:
+            faults.append(("words", doc, n, end))
+    for number, parts in bins.items():
+        end = 0
+        for at, n, _ in sorted(parts):
+            if at != end:
+                faults.append(("offset", number))
+            end = at + n
+        if end > capacity:
+            faults.append(("capacity", number))
+        docs = [d for _, _, d in parts]
+        for what in (1, 2):
+            kinds = [documents[d][what] for d in docs if documents[d][what] is not None]
+            if len(kinds) != len(set(kinds)):
+                faults.append(("conflict", number, what))
+    return faults
