@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontamination, hamming_index, ngram_join, packing, quality, substring_dedup, warc
+from leafmill.llm import chat, decontamination, hamming_index, html_text, ngram_join, packing, pii, quality, substring_dedup, warc
 from leafmill.plans.registry import query
 from leafmill.plans.views import table
 
@@ -38,6 +38,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_pii_boosting")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(documents, pii.fit_on(documents))
+    count = lambda kind: F.size(F.filter("personal.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, ("email", "ip", "card", "phone")), hexed(pii.listed(F.col("personal.base"))).alias("base_sha256"), pii.listed(F.col("personal.spans")).alias("spans")
+    )
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bin and place of every piece of every document."""
@@ -80,3 +91,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of each document under links of similarity 0.75 or more."""
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.fit_on(pages)).withColumn("n_chars", F.length("text").cast("long"))

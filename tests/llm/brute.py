@@ -164,3 +164,27 @@ def packing_faults(rows, documents, capacity):
             if len(kinds) != len(set(kinds)):
                 faults.append(("conflict", number, what))
     return faults
+
+
+KINDS = ("email", "ip", "card", "phone")
+
+
+def personal(text):
+    """(counts by kind, digest) of the base spans of a text."""
+    text = text or ""
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        found.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            found.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c in "0123456789"]
+        if 12 <= len(d) <= 19 and sum(sum(divmod(2 * x, 10)) if k % 2 else x for k, x in enumerate(reversed(d))) % 10 == 0:
+            found.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c in "0123456789" for c in m.group()) <= 15:
+            found.append((m.start(), 3, m.end()))
+    found.sort()
+    said = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
+    return (*(sum(k == i for _, k, _ in found) for i in range(4)), sha(said)), said
