@@ -25,6 +25,7 @@ from leafmill.llm.common import arrow_rows, free_name, map_arrow, octets
 BUCKETS = 1 << 18
 SAMPLE = 12_000  # rated documents that the model is fitted on, at most
 EPOCHS = 12
+LEAST_STEPS = 1_500  # a small sample is gone through more often
 KEEP_AT = 0.5  # documents stay from this probability of the wanted grade
 
 _PARTS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
@@ -79,7 +80,8 @@ def fit(found: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int
     def thresholds() -> np.ndarray:
         return theta[0] + np.concatenate(([0.0], np.cumsum(np.exp(theta[1:]))))
 
-    for _ in range(epochs if len(found) else 0):
+    rounds = max(epochs, -(-LEAST_STEPS * 64 // len(found))) if len(found) else 0
+    for _ in range(rounds):
         order = rng.permutation(len(found))
         for start in range(0, len(order), 64):
             rows = order[start : start + 64]
