@@ -24,7 +24,7 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+ENTITY = r"&(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 _ENTITY = quote(ENTITY)
 # Named character references of HTML 4, from the standard library, as one constant map.
 NAMED = {**{name: chr(point) for name, point in name2codepoint.items()}, "apos": "'"}

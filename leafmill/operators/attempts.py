@@ -12,8 +12,8 @@ from leafmill.operators.signals import block_reason
 EXHAUSTED = "impersonate:exhausted"
 
 
-def first_usable_response(attempts: DataFrame, sources: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(responses, errors) per request, trying its ``sources`` in attempt order.
+def first_usable_response(attempts: DataFrame, sources: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(responses, errors) per request, trying all its sources in attempt order, or the first ``sources``.
 
     Busy statuses and bodies that are not JSON are passed over; another status is a
     hard error at once; when every source was passed over the error lists each problem.
@@ -36,7 +36,8 @@ def first_usable_response(attempts: DataFrame, sources: int = 3) -> tuple[DataFr
         .when(busy, F.concat(F.lit(": HTTP "), status.cast("string")))
         .otherwise(": non-JSON response"),
     )
-    judged = attempts.filter(attempt <= sources).withColumns({"__outcome": outcome, "__problem": problem})
+    tried = attempts if sources is None else attempts.filter(attempt <= sources)
+    judged = tried.withColumns({"__outcome": outcome, "__problem": problem})
     ends = F.when(F.col("__outcome") != "pass", attempt)
     answer = F.struct("__outcome", "host", "status_code", F.when(F.col("__outcome") == "ok", F.col("body")).alias("body"))
     skipped = F.when(F.col("__outcome") == "pass", F.struct(attempt.alias("a"), F.col("__problem").alias("p")))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.numbers import catalog_number
 
-# Paging rule of the catalogue endpoint.
-PAGE_SIZE, MAX_PAGES = 250, 100
+# Fixed value: items of a full page of the catalogue endpoint.
+PAGE_SIZE = 250
 
 PRODUCTS = (
     "struct<products:array<struct<id:bigint,title:string,handle:string,vendor:string,product_type:string,"
@@ -34,13 +34,12 @@ def page_series(
 ) -> tuple[DataFrame, DataFrame]:
     """(items, errors) of each store's captured pages, read in page order.
 
-    Reading stops after a short page, before an empty or uncaptured one, once ``limit``
-    items are in, or at the 100th page. A 404, another refusal or a body that is not
-    JSON on a page that is reached makes the whole store an error.
+    Reading stops after a short page, before an empty or uncaptured one, or once ``limit``
+    items are in. A 404, another refusal or a body that is not JSON on a page that is reached
+    makes the whole store an error.
 
-    Only page numbers, sizes and states are gathered per store, never more than
-    ``MAX_PAGES`` of them. Bodies stay where they were scanned and meet the per-store
-    verdict, one small row a store, in a join.
+    Page numbers, sizes and states are all that is ordered per store, in a window over slim
+    rows. Bodies stay where they were scanned and meet the verdict on their page in a join.
     """
     body = F.col("body")
     parsed = F.when(F.col("status_code") == 200, F.try_parse_json(body))
@@ -50,55 +49,31 @@ def page_series(
         .when(F.col("status_code") != 200, F.concat(F.lit("http_"), F.col("status_code").cast("string")))
         .when(parsed.isNull(), F.lit("not_json"))
     )
-    read = pages.filter(F.col("page").between(1, MAX_PAGES)).select(
+    read = pages.filter(F.col("page") >= 1).select(
         "store_url", F.col("page").cast("int").alias("page"), problem.alias("problem"), items.alias("items")
     )
     sizes = read.groupBy("store_url", "page").agg(
         F.max(F.coalesce(F.size("items"), F.lit(0))).alias("n"), F.max("problem").alias("problem")
     )
-    verdicts = (
-        sizes.groupBy("store_url")
-        .agg(F.sort_array(F.collect_list(F.struct("page", "n", "problem"))).alias("seen"))
-        .select("store_url", _verdict("seen", page_size, limit).alias("v"))
-        .select("store_url", "v.*")
-    )
-    errors = verdicts.filter(F.col("problem").isNotNull()).select("store_url", _message(key).alias("error"))
-    good = verdicts.filter(F.col("problem").isNull()).select("store_url", "last_page", "starts")
-    kept = read.join(good, "store_url").filter(F.col("page") <= F.col("last_page"))
-    rows = kept.select(
-        "store_url", "page", F.get("starts", F.col("page") - 1).alias("start"), F.posexplode("items").alias("i", "item")
+    by_page = Window.partitionBy("store_url").orderBy("page")
+    earlier = by_page.rowsBetween(Window.unboundedPreceding, -1)
+    last = (F.col("n") < page_size) | F.col("problem").isNotNull()
+    placed = sizes.select(
+        "store_url", "page", "n", "problem", F.row_number().over(by_page).alias("rank"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"), F.coalesce(F.max(last).over(earlier), F.lit(False)).alias("ended"),
     )
+    # Pages are numbered from 1 without a gap as long as a page's number is its rank.
+    reached = placed.filter((F.col("page") == F.col("rank")) & ~F.col("ended"))
+    if limit is not None:
+        reached = reached.filter(F.col("start") < limit)
+    failed = reached.filter(F.col("problem").isNotNull())
+    errors = failed.select("store_url", _message(key).alias("error"))
+    good = reached.filter(F.col("problem").isNull()).join(failed.select("store_url"), "store_url", "left_anti")
+    kept = read.join(good.select("store_url", "page", "start"), ["store_url", "page"])
+    rows = kept.select("store_url", "page", "start", F.posexplode("items").alias("i", "item"))
     if limit is not None:
         rows = rows.filter(F.col("start") + F.col("i") < limit)
-    return rows.select("store_url", "page", (F.col("start") + F.col("i")).alias("pos"), "item"), errors
-
-
-def _verdict(seen: str, page_size: int, limit: int | None) -> Column:
-    """Fold a store's pages in order into the last page read, item offsets and any problem."""
-    state = "struct<done:boolean,last_page:int,total:int,problem:string,starts:array<int>>"
-    start = F.struct(
-        F.lit(False).alias("done"), F.lit(0).alias("last_page"), F.lit(0).alias("total"),
-        F.lit(None).cast("string").alias("problem"), F.array().cast("array<int>").alias("starts"),
-    ).cast(state)
-
-    def step(s: Column, p: Column) -> Column:
-        gap = p["page"] != s["last_page"] + 1
-        total = s["total"] + p["n"]
-        full = total >= limit if limit is not None else F.lit(False)
-        taken = F.struct(
-            ((p["n"] < page_size) | full).alias("done"), p["page"].alias("last_page"), total.alias("total"),
-            s["problem"].alias("problem"), F.array_append(s["starts"], s["total"]).alias("starts"),
-        ).cast(state)
-        stopped = s.withField("done", F.lit(True))
-        return (
-            F.when(s["done"], s)
-            .when(gap, stopped)
-            .when(p["problem"].isNotNull(), stopped.withField("problem", p["problem"]))
-            .when(p["n"] == 0, stopped)
-            .otherwise(taken)
-        )
-
-    return F.aggregate(seen, start, step)
+    return rows.select("store_url", "page", (F.col("start") + F.col("i")).cast("int").alias("pos"), "item"), errors
 
 
 def _message(key: str) -> Column:

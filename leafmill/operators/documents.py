@@ -52,11 +52,10 @@ def front_matter() -> Column:
 def page_document(pages: DataFrame) -> DataFrame:
     """Front matter and markdown, or a notice for a blocked page."""
     notice = F.concat(
-        F.lit("This page was blocked ("),
+        F.lit("No content: the capture is a refusal ("),
         F.col("block_reason"),
         F.lit(
-            "). The rate limiter has increased the delay for this domain; retrying later may "
-            "succeed. For challenge pages, try js_render=true."
+            "), so it has no text. Another capture of this URL may hold it."
         ),
     )
     body = F.when(F.col("blocked"), notice).otherwise(F.col("markdown"))

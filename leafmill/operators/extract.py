@@ -20,7 +20,6 @@ from leafmill.functions.text import (
     visible_text,
 )
 from leafmill.functions.urls import authority_of, is_web_url, resolve, split_url
-from leafmill.session import clamp
 
 # Patterns, limits and the social hosts.
 CONTEXT_CHARS = 60
@@ -42,7 +41,6 @@ SOCIAL_HOSTS = {
     "github.com": "github",
     "pinterest.com": "pinterest",
 }
-SEARCH_MAX = 50
 
 _ANCHOR = quote("(?is)<a" + ATTRIBUTES + r">(.*?)(?:</a\s*>|(?=<a[\s>])|\z)")
 
@@ -184,9 +182,8 @@ def has_class(attributes: str, name: str) -> str:
     return f"array_contains(split(coalesce({attribute(attributes, 'class')}, ''), {quote(r'\s+')}), {quote(name)})"
 
 
-def search_results(pages: DataFrame, limit: int = 10, carry: tuple[str, ...] = ("query",)) -> DataFrame:
+def search_results(pages: DataFrame, limit: int | None = None, carry: tuple[str, ...] = ("query",)) -> DataFrame:
     """Ranked hits of captured result pages: rank, title, url, snippet."""
-    limit = clamp(limit, 1, SEARCH_MAX)
     block = quote(r"(?is)<([a-z][a-z0-9]*)(?=[^>]*result-snippet)" + ATTRIBUTES + r">(.*?)</\1\s*>")
 
     def found(visible: str) -> str:
@@ -210,7 +207,8 @@ def search_results(pages: DataFrame, limit: int = 10, carry: tuple[str, ...] = (
         )
         return first_by(keep(hits, lambda h: f"{h}.url <> ''"), "url")
 
-    ranked = f"slice({let(let(strip_hidden('html'), found), paired)}, 1, {limit})"
+    every = let(let(strip_hidden("html"), found), paired)
+    ranked = every if limit is None else f"slice({every}, 1, {max(limit, 1)})"
     return pages.select(*carry, F.posexplode(F.expr(ranked)).alias("i", "hit")).select(
         *carry,
         (F.col("i") + 1).alias("rank"),
@@ -220,8 +218,8 @@ def search_results(pages: DataFrame, limit: int = 10, carry: tuple[str, ...] = (
     )
 
 
-def network_responses(log: DataFrame, include_types: str = "json", max_body_chars: int = 4000) -> DataFrame:
-    """Logged responses whose content type names a wanted kind, with bounded bodies."""
+def network_responses(log: DataFrame, include_types: str = "json", max_body_chars: int | None = None) -> DataFrame:
+    """Logged responses whose content type names a wanted kind, with their bodies, cut if asked."""
     kinds = [k.strip().lower() for k in include_types.split(",") if k.strip()] or ["json"]
     test = F.lit(False)
     for kind in kinds:
@@ -230,8 +228,8 @@ def network_responses(log: DataFrame, include_types: str = "json", max_body_char
     return log.filter(test).withColumns(
         {
             "size": F.length(body),
-            "body_truncated": F.length(body) > max_body_chars,
-            "body": F.left(body, F.lit(max_body_chars)),
+            "body_truncated": F.lit(False) if max_body_chars is None else F.length(body) > max_body_chars,
+            "body": body if max_body_chars is None else F.left(body, F.lit(max_body_chars)),
         }
     )
 

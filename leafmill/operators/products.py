@@ -20,7 +20,7 @@ FIELDS = {
     "sku": "STRING",
     "image": "STRING",
     "rating": "DOUBLE",
-    "review_count": "INT",
+    "review_count": "BIGINT",
     "description": "STRING",
     "source": "STRING",
 }

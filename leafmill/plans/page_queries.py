@@ -214,8 +214,8 @@ def front_matter(spark, sf):
     f"""SELECT page_id, '---' || chr(10) || 'url: ' || url || chr(10) || 'status_code: ' || CAST(status_code AS VARCHAR) || chr(10)
  || 'title: ' || CASE WHEN as_html THEN title ELSE '' END || chr(10) || 'links_count: '
  || CAST(CASE WHEN as_html THEN links ELSE 0 END AS VARCHAR) || chr(10) || 'blocked: true' || chr(10) || 'block_reason: ' || block_reason
- || chr(10) || '---' || chr(10) || chr(10) || 'This page was blocked (' || block_reason || '). The rate limiter has increased the delay '
- || 'for this domain; retrying later may succeed. For challenge pages, try js_render=true.' AS document
+ || chr(10) || '---' || chr(10) || chr(10) || 'No content: the capture is a refusal (' || block_reason
+ || '), so it has no text. Another capture of this URL may hold it.' AS document
  FROM (SELECT page_id, url, status_code, (content_type = '' OR contains(content_type, 'html')) AS as_html, {_TITLE} AS title,
  {_links('html')} AS links, {_REASON} AS block_reason FROM ({portable('captures')}) c) r WHERE block_reason IS NOT NULL""",
 )
@@ -426,7 +426,7 @@ def price_comparison(spark, sf):
  SELECT query, CAST(n AS BIGINT) AS rank, title, url, 'about ' || kind AS snippet FROM r WHERE n <= 10""",
 )
 def search_hits(spark, sf):
-    return extract.search_results(view(spark, sf, "search_pages")).withColumn("rank", F.col("rank").cast("bigint"))
+    return extract.search_results(view(spark, sf, "search_pages"), limit=10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(

@@ -106,7 +106,7 @@ PAGE = 10
 
 
 _VARIANTS = """v AS (SELECT *, 'https://store' || CAST(p_partkey % 5 AS VARCHAR) || '.example' AS store FROM part
- WHERE p_partkey % 5 < 3 AND p_partkey % 7 <> 0 AND 1 + p_partkey // 50 <= 100),
+ WHERE p_partkey % 5 < 3 AND p_partkey % 7 <> 0),
  x AS (SELECT *, 1 AS n, 1000 + p_size + 0.5 AS price FROM v UNION ALL SELECT *, 2, p_size FROM v)"""
 
 

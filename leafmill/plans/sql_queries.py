@@ -190,7 +190,4 @@ def overflow_to_table(spark, sf):
     for name in ("auto_parts", "auto_parts_2"):
         if tables.exists(name):
             tables.drop(name)
-    inline, saved = tables.emit("parts", table(spark, sf, "part").select("p_partkey", "p_name"))
-    if saved is None:
-        return spark.createDataFrame(inline, "p_partkey bigint, p_name string")
-    return tables.read(saved.name)
+    return tables.read(tables.emit("parts", table(spark, sf, "part").select("p_partkey", "p_name")).name)

@@ -106,3 +106,12 @@ def test_event_stream_survives_broken_markup():
         assert len(rows) == len(ends)
     deep, _ = markup.walk("<b>" * 5000 + "x")
     assert max(len(r[4]) for r in deep if r[0] == "open") <= markup.DEEPEST
+
+
+def test_numbers_of_pages_neither_fail_nor_mislead(spark):
+    from leafmill.functions import numbers
+
+    df = spark.createDataFrame([("10d",), ("1,299.50",), ("NaN",), (" 7 ",), ("1e3",), ("99999999999",), ("",)], "x string")
+    got = df.selectExpr(f"{numbers.catalog_number('x')} AS a", f"{numbers.price_count('x')} AS b").collect()
+    assert [r.a for r in got] == [None, 1299.5, None, 7.0, 1000.0, 99999999999.0, None]
+    assert [r.b for r in got] == [10, 1299, None, 7, 13, 99999999999, None]

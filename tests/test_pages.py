@@ -62,7 +62,7 @@ def test_split_and_document(make_pages):
     written = documents.page_document(signals.with_markdown(signals.page_signals(df))).collect()
     texts = {r.url: r.document for r in written}
     assert texts["https://a.example/"].startswith("---\nurl: https://a.example/\nstatus_code: 200\ntitle: T\nlinks_count: 1\nblocked: false\n")
-    assert "This page was blocked (challenge)" in texts["https://b.example/"]
+    assert "a refusal (challenge)" in texts["https://b.example/"]
 
 
 def test_url_schemes(make_pages):

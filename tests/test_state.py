@@ -64,10 +64,17 @@ def test_history_diffs(spark):
         assert r.added_lines == sum(x.startswith("+") and not x.startswith("+++") for x in lines)
 
 
-def test_long_diffs_are_cut_but_counted_in_full():
-    plus, minus, body = changes.line_diff("\n".join(f"a{i}" for i in range(500)), "\n".join(f"b{i}" for i in range(500)))
-    assert (plus, minus) == (500, 500)
-    assert len(body.splitlines()) == 201 and body.endswith("lines total]")
+def test_long_diffs_are_whole_unless_a_summary_is_asked_for():
+    old, new = "\n".join(f"a{i}" for i in range(500)), "\n".join(f"b{i}" for i in range(500))
+    plus, minus, body = changes.line_diff(old, new)
+    assert (plus, minus) == (500, 500) and len(body.splitlines()) == 1003
+    plus, minus, body = changes.line_diff(old, new, max_lines=200)
+    assert (plus, minus) == (500, 500) and len(body.splitlines()) == 201
+
+
+def test_checks_at_the_same_time_leave_one_snapshot(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("a", "y", 1), ("b", "z", 2)], "url string, content string, seen_at int")
+    assert sorted(r.url for r in changes.latest_snapshots(df).collect()) == ["a", "b"]
 
 
 def test_compare_advances_the_store(spark):
