@@ -46,19 +46,21 @@ def climb(messages: DataFrame) -> Paths:
     linked = messages.join(known, ["conv", "parent"], "left").select(
         "conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total")
     )
-    now = written(linked.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")), "jumps")
-    jumps = []
-    size = now.count()
-    while not now.filter("up is not null").isEmpty():
-        jumps.append(now.select("conv", "node", "up").filter("up is not null"))
+    start = written(linked.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")), "jumps")
+    done, active = start.filter("up is null"), start.filter("up is not null")
+    jumps, size = [], start.count()
+    # Each round joins only messages that have not reached their root; the others wait in ``done``.
+    while not active.isEmpty():
+        jumps.append(active.select("conv", "node", "up"))
         if 2 ** (len(jumps) - 1) > size:
             break
-        far = now.select("conv", F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("depth").alias("steps"))
-        now = now.join(far, ["conv", "up"], "left").select(
+        far = done.unionByName(active).select("conv", F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("depth").alias("steps"))
+        now = active.join(far, ["conv", "up"], "left").select(
             "conv", "node", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth")
         )
         now = written(now, "jumps")
-    return Paths(jumps, now.filter("up is null").select("conv", "node", "total", "depth"))
+        done, active = done.unionByName(now.filter("up is null")), now.filter("up is not null")
+    return Paths(jumps, done.select("conv", "node", "total", "depth"))
 
 
 def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
