@@ -93,6 +93,14 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(lambda batches: function(sliced(batches)), schema)
 
 
+def first_by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows whose key has the least hash (all rows of an equal key): keys are chosen first, so only they move."""
+    chosen = df.select(F.xxhash64(key).alias("h")).distinct().orderBy("h").limit(limit)
+    name = free_name(df, "h")
+    hashed = df.withColumn(name, F.xxhash64(key))
+    return hashed.join(F.broadcast(chosen), hashed[name] == chosen["h"], "left_semi").drop(name)  # at most ``limit`` numbers
+
+
 def shards(total: float, per_shard: float) -> int:
     """As many shards as hold ``per_shard`` each."""
     return max(1, math.ceil(total / per_shard))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.boosting import Trees, boost
-from leafmill.llm.common import arrow_rows, map_arrow
+from leafmill.llm.common import arrow_rows, first_by_hash, map_arrow
 
 SAMPLE = 100  # pages that the trees are fitted on, at most
 DRESSES = 4  # layouts made of each
@@ -329,8 +329,9 @@ def training(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Trees:
     """Trees fitted on at most ``sample`` pages, the first by the hash of their id. Without a page that has one
     article or main element, there is nothing to learn and every node is as likely as not."""
-    rows = pages.filter(F.col(html_col).isNotNull()).orderBy(F.xxhash64(id_col), F.xxhash64(html_col)).select(F.substring(html_col, 1, 200_000).alias("h")).limit(sample).collect()
-    x, y = training([r["h"] for r in rows])
+    some = first_by_hash(pages.filter(F.col(html_col).isNotNull()).select(id_col, html_col), id_col, sample)
+    rows = some.select(F.substring(html_col, 1, 200_000).alias("h")).limit(sample).collect()
+    x, y = training(sorted(r["h"] for r in rows))
     return boost(x, y, rounds=30)
 
 

@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import free_name, written
+from leafmill.llm.common import first_by_hash, free_name, written
 
 SAMPLE = 3_000  # documents with digits that the trees are fitted on, at most
 TREES, DEPTH = 8, 3
@@ -224,8 +224,8 @@ def fit_on(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     If no candidate was accepted or none refused there is nothing to learn, and the detector adds nothing.
     """
     text = F.col(text_col).cast("string").alias("text")
-    some = documents.select(F.col(id_col).alias("id"), text).filter(F.col("text").rlike("[0-9]")).orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample)
-    based = some.repartition(max(4, some.sparkSession.sparkContext.defaultParallelism), "id", "text").withColumn("base", base_spans(F.col("text")))
+    some = documents.select(F.col(id_col).alias("id"), text).filter(F.col("text").rlike("[0-9]"))
+    based = first_by_hash(some, "id", sample).withColumn("base", base_spans(F.col("text")))
     rows = based.select(F.xxhash64("id").alias("h"), F.explode(candidates(F.col("text"), F.col("base"))).alias("c")).filter("c.personal is not null")
     rows = written(rows.select("h", "c.kind", "c.x", F.col("c.personal").alias("label")).withColumn("features", F.col("x")), "candidates")
     learn, check = rows.filter("pmod(h, 3) <> 0"), rows.filter("pmod(h, 3) = 0")
