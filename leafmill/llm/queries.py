@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontamination, hamming_index, html_text, ngram_join, packing, pii, quality, substring_dedup, warc
+from leafmill.llm import chat, decontamination, hamming_index, html_text, ngram_join, packing, pii, quality, substring_dedup, twins, warc
 from leafmill.plans.registry import query
 from leafmill.plans.views import table
 
@@ -14,7 +14,7 @@ def hexed(column) -> F.Column:
     return F.sha2(column, 256)
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", twins.REPEATS)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that stay in each document once repeated windows of 13 words are removed."""
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -55,7 +55,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
-@query("op6_benchmark_decontamination")
+@query("op6_benchmark_decontamination", twins.CONTAMINATION)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document holds of the test items."""
     found = decontamination.find_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -65,13 +65,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_warc_salvage")
+@query("op7_warc_salvage", twins.ARCHIVES)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-@query("op8_reply_trees")
+@query("op8_reply_trees", twins.CHAT)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and read back from its text and mask."""
     rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "CAST(turn AS BIGINT) AS turn", "role", "text")
@@ -87,7 +87,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_ngram_jaccard_join")
+@query("op9_ngram_jaccard_join", twins.SIMILAR)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of each document under links of similarity 0.75 or more."""
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
