@@ -9,6 +9,7 @@ needs no further Python and no shuffle.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,7 +19,7 @@ from leafmill.functions.sqltext import each, keep, quote
 from leafmill.functions.text import ENTITY, NAMED, strip_space
 
 EVENTS = (
-    "array<struct<kind:string,tag:string,pos:int,parent:int,up:array<int>,attrs:map<string,string>,"
+    "array<struct<kind:string,tag:string,pos:int,parent:int,depth:int,nth:int,prev:int,last:boolean,attrs:map<string,string>,"
     "text:string,hidden:boolean,aside:boolean,pre:boolean,lists:int,item:int,end:int>>"
 )
 
@@ -44,7 +45,7 @@ ENDS_ITEM = {
 }
 ENDS_PARAGRAPH = (("p",), ("td", "th", "li", "table", "div", "section", "article", "blockquote", "body"))
 COUNTED = frozenset(("li", "tr", "td", "th"))
-DEEPEST = 256  # deeper elements become siblings, so an ancestor list stays short
+OWNERS = frozenset(("ul", "ol", "tr", "table"))
 
 
 _TOKEN = re.compile(
@@ -82,40 +83,58 @@ def _attributes(text: str) -> list[tuple[str, str]]:
 class _Open:
     """An element that is still open, with what its descendants inherit."""
 
-    __slots__ = ("tag", "pos", "up", "href", "hidden", "aside", "pre", "story", "lists", "item", "children")
+    __slots__ = ("tag", "pos", "depth", "elements", "newest", "href", "hidden", "aside", "pre", "story", "lists", "item", "children")
 
 
-_ROOT = _Open()
-_ROOT.tag, _ROOT.pos, _ROOT.up, _ROOT.href = "", -1, [], None
-_ROOT.hidden = _ROOT.aside = _ROOT.pre = _ROOT.story = False
-_ROOT.lists = _ROOT.item = _ROOT.children = 0
+def _page() -> _Open:
+    """What stands above a page's outermost elements."""
+    root = _Open()
+    root.tag, root.pos, root.depth, root.newest, root.href = "", -1, -1, -1, None
+    root.hidden = root.aside = root.pre = root.story = False
+    root.lists = root.item = root.children = root.elements = 0
+    return root
 
 
 def walk(html: str) -> tuple[list[tuple], list[int]]:
-    """Events of one page in document order, and the position each one ends at."""
+    """Events of one page in document order, and the position each one ends at.
+
+    An element knows its parent, its depth, its place among its siblings, the sibling before it and whether it is
+    the last one. Nothing it holds grows with its depth.
+    """
     rows: list[tuple] = []
     ends: list[int] = []
     stack: list[_Open] = []
-    top = _ROOT
+    top = root = _page()
+    unclosed: Counter[str] = Counter()
     pending: list[str] = []
     position, size = 0, len(html)
 
+    def settle(parent: _Open) -> None:
+        """Mark the last child of an element that has ended."""
+        if parent.newest >= 0:
+            row = rows[parent.newest]
+            rows[parent.newest] = (*row[:7], True, *row[8:])
+
     def close(depth: int) -> None:
         nonlocal top
         while len(stack) > depth:
             done = stack.pop()
+            unclosed[done.tag] -= 1
             place = len(rows)
             row = done.tag == "tr"
             link = [("href", done.href)] if done.tag == "a" and done.href is not None else None
-            top = stack[-1] if stack else _ROOT
+            top = stack[-1] if stack else root
+            settle(done)
             rows.append((
-                "close", done.tag, place, top.pos, None, link, None, done.hidden, done.aside, done.pre,
+                "close", done.tag, place, top.pos, None, None, None, None, link, None, done.hidden, done.aside, done.pre,
                 done.item if row else done.lists, done.children if row else done.item,
             ))
             ends.append(place)
             ends[done.pos] = place
 
     def close_to(tags: tuple, stops: tuple) -> None:
+        if not any(unclosed[tag] for tag in tags):
+            return
         for depth in range(len(stack) - 1, -1, -1):
             tag = stack[depth].tag
             if tag in tags:
@@ -127,7 +146,7 @@ def walk(html: str) -> tuple[list[tuple], list[int]]:
     def text(raw: str) -> None:
         place = len(rows)
         value = unescape(raw) if "&" in raw else raw
-        rows.append(("text", "", place, top.pos, None, None, value, top.hidden, top.aside, top.pre, top.lists, top.item))
+        rows.append(("text", "", place, top.pos, None, None, None, None, None, value, top.hidden, top.aside, top.pre, top.lists, top.item))
         ends.append(place)
 
     while position < size:
@@ -150,18 +169,18 @@ def walk(html: str) -> tuple[list[tuple], list[int]]:
             close_to(*ENDS_ITEM[tag])
         elif tag in BLOCK:
             close_to(*ENDS_PARAGRAPH)
-        if len(stack) >= DEEPEST and tag not in VOID:
-            close(len(stack) - 1)
         attrs = _attributes(token[3] or token[6] or "")
         place, new = len(rows), _Open()
         held = dict(attrs)
         new.tag, new.pos, new.href, new.children, new.item = tag, place, held.get("href"), 0, 0
         if tag in COUNTED:
-            owner = next((o for o in reversed(stack) if o.tag in ("ul", "ol", "tr", "table")), _Open)
-            if owner is not _Open:
+            if any(unclosed[held_by] for held_by in OWNERS):
+                owner = next(o for o in reversed(stack) if o.tag in OWNERS)
                 owner.children += 1
                 new.item = owner.children if tag != "li" or owner.tag == "ol" else 0
-        new.up = [*top.up, top.pos] if top.pos >= 0 else []
+        new.depth, new.elements, new.newest = top.depth + 1, 0, -1
+        top.elements += 1
+        before, top.newest = top.newest, place
         new.hidden = top.hidden or tag in HIDDEN
         new.pre = top.pre or tag == "pre"
         new.story = top.story or tag in ("article", "main")
@@ -174,11 +193,12 @@ def walk(html: str) -> tuple[list[tuple], list[int]]:
             and (tag == "header" or bool(ASIDE_NAMES.search(f"{held.get('id', '')} {held.get('class', '')}")))
         )
         rows.append((
-            "open", tag, place, top.pos, new.up, attrs, None, new.hidden, new.aside, new.pre, new.lists, new.item,
+            "open", tag, place, top.pos, new.depth, top.elements, before, False, attrs, None, new.hidden, new.aside, new.pre, new.lists, new.item,
         ))
         ends.append(place)
         if tag not in VOID:
             stack.append(new)
+            unclosed[tag] += 1
             top = new
             if tag in _RAW:
                 stop = _RAW[tag].search(html, position)
@@ -189,12 +209,13 @@ def walk(html: str) -> tuple[list[tuple], list[int]]:
     if pending:
         text("".join(pending))
     close(0)
+    settle(root)
     return rows, ends
 
 
 _FIELDS = [
     ("kind", pa.string()), ("tag", pa.string()), ("pos", pa.int32()), ("parent", pa.int32()),
-    ("up", pa.list_(pa.int32())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
+    ("depth", pa.int32()), ("nth", pa.int32()), ("prev", pa.int32()), ("last", pa.bool_()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
     ("hidden", pa.bool_()), ("aside", pa.bool_()), ("pre", pa.bool_()), ("lists", pa.int32()),
     ("item", pa.int32()), ("end", pa.int32()),
 ]

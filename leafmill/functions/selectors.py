@@ -1,7 +1,8 @@
-"""A CSS selector subset as predicates over the page event stream.
+"""CSS selectors as predicates over the page event stream.
 
-Supported: ``tag``, ``*``, ``.class``, ``#id``, ``[attr]``, ``[attr=v]`` (also
-``^= $= *= ~=``), descendant (space), child (``>``) and lists (``,``).
+Types, ``*``, classes, ids, attributes (``= ~= |= ^= $= *=``), the four combinators, lists, and the pseudo-classes
+``:first-child :last-child :only-child :nth-child() :not() :is() :where() :empty``. Any other pseudo-class raises
+when the plan is built; text that is no selector at all is a BadSelector.
 """
 
 from __future__ import annotations
@@ -9,27 +10,83 @@ from __future__ import annotations
 import re
 
 from leafmill.functions.markup import attr
-from leafmill.functions.sqltext import any_of, quote, some
+from leafmill.functions.sqltext import any_of, fold, quote
 
-_NAME = r"-?[A-Za-z_][\w-]*"
+_NAME = r"-{0,2}(?:[^\W\d]|\\.)(?:[\w-]|\\.)*"
+_GROUP = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
 _PART = re.compile(
-    rf"""(?P<tag>\*|{_NAME})|\.(?P<cls>{_NAME})|\#(?P<id>{_NAME})
-    |\[\s*(?P<key>[\w:-]+)\s*(?:(?P<op>[~^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[\w-]+))\s*)?\]""",
+    rf"""(?P<tag>\*|{_NAME})|\.(?P<cls>{_NAME})|\#(?P<id>{_NAME})|:(?P<pseudo>[A-Za-z-]+)(?P<group>{_GROUP})?
+    |\[\s*(?P<key>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[\w-]+))\s*)?\]""",
     re.VERBOSE,
 )
-_LIST = re.compile(r"""((?:[^,\["']|\[[^\]]*\])+)(?:,|$)""")
-_STEP = re.compile(r"""\s*>\s*|\s+|(?:\[[^\]]*\]|[^\s>\[])+""")
+_TOKEN = re.compile(
+    rf"""\s*(?P<sign>[>+~,])\s*|(?P<space>\s+)|(?P<compound>(?:\[(?:"[^"]*"|'[^']*'|[^\]"'])*\]|{_GROUP}|\\.|[^\s>+~,\[\]()])+)"""
+)
+_NTH = re.compile(r"(?:(?P<a>[+-]?\d*)n)?\s*(?P<b>[+-]?\s*\d+)?$", re.I)
+Steps = list[tuple[str, str]]
 
 
 class BadSelector(ValueError):
-    """The selector is empty or outside the supported subset."""
+    """The text is not a selector."""
 
 
-def _words(value: str) -> str:
-    return f"split(coalesce({value}, ''), {quote(chr(92) + 's+')})"
+class UnsupportedSelector(ValueError):
+    """A selector that can be read but not evaluated here."""
+
+
+def matches(selector: str, events: str, node: str) -> str:
+    """Whether an event is an element the selector picks.
+
+    Ancestors and earlier siblings are reached by pointers, so the cost per element is its depth or its
+    place among its siblings, not the size of the page.
+    """
+    return any_of([_chain(steps, events, node) for steps in _read(selector)])
+
+
+def _read(selector: str) -> list[Steps]:
+    """Each selector of a list as (combinator, compound) pairs from left to right."""
+    found: list[Steps] = [[]]
+    position, text, combinator = 0, selector.strip(), ""
+    while position < len(text):
+        token = _TOKEN.match(text, position)
+        if token is None:
+            raise BadSelector(selector)
+        position = token.end()
+        if token["compound"] is not None:
+            found[-1].append((combinator, token["compound"]))
+            combinator = ""
+        elif combinator or not found[-1]:
+            raise BadSelector(selector)
+        elif token["sign"] == ",":
+            found.append([])
+        else:
+            combinator = token["sign"] or " "
+    if combinator or not found[-1]:
+        raise BadSelector(selector)
+    return found
+
+
+def _chain(steps: Steps, events: str, node: str) -> str:
+    combinator, compound = steps[-1]
+    test = _compound(compound, events, node)
+    if len(steps) == 1:
+        return test
+
+    def left(other: str) -> str:
+        return f"coalesce({_chain(steps[:-1], events, f'get({events}, {other})')}, false)"
+
+    if combinator == ">":
+        return f"({test} AND {node}.parent >= 0 AND {left(f'{node}.parent')})"
+    if combinator == "+":
+        return f"({test} AND {node}.prev >= 0 AND {left(f'{node}.prev')})"
+    pointer, many = ("prev", f"{node}.nth - 1") if combinator == "~" else ("parent", f"{node}.depth")
+    start = f"named_struct('at', {node}.{pointer}, 'hit', false)"
+    step = lambda s, _: f"named_struct('at', get({events}, {s}.`at`).{pointer}, 'hit', {s}.hit OR {left(f'{s}.`at`')})"
+    walked = fold(f"sequence(1, greatest({many}, 1))", start, step)
+    return f"({test} AND {node}.{pointer} >= 0 AND {walked}.hit)"
 
 
-def _compound(text: str, node: str) -> str:
+def _compound(text: str, events: str, node: str) -> str:
     position, tests = 0, [f"{node}.kind = 'open'"]
     while position < len(text):
         found = _PART.match(text, position)
@@ -38,64 +95,70 @@ def _compound(text: str, node: str) -> str:
         position = found.end()
         if found["tag"]:
             if found["tag"] != "*":
-                tests.append(f"{node}.tag = {quote(found['tag'].lower())}")
+                tests.append(f"{node}.tag = {quote(_plain(found['tag']).lower())}")
         elif found["cls"]:
-            tests.append(f"array_contains({_words(attr(node, 'class'))}, {quote(found['cls'])})")
+            tests.append(f"array_contains({_words(attr(node, 'class'))}, {quote(_plain(found['cls']))})")
         elif found["id"]:
-            tests.append(f"{attr(node, 'id')} <=> {quote(found['id'])}")
+            tests.append(f"{attr(node, 'id')} <=> {quote(_plain(found['id']))}")
+        elif found["pseudo"]:
+            tests.append(_pseudo(found["pseudo"].lower(), found["group"], events, node))
         else:
             tests.append(_attribute(attr(node, found["key"].lower()), found))
     return "(" + " AND ".join(tests) + ")"
 
 
+def _plain(name: str) -> str:
+    return re.sub(r"\\(.)", r"\1", name)
+
+
+def _words(value: str) -> str:
+    return f"split(coalesce({value}, ''), {quote(chr(92) + 's+')})"
+
+
 def _attribute(value: str, found: re.Match) -> str:
     if found["op"] is None:
         return f"{value} IS NOT NULL"
     wanted = next(found[g] for g in ("dq", "sq", "bare") if found[g] is not None)
     if found["op"] == "=":
         return f"{value} <=> {quote(wanted)}"
+    held = f"coalesce({value}, '')"
+    if found["op"] == "|=":
+        return f"({value} <=> {quote(wanted)} OR startswith({held}, {quote(wanted + '-')}))"
     if not wanted:
         return "false"
-    held = f"coalesce({value}, '')"
     test = {"^=": "startswith", "$=": "endswith", "*=": "contains"}.get(found["op"])
     if test is None:
         return f"array_contains({_words(value)}, {quote(wanted)})"
     return f"{test}({held}, {quote(wanted)})"
 
 
-def matches(selector: str, events: str, node: str) -> str:
-    """Whether an event is an element the selector picks.
-
-    Ancestors are read by position from the event's own ancestor list, so the cost
-    per element is its depth, not the size of the page.
-    """
-    parts = [p.strip() for p in _LIST.findall(selector)]
-    if not parts or any(not p for p in parts) or selector.rstrip().endswith(","):
-        raise BadSelector(selector)
-    return any_of([_chain(_steps(part), events, node) for part in parts])
-
-
-def _steps(part: str) -> list[tuple[str, str]]:
-    """(combinator, compound) pairs from left to right."""
-    tokens = _STEP.findall(part)
-    if "".join(tokens) != part or tokens[0].strip() in ("", ">") or tokens[-1].strip() in ("", ">"):
-        raise BadSelector(part)
-    steps, combinator = [], " "
-    for token in tokens:
-        if token.strip() in ("", ">"):
-            combinator = token.strip() or " "
-        else:
-            steps.append((combinator, token))
-    return steps
-
-
-def _chain(steps: list[tuple[str, str]], events: str, node: str) -> str:
-    combinator, compound = steps[-1]
-    test = _compound(compound, node)
-    if len(steps) == 1:
-        return test
-    if combinator == ">":
-        above = _chain(steps[:-1], events, f"get({events}, {node}.parent)")
-        return f"({test} AND {node}.parent >= 0 AND {above})"
-    above = some(f"{node}.up", lambda p: _chain(steps[:-1], events, f"get({events}, {p})"))
-    return f"({test} AND coalesce({above}, false))"
+def _pseudo(name: str, group: str | None, events: str, node: str) -> str:
+    plain = {
+        "first-child": f"{node}.nth = 1",
+        "last-child": f"{node}.last",
+        "only-child": f"({node}.nth = 1 AND {node}.last)",
+        "empty": f"{node}.`end` <= {node}.pos + 1",
+    }
+    if name in plain and group is None:
+        return plain[name]
+    inner = (group or "")[1:-1].strip()
+    if name == "nth-child" and inner:
+        return _nth(inner, f"{node}.nth")
+    if name in ("not", "is", "where") and inner:
+        test = f"coalesce({matches(inner, events, node)}, false)"
+        return f"NOT {test}" if name == "not" else test
+    raise UnsupportedSelector(f"pseudo-class :{name}{group or ''}")
+
+
+def _nth(formula: str, place: str) -> str:
+    """Places an + b for n from 0."""
+    text = {"odd": "2n+1", "even": "2n"}.get(formula.lower(), formula)
+    found = _NTH.match(text)
+    if found is None:
+        raise UnsupportedSelector(f":nth-child({formula})")
+    a, b = found["a"], int((found["b"] or "0").replace(" ", ""))
+    step = 0 if a is None else int(a + "1") if a in ("", "+", "-") else int(a)
+    if step == 0:
+        return f"{place} = {b}"
+    side = ">=" if step > 0 else "<="
+    return f"({place} {side} {b} AND ({place} - {b}) % {abs(step)} = 0)"

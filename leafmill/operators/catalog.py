@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.numbers import catalog_number
+from leafmill.sources.captures import latest_captures
 
 # Fixed value: items of a full page of the catalogue endpoint.
 PAGE_SIZE = 250
@@ -32,7 +33,7 @@ def _store_root(store_url: Column) -> Column:
 def page_series(
     pages: DataFrame, key: str, schema: str, page_size: int = PAGE_SIZE, limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(items, errors) of each store's captured pages, read in page order.
+    """(items, errors) of each store's captured pages, read in page order, each by its latest capture.
 
     Reading stops after a short page, before an empty or uncaptured one, or once ``limit``
     items are in. A 404, another refusal or a body that is not JSON on a page that is reached
@@ -49,9 +50,11 @@ def page_series(
         .when(F.col("status_code") != 200, F.concat(F.lit("http_"), F.col("status_code").cast("string")))
         .when(parsed.isNull(), F.lit("not_json"))
     )
+    seen = [F.col("seen_at")] if "seen_at" in pages.columns else []
     read = pages.filter(F.col("page") >= 1).select(
-        "store_url", F.col("page").cast("int").alias("page"), problem.alias("problem"), items.alias("items")
+        "store_url", F.col("page").cast("int").alias("page"), *seen, problem.alias("problem"), items.alias("items")
     )
+    read = latest_captures(read, "store_url", "page")
     sizes = read.groupBy("store_url", "page").agg(
         F.max(F.coalesce(F.size("items"), F.lit(0))).alias("n"), F.max("problem").alias("problem")
     )

@@ -44,3 +44,19 @@ def with_previous(runs: DataFrame, keys: list[str], order: list[str], carried: l
     local = runs.withColumn("__before", F.lag(row).over(within))
     joined = local.join(F.broadcast(entering), [*keys, "run"], "left")
     return joined.withColumn("previous", F.coalesce("__before", "entering")).drop("__before", "entering")
+
+
+def ranked(df: DataFrame, key: str, order: str, into: str) -> DataFrame:
+    """Number the rows of each key by ``order`` from 1, however many rows a key has.
+
+    Rows are numbered within runs; a run starts where the key's earlier runs ended. There are at most as many
+    keys and runs in that table as there are keys and partitions together.
+    """
+    runs = sorted_runs(df, [key], [order])
+    sizes = runs.groupBy(key, "run").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(key).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(key, "run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start")).filter("__start > 0")
+    # Only the first key of a partition goes on from an earlier run, so this table has fewer rows than partitions.
+    placed = runs.join(F.broadcast(starts), [key, "run"], "left")
+    turn = F.row_number().over(Window.partitionBy(key, "run").orderBy(order))
+    return placed.withColumn(into, turn + F.coalesce("__start", F.lit(0))).drop("__start", "run")

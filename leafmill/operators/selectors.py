@@ -17,7 +17,7 @@ NO_MATCH = "no elements matched those selectors"
 
 
 def _field(selector: str, events: str, scope: str | None, url: str) -> str:
-    """One field's value; a selector that cannot be read gives an empty string."""
+    """One field's value; text that is no selector gives an empty string, an unsupported selector raises."""
     expression, _, attribute = (part.strip() for part in selector.partition("@"))
     within = events if scope is None else inside(events, scope)
     if not expression and scope is None:

@@ -11,16 +11,23 @@ from leafmill.functions.sqltext import each, keep, let, quote
 from leafmill.functions.text import decode_entities, strip_space
 from leafmill.functions.urls import authority_of, is_web_url, origin_of, resolve, split_url
 from leafmill.operators.signals import block_reason, platform, requires_js
+from leafmill.operators.runs import ranked
 from leafmill.session import durable, scratch_path
+from leafmill.sources.captures import latest_captures
 
-# Sitemap namespace and how deep indexes are followed.
+# Fixed value: the sitemap namespace.
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
-MAX_SITEMAP_DEPTH = 3
+# Down to this level an index that a site names again is expanded again; below it each index counts once.
+REPEATED_LEVELS = 3
+# Sites may be broadcast up to this many hosts.
+BROADCAST_HOSTS = 100_000
+# Levels of a crawl after which the visited pages are rewritten as one table.
+LEVELS_PER_TABLE = 16
 _HREF = r"""href=["']([^"']+)["']"""
 
 
 def sitemap_documents(documents: DataFrame) -> DataFrame:
-    """url, is_index and locs of every captured sitemap; other bodies give no locs.
+    """url, is_index and locs of every captured sitemap, by its latest capture; other bodies give no locs.
 
     Only ``loc`` elements in the sitemap namespace count, so image or video locs in the
     same file do not.
@@ -33,7 +40,8 @@ def sitemap_documents(documents: DataFrame) -> DataFrame:
     prefix = F.regexp_extract(declared, rf"""\bxmlns:([\w.-]+)\s*=\s*["']{namespace}["']""", 1)
     mark = F.when(default, "").when(prefix != "", F.concat(prefix, F.lit(":")))
     closed = F.rtrim(body, F.lit(" \t\r\n")).endswith(F.concat(F.lit("</"), name, F.lit(">")))
-    read = documents.select("url", name.alias("root"), F.when(closed, mark).alias("mark"), body.alias("body"))
+    seen = [F.col("seen_at")] if "seen_at" in documents.columns else []
+    read = documents.select("url", *seen, name.alias("root"), F.when(closed, mark).alias("mark"), body.alias("body"))
     plain = F.regexp_extract_all("body", F.lit(r"(?s)<loc(?:\s[^>]*)?>(.*?)</loc\s*>"), F.lit(1))
     prefixed = F.regexp_extract_all("body", F.lit(r"(?s)<([\w.-]+:)loc(?:\s[^>]*)?>.*?</\1loc\s*>"), F.lit(0))
     read = read.withColumns({"plain": plain, "prefixed": prefixed}).filter(F.col("mark").isNotNull())
@@ -43,30 +51,31 @@ def sitemap_documents(documents: DataFrame) -> DataFrame:
     cdata = quote(r"(?s)<!\[CDATA\[(.*?)\]\]>")
     locs = each(raw, lambda t: strip_space(decode_entities(f"regexp_replace({t}, {cdata}, '$1')")))
     is_index = F.col("root") == F.concat(F.col("mark"), F.lit("sitemapindex"))
-    return read.select("url", is_index.alias("is_index"), F.expr(locs).alias("locs"))
+    found = read.select("url", *seen, is_index.alias("is_index"), F.expr(locs).alias("locs"))
+    return latest_captures(found).select("url", "is_index", "locs")
 
 
 def robots_sitemaps(documents: DataFrame) -> DataFrame:
     """(origin, url, pos) of every ``Sitemap:`` line in captured robots files."""
     lines = F.split("body", r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
-    rows = documents.filter(F.col("url").endswith("/robots.txt")).select(
-        F.expr(origin_of("url")).alias("origin"), F.col("url").alias("robots"), F.posexplode(lines).alias("pos", "line")
-    )
+    files = latest_captures(documents.filter(F.col("url").endswith("/robots.txt")))
+    rows = files.select(F.expr(origin_of("url")).alias("origin"), F.col("url").alias("robots"), F.posexplode(lines).alias("pos", "line"))
     rows = rows.filter(F.col("robots") == F.concat("origin", F.lit("robots.txt")))
     return rows.filter(F.lower("line").startswith("sitemap:")).select(
         "origin", F.expr(strip_space("regexp_extract(line, '(?s)^[^:]*:(.*)$', 1)")).alias("url"), "pos"
     )
 
 
-def expand_sitemaps(starts: DataFrame, sitemaps: DataFrame) -> DataFrame:
+def expand_sitemaps(starts: DataFrame, sitemaps: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Pages reached from each site's first sitemaps: site, url, path.
 
     ``starts`` holds (site, url, path). Level by level the frontier meets the captured
     sitemaps by URL; ``path`` is the position at each level and gives document order.
-    Repeated URLs are kept.
+    Repeated URLs are kept. Indexes are followed to any depth, or ``max_depth`` levels down; below the third
+    level an index is followed only where the site has not named it before, so that rings of indexes end.
     """
-    frontier, found = starts, None
-    for _ in range(MAX_SITEMAP_DEPTH + 1):
+    frontier, found, named, depth = starts, None, None, 0
+    while max_depth is None or depth <= max_depth:
         level = durable(
             frontier.join(sitemaps, "url").select(
                 "site", "is_index", "path", F.posexplode("locs").alias("i", "url")
@@ -74,28 +83,34 @@ def expand_sitemaps(starts: DataFrame, sitemaps: DataFrame) -> DataFrame:
         )
         pages = level.filter(~F.col("is_index")).select("site", "url", "path")
         found = pages if found is None else found.unionByName(pages)
+        asked = frontier.select("site", "url")
+        named = asked if named is None else named.unionByName(asked)
         frontier = level.filter("is_index").select("site", "url", "path")
+        if depth >= REPEATED_LEVELS:
+            first = frontier.groupBy("site", "url").agg(F.min("path").alias("path"))
+            frontier = first.join(named.distinct(), ["site", "url"], "left_anti")
         if frontier.isEmpty():
             break
+        depth += 1
     return found
 
 
-def sitemap_pages(sites: DataFrame, documents: DataFrame) -> DataFrame:
+def sitemap_pages(sites: DataFrame, documents: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Page URLs of each site from /sitemap.xml, or else from its robots file."""
     usable = documents if "status_code" not in documents.columns else documents.filter("status_code = 200")
     sitemaps = durable(sitemap_documents(usable))
     roots = sites.select("site", F.expr(origin_of("site")).alias("origin")).distinct()
     none = F.array().cast("array<int>")
     direct = expand_sitemaps(
-        roots.select("site", F.concat("origin", F.lit("sitemap.xml")).alias("url"), none.alias("path")), sitemaps
+        roots.select("site", F.concat("origin", F.lit("sitemap.xml")).alias("url"), none.alias("path")), sitemaps, max_depth
     )
     left = roots.join(direct.select("site").distinct(), "site", "left_anti")
     named = left.join(robots_sitemaps(usable), "origin").select("site", "url", F.array("pos").alias("path"))
-    return direct.unionByName(expand_sitemaps(named, sitemaps))
+    return direct.unionByName(expand_sitemaps(named, sitemaps, max_depth))
 
 
 def page_links(captures: DataFrame) -> DataFrame:
-    """url and its same-host links in document order, fragments dropped.
+    """url and its same-host links in document order, fragments dropped, by the latest capture of each URL.
 
     Any ``href`` in the markup counts, not only anchors. Blocked pages keep their row
     with no links: they can be visited but lead nowhere.
@@ -113,99 +128,129 @@ def page_links(captures: DataFrame) -> DataFrame:
     elif "status_code" in captures.columns:
         blocked = block_reason().isNotNull()
     links = F.array_distinct(F.expr(local))
-    return captures.select("url", F.when(blocked, F.array().cast("array<string>")).otherwise(links).alias("links"))
+    seen = [F.col("seen_at")] if "seen_at" in captures.columns else []
+    read = captures.select("url", *seen, F.when(blocked, F.array().cast("array<string>")).otherwise(links).alias("links"))
+    return latest_captures(read).select("url", "links")
+
 
+def _on_hosts(sites: DataFrame, captures: DataFrame) -> DataFrame:
+    """Captures on the hosts of ``sites``, before their html is read; the hosts are sent to every task if they are few."""
+    hosts = durable(sites.select(F.expr(authority_of("site")).alias("__host")).distinct())
+    few = hosts.count() <= BROADCAST_HOSTS
+    wanted = F.broadcast(hosts) if few else hosts
+    return captures.withColumn("__host", F.expr(authority_of("url"))).join(wanted, "__host", "left_semi").drop("__host")
 
-def crawl_by_links(sites: DataFrame, captures: DataFrame, limit: int = 500) -> DataFrame:
+
+def crawl_by_links(sites: DataFrame, captures: DataFrame, limit: int | None = None) -> DataFrame:
     """Breadth-first visit order of each site over its captured link graph.
 
-    Gives (site, url, rank), at most ``limit`` captured pages a site; a link to a page
+    Gives (site, url, rank): every page that links lead to, or the first ``limit`` of a site; a link to a page
     that was not captured is skipped and not counted. All sites advance one level per
-    round. Links are taken from the html once and stored by URL, so a round shuffles
-    only its frontier, which a site's limit bounds.
+    round. Links are taken from the html once, on the sites' hosts only, and stored by URL, so a round
+    shuffles its frontier and slim rows of what was visited.
     """
     spark = captures.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"leafmill_links_{uuid.uuid4().hex}"
     (
-        page_links(captures)
+        page_links(_on_hosts(sites, captures))
         .repartition(buckets, "url")
         .write.bucketBy(buckets, "url")
         .option("path", scratch_path(spark, "links"))
         .saveAsTable(name)
     )
     try:
-        return _visit(sites, spark.table(name), limit)
+        return _visit(sites, spark.table(name), limit, buckets)
     finally:
         spark.sql(f"DROP TABLE {name}")
 
 
-def _visit(sites: DataFrame, links: DataFrame, limit: int) -> DataFrame:
-    start = [F.lit(0).alias(c) for c in ("parent", "i", "done")]
+def _visit(sites: DataFrame, links: DataFrame, limit: int | None, buckets: int) -> DataFrame:
+    start = [F.lit(0).cast("long").alias(c) for c in ("parent", "i", "done")]
     frontier = sites.select("site", F.col("site").alias("url"), *start)
-    visited = None
-    per_site = Window.partitionBy("site")
+    levels: list[DataFrame] = []
     while True:
-        links_in = frontier.select("site", "url", F.struct("parent", "i").alias("order"), "done", F.lit(False).alias("seen"))
-        if visited is not None:
-            links_in = links_in.unionByName(visited.select("site", "url", F.lit(True).alias("seen")), allowMissingColumns=True)
+        asked = frontier.select("site", "url", F.struct("parent", "i").alias("order"), "done", F.lit(False).alias("seen"))
+        for rows in levels:
+            asked = asked.unionByName(rows.select("site", "url", F.lit(True).alias("seen")), allowMissingColumns=True)
         # One shuffle drops repeats and what was visited before. Only captured pages are
         # ever visited, so other URLs need not be remembered.
         fresh = (
-            links_in.groupBy("site", "url")
+            asked.groupBy("site", "url")
             .agg(F.min("order").alias("order"), F.max("done").alias("done"), F.bool_or("seen").alias("seen"))
             .filter(~F.col("seen"))
         )
         reached = fresh.join(links, "url")
-        turn = F.row_number().over(per_site.orderBy("order"))
-        level = reached.withColumn("turn", turn).filter(F.col("turn") <= limit)
-        level = level.withColumn("rank", F.col("done") + F.col("turn")).filter(F.col("rank") <= limit)
-        # At most ``limit`` rows a site by now, already together for the numbering.
-        level = level.withColumn("done", F.max("rank").over(per_site))
-        level = durable(level.select("site", "url", "rank", "done", "links"))
-        rows = level.select("site", "url", "rank")
-        visited = rows if visited is None else visited.unionByName(rows)
+        if limit is None:
+            level = ranked(reached, "site", "order", "turn")
+        else:
+            turn = F.row_number().over(Window.partitionBy("site").orderBy("order"))
+            level = reached.withColumn("turn", turn).filter(F.col("turn") <= limit)
+        level = level.withColumn("rank", (F.col("done") + F.col("turn")).cast("long"))
+        if limit is not None:
+            level = level.filter(F.col("rank") <= limit)
+        level = durable(level.select("site", "url", "rank", "links"))
         if level.isEmpty():
-            return visited
-        frontier = level.filter(F.col("done") < limit).select(
-            "site", F.col("rank").alias("parent"), "done", F.posexplode("links").alias("i", "url")
-        )
+            break
+        levels.append(level.select("site", "url", "rank"))
+        if len(levels) > LEVELS_PER_TABLE:
+            levels = [durable(_together(levels).repartition(buckets, "site", "url"))]
+        ends = level.groupBy("site").agg(F.max("rank").alias("done"))
+        if limit is not None:
+            ends = ends.filter(F.col("done") < limit)
+        frontier = level.select("site", F.col("rank").alias("parent"), F.posexplode("links").alias("i", "url")).join(ends, "site")
+    return _together([level.select("site", "url", "rank"), *levels])
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
-def site_pages(sites: DataFrame, documents: DataFrame, captures: DataFrame, limit: int = 500) -> DataFrame:
+def site_pages(
+    sites: DataFrame, documents: DataFrame, captures: DataFrame, limit: int | None = None, mapped: DataFrame | None = None
+) -> DataFrame:
     """Pages of each site: from its sitemap, or by following links where it has none.
 
-    Gives (site, source, rank, url) with the site's ``count`` and ``truncated``.
+    Gives (site, source, rank, url) with the site's ``count`` and ``truncated``: all pages, or the first ``limit`` of a
+    site. ``mapped`` is what ``sitemap_pages`` gave, where it is known.
     """
-    mapped = durable(sitemap_pages(sites, documents))
+    mapped = durable(sitemap_pages(sites, documents)) if mapped is None else mapped
     totals = mapped.groupBy("site").agg(F.count("*").alias("total"))
-    in_order = Window.partitionBy("site").orderBy("path")
-    listed = mapped.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= limit)
+    if limit is None:
+        listed, count, cut = ranked(mapped, "site", "path", "rank"), F.col("total"), F.lit(False)
+    else:
+        turn = F.row_number().over(Window.partitionBy("site").orderBy("path"))
+        listed = mapped.withColumn("rank", turn).filter(F.col("rank") <= limit)
+        count, cut = F.least("total", F.lit(limit)), F.col("total") > limit
     listed = listed.join(totals, "site").select(
-        "site", F.lit("sitemap").alias("source"), "rank", "url",
-        F.least("total", F.lit(limit)).cast("int").alias("count"), (F.col("total") > limit).alias("truncated"),
+        "site", F.lit("sitemap").alias("source"), F.col("rank").cast("long"), "url", count.cast("long").alias("count"), cut.alias("truncated")
     )
     unmapped = sites.select("site").distinct().join(totals.select("site"), "site", "left_anti")
     crawled = crawl_by_links(unmapped, captures, limit)
-    sizes = crawled.groupBy("site").agg(F.count("*").cast("int").alias("count"))
+    sizes = crawled.groupBy("site").agg(F.count("*").alias("count"))
     followed = crawled.join(sizes, "site").select(
         "site", F.lit("links").alias("source"), "rank", "url", "count", F.lit(False).alias("truncated")
     )
     return listed.unionByName(followed)
 
 
-def site_profiles(sites: DataFrame, documents: DataFrame, captures: DataFrame) -> DataFrame:
-    """Status, block state, platform, sitemap and rendering need of each site."""
-    mapped = sitemap_pages(sites, documents).groupBy("site").agg(F.count("*").alias("n"))
+def site_profiles(sites: DataFrame, documents: DataFrame, captures: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
+    """Status, block state, platform, sitemap and rendering need of each site, by the latest capture of its home page."""
+    mapped = sitemap_pages(sites, documents) if mapped is None else mapped
+    mapped = mapped.groupBy("site").agg(F.count("*").alias("n"))
     headers = "headers" if "headers" in captures.columns else None
     home = captures.join(sites.select(F.col("site").alias("url")).distinct(), "url", "left_semi").select(
         F.col("url").alias("site"),
         "status_code",
         block_reason().isNotNull().alias("blocked"),
-        *([F.col("via")] if "via" in captures.columns else []),
+        *[F.col(c) for c in ("via", "seen_at") if c in captures.columns],
         platform("html", headers).alias("platform"),
         requires_js().alias("requires_js"),
     )
+    home = latest_captures(home, "site").drop("seen_at")
     pages = F.coalesce("n", F.lit(0))
     return home.join(mapped, "site", "left").select(
         *home.columns,

@@ -423,22 +423,22 @@ def price_comparison(spark, sf):
  f AS (SELECT query, url, min(p_partkey) AS first_at, arg_min(p_name, p_partkey) AS title, arg_min(p_type, p_partkey) AS kind
  FROM h GROUP BY query, url),
  r AS (SELECT *, row_number() OVER (PARTITION BY f.query ORDER BY f.first_at) AS n FROM f)
- SELECT query, CAST(n AS BIGINT) AS rank, title, url, 'about ' || kind AS snippet FROM r WHERE n <= 10""",
+ SELECT query, CAST(n AS BIGINT) AS rank, title, url, 'about ' || kind AS snippet FROM r""",
 )
 def search_hits(spark, sf):
-    return extract.search_results(view(spark, sf, "search_pages"), limit=10).withColumn("rank", F.col("rank").cast("bigint"))
+    return extract.search_results(view(spark, sf, "search_pages")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
     "network_responses",
-    """SELECT page_url, url, method, status, content_type, CAST(length(b) AS BIGINT) AS size, left(b, 100) AS body,
- length(b) > 100 AS body_truncated FROM (SELECT 'https://app.example/' || CAST(user_id AS VARCHAR) AS page_url,
+    """SELECT page_url, url, method, status, content_type, CAST(length(b) AS BIGINT) AS size, b AS body,
+ false AS body_truncated FROM (SELECT 'https://app.example/' || CAST(user_id AS VARCHAR) AS page_url,
  'https://api.example/' || event_type || '/' || CAST(event_id AS VARCHAR) AS url, 'GET' AS method, 200 AS status,
  CASE event_type WHEN 'click' THEN 'text/css' ELSE 'application/json' END AS content_type,
  repeat(props, CAST(1 + event_id % 40 AS INT)) AS b FROM events WHERE event_type <> 'view') r""",
 )
 def network_responses(spark, sf):
-    found = extract.largest_responses(view(spark, sf, "network_log"), include_types="JSON, css", max_body_chars=100)
+    found = extract.largest_responses(view(spark, sf, "network_log"), include_types="JSON, css")
     return found.drop("event_id").withColumn("size", F.col("size").cast("bigint"))
 
 
@@ -446,9 +446,8 @@ def network_responses(spark, sf):
     "contact_finder",
     f"""WITH d AS (SELECT source || '.example' AS site, {_CONTACT_URL} AS url, {_PHONE} AS phone, {_EMAIL} AS email,
  'https://www.github.com/u' || CAST(doc_id AS VARCHAR) AS gh, doc_id % 3 < 2 AS liked FROM documents),
- r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY liked DESC, url) AS n FROM d),
- c AS (SELECT site, url, 'email' AS type, email AS value FROM r WHERE n <= 50
- UNION ALL SELECT site, url, 'phone', phone FROM r WHERE n <= 50 UNION ALL SELECT site, url, 'github', gh FROM r WHERE n <= 50)
+ c AS (SELECT site, url, 'email' AS type, email AS value FROM d
+ UNION ALL SELECT site, url, 'phone', phone FROM d UNION ALL SELECT site, url, 'github', gh FROM d)
  SELECT site, type, value, count(DISTINCT url) AS pages, false AS shared FROM c GROUP BY site, type, value""",
 )
 def contact_finder(spark, sf):

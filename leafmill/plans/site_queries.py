@@ -12,9 +12,6 @@ from leafmill.plans.views import portable, run, table, view
 
 # ----------------------------------------------------------------------------- sites
 
-LIMIT = 500
-
-
 def _homes(spark, sf):
     return run(spark, sf, "SELECT DISTINCT 'https://s' || CAST(p_partkey % 5 AS STRING) || '.example/p/1' AS site FROM @part")
 
@@ -48,28 +45,48 @@ def robots_sitemaps(spark, sf):
 
 
 _CRAWL = f"""WITH {_TREE}, m AS (SELECT host, max(i) AS top FROM t GROUP BY host)
- SELECT t.host || '/p/1' AS site, t.host || '/p/' || CAST(i AS VARCHAR) AS url, CAST(i AS BIGINT) AS rank FROM t WHERE i BETWEEN 1 AND {LIMIT}"""
+ SELECT t.host || '/p/1' AS site, t.host || '/p/' || CAST(i AS VARCHAR) AS url, CAST(i AS BIGINT) AS rank FROM t WHERE i >= 1"""
 
 
 @query("link_crawl", _CRAWL)
 def link_crawl(spark, sf):
     """A complete binary tree is visited in heap order, so a page's number is its rank."""
-    visited = site.crawl_by_links(_homes(spark, sf), view(spark, sf, "site_pages"), LIMIT)
-    return visited.withColumn("rank", F.col("rank").cast("bigint"))
+    return site.crawl_by_links(_homes(spark, sf), view(spark, sf, "site_pages"))
+
+
+@query("link_crawl_first", _CRAWL + " AND i <= 500")
+def link_crawl_first(spark, sf):
+    """The first 500 pages of each site."""
+    return site.crawl_by_links(_homes(spark, sf), view(spark, sf, "site_pages"), 500)
+
+
+def _recaptured(spark, sf):
+    """Each page captured up to three times, the latest with the real links; equal captures at equal times included."""
+    captures = view(spark, sf, "site_pages").withColumn("page", F.xxhash64("url"))
+    times = F.when(F.pmod("page", F.lit(3)) == 0, F.array(F.lit(2))).when(F.pmod("page", F.lit(3)) == 1, F.array(F.lit(2), F.lit(2))).otherwise(
+        F.array(F.lit(1), F.lit(2), F.lit(0))
+    )
+    return captures.select("url", "html", F.explode(times).alias("seen_at")).withColumn(
+        "html", F.when(F.col("seen_at") == 2, F.col("html")).otherwise(F.lit('<a href="/p/7">old</a>'))
+    )
+
+
+@query("recaptured_crawl", _CRAWL)
+def recaptured_crawl(spark, sf):
+    return site.crawl_by_links(_homes(spark, sf), _recaptured(spark, sf))
 
 
 @query(
     "site_pages",
     f"""WITH {_TREE}, s AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY i) AS n FROM t WHERE k < 3),
- c AS (SELECT *, i AS n FROM t WHERE k >= 3 AND i BETWEEN 1 AND 300),
- a AS (SELECT host, 'sitemap' AS source, i, n FROM s WHERE n <= 300 UNION ALL SELECT host, 'links', i, n FROM c),
+ c AS (SELECT *, i AS n FROM t WHERE k >= 3 AND i >= 1),
+ a AS (SELECT host, 'sitemap' AS source, i, n FROM s UNION ALL SELECT host, 'links', i, n FROM c),
  z AS (SELECT host, count(*) AS total FROM t WHERE k < 3 GROUP BY host UNION ALL SELECT host, count(*) FROM c GROUP BY host)
  SELECT a.host || '/p/1' AS site, a.source, CAST(a.n AS BIGINT) AS rank, a.host || '/p/' || CAST(a.i AS VARCHAR) AS url,
- CAST(least(z.total, 300) AS BIGINT) AS count, z.total > 300 AS truncated FROM a JOIN z ON a.host = z.host""",
+ CAST(z.total AS BIGINT) AS count, false AS truncated FROM a JOIN z ON a.host = z.host""",
 )
 def site_pages(spark, sf):
-    found = site.site_pages(_homes(spark, sf), view(spark, sf, "sitemaps"), view(spark, sf, "site_pages"), 300)
-    return found.withColumns({"rank": F.col("rank").cast("bigint"), "count": F.col("count").cast("bigint")})
+    return site.site_pages(_homes(spark, sf), view(spark, sf, "sitemaps"), view(spark, sf, "site_pages"))
 
 
 def _site_captures(spark, sf):
@@ -93,10 +110,10 @@ def site_profiles(spark, sf):
     f"""WITH {_TREE}, a AS (SELECT host, 'sitemap' AS source, k, i, row_number() OVER (PARTITION BY host ORDER BY i) AS n FROM t
  WHERE k < 3 UNION ALL SELECT host, 'links', k, i, i FROM t WHERE k >= 3 AND i > 0)
  SELECT host || '/p/1' AS site, source, count(*) AS pages, CAST(0 AS BIGINT) AS blocked_pages, CAST(count(*) * 4 AS BIGINT) AS links
- FROM a WHERE n <= 100 GROUP BY host, source""",
+ FROM a GROUP BY host, source""",
 )
 def site_scrape(spark, sf):
-    done = workflows.scrape_sites(_homes(spark, sf), view(spark, sf, "sitemaps"), _site_captures(spark, sf), 100)
+    done = workflows.scrape_sites(_homes(spark, sf), view(spark, sf, "sitemaps"), _site_captures(spark, sf))
     return done.counts
 
 

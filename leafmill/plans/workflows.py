@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.urls import authority_of
 from leafmill.operators import catalog, extract, products, signals, site
+from leafmill.session import durable
+from leafmill.sources.captures import latest_captures
 
 # What a contact page is called and which mailboxes are shared ones.
 CONTACT_WORDS = ("contact", "about", "team", "support")
@@ -22,19 +24,22 @@ class SiteScrape:
     counts: DataFrame
 
 
-def scrape_sites(sites: DataFrame, documents: DataFrame, captures: DataFrame, limit: int = 500) -> SiteScrape:
-    """Profile of each site, its pages with their signals and markdown, and counts."""
-    listed = site.site_pages(sites, documents, captures, limit)
+def scrape_sites(sites: DataFrame, documents: DataFrame, captures: DataFrame, limit: int | None = None) -> SiteScrape:
+    """Profile of each site, its pages (all, or the first ``limit``) with their signals and markdown, and counts."""
+    mapped = durable(site.sitemap_pages(sites, documents))
+    listed = site.site_pages(sites, documents, captures, limit, mapped)
     found = listed.select("site", "source", "rank", "url").join(captures, "url")
-    pages = signals.with_markdown(signals.page_signals(found)).select(
-        "site", "source", "rank", "url", "title", "status_code", "blocked", "block_reason", "links_count", "markdown"
+    seen = ["seen_at"] if "seen_at" in captures.columns else []
+    read = signals.with_markdown(signals.page_signals(found)).select(
+        "site", "source", "rank", "url", *seen, "title", "status_code", "blocked", "block_reason", "links_count", "markdown"
     )
+    pages = latest_captures(read, "site", "source", "rank").drop(*seen)
     counts = pages.groupBy("site", "source").agg(
         F.count("*").alias("pages"),
         F.sum(F.col("blocked").cast("int")).alias("blocked_pages"),
         F.sum("links_count").alias("links"),
     )
-    return SiteScrape(site.site_profiles(sites, documents, captures), pages, counts)
+    return SiteScrape(site.site_profiles(sites, documents, captures, mapped), pages, counts)
 
 
 @dataclass
@@ -52,7 +57,7 @@ def export_catalogs(catalog_pages: DataFrame, collection_pages: DataFrame, page_
     return CatalogExport(listed, variants, catalog.store_summary(variants), errors.unionByName(listing_errors))
 
 
-def contact_pages(pages: DataFrame, per_site: int = 50) -> DataFrame:
+def contact_pages(pages: DataFrame, per_site: int) -> DataFrame:
     """At most ``per_site`` pages of each site, contact-like URLs first."""
     path = F.lower(F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*(.*)$", 1))
     liked = F.lit(False)
@@ -63,15 +68,15 @@ def contact_pages(pages: DataFrame, per_site: int = 50) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_site)
 
 
-def find_contacts(captures: DataFrame, per_site: int = 50) -> DataFrame:
-    """site, type, value, pages, shared: contacts of each site's preferred pages.
+def find_contacts(captures: DataFrame, per_site: int | None = None) -> DataFrame:
+    """site, type, value, pages, shared: contacts of each site's pages, or of its ``per_site`` preferred ones.
 
-    Pages are chosen on their URLs alone, and only chosen ones are searched. They are
-    few enough a site that no site can dominate what follows.
+    Preferred pages are chosen on their URLs alone, and only chosen ones are searched.
     """
-    urls = captures.select(F.expr(authority_of("url")).alias("site"), "url").distinct()
-    chosen = contact_pages(urls, per_site).select("site", "url")
-    pages = captures.select("url", "html").join(chosen, "url")
+    pages = captures.select(F.expr(authority_of("url")).alias("site"), "url", "html")
+    if per_site is not None:
+        chosen = contact_pages(pages.select("site", "url").distinct(), per_site).select("url")
+        pages = pages.join(chosen, "url", "left_semi")
     found = (
         extract.extract_emails(pages, carry=("site",)).select("site", "url", F.lit("email").alias("type"), "value")
         .unionByName(extract.extract_phones(pages, carry=("site",)).select("site", "url", F.lit("phone").alias("type"), "value"))

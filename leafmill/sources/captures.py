@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,3 +43,16 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet", **option
 def stream_captures(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """New capture files as they arrive."""
     return spark.readStream.format(fmt).schema(CAPTURES).options(**options).load(path)
+
+
+def latest_captures(captures: DataFrame, *keys: str, order: str = "seen_at") -> DataFrame:
+    """One row per key: the latest by ``order``; of rows at the same time one by their content, always the same.
+
+    Choose on derived, slim columns where the html is no longer needed. Every task keeps one row of a key before
+    the shuffle, so a page captured very often is no hot key.
+    """
+    by = list(keys or ("url",))
+    plain = [f.name for f in captures.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    at = [F.desc_nulls_last(order)] if order in captures.columns else []
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(*at, F.xxhash64(*plain)))
+    return captures.withColumn("__turn", turn).filter("__turn = 1").drop("__turn")
