@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.places import RETRYABLE
@@ -73,8 +73,10 @@ def best_attempt(attempts: DataFrame, browser_first: bool = False) -> tuple[Data
     blocked = answered & F.col("block_reason").isNotNull()
     static = ~via.isin("playwright", "stealth")
     spare = blocked & ((via != "stealth") if not browser_first else static)
-    held = F.struct("attempt", "via", "status_code", "block_reason", "html")
-    spared = F.struct("attempt", F.lit(EXHAUSTED).alias("via"), "status_code", "block_reason", "html")
+    # Only slim columns are folded; the page itself is fetched for the winners.
+    judged = judged.withColumn("content", F.xxhash64("html"))
+    held = F.struct("attempt", "via", "status_code", "block_reason", "content")
+    spared = F.struct("attempt", F.lit(EXHAUSTED).alias("via"), "status_code", "block_reason", "content")
     sums = [
         F.min_by(held, F.when(clear, attempt)).alias("clear"),
         F.max_by(spared, F.when(spare, attempt)).alias("spare"),
@@ -89,6 +91,10 @@ def best_attempt(attempts: DataFrame, browser_first: bool = False) -> tuple[Data
         kept = F.when(~F.col("tried") | F.col("static_answered"), F.col("browser"))
         best = F.coalesce("clear", kept, F.when(F.col("browser").isNull(), F.col("spare")))
     picked = judged.groupBy(*keys).agg(*sums).select(*keys, best.alias("best"))
-    good = picked.filter(F.col("best").isNotNull()).select(*keys, "best.*")
+    best = picked.filter(F.col("best").isNotNull()).select(*keys, "best.*")
+    pages = attempts.select(*keys, F.col("attempt").alias("__attempt"), "html", F.xxhash64("html").alias("__content"))
+    won = pages.join(best, keys).filter((F.col("__attempt") == F.col("attempt")) & (F.col("__content") == F.col("content")))
+    once = F.row_number().over(Window.partitionBy(*keys).orderBy("attempt"))  # repeated rows of an attempt count once
+    good = won.withColumn("__turn", once).filter("__turn = 1").select(*keys, "attempt", "via", "status_code", "block_reason", "html")
     bad = picked.filter(F.col("best").isNull()).select(*keys, F.lit("no attempt was answered").alias("error"))
     return good, bad

@@ -1,12 +1,11 @@
 import json
 import random
-import re
-from urllib.parse import urljoin, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import attempts, catalog, places, site
+from leafmill.sources.captures import latest_captures
 
 NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
@@ -46,111 +45,105 @@ def test_sitemaps_indexes_and_robots(spark):
     ]
 
 
-def test_sitemap_indexes_are_followed_three_levels_down(spark):
-    docs = [("https://d.example/sitemap.xml", f"<sitemapindex {NS}><sitemap><loc>https://d.example/1.xml</loc></sitemap></sitemapindex>")]
-    for i in range(1, 6):
-        docs.append((f"https://d.example/{i}.xml", f"<sitemapindex {NS}><sitemap><loc>https://d.example/{i + 1}.xml</loc></sitemap></sitemapindex>"))
-    for deep, want in ((3, 1), (4, 0)):
-        last = [(u, b) if u != f"https://d.example/{deep}.xml" else (u, f"<urlset {NS}>{_locs('https://d.example/p')}</urlset>") for u, b in docs]
-        assert site.sitemap_pages(_sites(spark, "https://d.example/"), _documents(spark, last)).count() == want
-
-
-def _crawl(start, limit, pages, blocked):
-    visited, seen, queue = [], {start}, [start]
-    while queue and len(visited) < limit:
-        url = queue.pop(0)
-        if url not in pages:
-            continue
-        visited.append(url)
-        if url in blocked:
-            continue
-        for href in re.findall(r'href=["\']([^"\']+)["\']', pages[url]):
-            target = urljoin(url, href).split("#")[0]
-            parsed = urlparse(target)
-            if parsed.scheme in ("http", "https") and parsed.netloc.lower() == urlparse(start).netloc.lower() and target not in seen:
-                seen.add(target)
-                queue.append(target)
-    return visited
-
-
-def test_crawl_equals_a_queue(spark):
-    rng = random.Random(11)
-    pages, starts = {}, []
-    for host in ("https://m.example", "https://n.example"):
-        urls = [f"{host}/{i}" for i in range(40)]
-        starts.append(urls[0])
-        for url in urls:
-            if rng.random() < 0.85 or url == urls[0]:
-                links = [rng.choice([f"/{rng.randint(0, 45)}", f"{rng.randint(0, 45)}#x", "https://o.example/1", "mailto:a@b", "/style.css"]) for _ in range(5)]
-                pages[url] = "<link href='/theme.css'>" + "".join(f'<a href="{x}">l</a>' for x in links)
-    blocked = {u for u in pages if u not in starts and rng.random() < 0.15}
-    df = spark.createDataFrame([(u, h, u in blocked) for u, h in pages.items()], "url string, html string, blocked boolean")
-    for limit in (7, 500):
-        got = site.crawl_by_links(_sites(spark, *starts, "https://gone.example/"), df, limit).collect()
-        for start in starts:
-            ordered = [r.url for r in sorted(got, key=lambda r: r["rank"]) if r.site == start]
-            assert ordered == _crawl(start, limit, pages, blocked)
-            assert sorted(r["rank"] for r in got if r.site == start) == list(range(1, len(ordered) + 1))
+def test_sitemap_indexes_are_followed_to_any_depth(spark):
+    index = lambda *urls: f"<sitemapindex {NS}>{''.join(f'<sitemap><loc>{u}</loc></sitemap>' for u in urls)}</sitemapindex>"
+    for deep in (3, 7):
+        docs = [("https://d.example/sitemap.xml", index("https://d.example/1.xml"))]
+        docs += [(f"https://d.example/{i}.xml", index(f"https://d.example/{i + 1}.xml")) for i in range(1, deep)]
+        docs.append((f"https://d.example/{deep}.xml", f"<urlset {NS}>{_locs('https://d.example/p')}</urlset>"))
+        assert site.sitemap_pages(_sites(spark, "https://d.example/"), _documents(spark, docs)).count() == 1
+        assert site.sitemap_pages(_sites(spark, "https://d.example/"), _documents(spark, docs), max_depth=3).count() == (deep == 3)
+
+
+def test_rings_of_sitemap_indexes_end(spark):
+    ring = f"<sitemapindex {NS}><loc>https://r.example/sitemap.xml</loc><loc>https://r.example/a.xml</loc></sitemapindex>"
+    docs = [("https://r.example/sitemap.xml", ring), ("https://r.example/a.xml", f"<urlset {NS}>{_locs('https://r.example/p')}</urlset>")]
+    found = site.sitemap_pages(_sites(spark, "https://r.example/"), _documents(spark, docs))
+    assert {r.url for r in found.collect()} == {"https://r.example/p"}
+
+
+def _tree(host, size, gaps, blocked):
+    """Pages 1 to ``size``, each linking to three others below it, in order, and to much that does not count."""
+    pages = []
+    for n in range(1, size + 1):
+        below = [f'<a href="/{k}#part">x</a>' for k in (3 * n - 1, 3 * n, 3 * n + 1)]
+        noise = f"<a href='/1'>home</a><a href='/{(n + 1) // 3 or 1}'>up</a><a href='https://o.example/{n}'>o</a><a href='mailto:a@b'>m</a><link href='/theme.css'>"
+        if n not in gaps:
+            pages.append((f"{host}/{n}", noise + "".join(below), n in blocked))
+    return pages
+
+
+def test_pages_of_a_tree_are_visited_level_by_level(spark):
+    """In a complete tree numbered by level, the visit order is the order of the numbers still reachable."""
+    gaps, blocked = {5, 9, 22}, {3, 14}
+    df = spark.createDataFrame(
+        _tree("https://m.example", 60, gaps, blocked) + _tree("https://n.example", 40, set(), set()) + _tree("https://other.example", 9, set(), set()),
+        "url string, html string, blocked boolean",
+    )
+    reachable = [1]
+    for n in range(2, 61):
+        above = (n + 1) // 3
+        if n not in gaps and above in reachable and above not in blocked:
+            reachable.append(n)
+    sites = _sites(spark, "https://m.example/1", "https://n.example/1", "https://gone.example/")
+    for limit in (None, 7):
+        got = {(r.site, r.url): r["rank"] for r in site.crawl_by_links(sites, df, limit).collect()}
+        want = {}
+        for host, numbers in (("https://m.example", reachable), ("https://n.example", list(range(1, 41)))):
+            want |= {(f"{host}/1", f"{host}/{n}"): i for i, n in enumerate(numbers[:limit], 1)}
+        assert got == want
+
+
+def test_a_long_chain_is_followed_to_its_end(spark):
+    chain = [(f"https://c.example/{n}", f"<a href='/{n + 1}'>next</a>", False) for n in range(1, 21)]
+    df = spark.createDataFrame(chain, "url string, html string, blocked boolean")
+    got = site.crawl_by_links(_sites(spark, "https://c.example/1"), df)
+    assert [r.url.rsplit("/", 1)[1] for r in got.orderBy("rank").collect()] == [str(n) for n in range(1, 21)]
+
+
+def test_the_latest_capture_counts_once(spark):
+    rows = [("u", 1, "old"), ("u", 2, "new"), ("u", 2, "new"), ("v", None, "x"), ("v", 1, "y"), ("w", 1, "a"), ("w", 1, "b")]
+    df = spark.createDataFrame(rows, "url string, seen_at int, html string")
+    got = {r.url: r.html for r in latest_captures(df).collect()}
+    assert (got["u"], got["v"], len(got)) == ("new", "y", 3) and latest_captures(df).count() == 3
 
 
 # ------------------------------------------------------------------------ catalogues
 
 
-def _series(pages, page_size, limit):
-    """Items of one store's pages, or the kind of failure."""
-    got = []
-    for number in range(1, 101):
-        if number not in pages:
-            break
-        status, batch = pages[number]
-        if status == 404:
-            return "expose"
-        if status != 200:
-            return "HTTP"
-        if batch is None:
-            return "JSON"
-        if not batch:
-            break
-        got += batch
-        if limit is not None and len(got) >= limit:
-            return got[:limit]
-        if len(batch) < page_size:
-            break
-    return got
+# Page number, status and item ids (None: no JSON) of a store, then the ids read or the error's words.
+SERIES = {
+    "one short page": ([(1, 200, [1, 2])], [1, 2]),
+    "full, then short": ([(1, 200, [1, 2, 3]), (2, 200, [4])], [1, 2, 3, 4]),
+    "full, then empty": ([(1, 200, [1, 2, 3]), (2, 200, [])], [1, 2, 3]),
+    "full, then uncaptured": ([(1, 200, [1, 2, 3]), (3, 200, [9])], [1, 2, 3]),
+    "nothing after a short page counts": ([(1, 200, [1]), (2, 404, []), (3, 200, [9])], [1]),
+    "first page missing": ([(2, 200, [1, 2])], []),
+    "no catalogue": ([(1, 404, [])], "does not expose"),
+    "refused later": ([(1, 200, [1, 2, 3]), (2, 503, [])], "returned HTTP 503"),
+    "not JSON": ([(1, 200, [1, 2, 3]), (2, 200, None)], "did not return JSON"),
+    "captured twice": ([(1, 200, [1, 2, 3]), (1, 200, [1, 2, 3]), (2, 200, [4])], [1, 2, 3, 4]),
+    "long": ([(n, 200, [3 * n, 3 * n + 1, 3 * n + 2]) for n in range(1, 131)], list(range(3, 393))),
+}
 
 
 @pytest.mark.parametrize("limit", [None, 4])
-def test_page_series_equals_reading_in_order(spark, limit):
-    rng = random.Random(5)
-    stores, rows = {}, []
-    for s in range(60):
-        url, pages, next_id = f"https://s{s}.example", {}, 0
-        for number in range(1, rng.randint(1, 6)):
-            kind = rng.random()
-            size = rng.choice([3, 3, 3, 2, 0])
-            batch = list(range(next_id, next_id + size))
-            next_id += size
-            pages[number] = (404, []) if kind < 0.05 else (503, []) if kind < 0.1 else (200, None) if kind < 0.15 else (200, batch)
-            if rng.random() < 0.05:
-                del pages[number]
-        stores[url] = pages
-        for number, (status, batch) in pages.items():
-            body = "<html>" if batch is None else json.dumps({"products": [{"id": i} for i in batch]})
-            rows.append((url, number, status, body))
+def test_page_series(spark, limit):
+    rows = []
+    for name, (pages, _) in SERIES.items():
+        for number, status, ids in pages:
+            rows.append((name, number, status, "<html>" if ids is None else json.dumps({"products": [{"id": i} for i in ids]})))
     df = spark.createDataFrame(rows, "store_url string, page int, status_code int, body string")
     items, errors = catalog.store_products(df, page_size=3, max_products=limit)
     got: dict = {}
-    for r in items.select("store_url", "pos", F.col("item.id").alias("id")).collect():
+    for r in items.select("store_url", "pos", F.col("item.id").alias("id")).orderBy("pos").collect():
         got.setdefault(r.store_url, []).append((r.pos, r.id))
     failed = {r.store_url: r.error for r in errors.collect()}
-    for url, pages in stores.items():
-        want = _series(pages, 3, limit)
+    for name, (_, want) in SERIES.items():
         if isinstance(want, str):
-            assert want in failed[url] and url not in got
+            assert want in failed[name] and name not in got
         else:
-            assert url not in failed
-            assert [i for _, i in sorted(got.get(url, []))] == want
-            assert [p for p, _ in sorted(got.get(url, []))] == list(range(len(want)))
+            assert name not in failed and got.get(name, []) == list(enumerate(want[:limit]))
 
 
 def test_variant_rows(spark):
