@@ -48,10 +48,23 @@ TAGS = "article main section div p h li td blockquote pre nav header footer asid
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _END = {tag: re.compile(rf"</{tag}\s*>|\Z", re.I) for tag in RAW}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
+def hides(attributes: str) -> bool:
+    """Whether an element's attributes hide it: hidden, aria-hidden="true" or a style of display: none. Words in other values do not."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 class Page:
     """Block nodes of a page, parents before children, and its blocks of text: (node, text) in page order."""
 
@@ -81,7 +94,7 @@ class Page:
         return len(self.tag) - 1
 
     def _walk(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their block node
+        stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # open elements with their block node, and whether their text is not shown
         parts: list[str] = []
         silent = link = at = 0
 
@@ -101,8 +114,8 @@ class Page:
 
         def close(to: int) -> None:
             nonlocal silent, link
-            for tag, _ in stack[to:]:
-                silent -= tag in SILENT or tag == "\0"
+            for tag, _, mute in stack[to:]:
+                silent -= mute
                 link -= tag == "a"
             del stack[to:]
 
@@ -119,8 +132,8 @@ class Page:
             if ending:
                 if tag in ("html", "body"):
                     continue
-                found = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0].lstrip("\0") == tag), None)
-                if found is None or (tag not in BLOCKS and any(t in BLOCKS for t, _ in stack[found + 1 :])):
+                found = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), None)
+                if found is None or (tag not in BLOCKS and any(t in BLOCKS for t, _, _ in stack[found + 1 :])):
                     continue
                 if tag in BLOCKS:
                     flush()
@@ -147,10 +160,10 @@ class Page:
             if tag in BLOCKS:
                 names = [w for m in _NAMES.finditer(rest) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())] if rest else ()
                 node = self._add(tag, node, frozenset(names))
-            hidden = tag not in SILENT and bool(rest) and bool(_HIDDEN.search(rest))
-            silent += hidden or tag in SILENT
+            mute = tag in SILENT or hides(rest)
+            silent += mute
             link += tag == "a"
-            stack.append(("\0" if hidden else tag, node))
+            stack.append((tag, node, mute))
         if at < len(source):
             say(source[at:])
         flush()
