@@ -3,8 +3,9 @@
 A page is walked once into block nodes with features of the node, its subtree and its siblings: density of text and links, attribute
 tokens, depth, place. Trees give each node the odds that it belongs to the article. The decoder then chooses the most likely set of nodes
 that is closed upwards: a node can only be kept inside kept ancestors, and below a dropped one all are dropped.
-The trees are fitted on a bounded sample of the pages, whose ``article`` or ``main`` element is the silver answer, and on the same
-texts dressed in other layouts, where neither exists. Pages are read in place; nothing is shuffled.
+The trees are fitted on a bounded sample of the pages that have one ``article`` or ``main`` element, which is the silver answer, and on the
+same texts dressed in other layouts, where neither exists. Where no page has one, fixed odds by tags and tokens take their place. Pages
+are read in place; only ids are shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.boosting import Trees, boost
-from leafmill.llm.common import arrow_rows, first_by_hash, map_arrow
+from leafmill.llm.common import arrow_rows, map_arrow
 
 SAMPLE = 100  # pages that the trees are fitted on, at most
 DRESSES = 4  # layouts made of each
@@ -43,6 +44,7 @@ BAD_TOKENS = (
 ).split()
 SEMANTIC = frozenset(("article", "main"))
 _GOOD, _BAD = frozenset(GOOD_TOKENS), frozenset(BAD_TOKENS)
+SHARE, LINKS, BAD = 2, 5, 14  # places among the features: share of the page's text, share of links in the text, bad tokens
 TAGS = "article main section div p h li td blockquote pre nav header footer aside form ul".split()
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
@@ -255,6 +257,22 @@ def main_texts(trees: Trees, pages: list[Page]) -> list[str]:
     return out
 
 
+def has_silver(source: str) -> bool:
+    """Whether ``_silver`` has an answer for the page: one article element, or one main element and no article."""
+    article = main = at = 0
+    for token in _TOKEN.finditer(source):
+        tag = token[2] or token[5]
+        if token.start() < at or tag is None or token[1] or token[4]:
+            continue
+        tag = tag.lower()
+        if tag in RAW and not (token[3] or token[6] or "").endswith("/"):
+            at = _END[tag].search(source, token.end()).end()
+        article, main = article + (tag == "article"), main + (tag == "main")
+        if article > 1:
+            return False
+    return article == 1 or (article == 0 and main == 1)
+
+
 def _silver(page: Page) -> np.ndarray | None:
     """Nodes inside the one article or main element, and those around it."""
     tops = [k for k, t in enumerate(page.tag) if t == "article"] or [k for k, t in enumerate(page.tag) if t == "main"]
@@ -339,13 +357,31 @@ def training(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros((0, features([Page("")]).shape[1])), np.zeros(0))
 
 
+def prior() -> Trees:
+    """Fixed odds for tables without a silver answer: a node stays unless its tag or tokens are those of navigation, advertising, comments
+    and the like, or half of its text is links; what holds more than half of the page's text stays in any case."""
+    first = len(features([Page("")])[0]) - len(TAGS)
+    against = [BAD, LINKS, *(first + TAGS.index(t) for t in ("nav", "header", "footer", "aside", "form"))]
+    feature = np.array([[k, 0, SHARE] for k in against])
+    cut = np.tile([0.5, np.inf, 0.5], (len(against), 1))
+    return Trees(1.0, feature, cut, np.tile([0.0, 0.0, -1000.0, 0.0], (len(against), 1)))
+
+
 def fit_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Trees:
-    """Trees fitted on at most ``sample`` pages, the first by the hash of their id. Without a page that has one
-    article or main element, there is nothing to learn and every node is as likely as not."""
-    some = first_by_hash(pages.filter(F.col(html_col).isNotNull()).select(id_col, html_col), id_col, sample)
-    rows = some.select(F.substring(html_col, 1, 200_000).alias("h")).limit(sample).collect()
-    x, y = training(sorted(r["h"] for r in rows))
-    return boost(x, y, rounds=30)
+    """Trees fitted on at most ``sample`` whole pages, the first by the hash of their id among those that have a silver answer: one
+    article element, or one main element and no article. If no page of the table has one, the odds are those of ``prior``."""
+    html = F.col(html_col)
+    may = pages.filter(html.rlike("(?i)<(article|main)")).select(F.xxhash64(id_col).alias("h"), F.xxhash64(id_col, html).alias("row"), html.alias("html"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["h", "row"]).filter(pa.array([has_silver(source.decode()) for (source,) in arrow_rows(batch, "html")], pa.bool_()))
+
+    silver = map_arrow(may, scan, "h long, row long").distinct().orderBy("h", "row").limit(sample).select("row")
+    chosen = may.join(F.broadcast(silver), "row", "left_semi")  # at most ``sample`` numbers
+    sources = sorted(r["html"] for r in chosen.dropDuplicates(["row"]).select("html").collect())
+    x, y = training(sources)
+    return boost(x, y, rounds=30) if len(y) else prior()
 
 
 def extract(pages: DataFrame, trees: Trees, html_col: str = "html") -> DataFrame:

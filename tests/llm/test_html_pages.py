@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from leafmill.llm import html_text
@@ -28,3 +30,47 @@ def test_hidden_links_end():
     page = html_text.Page('<div><a hidden href="/">x</a><p>not a link</p><p><a href="/">link</a></p></div>')
     assert sum(page.links) == len("link")
     assert [page.tag[page.parent[k]] for k, t in enumerate(page.tag) if t == "p"] == ["div", "div"]
+
+
+def _prose(rng):
+    return " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randint(8, 80))).capitalize() + "."
+
+
+def test_silver_pages_are_told_without_a_tree():
+    rng = random.Random(4)
+    parts = ["<article>", "</article>", "<MAIN class=x>", "</main>", "<p>a", "<!-- <article> -->", "<script>'<main>'</script>", '<p title="<article>">', "<title/>", "<article", "<br/>"]
+    pages = ["".join(rng.choices(parts, k=rng.randint(1, 7))) for _ in range(3000)]
+    want = [html_text._silver(html_text.Page(s)) is not None for s in pages]
+    assert [html_text.has_silver(s) for s in pages] == want and 0.1 < sum(want) / len(want) < 0.9
+
+
+def test_pages_without_articles_keep_their_text(spark):
+    rng = random.Random(5)
+    rows, truth = [], {}
+    for k in range(60):
+        texts = [_prose(rng) for _ in range(rng.randint(2, 9))]
+        body = "".join(f"<p>{t}</p>" for t in texts)
+        comments = "".join(f'<div class="comment"><p>{_prose(rng)}</p></div>' for _ in range(2))
+        top, end = f'<nav><a href="/">{_prose(rng)[:20]}</a></nav><div class="ad">{_prose(rng)[:60]}</div>', f"<div class='comments'>{comments}</div><footer>{_prose(rng)}</footer>"
+        rows.append((k, f'<html><body class="no-sidebar">{top}<div class="wrap">{body}</div>{end if k % 2 else ""}</body></html>'))
+        truth[k] = "\n".join(texts)
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages, html_text.fit_on(pages)).collect()}
+    assert all(got[k] for k in got) and sum(got[k] == truth[k] for k in truth) >= 50
+
+
+def test_the_sample_is_of_pages_with_an_article_and_whole(spark, monkeypatch):
+    rows = [(k, f"<div>{k}</div>") for k in range(300)] + [(k, f"<article><p>{k}</p></article>" + "x" * 250_000 + "<footer>end</footer>") for k in range(300, 303)]
+    seen = []
+    monkeypatch.setattr(html_text, "training", lambda pages, f=html_text.training: seen.extend(pages) or f(pages))
+    html_text.fit_on(spark.createDataFrame(rows, "page_id long, html string"), sample=5)
+    assert sorted(seen) == sorted(h for _, h in rows[300:])
+
+
+def test_rows_without_ids_and_copies_do_not_crowd_the_sample(spark, monkeypatch):
+    page = "<article><p>a</p></article>"
+    rows = [(None, "<div>x <article")] * 50 + [(None, page), *[(7, page + "b")] * 50, (8, page + "c")]
+    seen = []
+    monkeypatch.setattr(html_text, "training", lambda pages, f=html_text.training: seen.extend(pages) or f(pages))
+    html_text.fit_on(spark.createDataFrame(rows, "page_id long, html string"), sample=5)
+    assert sorted(seen) == sorted([page, page + "b", page + "c"])
