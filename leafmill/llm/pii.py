@@ -2,9 +2,9 @@
 
 Base spans match a kind's pattern and pass its check. High-recall generators propose further, overlapping spans: groups of
 digits, addresses in words, long mixed tokens. Gradient-boosted trees (Spark ML) on the format and context of candidates are fitted on a
-bounded sample, where candidates that a check accepts are personal and those that a check refuses are not. On a held-out third the
-threshold of each kind is set to the lowest score from which the asked precision holds; without such a score nothing is
-added. Everything runs inside the document's row: text is neither shuffled nor sent to Python.
+bounded sample, where candidates that a check accepts are personal and those that a check refuses are not. On the checked candidates
+of all documents that the trees were not fitted on, the threshold of each kind is set to the lowest score from which the asked precision
+holds; without such a score nothing is added. Everything runs inside the document's row: text is neither shuffled nor sent to Python.
 
 The patterns are written with possessive quantifiers and look-behinds, so that they take linear time and constant stack on any text;
 they match exactly what the contract's patterns match from left to right.
@@ -35,12 +35,17 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+MAY_HOLD = r"[0-9]|\(at\)|\[at\]"  # what a text with candidates has
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 GENERATORS = {
     "digits": r"(?<![0-9])[0-9][0-9\x20().-]{5,24}[0-9](?![0-9])",
     "words": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64} ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,24}",
     "token": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,128}(?![A-Za-z0-9_+/-])",
 }
+# An address in words: what stands for its signs, and what its host must look like. Top-level domains: any country's two letters, or one of these.
+AT, DOT = r" ?(?:\(at\)|\[at\]) ?", r" ?(?:\(dot\)|\[dot\]) ?"
+HOST = r"^(?!-)[A-Za-z0-9-]+(?<!-)(\.(?!-)[A-Za-z0-9-]+(?<!-))*\.([a-z]{2,24}|[A-Z]{2,24})$"
+TOP = r"(?i)\.([a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|app|dev|cloud|online|site|tech|test|example|invalid)$"
 KEY_FORMS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[0-9A-Za-z-]{10,})$"
 CUES = {"call": r"(?i)(tel|phone|call|mobile|fax)[^\n]{0,12}$", "pay": r"(?i)(card|visa|iban|account|credit)[^\n]{0,12}$", "secret": r"(?i)(password|passwd|pwd|token|secret|key|api)[^\n]{0,6}$", "mail": r"(?i)(mail|contact|write)[^\n]{0,12}$"}
 
@@ -126,6 +131,17 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
+def address(value: Column) -> Column:
+    """1 if a candidate in words, its signs written out, is an address of the base form under a known top-level domain; 0 if it has no
+    valid domain (a white space beside a plain dot is a sentence's end); else null."""
+
+    def judged(plain: Column) -> Column:
+        valid = F.element_at(F.split(plain, "@"), -1).rlike(HOST)
+        return F.when(~valid, 0.0).when(plain.rlike(f"^(?:{PATTERNS['email']})$") & plain.rlike(TOP), 1.0)
+
+    return let(F.regexp_replace(F.regexp_replace(value, AT, "@"), DOT, "."), judged)
+
+
 def _overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
 
@@ -159,7 +175,7 @@ def candidates(text: Column, base: Column) -> Column:
             mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
             personal = F.when(value.rlike(KEY_FORMS), 1.0).when(~mixed, 0.0)
         elif generator == "words":
-            personal = F.lit(None).cast("double")
+            personal = address(value)
         else:
             refused = F.length(number).between(12, 19) & ~F.when(F.length(number).between(12, 19), luhn(number)).otherwise(True)
             personal = F.when(_overlaps(m, base), 1.0).when(refused | (F.length(number) < 7), 0.0)
@@ -170,7 +186,7 @@ def candidates(text: Column, base: Column) -> Column:
         return F.transform(matches(text, pattern), lambda m: described(generator, m))
 
     parts = [proposed(*item) for item in GENERATORS.items()]
-    return F.when(text.rlike(r"[0-9]|\((?:at)\)|\[at\]"), F.concat(*parts)).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(MAY_HOLD), F.concat(*parts)).otherwise(F.array().cast(kind))
 
 
 @dataclass
@@ -219,21 +235,28 @@ def _parsed(debug: str):
 
 
 def fit_on(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Detector:
-    """Trees and thresholds from at most ``sample`` documents with digits, the first by the hash of their id.
+    """Trees from two thirds of at most ``sample`` documents that may hold candidates, the first by the hash of their id. Thresholds from the
+    checked candidates of all other documents, counted by kind and score, so that a kind that is rare in the sample has its own.
 
     If no candidate was accepted or none refused there is nothing to learn, and the detector adds nothing.
     """
     text = F.col(text_col).cast("string").alias("text")
-    some = documents.select(F.col(id_col).alias("id"), text).filter(F.col("text").rlike("[0-9]"))
-    based = first_by_hash(some, "id", sample).withColumn("base", base_spans(F.col("text")))
-    rows = based.select(F.xxhash64("id").alias("h"), F.explode(candidates(F.col("text"), F.col("base"))).alias("c")).filter("c.personal is not null")
-    rows = written(rows.select("h", "c.kind", "c.x", F.col("c.personal").alias("label")).withColumn("features", F.col("x")), "candidates")
-    learn, check = rows.filter("pmod(h, 3) <> 0"), rows.filter("pmod(h, 3) = 0")
+    some = documents.select(F.col(id_col).alias("id"), text).filter(F.col("text").rlike(MAY_HOLD))
+
+    def checked(rows: DataFrame) -> DataFrame:
+        based = rows.select(F.xxhash64("id").alias("h"), "text", base_spans(F.col("text")).alias("base"))
+        return based.select("h", F.explode(candidates(F.col("text"), F.col("base"))).alias("c")).filter("c.personal is not null").select("h", "c.kind", "c.x", F.col("c.personal").alias("label"))
+
+    chosen = written(checked(first_by_hash(some, "id", sample)), "candidates")
+    last = some.select(F.xxhash64("id").alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    learn = chosen.filter("pmod(h, 3) <> 0")
     if learn.select("label").distinct().count() < 2:
         return Detector()
-    model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(learn.withColumn("v", array_to_vector("features")))
+    model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(learn.withColumn("v", array_to_vector("x")))
     detector = Detector([(float(w), _parsed(t.toDebugString)) for w, t in zip(model.treeWeights, model.trees, strict=True)])
-    scored = check.select("kind", "label", detector.score(F.col("x")).alias("s")).groupBy("kind", "s").agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()
+    h = F.xxhash64("id")
+    held = checked(some.filter((h > last) | (F.pmod(h, F.lit(3)) == 0)))
+    scored = held.select("kind", "label", detector.score(F.col("x")).alias("s")).groupBy("kind", "s").agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()
     for kind in KINDS:
         yes = n = 0.0
         for row in sorted((r for r in scored if r["kind"] == kind), key=lambda r: -r["s"]):
