@@ -1,6 +1,6 @@
 """Best-fit packing of documents into bins of fixed capacity, without conflicts inside a bin.
 
-Two documents conflict if they come from one source or belong to one cluster of duplicates. Pieces are dealt to shards of
+Two documents conflict if they come from one source, are copies, or belong to one cluster of near duplicates. Pieces are dealt to shards of
 bounded size by a hash of the document, so a hot source or cluster is spread evenly and packing needs one slim shuffle and no
 text. In a shard, pieces go longest first into the fullest bin that takes them: bins stand in order of what they
 have left, each with a bitmap of its sources and one of its clusters, and the search goes on from the first that is large enough
@@ -23,7 +23,8 @@ SHARD_PIECES = 2_000
 
 
 def pack(pieces: list[tuple[int, object, object]], capacity: int) -> list[tuple[int, int]]:
-    """(size, source, cluster) pieces, longest first, to (bin, offset) of each. Null sources and clusters conflict with none."""
+    """(size, source, cluster) pieces, longest first, to (bin, offset) of each. Null sources and clusters conflict with none. A tuple
+    is several clusters, of which one in common is a conflict."""
     sources: dict[object, int] = {}
     clusters: dict[object, int] = {}
     order: list[tuple[int, int]] = []  # (room, bin)
@@ -31,7 +32,9 @@ def pack(pieces: list[tuple[int, object, object]], capacity: int) -> list[tuple[
     out = []
     for size, source, cluster in pieces:
         bit_s = 0 if source is None else 1 << sources.setdefault(source, len(sources))
-        bit_c = 0 if cluster is None else 1 << clusters.setdefault(cluster, len(clusters))
+        bit_c = 0
+        for c in cluster if isinstance(cluster, tuple) else (cluster,):
+            bit_c |= 0 if c is None else 1 << clusters.setdefault(c, len(clusters))
         at = bisect_left(order, (size, -1))
         while at < len(order):
             maps = taken[order[at][1]]
@@ -51,30 +54,30 @@ def pack(pieces: list[tuple[int, object, object]], capacity: int) -> list[tuple[
     return out
 
 
-def best_fit(documents: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: str | None = None) -> DataFrame:
+def best_fit(documents: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", clusters: DataFrame | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, n_words, bin_id, bin_offset.
 
     Sizes are words (runs without ASCII white space). A longer document is cut into pieces of whole capacity, which fill
     a bin each, and a rest; so every word of every text is in one piece and no bin holds more than ``capacity``. Null, empty
-    and blank texts have no words and come back as one piece of none in no bin (bin_id null). ``cluster`` names a column of duplicate
-    clusters; without it copies of a text, but for case and white space, are one. Null sources and rows without an id
-    conflict with nothing by source or id; repeated rows are packed each. Bins are numbered within their shard:
-    ``bin_id`` is shard-number. Other columns are ignored.
+    and blank texts have no words and come back as one piece of none in no bin (bin_id null). Copies of a text, but for case and ASCII
+    white space, conflict. ``clusters`` has (doc_id, cluster: long): documents of one cluster conflict too; only ids move, and an id with
+    several clusters is in each. Null sources and rows without an id conflict with nothing by source or id; repeated rows are packed each. Bins are
+    numbered within their shard: ``bin_id`` is shard-number. Other columns are ignored.
     """
     words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
-    same = F.xxhash64(F.regexp_replace(F.trim(F.lower("text")), r"[\x20\x09-\x0D]+", " ")) if cluster is None else F.col(cluster)
-    slim = documents.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"),
-        *([] if cluster is None else [F.col(cluster).cast("string").alias("cluster")]),
-    )
-    if cluster is None:
-        slim = slim.withColumn("cluster", same.cast("string"))
+    same = F.xxhash64(F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " ")))
+    slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
+    slim = slim.withColumn("cluster", same.cast("string"))
     slim = slim.withColumn("n", F.coalesce(words, F.lit(0)).cast("long"))
     last = F.greatest(F.ceil(F.col("n") / capacity).cast("long") - 1, F.lit(0))
     cut = written(slim.select("doc_id", "source", "cluster", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")), "pieces")
     cut = cut.withColumn("start", F.col("piece") * capacity).withColumn("n_words", F.least(F.lit(capacity), F.col("n") - F.col("start")))
     rests = cut.filter((F.col("n_words") > 0) & (F.col("n_words") < capacity))
     k = shards(rests.count(), SHARD_PIECES)
+    if clusters is None:
+        rests = rests.withColumn("near", F.lit(None).cast("array<long>"))
+    else:
+        rests = rests.join(clusters.groupBy("doc_id").agg(F.collect_set(F.col("cluster").cast("long")).alias("near")), "doc_id", "left")
     whole = cut.filter((F.col("n_words") == 0) | (F.col("n_words") == capacity))
     alone = whole.select(
         "doc_id", "piece", "start", "n_words", F.when(F.col("n_words") > 0, F.concat_ws("-", F.lit("whole"), F.col("doc_id"), F.col("piece"), F.monotonically_increasing_id())).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset")
@@ -95,10 +98,10 @@ def best_fit(documents: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_
             yield packed(rows)
 
     def packed(rows: list[dict]) -> pa.RecordBatch:
-        places = pack([(r["n_words"], r["source"], r["cluster"]) for r in rows], capacity)
+        places = pack([(r["n_words"], r["source"], (r["cluster"], *(r["near"] or ()))) for r in rows], capacity)
         columns = [pa.array([r[c] for r in rows], pa.int64()) for c in names[:4]]
         bins = pa.array([f"{r['shard']}-{number}" for r, (number, _) in zip(rows, places, strict=True)])
         return pa.RecordBatch.from_arrays([*columns, bins, pa.array([at for _, at in places], pa.int64())], names=names)
 
     schema = "doc_id long, piece long, start long, n_words long, bin_id string, bin_offset long"
-    return map_arrow(dealt.select("doc_id", "piece", "start", "n_words", "source", "cluster", "shard"), fill, schema).unionByName(alone)
+    return map_arrow(dealt.select("doc_id", "piece", "start", "n_words", "source", "cluster", "near", "shard"), fill, schema).unionByName(alone)
