@@ -3,11 +3,13 @@
 Each record is one gzip member. Tasks write bounded files into the shared folder under names of their own;
 the list of files that finished tasks report is what counts, so the leavings of a lost or repeated task are never
 read. The reader checks every member and record. After a failed check it searches for the next valid gzip member or version line,
-goes on from there, and reports the bytes in between as a quarantined gap.
+goes on from there, and reports the bytes in between as a quarantined gap. Inside a member it goes on the same way in the unpacked
+octets; of a damaged member, what was unpacked before the damage is read too, and records with a digest that holds are kept.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -112,9 +114,20 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 _FIELD = re.compile(rb"([^\s:]+):[ \t]*(.*?)[ \t]*$")
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, int]:
-    """The record that begins at ``at`` and where it ends; ValueError if a check fails."""
-    if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
+def _holds(said: str | None, data: bytes) -> bool | None:
+    """Whether a digest, hexadecimal or base32 behind the name of its algorithm, is that of ``data``; null without a known algorithm."""
+    name, _, value = (said or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    digest, value = hashlib.new(name, data).digest(), value.strip()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+
+
+def parse_record(data: bytes, at: int, proven: bool = False) -> tuple[dict, int]:
+    """The record that begins at ``at`` and where it ends; ValueError if a check fails, or if its block digest cannot be checked
+    and it must be ``proven``."""
+    if not _VERSION.match(data, at):
         raise ValueError("no version line")
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
@@ -132,67 +145,104 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("wrong length")
     block = data[start:stop]
-    said = fields.get("warc-block-digest")
-    if said is not None and said != f"sha256:{hashlib.sha256(block).hexdigest()}":
+    holds = [_holds(fields.get("warc-block-digest"), block)]
+    if holds[0] is False:
         raise ValueError("wrong block digest")
-    head, _, payload = block.partition(b"\r\n\r\n")
     kind = fields.get("warc-type")
+    http = "application/http" in fields.get("content-type", "application/http" if kind in ("response", "request", "revisit") else "").lower()
+    head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
     out = {"record_type": kind, "record_id": fields.get("warc-record-id"), "refers_to": fields.get("warc-refers-to"), "uri": fields.get("warc-target-uri"), "payload": payload}
     if kind == "revisit":
         length = re.search(rb"(?im)^content-length: *([0-9]+)", head)
         out |= {"payload_bytes": int(length[1]) if length else None, "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha256:") or None, "payload": b""}
     else:
         out |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
-        if fields.get("warc-payload-digest", f"sha256:{out['payload_digest']}") != f"sha256:{out['payload_digest']}":
+        holds.append(_holds(fields.get("warc-payload-digest"), payload))
+        if holds[1] is False:
             raise ValueError("wrong payload digest")
+    if proven and holds[0] is None:
+        raise ValueError("no known block digest in a damaged member")
     return out, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at``, unpacked, and where it ends."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The gzip member at ``at`` as far as it unpacks, where that ends, and what is wrong with it, if anything."""
     unpack, parts, step = zlib.decompressobj(wbits=31), [], 1 << 15
     for start in range(at, len(data), step):
+        before = unpack.copy()
         try:
             parts.append(unpack.decompress(data[start : start + step]))
         except zlib.error as exc:
-            raise ValueError(str(exc)) from None
+            for k in range(start, min(start + step, len(data))):  # up to the octet that fails
+                try:
+                    parts.append(before.decompress(data[k : k + 1]))
+                except zlib.error:
+                    return b"".join(parts), k, str(exc)
+            return b"".join(parts), min(start + step, len(data)), str(exc)
         if unpack.eof:
-            return b"".join(parts), min(start + step, len(data)) - len(unpack.unused_data)
-    raise ValueError("truncated member")
+            return b"".join(parts), min(start + step, len(data)) - len(unpack.unused_data), None
+    return b"".join(parts), len(data), "truncated member"
 
 
-def _unit(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member, or the plain record, at ``at``."""
+def _inside(plain: bytes, fault: str | None) -> list[dict | str]:
+    """Every valid record of unpacked octets and the reason of every gap between them, in order."""
+    out: list[dict | str] = []
+    at, lost = 0, False
+    while at < len(plain):
+        try:
+            record, at = parse_record(plain, at, proven=fault not in (None, "truncated member"))
+        except ValueError as exc:
+            if not lost:
+                out.append(str(exc))
+            lost = True
+            found = _VERSION.search(plain, at + 1)
+            at = found.start() if found else len(plain)
+            continue
+        out.append(record)
+        lost = False
+    if fault and not lost:
+        out.append(fault)
+    return out
+
+
+def _unit(data: bytes, at: int) -> tuple[list[dict | str], int]:
+    """What is found in the member, or the plain record, at ``at``, and where it ends; ValueError if that is no record."""
     if data[at : at + 2] != b"\x1f\x8b":
         record, end = parse_record(data, at)
         return [record], end
-    plain, end = _member(data, at)
-    records, inner = [], 0
-    while inner < len(plain):
-        record, inner = parse_record(plain, inner)
-        records.append(record)
-    return records, end
+    plain, end, fault = _member(data, at)
+    found = _inside(plain, fault)
+    if found and not any(isinstance(x, dict) for x in found):
+        raise ValueError(fault or found[0])
+    return found, end
 
 
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
-    """(start, end, record) of every valid record and (start, end, reason) of every gap, in order of the archive."""
+    """(start, end, record) of every valid record and (start, end, reason) of every gap, in order of the archive.
+
+    Several records or gaps of one member have the member's places. A damaged member ends where it stops unpacking, and a gap at its end
+    goes from its start to what is valid next.
+    """
     at, gap, reason = 0, None, ""
     while at < len(data):
         try:
-            records, end = _unit(data, at)
+            found, end = _unit(data, at)
         except ValueError as exc:
             if gap is None:
                 gap, reason = at, str(exc)
-            found = _NEXT.search(data, at + 1)
-            at = found.start() if found else len(data)
+            after = _NEXT.search(data, at + 1)
+            at = after.start() if after else len(data)
             continue
         if gap is not None:
             yield gap, at, reason
             gap = None
-        for record in records:
+        if found and isinstance(found[-1], str):
+            gap, reason = at, found.pop()
+        for record in found:
             yield at, end, record
         at = end
     if gap is not None:
