@@ -3,8 +3,8 @@
 Codes are signs of the centred vectors after learned rotations (iterative quantisation, several of them side by side). A code is cut into
 substrings of 16 bits and every row is indexed under each. Two codes within ``SUBS * (PROBE + 1) - 1`` bits share, by
 the pigeonhole principle, a substring that differs in at most ``PROBE`` bits, so probing those neighbours of a
-query's substrings finds every code within that radius. Queries that have enough neighbours so near are answered by
-probing. For the others, the radius that true neighbours need is learned from a sample; where it is so wide that probing would
+query's substrings finds every code within that radius. Queries that have enough neighbours of a score at which, in a sample, nearly all
+true neighbours are within that radius are answered by probing. For the others, the radius that true neighbours need is learned from a sample; where it is so wide that probing would
 visit nearly every bucket of every substring, the codes themselves are scanned in blocks, which finds the same codes: every
 one within the radius. Candidates are reranked by the exact cosine of the original vectors.
 
@@ -29,6 +29,8 @@ BITS = 256
 WIDTH = 16  # bits of a substring
 PROBE = 1  # bits by which a probed substring may differ
 BLOCK = 2_048  # vectors of a block
+NEAR = BITS // WIDTH * (PROBE + 1) - 1  # bits within which probing finds every code
+PAIRS = 200  # true neighbours of about one score that must show that they are within NEAR bits
 RECALL = 0.99  # of the true neighbours in the sample, within the radius
 
 
@@ -37,6 +39,7 @@ class Codes:
     centre: np.ndarray
     rotations: np.ndarray  # dimensions x bits
     radius: int
+    sure: float = float("inf")  # score from which ``RECALL`` of true neighbours are within ``NEAR`` bits
 
     def of(self, unit: np.ndarray) -> np.ndarray:
         """Unit vectors to codes: 64-bit words."""
@@ -54,7 +57,8 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 
 def learn(sample: np.ndarray, k: int, bits: int = BITS, rounds: int = 25) -> Codes:
-    """Rotations by iterative quantisation from several starts, and the radius that ``RECALL`` of true neighbours need.
+    """Rotations by iterative quantisation from several starts, the radius that ``RECALL`` of true neighbours need, and the score from
+    which probing is enough. Without enough true neighbours of the highest scores in the sample none is.
 
     The sample is thinner than the table, so its neighbours are farther apart than the table's and the radius is on the safe side.
     """
@@ -71,17 +75,28 @@ def learn(sample: np.ndarray, k: int, bits: int = BITS, rounds: int = 25) -> Cod
             turn = (u @ v).T
         parts.append(turn)
     codes = Codes(centre, np.concatenate(parts, axis=1)[:, :bits], bits)
-    coded, needed = codes.of(unit), []
-    for start in range(0, min(len(unit), 400), 100):
+    coded, needed, reached = codes.of(unit), [], []
+    for start in range(0, len(unit), 100):
         scores = unit[start : start + 100] @ unit.T
         scores[np.arange(len(scores)), np.arange(start, start + len(scores))] = -2
-        best = np.argsort(-scores, axis=1)[:, :k]
-        needed.append(np.take_along_axis(distances(coded[start : start + 100], coded), best, axis=1).ravel())
-    if needed:
-        codes.radius = int(np.ceil(np.quantile(np.concatenate(needed), RECALL)))
+        best = np.argpartition(-scores, min(k, len(unit) - 1) - 1, axis=1)[:, :k] if len(unit) > 1 else np.zeros((1, 0), np.int64)
+        needed.append(np.take_along_axis(distances(coded[start : start + 100], coded), best, axis=1))
+        reached.append(np.take_along_axis(scores, best, axis=1))
+    if len(unit) > 1:
+        codes.radius = int(np.ceil(np.quantile(np.concatenate(needed[:4]).ravel(), RECALL)))
+        codes.sure = sure_from(np.concatenate(reached).ravel(), np.concatenate(needed).ravel())
     return codes
 
 
+def sure_from(scores: np.ndarray, apart: np.ndarray) -> float:
+    """The least score such that from there on, in each run of ``PAIRS`` neighbours by score, ``RECALL`` are within ``NEAR`` bits."""
+    order = np.argsort(-scores, kind="stable")
+    inside = np.concatenate(([0], np.cumsum(apart[order] <= NEAR)))
+    held = inside[PAIRS:] - inside[:-PAIRS] >= RECALL * PAIRS
+    runs = len(held) if held.all() else int(held.argmin())
+    return float(scores[order[runs + PAIRS - 2]]) if runs else float("inf")
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) with v in double precision; rows that are null, zero or hold null or non-finite components are left out."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -151,6 +166,7 @@ def _nearest_of_size(entries: DataFrame, queries: DataFrame, size: int, k: int)
     sample = entries.orderBy("key").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     learned = learn(matrix(sample, size), k)
     codes = spark.sparkContext.broadcast((learned.centre, learned.rotations, learned.radius))
+    sure = learned.sure
     index = written(_coded(entries, codes, size, ["key", "ids", "v"]), "index")
     asked = written(_coded(queries, codes, size, ["query_id", "v"]), "asked")
 
@@ -159,15 +175,13 @@ def _nearest_of_size(entries: DataFrame, queries: DataFrame, size: int, k: int)
     subs = asked.select("query_id", "code", F.explode(_substrings("code")).alias("s"))
     probes = subs.select("query_id", "code", F.col("s.place").alias("place"), F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("s.value").bitwiseXOR(m))).alias("value"))
     table = index.select(F.col("key"), F.col("code").alias("other"), F.explode(_substrings("code")).alias("s")).select("key", "other", F.col("s.place").alias("place"), F.col("s.value").alias("value"))
-    near = BITS // WIDTH * (PROBE + 1) - 1
     apart = F.aggregate(F.zip_with("code", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    found = probes.join(table, ["place", "value"]).filter(apart <= near).select("query_id", "key").distinct()
+    found = probes.join(table, ["place", "value"]).filter(apart <= NEAR).select("query_id", "key").distinct()
     met = found.join(index.select("key", "v", "ids"), "key").join(asked.select("query_id", F.col("v").alias("q")), "query_id")
     scored = _scored(met, size).select("query_id", "vec_id", "score")
     probed = written(scored.filter("query_id <> vec_id"), "probed")
-    # A query is answered if it has k neighbours within the radius and the k-th is nearer than codes beyond it are likely to be.
-    likely = float(np.cos(np.pi * near / BITS))
-    done = probed.filter(F.col("score") >= likely).groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).filter(F.col("n") >= k).select("query_id")
+    # A query is answered if it has k neighbours within the radius and the k-th scores as those do that are hardly ever beyond it.
+    done = probed.filter(F.col("score") >= sure).groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).filter(F.col("n") >= k).select("query_id")
     done = written(done, "done")
     rest = asked.join(done, "query_id", "left_anti")
     release(spark)
