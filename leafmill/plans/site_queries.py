@@ -279,6 +279,26 @@ def nearby_places(spark, sf):
     return found.select("query", "osm_type", "osm_id", "name", F.round("distance_m").cast("bigint").alias("metres"))
 
 
+@query(
+    "all_nearby_places",
+    f"""WITH c AS ({_CENTRES}), p AS (SELECT c_custkey, CASE WHEN c_custkey % 10 <> 9 THEN c_name END AS name, {_AMENITY} AS amenity,
+ {_LAT.format('c_custkey % 997')} AS lat, {_LON.format('c_custkey % 991')} AS lon,
+ CASE c_custkey % 2 WHEN 0 THEN 'node' ELSE 'way' END AS osm_type FROM customer),
+ d AS (SELECT c.query, p.*, {_HAVERSINE} AS m FROM c CROSS JOIN p WHERE abs(p.lat - c.lat) < 0.02)
+ SELECT query, amenity, osm_type, c_custkey AS osm_id, name, CAST(round(m) AS BIGINT) AS metres FROM d WHERE m <= 2000 AND name IS NOT NULL""",
+)
+def all_nearby_places(spark, sf):
+    """Every named place of the three categories, without a limit; ``nearby_places`` has the first twenty cafes by type and id."""
+    asked = table(spark, sf, "supplier").select(F.col("s_name").alias("query"))
+    centres, _ = places.geocode(asked, view(spark, sf, "geocode"))
+    wanted = asked.withColumn("category", F.explode(F.array(*map(F.lit, ("dentist", "cafe", "pub")))))
+    tagged, _ = places.category_tags(wanted)
+    found = places.nearby_places(centres.join(tagged, "query"), places.element_places(view(spark, sf, "places")), radius_m=2000)
+    return found.select(
+        "query", F.col("tag_value").alias("amenity"), "osm_type", "osm_id", "name", F.round("distance_m").cast("bigint").alias("metres")
+    )
+
+
 # -------------------------------------------------------------------------- attempts
 
 _MIRROR_STEPS = f"""a AS (SELECT *, CASE WHEN status_code IN (429, 502, 503, 504) THEN 'pass' WHEN status_code <> 200 THEN 'hard'
