@@ -1,11 +1,11 @@
-"""The ten operators over the whole tables, as registered queries with the digests their contracts name."""
+"""The operators over the whole tables, as registered queries with the digests their contracts name."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontamination, hamming_index, html_text, ngram_join, packing, pii, quality, substring_dedup, twins, warc
+from leafmill.llm import chat, decontamination, hamming_index, html_text, ngram_join, packing, pii, quality, substring_dedup, token_alignment, twins, warc
 from leafmill.plans.registry import query
 from leafmill.plans.views import table
 
@@ -100,3 +100,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages, html_text.fit_on(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers align in each document, scored by how many documents hold each linked pair of ids."""
+    scored = token_alignment.index_links(table(spark, sf_dir, "documents"), digest=True).scores()
+    return scored.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
