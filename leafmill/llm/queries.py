@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontamination, hamming_index, html_text, ngram_join, packing, pii, quality, substring_dedup, token_alignment, twins, warc
+from leafmill.llm import chat, decontamination, hamming_index, html_text, ngram_join, packing, pii, prefix_trie, quality, substring_dedup, token_alignment, twins, warc
 from leafmill.plans.registry import query
 from leafmill.plans.views import table
 
@@ -107,3 +107,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers align in each document, scored by how many documents hold each linked pair of ids."""
     scored = token_alignment.index_links(table(spark, sf_dir, "documents"), digest=True).scores()
     return scored.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+@query("op12_prefix_trie", twins.TRIE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all conversations, rebuilt on the heads of each fifth one."""
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt(prefix_trie.turn_paths(table(spark, sf_dir, "conversations"))))

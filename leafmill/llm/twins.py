@@ -69,3 +69,19 @@ r AS (SELECT DISTINCT a AS doc_id, a AS reached FROM e UNION SELECT r.doc_id, e.
 m AS (SELECT doc_id, min(reached) AS first FROM r GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(size, 0) AS BIGINT) AS n_shingles, coalesce(first, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+#: CRC-32 bit by bit: the polynomial of the reversed form, over the characters of the decimal id.
+TRIE = """
+WITH c AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+ FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+ lambda a, x: list_reduce(list_prepend(xor(a, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 9 AS h FROM c),
+b AS (SELECT h.conv_id, coalesce(f.own[1:h.h], []) || h.own[h.h + 1:] AS path FROM h LEFT JOIN c f ON f.conv_id = h.conv_id - h.conv_id % 5),
+m AS (SELECT conv_id, path[1:d] AS node, d, len(path) AS n FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM b)),
+n AS (SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends FROM m GROUP BY node, d),
+k AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(node[-1].t) ELSE 0 END AS saved FROM n LEFT JOIN k USING (node)),
+u AS (SELECT node[1:d] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM a) GROUP BY ALL)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(a.n_convs AS BIGINT) AS n_convs, CAST(a.n_children AS BIGINT) AS n_children,
+ CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM a JOIN u ON u.node = a.node LEFT JOIN a p ON a.depth > 0 AND p.node = a.node[1:a.depth - 1]"""
