@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontamination, hamming_index, html_text, ngram_join, packing, pii, prefix_trie, quality, substring_dedup, token_alignment, twins, warc
+from leafmill.llm import chat, decontamination, hamming_index, html_text, ngram_join, packing, pii, prefix_trie, quality, secrets, substring_dedup, token_alignment, twins, warc
 from leafmill.plans.registry import query
 from leafmill.plans.views import table
 
@@ -113,3 +113,14 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the prefix trie of all conversations, rebuilt on the heads of each fifth one."""
     return prefix_trie.prefix_nodes(prefix_trie.rebuilt(prefix_trie.turn_paths(table(spark, sf_dir, "conversations"))))
+
+
+@query("op13_secret_scans")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(documents, secrets.fit_on(documents))
+    count = lambda kind: F.size(F.filter("secrets.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, ("assign", "access", "hex")), hexed(secrets.listed(F.col("secrets.base"))).alias("base_sha256"), secrets.listed(F.col("secrets.spans")).alias("spans")
+    )
