@@ -51,10 +51,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bin and place of every piece of every document; near copies, as op9 links them, share no bin."""
-    documents = table(spark, sf_dir, "documents")
-    near = ngram_join.similar_components(documents).select("doc_id", F.col("component_id").alias("cluster"))
-    return packing.best_fit(documents, clusters=near)
+    """The bin and place of every piece of every document; near copies, by their band keys, share no bin."""
+    return packing.best_fit(table(spark, sf_dir, "documents"), near=True)
 
 
 @query("op6_benchmark_decontamination", twins.CONTAMINATION)
