@@ -14,7 +14,7 @@ its blocks, and only the highest count of each A id is broadcast, which has as m
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +30,8 @@ from leafmill.llm.common import map_arrow, octets, written
 FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_DOCS, BLOCK_POSTINGS, BLOCK_CHARS = 1 << 16, 4_000_000, 64_000_000
+# Fixed value: how byte-level tokenizers of this kind split a text before they merge.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHIFT = 20  # a pair is (A id << 20) + B id
 
 _POSTING = [("block", pa.int64()), ("pair", pa.int64()), ("plane", pa.int32()), ("n", pa.int32()), ("dense", pa.bool_()), ("slots", pa.binary())]
@@ -44,22 +46,25 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Aligner:
-    """Both tokenizers and the bytes of their tokens. ``a`` is the text of a byte-level tokenizer file, ``b`` a piece model's bytes."""
+    """Both tokenizers and the bytes of their tokens. ``a`` is the text of a byte-level tokenizer file, ``b`` a piece model's bytes.
+
+    A's file is read into the library that merges by rank: ids must be in the order of the merges, and no merge may give another's entry.
+    """
 
     def __init__(self, a: str, b: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_str(a)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        import tiktoken
+
+        letters, model = _byte_letters(), json.loads(a)["model"]
+        entries = {bytes(letters[c] for c in entry): k for entry, k in model["vocab"].items() if all(c in letters for c in entry)}
+        merged = [model["vocab"]["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in model["merges"]]
+        if any(x >= y for x, y in zip(merged, merged[1:], strict=False)) or len(entries) != len(merged) + 256:
+            raise ValueError("the merges of this file are not in the order of its ids")
+        self.a = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=entries, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
-        letters, entries = _byte_letters(), self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for entry, k in entries.items():
-            self.bytes_a[k] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
+            self.bytes_a[k] = entry
         size = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(k) for k in range(size)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
@@ -68,13 +73,12 @@ class Aligner:
         self.written = [b"%d%b" % (k, sign) for sign in (b",", b"|", b";") for k in ids]
         self.ids = len(ids)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
         """The ids of each text under A, which reads a space before it, and under B, which adds that itself."""
         some = [t for t in texts if t]
-        a = iter(self.a.encode_batch_fast([f" {t}" for t in some], add_special_tokens=False))
         b = iter(self.b.encode(some, num_threads=1) if some else [])
         for text in texts:
-            yield (next(a).ids, next(b)) if text else ([], [])
+            yield (self.a.encode_ordinary(f" {text}"), next(b)) if text else ([], [])
 
     def links(self, text: str | None, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, bytes, int]:
         """(pair and count of each link, the groups as written, how many); nothing if the tokens do not spell a space and the text."""
