@@ -101,6 +101,18 @@ def first_by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
     return hashed.join(F.broadcast(chosen), hashed[name] == chosen["h"], "left_semi").drop(name)  # at most ``limit`` numbers
 
 
+def proven_from(counts: list[tuple[float, float, float]], precision: float, certainty: float) -> float | None:
+    """The least score from which on the share of hits is proven to be ``precision``: the lower end of the Wilson interval of ``certainty`` standard
+    errors reaches it. ``counts``: (score, hits, all). The fewer there are, the purer they must be; a handful proves nothing."""
+    found, yes, n, z2 = None, 0.0, 0.0, certainty**2
+    for score, hits, every in sorted(counts, reverse=True):
+        yes, n = yes + hits, n + every
+        p = yes / n
+        if (p + z2 / (2 * n) - certainty * math.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n) >= precision:
+            found = score
+    return found
+
+
 def shards(total: float, per_shard: float) -> int:
     """As many shards as hold ``per_shard`` each."""
     return max(1, math.ceil(total / per_shard))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import free_name, written
+from leafmill.llm.common import free_name, proven_from, written
 from leafmill.llm.pii import let, listed, matches
 
 __all__ = ["Model", "find_secrets", "fit_on", "listed"]
@@ -113,21 +113,6 @@ def _ratios(counts: dict[tuple[int, str], int]) -> list[float]:
     return out
 
 
-def least_proven(counts: list[tuple[int, int, int]], precision: float = PRECISION) -> float | None:
-    """The least ratio, not below even odds, from which on the share of random strings is proven to be ``precision``. ``counts``: (step, random, all)."""
-    found, yes, n = None, 0, 0
-    for step, random, every in sorted(counts, reverse=True):
-        if step < 0:
-            break
-        yes, n = yes + random, n + every
-        z2 = CERTAINTY**2
-        p = yes / n
-        bound = (p + z2 / (2 * n) - CERTAINTY * math.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-        if bound >= precision:
-            found = step * STEP
-    return found
-
-
 def fit_on(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Both models and the least ratio, from the labelled strings of all documents. Without strings of both kinds, or where the precision
     cannot be proven on the held-out documents, nothing is added."""
@@ -143,7 +128,8 @@ def fit_on(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     model = Model(_ratios(counts), None)
     step = F.greatest(F.least(F.floor(model.score(F.col("value")) / STEP), F.lit(REACH)), F.lit(-REACH))
     scored = labelled.filter("held").groupBy(step.cast("int").alias("step")).agg(F.sum("random").alias("random"), F.count("*").alias("n")).collect()
-    model.least = least_proven([tuple(r) for r in scored])
+    # Not below even odds, however pure the samples are.
+    model.least = proven_from([(r["step"] * STEP, r["random"], r["n"]) for r in scored if r["step"] >= 0], PRECISION, CERTAINTY)
     return model
 
 
