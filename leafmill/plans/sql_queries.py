@@ -51,7 +51,10 @@ _STATEMENTS = {
 
 
 def _statement(spark: SparkSession, sf: str, sql: str) -> DataFrame:
-    return run(spark, sf, sql)
+    """The statement over the tables it names, through the guard."""
+    for name in set(re.findall(r"@(\w+)", sql)):
+        table(spark, sf, name).createOrReplaceTempView(name)
+    return _tables(spark).select(sql.replace("@", ""))
 
 
 for _name, _sql in _STATEMENTS.items():
@@ -64,11 +67,7 @@ for _name, _sql in _STATEMENTS.items():
  FROM events GROUP BY event_type""",
 )
 def sql_json(spark, sf):
-    return run(
-        spark,
-        sf,
-        "SELECT event_type, count(*) AS n, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS total FROM @events GROUP BY event_type",
-    )
+    return _statement(spark, sf, "SELECT event_type, count(*) AS n, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS total FROM @events GROUP BY event_type")
 
 
 # -------------------------------------------------------------------- table operations
