@@ -19,7 +19,7 @@ from leafmill.functions.sqltext import each, keep, quote
 from leafmill.functions.text import ENTITY, NAMED, strip_space
 
 EVENTS = (
-    "array<struct<kind:string,tag:string,pos:int,parent:int,depth:int,nth:int,prev:int,last:boolean,attrs:map<string,string>,"
+    "array<struct<kind:string,tag:string,pos:int,parent:int,depth:int,nth:int,prev:int,rest:int,type_nth:int,type_rest:int,attrs:map<string,string>,"
     "text:string,hidden:boolean,aside:boolean,pre:boolean,lists:int,item:int,end:int>>"
 )
 
@@ -48,11 +48,8 @@ COUNTED = frozenset(("li", "tr", "td", "th"))
 OWNERS = frozenset(("ul", "ol", "tr", "table"))
 
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>"""
-    r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|([^<]+|<)""",
-    re.S | re.I,
-)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)([^>"']*)(>|["'])|([^<]+|<)""", re.S | re.I)
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _REFERENCE = re.compile(ENTITY)
 _RAW = {tag: re.compile(rf"</{tag}\s*>|\Z", re.I) for tag in ("script", "style", "textarea", "title")}
@@ -83,104 +80,170 @@ def _attributes(text: str) -> list[tuple[str, str]]:
 class _Open:
     """An element that is still open, with what its descendants inherit."""
 
-    __slots__ = ("tag", "pos", "depth", "elements", "newest", "href", "hidden", "aside", "pre", "story", "lists", "item", "children")
+    __slots__ = ("tag", "pos", "depth", "elements", "href", "hidden", "aside", "pre", "story", "lists", "item", "children")
 
 
 def _page() -> _Open:
     """What stands above a page's outermost elements."""
     root = _Open()
-    root.tag, root.pos, root.depth, root.newest, root.href = "", -1, -1, -1, None
+    root.tag, root.pos, root.depth, root.href, root.elements = "", -1, -1, None, []
     root.hidden = root.aside = root.pre = root.story = False
-    root.lists = root.item = root.children = root.elements = 0
+    root.lists = root.item = root.children = 0
     return root
 
 
-def walk(html: str) -> tuple[list[tuple], list[int]]:
-    """Events of one page in document order, and the position each one ends at.
-
-    An element knows its parent, its depth, its place among its siblings, the sibling before it and whether it is
-    the last one. Nothing it holds grows with its depth.
+_FIELDS = [
+    ("kind", pa.string()), ("tag", pa.string()), ("pos", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("nth", pa.int32()), ("prev", pa.int32()),
+    ("rest", pa.int32()), ("type_nth", pa.int32()), ("type_rest", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
+    ("hidden", pa.bool_()), ("aside", pa.bool_()), ("pre", pa.bool_()), ("lists", pa.int32()), ("item", pa.int32()), ("end", pa.int32()),
+]
+
+
+class Events:
+    """Events of pages, a list per field; places count from each page's start."""
+
+    def __init__(self):
+        self.columns: dict[str, list] = {name: [] for name, _ in _FIELDS if name != "attrs"}
+        self.names, self.values, self.held = [], [], []  # attributes laid end to end, and where each event's start
+        self.offsets = [0]
+        self.start = 0
+
+    def _add(self, kind: str, tag: str, parent: int, text: str | None, of: _Open, lists: int, item: int) -> int:
+        c = self.columns
+        place = len(c["kind"]) - self.start
+        for name, value in (("kind", kind), ("tag", tag), ("pos", place), ("parent", parent), ("text", text), ("hidden", of.hidden), ("aside", of.aside), ("pre", of.pre), ("lists", lists), ("item", item), ("end", place)):
+            c[name].append(value)
+        for name in ("depth", "nth", "prev", "rest", "type_nth", "type_rest"):
+            c[name].append(None)
+        return place
+
+    def text(self, raw: str, of: _Open) -> None:
+        self._add("text", "", of.pos, unescape(raw) if "&" in raw else raw, of, of.lists, of.item)
+        self.held.append(None)
+
+    def open(self, new: _Open, parent: _Open, attrs: list[tuple[str, str]]) -> None:
+        new.pos = self._add("open", new.tag, parent.pos, None, new, new.lists, new.item)
+        self.columns["depth"][-1] = new.depth
+        self._attributes(attrs)
+        parent.elements.append(new.pos)
+
+    def close(self, done: _Open, parent: _Open) -> None:
+        row = done.tag == "tr"
+        place = self._add("close", done.tag, parent.pos, None, done, done.item if row else done.lists, done.children if row else done.item)
+        if done.tag == "a" and done.href is not None:
+            self._attributes([("href", done.href)])
+        else:
+            self.held.append(None)
+        self.columns["end"][self.start + done.pos] = place
+        self.settle(done)
+
+    def _attributes(self, attrs: list[tuple[str, str]]) -> None:
+        self.held.append(len(self.names))
+        for name, value in attrs:
+            self.names.append(name)
+            self.values.append(value)
+
+    def settle(self, parent: _Open) -> None:
+        """Give the elements below one that has ended their places among each other."""
+        c, start, before = self.columns, self.start, -1
+        seen: Counter[str] = Counter()
+        for k, place in enumerate(parent.elements):
+            at = start + place
+            tag = c["tag"][at]
+            seen[tag] += 1
+            c["nth"][at], c["prev"][at], c["rest"][at], c["type_nth"][at] = k + 1, before, len(parent.elements) - k - 1, seen[tag]
+            before = place
+        for place in parent.elements:
+            at = start + place
+            c["type_rest"][at] = seen[c["tag"][at]] - c["type_nth"][at]
+        parent.elements = []
+
+    def end_page(self) -> None:
+        self.start = len(self.columns["kind"])
+        self.offsets.append(self.start)
+
+    def arrays(self) -> pa.Array:
+        starts = pa.array([*self.held, len(self.names)], pa.int32())
+        attrs = pa.MapArray.from_arrays(starts, pa.array(self.names, pa.string()), pa.array(self.values, pa.string()))
+        arrays = [attrs if name == "attrs" else pa.array(self.columns[name], kind) for name, kind in _FIELDS]
+        struct = pa.StructArray.from_arrays(arrays, names=[name for name, _ in _FIELDS])
+        return pa.ListArray.from_arrays(pa.array(self.offsets, type=pa.int32()), struct)
+
+
+def walk(html: str, events: Events) -> None:
+    """Add the events of one page in document order, in time linear in the page.
+
+    An element knows its parent, its depth, its place among its siblings and among those of its tag, from either end, and the sibling before
+    it. Nothing it holds grows with its depth. A tag without an end is text; once quotes have swallowed the rest of a page, later tags end at
+    their first angle bracket, whatever they quote.
     """
-    rows: list[tuple] = []
-    ends: list[int] = []
     stack: list[_Open] = []
     top = root = _page()
-    unclosed: Counter[str] = Counter()
+    depths: dict[str, list[int]] = {}  # of the open elements of each tag
     pending: list[str] = []
-    position, size = 0, len(html)
-
-    def settle(parent: _Open) -> None:
-        """Mark the last child of an element that has ended."""
-        if parent.newest >= 0:
-            row = rows[parent.newest]
-            rows[parent.newest] = (*row[:7], True, *row[8:])
+    position, size, last, quotes = 0, len(html), html.rfind(">"), True
 
     def close(depth: int) -> None:
         nonlocal top
         while len(stack) > depth:
             done = stack.pop()
-            unclosed[done.tag] -= 1
-            place = len(rows)
-            row = done.tag == "tr"
-            link = [("href", done.href)] if done.tag == "a" and done.href is not None else None
+            depths[done.tag].pop()
             top = stack[-1] if stack else root
-            settle(done)
-            rows.append((
-                "close", done.tag, place, top.pos, None, None, None, None, link, None, done.hidden, done.aside, done.pre,
-                done.item if row else done.lists, done.children if row else done.item,
-            ))
-            ends.append(place)
-            ends[done.pos] = place
+            events.close(done, top)
+
+    def deepest(tags: tuple | frozenset) -> int:
+        return max((depths[tag][-1] for tag in tags if depths.get(tag)), default=-1)
 
     def close_to(tags: tuple, stops: tuple) -> None:
-        if not any(unclosed[tag] for tag in tags):
-            return
-        for depth in range(len(stack) - 1, -1, -1):
-            tag = stack[depth].tag
-            if tag in tags:
-                close(depth)
-                return
-            if tag in stops:
-                return
-
-    def text(raw: str) -> None:
-        place = len(rows)
-        value = unescape(raw) if "&" in raw else raw
-        rows.append(("text", "", place, top.pos, None, None, None, None, None, value, top.hidden, top.aside, top.pre, top.lists, top.item))
-        ends.append(place)
+        depth = deepest(tags)
+        if depth >= 0 and depth > deepest(stops):
+            close(depth)
 
     while position < size:
+        if position > last:
+            pending.append(html[position:])
+            break
         token = _TOKEN.match(html, position)
-        position = token.end()
-        if token[7] is not None:
-            pending.append(token[7])
+        at, position = position, token.end()
+        if token[5] is not None:
+            pending.append(token[5])
             continue
+        tag, inner = token[2], token[3]
+        if tag is not None and token[4] != ">":
+            end = _QUOTED.match(html, position - 1).end() if quotes else size
+            if end >= size:
+                quotes = False
+                end = html.find(">", position)
+                if end < 0:
+                    pending.append(html[at])
+                    position = at + 1
+                    continue
+            if html[end] != ">":  # a quote that nothing closes
+                end = html.find(">", position)
+            inner, position = html[token.start(3) : end], end + 1
         if pending:
-            text("".join(pending))
+            events.text("".join(pending), top)
             pending.clear()
-        tag = token[2] or token[5]
         if tag is None:
             continue
         tag = tag.lower()
-        if token[1] or token[4]:
+        if token[1]:
             close_to((tag,), ())
             continue
         if tag in ENDS_ITEM:
             close_to(*ENDS_ITEM[tag])
         elif tag in BLOCK:
             close_to(*ENDS_PARAGRAPH)
-        attrs = _attributes(token[3] or token[6] or "")
-        place, new = len(rows), _Open()
-        held = dict(attrs)
-        new.tag, new.pos, new.href, new.children, new.item = tag, place, held.get("href"), 0, 0
+        attrs = _attributes(inner) if inner else []
+        held, new = dict(attrs), _Open()
+        new.tag, new.href, new.children, new.item, new.elements = tag, held.get("href"), 0, 0, []
         if tag in COUNTED:
-            if any(unclosed[held_by] for held_by in OWNERS):
-                owner = next(o for o in reversed(stack) if o.tag in OWNERS)
+            depth = deepest(OWNERS)
+            if depth >= 0:
+                owner = stack[depth]
                 owner.children += 1
                 new.item = owner.children if tag != "li" or owner.tag == "ol" else 0
-        new.depth, new.elements, new.newest = top.depth + 1, 0, -1
-        top.elements += 1
-        before, top.newest = top.newest, place
+        new.depth = top.depth + 1
         new.hidden = top.hidden or tag in HIDDEN
         new.pre = top.pre or tag == "pre"
         new.story = top.story or tag in ("article", "main")
@@ -192,47 +255,31 @@ def walk(html: str) -> tuple[list[tuple], list[int]]:
             or not top.story
             and (tag == "header" or bool(ASIDE_NAMES.search(f"{held.get('id', '')} {held.get('class', '')}")))
         )
-        rows.append((
-            "open", tag, place, top.pos, new.depth, top.elements, before, False, attrs, None, new.hidden, new.aside, new.pre, new.lists, new.item,
-        ))
-        ends.append(place)
-        if tag not in VOID:
-            stack.append(new)
-            unclosed[tag] += 1
-            top = new
-            if tag in _RAW:
-                stop = _RAW[tag].search(html, position)
-                if tag in ("textarea", "title") and stop.start() > position:
-                    text(html[position : stop.start()])
-                position = stop.end()
-                close(len(stack) - 1)
+        events.open(new, top, attrs)
+        if tag in VOID:
+            continue
+        depths.setdefault(tag, []).append(len(stack))
+        stack.append(new)
+        top = new
+        if tag in _RAW:
+            stop = _RAW[tag].search(html, position)
+            if tag in ("textarea", "title") and stop.start() > position:
+                events.text(html[position : stop.start()], top)
+            position = stop.end()
+            close(len(stack) - 1)
     if pending:
-        text("".join(pending))
+        events.text("".join(pending), top)
     close(0)
-    settle(root)
-    return rows, ends
-
-
-_FIELDS = [
-    ("kind", pa.string()), ("tag", pa.string()), ("pos", pa.int32()), ("parent", pa.int32()),
-    ("depth", pa.int32()), ("nth", pa.int32()), ("prev", pa.int32()), ("last", pa.bool_()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
-    ("hidden", pa.bool_()), ("aside", pa.bool_()), ("pre", pa.bool_()), ("lists", pa.int32()),
-    ("item", pa.int32()), ("end", pa.int32()),
-]
+    events.settle(root)
 
 
 def _events(pages: pa.Array) -> pa.Array:
-    rows, ends, offsets = [], [], [0]
+    events = Events()
     for page in pages.to_pylist():
         if page:
-            found, stops = walk(page)
-            rows += found
-            ends += stops
-        offsets.append(len(rows))
-    columns = [*zip(*rows), ends] if rows else [[] for _ in _FIELDS]
-    arrays = [pa.array(column, type=kind) for column, (_, kind) in zip(columns, _FIELDS)]
-    struct = pa.StructArray.from_arrays(arrays, names=[name for name, _ in _FIELDS])
-    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), struct)
+            walk(page, events)
+        events.end_page()
+    return events.arrays()
 
 
 def page_events(html: Column) -> Column:

@@ -366,10 +366,40 @@ def selector_pages(spark, sf):
     return rows.select("page_id", (F.col("heading") != "").alias("headed"), F.col("link").alias("first_link"))
 
 
+# What each selector picks first on a listing page: a card is a div of class card with a heading, a link and, for two parts in three, a span.
+_FORMS = {
+    "has": ("div:has(> span.s) > h2.t", "min_by(p_name, p_partkey) FILTER (p_partkey % 3 <> 0)"),
+    "has_not": (".card:not(:has(span)) h2", "min_by(p_name, p_partkey) FILTER (p_partkey % 3 = 0)"),
+    "has_next": ("h2:has(+ a + span)", "min_by(p_name, p_partkey) FILTER (p_partkey % 3 <> 0)"),
+    "has_later": ("h2:has(~ span)", "min_by(p_name, p_partkey) FILTER (p_partkey % 3 <> 0)"),
+    "nth_last_child": (".grid > div:nth-last-child(1) h2", "max_by(p_name, p_partkey)"),
+    "nth_last_of_type": (".grid > div:nth-last-of-type(2) h2", "max_by(p_name, p_partkey, 2)[2]"),
+    "first_of_type": ("span:first-of-type", "min_by(p_type, p_partkey) FILTER (p_partkey % 3 <> 0)"),
+    "last_of_type": ("div.card:last-of-type > h2:only-of-type", "max_by(p_name, p_partkey)"),
+    "nth_of_type": (".card:nth-of-type(2) a@href", "'https://list.example/p/' || CAST(min_by(p_partkey, p_partkey, 2)[2] AS VARCHAR)"),
+    "root": (":root > body > .grid > .card > h2", "min_by(p_name, p_partkey)"),
+    "contains": (".card:contains('BRASS') h2", "min_by(p_name, p_partkey) FILTER (p_partkey % 3 <> 0 AND contains(p_type, 'BRASS') OR contains(p_name, 'BRASS'))"),
+    "siblings": (".card ~ .card ~ .card h2", "min_by(p_name, p_partkey, 3)[3]"),
+    "unlike": ("a[href!='x'][class='L' i]", "'go'"),
+    "hovered": ("a:hover", "''"),
+    "no_selector": ("a:linked", "''"),
+}
+
+
+@query(
+    "selector_forms",
+    f"""SELECT 'https://list.example/' || p_brand || '/' || CAST(p_partkey // 1000 AS VARCHAR) AS url,
+ {', '.join(f"coalesce({answer}, '') AS {name}" for name, (_, answer) in _FORMS.items())} FROM part GROUP BY p_brand, p_partkey // 1000""",
+)
+def selector_forms(spark, sf):
+    rows, _ = selectors.extract_by_selector(view(spark, sf, "listing_pages"), {name: selector for name, (selector, _) in _FORMS.items()})
+    return rows.drop("pos")
+
+
 @query(
     "selector_errors",
     """SELECT 'https://list.example/' || p_brand || '/' || CAST(p_partkey // 1000 AS VARCHAR) AS url,
- 'no elements matched those selectors' AS error FROM part GROUP BY p_brand, p_partkey // 1000 HAVING max(p_size) < 50""",
+ 'none of the selectors picked an element' AS error FROM part GROUP BY p_brand, p_partkey // 1000 HAVING max(p_size) < 50""",
 )
 def selector_errors(spark, sf):
     _, errors = selectors.extract_by_selector(view(spark, sf, "listing_pages"), {"t": ".c50 .t"})

@@ -1,13 +1,14 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions.markdown import article_markdown
-from leafmill.functions.markup import page_events, text_of
-from leafmill.functions.selectors import UnsupportedSelector, matches
-from leafmill.functions.sqltext import each, keep
+from leafmill.functions.markup import Events, page_events, text_of, walk
+from leafmill.functions.selectors import BadSelector, UnsupportedSelector, picked
+from leafmill.functions.sqltext import each
 from leafmill.operators import documents, extract, products, selectors, signals
 
 URL = "https://shop.example/p/1"
@@ -216,14 +217,55 @@ def test_selector_forms(make_pages, selector, found):
         "<h3>head</h3><p>after</p><p>later</p><div><b>deep</b></div></section>"
     )
     read = make_pages((URL, page)).select(page_events(F.col("html")).alias("e"))
-    picked = each(keep("e", lambda n: matches(selector, "e", n)), lambda n: text_of("e", n))
-    assert " ".join(read.select(F.expr(picked).alias("t")).first().t) == found
+    texts = each(each(picked(selector, "e"), lambda p: f"get(e, {p})"), lambda n: text_of("e", n))
+    assert " ".join(read.select(F.expr(texts).alias("t")).first().t) == found
+
+
+@pytest.mark.parametrize(
+    ("selector", "found"),
+    [
+        ("section:has(b) h3", "head"), ("div:has(> b)", "deep"), ("div:has(> i)", ""), ("h3:has(+ p)", "head"), ("p:has(+ div)", "later"), ("h3:has(~ div b)", "head"),
+        ("li:has(i), h3:has(i)", "two"), ("ul:not(:has(b)) > li:nth-last-child(2)", "three"), ("p:nth-last-of-type(2)", "after"), ("p:last-of-type", "later"),
+        ("div:only-of-type b", "deep"), ("section > :nth-of-type(1):not(ul):not(div)", "head after"), (":root > h3", "head"), ("p:contains(aft, 'no')", "after"),
+        ("li:-soup-contains-own('two')", ""), ("li:contains('two')", "two"), ("li[lang='EN-gb' i]", "three"), ("li[class!=x]:not([lang])", "one four"),
+        ("p:hover", ""), ("li:is(ul > .x, :first-child)", "one two"), ("section:has(ul i) > p:not(h3 + p)", "later"),
+    ],
+)
+def test_further_selector_forms(make_pages, selector, found):
+    test_selector_forms(make_pages, selector, found)
 
 
 def test_selectors_that_cannot_be_evaluated_raise(make_pages):
-    for selector in ("a:hover", "p:has(b)", "li:nth-child(x)"):
+    for selector in ("p:lang(en)", "input:placeholder-shown", "li:nth-child(2 of .x)"):
         with pytest.raises(UnsupportedSelector):
             selectors.extract_by_selector(make_pages((URL, "x")), {"v": selector})
+    for selector in ("a:bad", "li:nth-child(x)", "p:", "> p", "p >", ":not()", "p::before"):
+        with pytest.raises(BadSelector):
+            picked(selector, "e")
+        rows, errors = selectors.extract_by_selector(make_pages((URL, "<p>x</p>")), {"v": selector, "w": "p"})
+        assert [(r.v, r.w) for r in rows.collect()] == [("", "x")] and errors.isEmpty()
+
+
+def test_selectors_take_time_in_proportion_to_the_page(make_pages):
+    wide = "<ul><li class=a>x</li>" + "<li>y</li>" * 100_000 + "</ul>"
+    deep = "<div class=b>" * 3_000 + "<p>end</p>"
+    start = time.time()
+    rows, _ = selectors.extract_by_selector(make_pages((URL, wide), ("https://e.example/", deep)), {"v": "li.a ~ li:last-child", "w": ".b .b .b p", "n": "ul:has(.a ~ li) li"})
+    assert sorted((r.v, r.w, r.n) for r in rows.collect()) == [("", "end", ""), ("y", "", "x")]
+    assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 60_000 + "<p>" + "</b></x></p>" * 60_000, '<a "> "' * 150_000, "<ul><li>" + "<span>" * 40_000 + "<ul>" + "<i>" * 40_000 + "<li></li>" * 40_000, "<!" * 500_000])
+def test_bad_pages_are_walked_in_linear_time(page):
+    start, events = time.time(), Events()
+    walk(page, events)
+    assert time.time() - start < 4
+
+
+def test_text_of_tags_that_do_not_end():
+    events = Events()
+    walk("<p>a <b x='1'>c</b> d <i e", events)
+    assert "".join(t for t in events.columns["text"] if t) == "a c d <i e"
 
 
 def test_elements_keep_their_depth(make_pages):
