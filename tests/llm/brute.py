@@ -188,3 +188,94 @@ def personal(text):
     found.sort()
     said = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
     return (*(sum(k == i for _, k, _ in found) for i in range(4)), sha(said)), said
+
+
+def alignments(rows):
+    """(doc_id, text) rows to {doc_id: (n_a, n_b, n_groups, n_links, n_best, count_sum, groups)}, token by token, with the libraries' own encoders."""
+    from collections import Counter, defaultdict
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json"), sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    a.encode_special_tokens = True
+    held, per = defaultdict(set), {}
+    for d, text in rows:
+        per[d] = (0, 0, 0, [], "")
+        if not text:
+            continue
+        whole = f" {text}"
+        enc = a.encode(whole, add_special_tokens=False)
+        ids_a, ids_b = enc.ids, b.encode(text)
+        # The byte length of each token: A's from its entry's letters, which stand for a byte each.
+        long_a = [len(a.id_to_token(k)) for k in ids_a]
+        pieces = [b.id_to_piece(k) for k in ids_b]
+        bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(k) else p.replace("\u2581", " ").encode() for k, p in zip(ids_b, pieces)]
+        if sum(long_a) != len(whole.encode()) or b"".join(bytes_b) != whole.encode():
+            continue
+        owner_a = [i for i, n in enumerate(long_a) for _ in range(n)]
+        owner_b = [i for i, t in enumerate(bytes_b) for _ in t]
+        pairs = sorted(set(zip(owner_a, owner_b)))
+        links = [(ids_a[i], ids_b[j]) for i, j in pairs]
+        ends = lambda owners: {k + 1 for k in range(len(owners)) if k + 1 == len(owners) or owners[k] != owners[k + 1]}
+        groups, start = [], 0
+        for end in sorted(ends(owner_a) & ends(owner_b)):
+            some = lambda ids, owners: ",".join(str(ids[i]) for i in sorted(set(owners[start:end])))  # noqa: B023, E731
+            groups.append(f"{some(ids_a, owner_a)}|{some(ids_b, owner_b)}")
+            start = end
+        for link in links:
+            held[link].add(d)
+        per[d] = (len(ids_a), len(ids_b), len(groups), links, ";".join(groups))
+    count = {link: len(docs) for link, docs in held.items()}
+    top = Counter()
+    for (x, _), n in count.items():
+        top[x] = max(top[x], n)
+    return {d: (na, nb, g, len(ls), sum(count[x] == top[x[0]] for x in ls), sum(count[x] for x in ls), said) for d, (na, nb, g, ls, said) in per.items()}
+
+
+def trie(rows):
+    """(conv, turn, role, text) rows to the nodes of the rebuilt conversations' trie, as sets of members."""
+    import zlib
+    from collections import defaultdict
+
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            by[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(role, text) for _, _, role, text in sorted(turns)] for c, turns in by.items()}
+    paths = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        paths[c] = own.get(c - c % 5, [])[:h] + turns[h:]
+    return nodes_of(paths)
+
+
+def nodes_of(paths):
+    from collections import defaultdict
+
+    members = defaultdict(list)
+    for c, path in paths.items():
+        for d in range(len(path) + 1):
+            members[tuple(path[:d])].append(c)
+    out = []
+    for node, of in members.items():
+        below = [m for m in members if m[: len(node)] == node]
+        kids = sum(len(m) == len(node) + 1 for m in below)
+        leaves = sum(not any(len(o) == len(m) + 1 and o[: len(m)] == m for o in below) for m in below)
+        saved = sum((len(members[m]) - 1) * len(m[-1][1].encode()) for m in below if m)
+        ends = ",".join(str(c) for c in sorted(of) if len(paths[c]) == len(node))
+        out.append((min(of), len(node), min(members[node[:-1]]) if node else None, len(of), kids, leaves, saved, sha(ends)))
+    return sorted(out, key=repr)
+
+
+def secrets(text):
+    """(counts by kind, listed base spans) of a text."""
+    text, found = text or "", []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        found += [(m.start(), 0, m.end())] if len(m[2]) >= 12 else []
+    for m in re.finditer("AKIA[A-Z0-9]+", text):
+        found += [(m.start(), 1, m.end())] if len(m[0]) >= 18 else []
+    for m in re.finditer("[0-9a-f]+", text):
+        found += [(m.start(), 2, m.end())] if len(m[0]) >= 16 else []
+    kinds = ("assign", "access", "hex")
+    return tuple(sum(k == i for _, k, _ in found) for i in range(3)), ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(found))
