@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,10 @@ from leafmill.sources.captures import latest_captures
 
 # Fixed value: the sitemap namespace.
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
-# Down to this level an index that a site names again is expanded again; below it each index counts once.
-REPEATED_LEVELS = 3
 # Sites may be broadcast up to this many hosts.
 BROADCAST_HOSTS = 100_000
+# A host with up to this many pages and links together is crawled in one task; a larger one level by level over all tasks.
+HOST_LINKS = 250_000
 # Levels of a crawl after which the visited pages are rewritten as one table.
 LEVELS_PER_TABLE = 16
 _HREF = r"""href=["']([^"']+)["']"""
@@ -69,26 +71,17 @@ def robots_sitemaps(documents: DataFrame) -> DataFrame:
 def expand_sitemaps(starts: DataFrame, sitemaps: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Pages reached from each site's first sitemaps: site, url, path.
 
-    ``starts`` holds (site, url, path). Level by level the frontier meets the captured
-    sitemaps by URL; ``path`` is the position at each level and gives document order.
-    Repeated URLs are kept. Indexes are followed to any depth, or ``max_depth`` levels down; below the third
-    level an index is followed only where the site has not named it before, so that rings of indexes end.
+    ``starts`` holds (site, url, path). Level by level the frontier meets the captured sitemaps by URL; ``path`` is the position at each
+    level and gives document order. Nothing is dropped as repeated: a sitemap that two indexes name gives its pages twice. The one rule, at
+    every level: no index is followed below itself, so rings end where they close. Indexes are followed to any depth, or ``max_depth`` levels down.
     """
-    frontier, found, named, depth = starts, None, None, 0
+    frontier, found, depth = starts.withColumn("via", F.array("url")), None, 0
     while max_depth is None or depth <= max_depth:
-        level = durable(
-            frontier.join(sitemaps, "url").select(
-                "site", "is_index", "path", F.posexplode("locs").alias("i", "url")
-            ).select("site", "is_index", "url", F.array_append("path", F.col("i")).alias("path"))
-        )
+        level = frontier.join(sitemaps, "url").select("site", "is_index", "path", "via", F.posexplode("locs").alias("i", "url"))
+        level = durable(level.filter(~(F.col("is_index") & F.array_contains("via", F.col("url")))).select("site", "is_index", "url", F.array_append("path", F.col("i")).alias("path"), "via"))
         pages = level.filter(~F.col("is_index")).select("site", "url", "path")
         found = pages if found is None else found.unionByName(pages)
-        asked = frontier.select("site", "url")
-        named = asked if named is None else named.unionByName(asked)
-        frontier = level.filter("is_index").select("site", "url", "path")
-        if depth >= REPEATED_LEVELS:
-            first = frontier.groupBy("site", "url").agg(F.min("path").alias("path"))
-            frontier = first.join(named.distinct(), ["site", "url"], "left_anti")
+        frontier = level.filter("is_index").select("site", "url", "path", F.array_append("via", F.col("url")).alias("via"))
         if frontier.isEmpty():
             break
         depth += 1
@@ -96,7 +89,7 @@ def expand_sitemaps(starts: DataFrame, sitemaps: DataFrame, max_depth: int | Non
 
 
 def sitemap_pages(sites: DataFrame, documents: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Page URLs of each site from /sitemap.xml, or else from its robots file."""
+    """(site, url, rank): page URLs of each site in document order, from /sitemap.xml, or else from its robots file."""
     usable = documents if "status_code" not in documents.columns else documents.filter("status_code = 200")
     sitemaps = durable(sitemap_documents(usable))
     roots = sites.select("site", F.expr(origin_of("site")).alias("origin")).distinct()
@@ -106,7 +99,8 @@ def sitemap_pages(sites: DataFrame, documents: DataFrame, max_depth: int | None
     )
     left = roots.join(direct.select("site").distinct(), "site", "left_anti")
     named = left.join(robots_sitemaps(usable), "origin").select("site", "url", F.array("pos").alias("path"))
-    return direct.unionByName(expand_sitemaps(named, sitemaps, max_depth))
+    pages = direct.unionByName(expand_sitemaps(named, sitemaps, max_depth))
+    return ranked(pages, "site", "path", "rank").select("site", "url", F.col("rank").cast("long"))
 
 
 def page_links(captures: DataFrame) -> DataFrame:
@@ -141,30 +135,65 @@ def _on_hosts(sites: DataFrame, captures: DataFrame) -> DataFrame:
     return captures.withColumn("__host", F.expr(authority_of("url"))).join(wanted, "__host", "left_semi").drop("__host")
 
 
-def crawl_by_links(sites: DataFrame, captures: DataFrame, limit: int | None = None) -> DataFrame:
+def crawl_by_links(sites: DataFrame, captures: DataFrame, limit: int | None = None, host_links: int = HOST_LINKS) -> DataFrame:
     """Breadth-first visit order of each site over its captured link graph.
 
     Gives (site, url, rank): every page that links lead to, or the first ``limit`` of a site; a link to a page
-    that was not captured is skipped and not counted. All sites advance one level per
-    round. Links are taken from the html once, on the sites' hosts only, and stored by URL, so a round
-    shuffles its frontier and slim rows of what was visited.
+    that was not captured is skipped and not counted. Links are taken from the html once, on the sites' hosts only. As a crawl stays on its
+    host, hosts of up to ``host_links`` pages and links are crawled to their end in one pass, each within a task, whatever their depth.
+    Larger hosts advance one level per round, all at once; their links are stored by URL, so a round shuffles
+    its frontier and slim rows of what was visited.
     """
     spark = captures.sparkSession
+    host = F.expr(authority_of("url")).alias("host")
+    links = durable(page_links(_on_hosts(sites, captures)).select(host, "url", "links"))
+    sizes = links.groupBy("host").agg(F.sum(F.size("links") + 1).alias("n"))
+    starts = sites.select(F.expr(authority_of("site")).alias("host"), "site").distinct()
+    large = durable(sizes.filter(F.col("n") > host_links).select("host"))
+    if large.isEmpty():
+        return _within_hosts(starts, links, limit)
+    small = _within_hosts(starts.join(large, "host", "left_anti"), links.join(large, "host", "left_anti"), limit)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"leafmill_links_{uuid.uuid4().hex}"
     (
-        page_links(_on_hosts(sites, captures))
+        links.join(large, "host", "left_semi").select("url", "links")
         .repartition(buckets, "url")
         .write.bucketBy(buckets, "url")
         .option("path", scratch_path(spark, "links"))
         .saveAsTable(name)
     )
     try:
-        return _visit(sites, spark.table(name), limit, buckets)
+        return small.unionByName(_visit(starts.join(large, "host", "left_semi").select("site"), spark.table(name), limit, buckets))
     finally:
         spark.sql(f"DROP TABLE {name}")
 
 
+def _within_hosts(starts: DataFrame, links: DataFrame, limit: int | None) -> DataFrame:
+    """Crawls of hosts whose links are known to fit a task."""
+
+    def crawl(sites: pa.Table, pages: pa.Table) -> pa.Table:
+        urls = pages.column("url").to_pylist()
+        number = {url: k for k, url in enumerate(urls)}
+        targets = pages.column("links").combine_chunks() if pages.num_rows else None
+        out: tuple[list, list, list] = ([], [], [])
+        for site in sites.column("site").to_pylist():
+            waiting = deque([number[site]] if site in number else [])
+            seen, rank = set(waiting), 0
+            while waiting and rank != limit:
+                page = waiting.popleft()
+                rank += 1
+                for column, value in zip(out, (site, urls[page], rank), strict=True):
+                    column.append(value)
+                for url in targets[page].as_py() or ():
+                    found = number.get(url)
+                    if found is not None and found not in seen:
+                        seen.add(found)
+                        waiting.append(found)
+        return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["site", "url", "rank"])
+
+    return starts.groupBy("host").cogroup(links.groupBy("host")).applyInArrow(crawl, "site string, url string, rank long")
+
+
 def _visit(sites: DataFrame, links: DataFrame, limit: int | None, buckets: int) -> DataFrame:
     start = [F.lit(0).cast("long").alias(c) for c in ("parent", "i", "done")]
     frontier = sites.select("site", F.col("site").alias("url"), *start)
@@ -219,14 +248,11 @@ def site_pages(
     """
     mapped = durable(sitemap_pages(sites, documents)) if mapped is None else mapped
     totals = mapped.groupBy("site").agg(F.count("*").alias("total"))
-    if limit is None:
-        listed, count, cut = ranked(mapped, "site", "path", "rank"), F.col("total"), F.lit(False)
-    else:
-        turn = F.row_number().over(Window.partitionBy("site").orderBy("path"))
-        listed = mapped.withColumn("rank", turn).filter(F.col("rank") <= limit)
-        count, cut = F.least("total", F.lit(limit)), F.col("total") > limit
+    count, cut, listed = F.col("total"), F.lit(False), mapped
+    if limit is not None:
+        count, cut, listed = F.least("total", F.lit(limit)), F.col("total") > limit, mapped.filter(F.col("rank") <= limit)
     listed = listed.join(totals, "site").select(
-        "site", F.lit("sitemap").alias("source"), F.col("rank").cast("long"), "url", count.cast("long").alias("count"), cut.alias("truncated")
+        "site", F.lit("sitemap").alias("source"), "rank", "url", count.cast("long").alias("count"), cut.alias("truncated")
     )
     unmapped = sites.select("site").distinct().join(totals.select("site"), "site", "left_anti")
     crawled = crawl_by_links(unmapped, captures, limit)

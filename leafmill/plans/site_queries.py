@@ -26,13 +26,32 @@ _TREE = """t AS (SELECT p_partkey % 5 AS k, 'https://s' || CAST(p_partkey % 5 AS
  CAST(row_number() OVER (PARTITION BY host ORDER BY i) AS BIGINT) AS rank FROM t WHERE k < 3""",
 )
 def sitemap_pages(spark, sf):
-    found = site.sitemap_pages(_homes(spark, sf), view(spark, sf, "sitemaps"))
-    # Positions are dense here: 500 pages a sitemap and 500 sitemaps an index.
-    pages = found.select("site", "url", F.slice(F.reverse("path"), 1, 2).alias("last"), F.size("path").alias("depth"), "path")
-    block = F.when(F.col("depth") == 3, F.element_at("path", 1) * 500 + F.element_at("path", 2)).otherwise(
-        F.element_at("path", 1) - 1
-    )
-    return pages.select("site", "url", (block * 500 + F.element_at("path", -1) + 1).cast("bigint").alias("rank"))
+    return site.sitemap_pages(_homes(spark, sf), view(spark, sf, "sitemaps"))
+
+
+_KNOT = "'https://' || lower(replace(replace(r_name, ' ', ''), '#', '')) || '.example'"
+
+
+def _knotted(spark, sf):
+    """A site per region: its sitemap names itself, a ring of two indexes and a diamond, whose sitemap lists the nations."""
+    xml = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    index = lambda *names: f"'<sitemapindex {xml}>' || " + " || ".join(f"'<sitemap><loc>' || {_KNOT} || '/{n}</loc></sitemap>'" for n in names) + " || '</sitemapindex>'"
+    files = {"sitemap.xml": index("sitemap.xml", "a.xml", "b.xml", "a.xml"), "a.xml": index("b.xml", "leaf.xml"), "b.xml": index("a.xml", "leaf.xml", "sitemap.xml")}
+    parts = [f"SELECT {_KNOT} || '/{name}' AS url, {body} AS body FROM @region" for name, body in files.items()]
+    pages = f"listagg('<url><loc>' || {_KNOT} || '/n/' || n_name || '</loc></url>', '') WITHIN GROUP (ORDER BY n_nationkey)"
+    parts.append(f"SELECT {_KNOT} || '/leaf.xml', '<urlset {xml}>' || {pages} || '</urlset>' FROM @region JOIN @nation ON n_regionkey = r_regionkey GROUP BY r_name")
+    return run(spark, sf, " UNION ALL ".join(parts))
+
+
+@query(
+    "knotted_sitemaps",
+    f"""WITH n AS (SELECT {_KNOT} AS host, n_name, n_nationkey, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS i, count(*) OVER (PARTITION BY r_name) AS total
+ FROM region JOIN nation ON n_regionkey = r_regionkey)
+ SELECT host || '/' AS site, host || '/n/' || n_name AS url, CAST(t * total + i AS BIGINT) AS rank FROM n CROSS JOIN (SELECT unnest(range(6)) AS t)""",
+)
+def knotted_sitemaps(spark, sf):
+    """Six ways lead to the leaf: a, a-b, b-a, b, and a and a-b once more, as the site's sitemap names a twice."""
+    return site.sitemap_pages(run(spark, sf, f"SELECT {_KNOT} || '/' AS site FROM @region"), _knotted(spark, sf))
 
 
 @query(

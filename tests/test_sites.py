@@ -38,7 +38,7 @@ def test_sitemaps_indexes_and_robots(spark):
         ],
     )
     found = site.sitemap_pages(_sites(spark, "https://a.example/", "https://b.example/deep/page", "https://c.example/"), docs)
-    rows = [(r.site, r.url) for r in found.orderBy("site", "path").collect()]
+    rows = [(r.site, r.url) for r in found.orderBy("site", "rank").collect()]
     assert rows == [
         ("https://a.example/", "https://a.example/x?a=1&b=2"), ("https://a.example/", "https://a.example/x"),
         ("https://a.example/", "https://a.example/x"), ("https://b.example/deep/page", "https://b.example/1"),
@@ -59,7 +59,7 @@ def test_rings_of_sitemap_indexes_end(spark):
     ring = f"<sitemapindex {NS}><loc>https://r.example/sitemap.xml</loc><loc>https://r.example/a.xml</loc></sitemapindex>"
     docs = [("https://r.example/sitemap.xml", ring), ("https://r.example/a.xml", f"<urlset {NS}>{_locs('https://r.example/p')}</urlset>")]
     found = site.sitemap_pages(_sites(spark, "https://r.example/"), _documents(spark, docs))
-    assert {r.url for r in found.collect()} == {"https://r.example/p"}
+    assert [(r.url, r["rank"]) for r in found.collect()] == [("https://r.example/p", 1)]
 
 
 def _tree(host, size, gaps, blocked):
@@ -86,8 +86,8 @@ def test_pages_of_a_tree_are_visited_level_by_level(spark):
         if n not in gaps and above in reachable and above not in blocked:
             reachable.append(n)
     sites = _sites(spark, "https://m.example/1", "https://n.example/1", "https://gone.example/")
-    for limit in (None, 7):
-        got = {(r.site, r.url): r["rank"] for r in site.crawl_by_links(sites, df, limit).collect()}
+    for limit, host_links in ((None, site.HOST_LINKS), (7, site.HOST_LINKS), (None, 0), (7, 100)):
+        got = {(r.site, r.url): r["rank"] for r in site.crawl_by_links(sites, df, limit, host_links).collect()}
         want = {}
         for host, numbers in (("https://m.example", reachable), ("https://n.example", list(range(1, 41)))):
             want |= {(f"{host}/1", f"{host}/{n}"): i for i, n in enumerate(numbers[:limit], 1)}
@@ -95,10 +95,23 @@ def test_pages_of_a_tree_are_visited_level_by_level(spark):
 
 
 def test_a_long_chain_is_followed_to_its_end(spark):
-    chain = [(f"https://c.example/{n}", f"<a href='/{n + 1}'>next</a>", False) for n in range(1, 21)]
+    chain = [(f"https://c.example/{n}", f"<a href='/{n + 1}'>next</a>", False) for n in range(1, 401)]
     df = spark.createDataFrame(chain, "url string, html string, blocked boolean")
     got = site.crawl_by_links(_sites(spark, "https://c.example/1"), df)
-    assert [r.url.rsplit("/", 1)[1] for r in got.orderBy("rank").collect()] == [str(n) for n in range(1, 21)]
+    assert [r.url.rsplit("/", 1)[1] for r in got.orderBy("rank").collect()] == [str(n) for n in range(1, 401)]
+
+
+def test_hosts_crawled_in_a_task_and_level_by_level_give_the_same(spark):
+    rng = random.Random(7)
+    pages = []
+    for host, n in (("https://x.example", 60), ("https://y.example", 9)):
+        for k in range(n):
+            hrefs = "".join(f"<a href='/{rng.randrange(n + 5)}'>l</a>" for _ in range(rng.randint(0, 4)))
+            pages.append((f"{host}/{k}", hrefs, rng.random() < 0.1))
+    df = spark.createDataFrame(pages, "url string, html string, blocked boolean")
+    sites = _sites(spark, "https://x.example/0", "https://x.example/3", "https://y.example/1", "https://z.example/")
+    visits = [sorted(tuple(r) for r in site.crawl_by_links(sites, df, limit, most).collect()) for limit in (None, 20) for most in (10_000, 60, 0)]
+    assert visits[0] == visits[1] == visits[2] and visits[3] == visits[4] == visits[5] and len(visits[0]) > 20
 
 
 def test_the_latest_capture_counts_once(spark):
