@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.fetching import late_fetch
 from leafmill.operators.places import RETRYABLE
 from leafmill.operators.signals import block_reason
+from leafmill.session import durable
 
 # Labels of the tiers, in the order they are tried.
 EXHAUSTED = "impersonate:exhausted"
@@ -17,7 +19,7 @@ def first_usable_response(attempts: DataFrame, sources: int | None = None) -> tu
 
     Busy statuses and bodies that are not JSON are passed over; another status is a
     hard error at once; when every source was passed over the error lists each problem.
-    Bodies are kept by partial aggregation, never gathered.
+    Only slim columns are folded; the bodies of the answers alone are fetched afterwards.
     """
     status, attempt = F.col("status_code"), F.col("attempt")
     failed = F.col("error_type") if "error_type" in attempts.columns else F.lit(None).cast("string")
@@ -37,16 +39,17 @@ def first_usable_response(attempts: DataFrame, sources: int | None = None) -> tu
         .otherwise(": non-JSON response"),
     )
     tried = attempts if sources is None else attempts.filter(attempt <= sources)
-    judged = tried.withColumns({"__outcome": outcome, "__problem": problem})
+    content = F.xxhash64("body").alias("content")
+    judged = tried.select("request_id", "attempt", "host", "status_code", content, outcome.alias("__outcome"), problem.alias("__problem"))
     ends = F.when(F.col("__outcome") != "pass", attempt)
-    answer = F.struct("__outcome", "host", "status_code", F.when(F.col("__outcome") == "ok", F.col("body")).alias("body"))
+    answer = F.struct("__outcome", "host", "status_code", "attempt", "content")
     skipped = F.when(F.col("__outcome") == "pass", F.struct(attempt.alias("a"), F.col("__problem").alias("p")))
-    folded = judged.groupBy("request_id").agg(
-        F.min_by(answer, ends).alias("end"), F.sort_array(F.collect_set(skipped)).alias("skipped")
-    )
-    good = folded.filter(F.col("end.__outcome") == "ok").select(
-        "request_id", F.col("end.host").alias("host"), F.col("end.body").alias("body")
+    folded = durable(
+        judged.groupBy("request_id").agg(F.min_by(answer, ends).alias("end"), F.sort_array(F.collect_set(skipped)).alias("skipped"))
     )
+    won = folded.filter(F.col("end.__outcome") == "ok").select("request_id", "end.host", "end.attempt", "end.content")
+    good = _one_each(late_fetch(won, tried.select("request_id", "attempt", content, "body"), ["request_id", "attempt", "content"]), ["request_id"])
+    good = good.select("request_id", "host", "body")
     listed = F.concat_ws("; ", F.transform("skipped", lambda s: s["p"]))
     hard = F.concat(F.lit("HTTP "), F.col("end.status_code").cast("string"), F.lit(" from "), F.col("end.host"))
     message = F.when(F.col("end").isNull(), F.concat(F.lit("every source was unavailable ("), listed, F.lit(")"))).otherwise(hard)
@@ -90,11 +93,16 @@ def best_attempt(attempts: DataFrame, browser_first: bool = False) -> tuple[Data
         ]
         kept = F.when(~F.col("tried") | F.col("static_answered"), F.col("browser"))
         best = F.coalesce("clear", kept, F.when(F.col("browser").isNull(), F.col("spare")))
-    picked = judged.groupBy(*keys).agg(*sums).select(*keys, best.alias("best"))
+    picked = durable(judged.groupBy(*keys).agg(*sums).select(*keys, best.alias("best")))
     best = picked.filter(F.col("best").isNotNull()).select(*keys, "best.*")
-    pages = attempts.select(*keys, F.col("attempt").alias("__attempt"), "html", F.xxhash64("html").alias("__content"))
-    won = pages.join(best, keys).filter((F.col("__attempt") == F.col("attempt")) & (F.col("__content") == F.col("content")))
-    once = F.row_number().over(Window.partitionBy(*keys).orderBy("attempt"))  # repeated rows of an attempt count once
-    good = won.withColumn("__turn", once).filter("__turn = 1").select(*keys, "attempt", "via", "status_code", "block_reason", "html")
+    pages = attempts.select(*keys, "attempt", F.xxhash64("html").alias("content"), "html")
+    good = _one_each(late_fetch(best, pages, [*keys, "attempt", "content"]), keys)
+    good = good.select(*keys, "attempt", "via", "status_code", "block_reason", "html")
     bad = picked.filter(F.col("best").isNull()).select(*keys, F.lit("no attempt was answered").alias("error"))
     return good, bad
+
+
+def _one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Repeated rows of an attempt count once."""
+    once = F.row_number().over(Window.partitionBy(*keys).orderBy("attempt"))
+    return rows.withColumn("__turn", once).filter("__turn = 1").drop("__turn")
