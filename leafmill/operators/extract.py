@@ -85,25 +85,39 @@ def _contacts(captures: DataFrame, carry: tuple[str, ...], hits: str, possible:
     )
 
 
+def email_hits(text: str) -> str:
+    """E-mail addresses of a text: array of struct(pos, value, context)."""
+    return _text_matches(text, EMAIL, EMAIL_MIN_CHARS, lambda t: f"contains({t}, '@')", None)
+
+
+def phone_hits(text: str) -> str:
+    """Phone numbers of a text: array of struct(pos, value, context)."""
+
+    def plausible(value: str) -> str:
+        digits = f"length(regexp_replace({value}, {quote(r'(?U)\D')}, ''))"
+        return f"{digits} BETWEEN {PHONE_MIN_DIGITS} AND {PHONE_MAX_DIGITS}"
+
+    return _text_matches(text, PHONE, PHONE_MIN_CHARS, lambda t: f"(contains({t}, '+') OR contains({t}, '0'))", plausible)
+
+
 def extract_emails(captures: DataFrame, carry: tuple[str, ...] = (), text: str | None = None) -> DataFrame:
     """Email addresses in the visible text: url, value, context, pos."""
-    hits = _text_matches(text or visible_text("html"), EMAIL, EMAIL_MIN_CHARS, lambda t: f"contains({t}, '@')", None)
     # Markup without an at sign, plain or as a character number, need not be read as text.
-    return _contacts(captures, carry, hits, "true" if text else "contains(html, '@') OR contains(html, '&#')")
+    return _contacts(captures, carry, email_hits(text or visible_text("html")), "true" if text else "contains(html, '@') OR contains(html, '&#')")
 
 
 def extract_phones(captures: DataFrame, carry: tuple[str, ...] = (), text: str | None = None) -> DataFrame:
     """Phone numbers with a country code or a leading zero: url, value, context, pos."""
+    return _contacts(captures, carry, phone_hits(text or visible_text("html")))
 
-    def hint(t: str) -> str:
-        return f"(contains({t}, '+') OR contains({t}, '0'))"
-
-    def plausible(value: str) -> str:
-        digits = f"length(regexp_replace({value}, {quote(r'(?U)\D')}, ''))"
-        return f"{digits} BETWEEN {PHONE_MIN_DIGITS} AND {PHONE_MAX_DIGITS}"
 
-    source = text or visible_text("html")
-    return _contacts(captures, carry, _text_matches(source, PHONE, PHONE_MIN_CHARS, hint, plausible))
+def extract_all_contacts(captures: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """E-mails, phones and social links of each page in one pass over its text: url, type (email, phone or the platform), value."""
+    keys = ["url", *carry]
+    typed = lambda hits, kind: each(f"coalesce({hits}, array())", lambda h: f"struct({kind(h)} AS type, {h}.value AS value)")
+    texts = let(visible_text("html"), lambda t: f"concat({typed(email_hits(t), lambda _: quote('email'))}, {typed(phone_hits(t), lambda _: quote('phone'))})")
+    every = f"concat({texts}, {typed(social_hits(), lambda h: f'{h}.platform')})"
+    return captures.select(*keys, F.explode(F.expr(every)).alias("hit")).select(*keys, "hit.type", "hit.value")
 
 
 def anchors(html: str, linked: bool = True) -> str:
@@ -141,9 +155,8 @@ def extract_links(captures: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     )
 
 
-def extract_social_links(captures: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Profile links on the known social hosts: url, platform, value, pos."""
-    keys = ["url", *carry]
+def social_hits() -> str:
+    """Profile links of a page on the known social hosts: array of struct(pos, value, platform)."""
     table = f"map({', '.join(quote(x) for pair in SOCIAL_HOSTS.items() for x in pair)})"
     absolute = let(
         split_url("url"),
@@ -157,8 +170,13 @@ def extract_social_links(captures: DataFrame, carry: tuple[str, ...] = ()) -> Da
         host = f"regexp_replace({authority_of(a + '.value')}, '^www[.]', '')"
         return f"struct({a}.pos AS pos, {a}.value AS value, try_element_at({table}, {host}) AS platform)"
 
-    profiles = first_by(keep(each(absolute, named), lambda a: f"{a}.platform IS NOT NULL"), "value")
-    return captures.select(*keys, F.explode(F.expr(profiles)).alias("link")).select(
+    return first_by(keep(each(absolute, named), lambda a: f"{a}.platform IS NOT NULL"), "value")
+
+
+def extract_social_links(captures: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Profile links on the known social hosts: url, platform, value, pos."""
+    keys = ["url", *carry]
+    return captures.select(*keys, F.explode(F.expr(social_hits())).alias("link")).select(
         *keys, "link.platform", "link.value", "link.pos"
     )
 

@@ -111,6 +111,48 @@ def append_table(spark, sf):
     return tables.read("parties")
 
 
+@query(
+    "append_case",
+    """SELECT c_custkey AS "Id", c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier""",
+)
+def append_case(spark, sf):
+    """Columns meet by name, whatever its case."""
+    tables = _tables(spark)
+    tables.save("cased", table(spark, sf, "customer").select(F.col("c_custkey").alias("Id"), F.col("c_name").alias("name")))
+    tables.append("cased", table(spark, sf, "supplier").select(F.col("s_name").alias("NAME"), F.col("s_suppkey").alias("ID")))
+    return tables.read("cased")
+
+
+@query(
+    "append_lossy",
+    """SELECT CAST(p_size AS VARCHAR) AS size, p_partkey AS id, NULL AS "left" FROM part
+ UNION ALL SELECT r_name, CAST(r_regionkey AS BIGINT), NULL FROM region UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 7, n_name FROM nation""",
+)
+def append_lossy(spark, sf):
+    """Sizes turn to text by the table's view; the parts written before stay as they are."""
+    tables = _tables(spark)
+    tables.save("sized", table(spark, sf, "part").select(F.col("p_size").alias("size"), F.col("p_partkey").cast("long").alias("id")))
+    tables.append("sized", table(spark, sf, "region").select(F.col("r_name").alias("size"), F.col("r_regionkey").cast("long").alias("id")))
+    tables.append("sized", table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("size"), F.lit(7).cast("long").alias("id"), F.col("n_name").alias("left")))
+    return tables.read("sized")
+
+
+@query(
+    "wide_ragged",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN o_custkey END AS first_key,
+ CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN NULL ELSE 'k' || CAST(o_orderkey AS VARCHAR) || '=' || CAST(o_custkey AS VARCHAR) END AS others
+ FROM orders""",
+)
+def wide_ragged(spark, sf):
+    """Every order has a key of its own: the first two keys are columns, all others go into the map."""
+    keyed = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("ord"), F.format_string('{"id":%d,"k%d":%d}', "o_orderkey", "o_orderkey", "o_custkey").alias("obj")
+    )
+    rows = json_rows(keyed, width=2)
+    listed = F.array_join(F.transform(F.map_entries("other_keys"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return rows.select("id", F.col(rows.columns[1]).alias("first_key"), F.when(listed != "", listed).alias("others"))
+
+
 @query(
     "ragged_rows",
     """SELECT CASE WHEN p_partkey % 3 < 2 THEN p_partkey END AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS name,

@@ -71,17 +71,13 @@ def contact_pages(pages: DataFrame, per_site: int) -> DataFrame:
 def find_contacts(captures: DataFrame, per_site: int | None = None) -> DataFrame:
     """site, type, value, pages, shared: contacts of each site's pages, or of its ``per_site`` preferred ones.
 
-    Preferred pages are chosen on their URLs alone, and only chosen ones are searched.
+    Preferred pages are chosen on their URLs alone, and only chosen ones are searched, all kinds in one pass.
     """
     pages = captures.select(F.expr(authority_of("url")).alias("site"), "url", "html")
     if per_site is not None:
         chosen = contact_pages(pages.select("site", "url").distinct(), per_site).select("url")
         pages = pages.join(chosen, "url", "left_semi")
-    found = (
-        extract.extract_emails(pages, carry=("site",)).select("site", "url", F.lit("email").alias("type"), "value")
-        .unionByName(extract.extract_phones(pages, carry=("site",)).select("site", "url", F.lit("phone").alias("type"), "value"))
-        .unionByName(extract.extract_social_links(pages, carry=("site",)).select("site", "url", F.col("platform").alias("type"), "value"))
-    )
+    found = extract.extract_all_contacts(pages, carry=("site",))
     mailbox = F.lower(F.substring_index("value", "@", 1))
     return found.groupBy("site", "type", "value").agg(F.countDistinct("url").alias("pages")).withColumn(
         "shared", (F.col("type") == "email") & mailbox.isin(*SHARED_MAILBOXES)

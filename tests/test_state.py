@@ -222,3 +222,14 @@ def test_streamed_reuse_equals_batch(spark, tmp_path):
     build = lambda s: stateful.stream_reuse(s, 60, lateness="1 day")
     got = _stream(spark, df, tmp_path, ("ts", "event_id"), build, "streamed_reuse")
     assert {r.event_id: (r.from_cache, r.stored_at) for r in got} == want
+
+
+def test_checks_of_a_page_at_one_time_are_one_check(spark):
+    rows = [("u", 1, "a\nb"), ("u", 1, "a\nb"), ("u", 2, "a\nc"), ("u", 2, "a\nd"), ("u", 3, "a\nd"), ("v", 1, "x")]
+    df = spark.createDataFrame(rows, "url string, seen_at int, content string")
+    kept = max(("a\nc", "a\nd"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    history = changes.change_history(df).collect()
+    assert len(history) == 4
+    diffs = {r["seen_at"]: (r["added_lines"], r["removed_lines"], r["diff"].splitlines()[-1]) for r in changes.history_diffs(df).collect()}
+    want = {2: (1, 1, f"+{kept[-1]}")} | ({} if kept == "a\nd" else {3: (1, 1, "+d")})
+    assert diffs == want

@@ -189,3 +189,39 @@ def test_contact_workflow(spark):
     }
     summary = {r.type: (r.contacts, r.shared) for r in workflows.contact_summary(workflows.find_contacts(df)).collect()}
     assert summary == {"email": (3, 1), "phone": (1, 0), "github": (1, 0)}
+
+
+def test_an_append_writes_only_new_files_and_a_failed_save_loses_nothing(spark, tables):
+    tables.save("t", spark.createDataFrame([(1, "x")], "id int, name string"))
+    before = tables.read("t").inputFiles()
+    tables.append("t", spark.createDataFrame([("n/a", "y")], "ID string, name string"))
+    tables.append("t", spark.createDataFrame([("2", "z")], "id string, name string"))
+    assert set(before) <= set(tables.read("t").inputFiles())
+    assert sorted(tuple(r) for r in tables.read("t").collect()) == [("1", "x"), ("2", "z"), ("n/a", "y")]
+    broken = spark.range(5).select(F.expr("CAST(raise_error('broken') AS STRING)").alias("id"))
+    for write in (tables.save, tables.append):
+        with pytest.raises(Exception, match="broken"):
+            write("t", broken)
+    assert tables.read("t").count() == 3
+    with pytest.raises(TableError):
+        tables.append("t", tables.read("t").limit(0))
+    assert [r["name"] for r in tables.list_tables().collect()] == ["t"]
+    tables.save("t", tables.read("t").filter("id = '1'"))
+    assert tables.read("t").count() == 1 and len(tables.read("t").inputFiles()) == 1
+
+
+def test_a_plain_table_of_the_name_is_taken_over(spark, tables):
+    spark.sql(f"CREATE TABLE {tables._full('plain')} (a INT) USING parquet")
+    spark.sql(f"INSERT INTO {tables._full('plain')} VALUES (1)")
+    tables.append("plain", spark.createDataFrame([(2,)], "a int"))
+    assert sorted(r.a for r in tables.read("plain").collect()) == [1, 2]
+    assert tables.drop("plain") == 2 and not tables.exists("plain")
+
+
+def test_ragged_keys_beyond_the_width_go_into_a_map(spark):
+    rows = spark.createDataFrame([(k, '{"id": %d, "k%d": [%d], "z": null}' % (k, k, k)) for k in range(500)], "ord int, obj string").repartition(5)
+    wide = json_rows(rows, width=3)
+    assert wide.columns == ["id", "k0", "z", "other_keys"]
+    got = {r["id"]: (r["k0"], r["other_keys"]) for r in wide.collect()}
+    assert got[0] == ("[0]", {}) and got[7] == (None, {"k7": "[7]"})
+    assert json_rows(rows.filter("ord < 2"), width=4).columns == ["id", "k0", "z", "k1"]
