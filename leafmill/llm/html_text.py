@@ -47,7 +47,8 @@ _GOOD, _BAD = frozenset(GOOD_TOKENS), frozenset(BAD_TOKENS)
 SHARE, LINKS, BAD = 2, 5, 14  # places among the features: share of the page's text, share of links in the text, bad tokens
 TAGS = "article main section div p h li td blockquote pre nav header footer aside form ul".split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>\"']*)(>|[\"'])", re.S)
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _END = {tag: re.compile(rf"</{tag}\s*>|\Z", re.I) for tag in RAW}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
@@ -67,6 +68,38 @@ def hides(attributes: str) -> bool:
     return False
 
 
+class Tokens:
+    """The tags and comments of a page as (start, ending slash, tag or None, attributes), in time linear in the page.
+
+    ``at`` is where the next one is sought, and may be moved on. Nothing after the last angle bracket is a tag, and once quotes have swallowed the
+    rest of a page, later tags end at their first angle bracket, whatever they quote.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.at, self.last, self.quotes = source, 0, source.rfind(">"), True
+
+    def __iter__(self) -> Iterator[tuple[int, str, str | None, str]]:
+        source = self.source
+        while self.at <= self.last and (token := _TOKEN.search(source, self.at)):
+            start, tag, rest = token.start(), token[2], token[3]
+            if start > self.last:
+                break
+            self.at = token.end()
+            if tag is not None and token[4] != ">":
+                end = _QUOTED.match(source, self.at - 1).end() if self.quotes else len(source)
+                self.quotes = end < len(source)
+                if not self.quotes or source[end] != ">":
+                    end = source.find(">", self.at)
+                if end < 0:
+                    break
+                rest, self.at = source[token.start(3) : end], end + 1
+            yield start, token[1], tag, rest
+        start = source.find("<!--", self.at)
+        if start >= 0:  # a comment that does not end
+            self.at = len(source)
+            yield start, "", None, ""
+
+
 class Page:
     """Block nodes of a page, parents before children, and its blocks of text: (node, text) in page order."""
 
@@ -97,6 +130,9 @@ class Page:
 
     def _walk(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # open elements with their block node, and whether their text is not shown
+        places: dict[str, list[int]] = {}  # in the stack, of the open elements of each tag
+        blocks: list[int] = []  # in the stack, of open blocks
+        outer: list[int] = []  # the same without paragraphs
         parts: list[str] = []
         silent = link = at = 0
 
@@ -119,23 +155,26 @@ class Page:
             for tag, _, mute in stack[to:]:
                 silent -= mute
                 link -= tag == "a"
+                places[tag].pop()  # the stack holds a tag's places in order, so as many go as stood here
             del stack[to:]
-
-        for token in _TOKEN.finditer(source):
-            if token.start() < at:
-                continue
-            if token.start() > at:
-                say(source[at : token.start()])
-            at = token.end()
-            ending, tag, rest = token[1] or token[4], token[2] or token[5], token[3] or token[6] or ""
+            for held in (blocks, outer):
+                while held and held[-1] >= to:
+                    held.pop()
+
+        def top(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        tokens = Tokens(source)
+        for start, ending, tag, rest in tokens:
+            if start > at:
+                say(source[at:start])
+            at = tokens.at
             if tag is None:
                 continue
             tag = tag.lower()
             if ending:
-                if tag in ("html", "body"):
-                    continue
-                found = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), None)
-                if found is None or (tag not in BLOCKS and any(t in BLOCKS for t, _, _ in stack[found + 1 :])):
+                found = top((tag,))
+                if tag in ("html", "body") or not found or (tag not in BLOCKS and blocks and blocks[-1] > found):
                     continue
                 if tag in BLOCKS:
                     flush()
@@ -148,15 +187,17 @@ class Page:
                 continue
             if tag in BLOCKS:
                 flush()
-                if tag in CLOSES_P:
-                    self._end_open(stack, {"p"}, BLOCKS - {"p"}, close)
-                if tag in CLOSED_BY:
-                    self._end_open(stack, CLOSED_BY[tag], LISTS[tag], close)
+                paragraph = top(("p",))
+                if tag in CLOSES_P and paragraph > (outer[-1] if outer else 0):
+                    close(paragraph)
+                if tag in CLOSED_BY and tag != "p":
+                    before = top(CLOSED_BY[tag])
+                    if before > top(LISTS[tag]):
+                        close(before)
             if rest.endswith("/") and tag not in BLOCKS:
                 continue
             if tag in RAW:
-                body = _END[tag].search(source, at)
-                at = body.end()
+                at = tokens.at = _END[tag].search(source, at).end()
                 continue
             node = stack[-1][1]
             if tag in BLOCKS:
@@ -165,20 +206,17 @@ class Page:
             mute = tag in SILENT or hides(rest)
             silent += mute
             link += tag == "a"
+            place = len(stack)
+            places.setdefault(tag, []).append(place)
+            if tag in BLOCKS:
+                blocks.append(place)
+                if tag != "p":
+                    outer.append(place)
             stack.append((tag, node, mute))
         if at < len(source):
             say(source[at:])
         flush()
 
-    @staticmethod
-    def _end_open(stack: list, tags: set, until: set, close) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                close(k)
-                return
-            if stack[k][0] in until:
-                return
-
     def decode(self, yes: list[float], no: list[float]) -> list[bool]:
         """The most likely labelling that keeps a node only inside kept ancestors; the root is always kept.
 
@@ -259,14 +297,14 @@ def main_texts(trees: Trees, pages: list[Page]) -> list[str]:
 
 def has_silver(source: str) -> bool:
     """Whether ``_silver`` has an answer for the page: one article element, or one main element and no article."""
-    article = main = at = 0
-    for token in _TOKEN.finditer(source):
-        tag = token[2] or token[5]
-        if token.start() < at or tag is None or token[1] or token[4]:
+    article = main = 0
+    tokens = Tokens(source)
+    for _, ending, tag, rest in tokens:
+        if tag is None or ending:
             continue
         tag = tag.lower()
-        if tag in RAW and not (token[3] or token[6] or "").endswith("/"):
-            at = _END[tag].search(source, token.end()).end()
+        if tag in RAW and not rest.endswith("/"):
+            tokens.at = _END[tag].search(source, tokens.at).end()
         article, main = article + (tag == "article"), main + (tag == "main")
         if article > 1:
             return False

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -74,3 +75,17 @@ def test_rows_without_ids_and_copies_do_not_crowd_the_sample(spark, monkeypatch)
     monkeypatch.setattr(html_text, "training", lambda pages, f=html_text.training: seen.extend(pages) or f(pages))
     html_text.fit_on(spark.createDataFrame(rows, "page_id long, html string"), sample=5)
     assert sorted(seen) == sorted([page, page + "b", page + "c"])
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 50_000 + "</x></b>" * 50_000 + "</div>" * 50_000, '<a "> "' * 150_000, "<b>" + "<div>" * 30_000 + "</b>" * 60_000, "<p>x" + "<span>" * 40_000 + "<li>y" * 40_000, "<!" * 500_000])
+def test_bad_pages_are_read_in_linear_time(page):
+    start = time.time()
+    html_text.Page(page)
+    html_text.has_silver(page)
+    assert time.time() - start < 6
+
+
+def test_what_is_no_tag_is_text():
+    assert _texts("<p>a <b x='>'>c</b> d <i e") == ["a c d <i e"]
+    assert _texts("<p>a</p><!-- b > c") == ["a"] and _texts("<p>a</p>b <!-- c") == ["a", "b"]
+    assert _texts('<p title="x>a</p><p>b</p>') == ["a", "b"]
