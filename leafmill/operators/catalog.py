@@ -84,11 +84,11 @@ def _message(key: str) -> Column:
     return (
         F.when(
             F.col("problem") == "not_exposed",
-            F.concat(base, F.lit(f" does not expose {endpoint}: probably not this platform")),
+            F.concat(base, F.lit(f" has no {endpoint}, so it is no store of this kind")),
         )
-        .when(F.col("problem") == "not_json", F.concat(base, F.lit(endpoint), F.lit(" did not return JSON")))
+        .when(F.col("problem") == "not_json", F.concat(base, F.lit(endpoint), F.lit(" is not JSON")))
         .otherwise(
-            F.concat(base, F.lit(endpoint), F.lit(" returned HTTP "), F.regexp_replace("problem", "^http_", ""))
+            F.concat(base, F.lit(endpoint), F.lit(" answered with status "), F.regexp_replace("problem", "^http_", ""))
         )
     )
 

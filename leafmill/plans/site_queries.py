@@ -174,9 +174,9 @@ def catalog_products(spark, sf):
 
 @query(
     "catalog_errors",
-    """SELECT 'https://store3.example' AS store_url, 'https://store3.example/products.json did not return JSON' AS error
+    """SELECT 'https://store3.example' AS store_url, 'https://store3.example/products.json is not JSON' AS error
  UNION ALL SELECT 'https://store4.example',
- 'https://store4.example/ does not expose products.json: probably not this platform'""",
+ 'https://store4.example/ has no products.json, so it is no store of this kind'""",
 )
 def catalog_errors(spark, sf):
     return catalog.store_products(view(spark, sf, "catalog"), PAGE)[1]
@@ -249,7 +249,7 @@ def category_tags(spark, sf):
 
 @query(
     "category_errors",
-    "SELECT p_partkey, 'Unknown category ' || p_name AS error FROM part WHERE p_partkey % 4 = 3",
+    "SELECT p_partkey, 'no such category: ' || p_name AS error FROM part WHERE p_partkey % 4 = 3",
 )
 def category_errors(spark, sf):
     asked = run(spark, sf, f"SELECT p_partkey, {_CATEGORY} AS category FROM @part")
@@ -268,7 +268,7 @@ def geocoded_centres(spark, sf):
 
 @query(
     "geocode_errors",
-    "SELECT s_name AS query, 'Could not find a location called ' || s_name AS error FROM supplier WHERE s_suppkey % 6 = 5",
+    "SELECT s_name AS query, 'no place found for ' || s_name AS error FROM supplier WHERE s_suppkey % 6 = 5",
 )
 def geocode_errors(spark, sf):
     asked = table(spark, sf, "supplier").select(F.col("s_name").alias("query"))

@@ -132,9 +132,9 @@ SERIES = {
     "full, then uncaptured": ([(1, 200, [1, 2, 3]), (3, 200, [9])], [1, 2, 3]),
     "nothing after a short page counts": ([(1, 200, [1]), (2, 404, []), (3, 200, [9])], [1]),
     "first page missing": ([(2, 200, [1, 2])], []),
-    "no catalogue": ([(1, 404, [])], "does not expose"),
-    "refused later": ([(1, 200, [1, 2, 3]), (2, 503, [])], "returned HTTP 503"),
-    "not JSON": ([(1, 200, [1, 2, 3]), (2, 200, None)], "did not return JSON"),
+    "no catalogue": ([(1, 404, [])], "has no"),
+    "refused later": ([(1, 200, [1, 2, 3]), (2, 503, [])], "answered with status 503"),
+    "not JSON": ([(1, 200, [1, 2, 3]), (2, 200, None)], "is not JSON"),
     "captured twice": ([(1, 200, [1, 2, 3]), (1, 200, [1, 2, 3]), (2, 200, [4])], [1, 2, 3, 4]),
     "long": ([(n, 200, [3 * n, 3 * n + 1, 3 * n + 2]) for n in range(1, 131)], list(range(3, 393))),
 }
@@ -193,7 +193,7 @@ def test_geocoder_hits(spark):
     asked = spark.createDataFrame([("bath",), ("odd",), ("none",)], "query string")
     centres, errors = places.geocode(asked, df)
     assert [(r.query, r.lat, r.label) for r in centres.collect()] == [("bath", 51.38, "Roman Baths, Bath")]
-    assert {r.query: r.error.split(" ")[0] for r in errors.collect()} == {"odd": "Geocoding", "none": "Could"}
+    assert {r.query: r.error.split(" ")[1] for r in errors.collect()} == {"odd": "coordinates", "none": "place"}
 
 
 def test_categories(spark):
