@@ -11,7 +11,7 @@ from leafmill.functions.urls import authority_of, resolve, scheme_of
 from leafmill.operators import documents, extract, products, selectors, signals
 from leafmill.plans import workflows
 from leafmill.plans.registry import ORACLES, query
-from leafmill.plans.views import pages, portable, table, view
+from leafmill.plans.views import pages, portable, run, table, view
 
 # --------------------------------------------------------------- pieces of oracle SQL
 
@@ -230,6 +230,28 @@ def page_documents(spark, sf):
     return documents.page_document(written).select("page_id", "document")
 
 
+_PRAISE = "repeat(p_name || ' is made well. ', 12)"
+
+
+@query(
+    "article_documents",
+    f"""SELECT 'https://parts.example/' || CAST(p_partkey AS VARCHAR) AS url, '---' || chr(10) || 'url: https://parts.example/' || CAST(p_partkey AS VARCHAR) || chr(10)
+ || 'status_code: 200' || chr(10) || 'title: ' || p_name || chr(10) || 'links_count: 2' || chr(10) || 'blocked: false' || chr(10) || 'block_reason: ' || chr(10) || '---'
+ || chr(10) || chr(10) || '# ' || p_name || chr(10) || chr(10) || p_type || ': ' || trim({_PRAISE}) || chr(10) || chr(10)
+ || 'See [the part](/p/' || CAST(p_partkey AS VARCHAR) || ') in **size** ' || CAST(p_size AS VARCHAR) || '.' AS document FROM part""",
+)
+def article_documents(spark, sf):
+    """Documents of articles between a menu, an advert and a footer that do not belong to them."""
+    written = run(
+        spark, sf,
+        f"""SELECT 'https://parts.example/' || CAST(p_partkey AS STRING) AS url, 200 AS status_code, 'text/html' AS content_type,
+ '<html><head><title>' || p_name || '</title></head><body><nav><a href="/">Home</a></nav><div class="advert">Buy now</div><article><h1>' || p_name
+ || '</h1><p>' || p_type || ': ' || {_PRAISE} || '</p><p>See <a href="/p/' || CAST(p_partkey AS STRING) || '">the part</a> in <b>size</b> '
+ || CAST(p_size AS STRING) || '.</p></article><footer>Parts of ' || p_brand || '</footer></body></html>' AS html FROM @part""",
+    )
+    return documents.page_document(signals.with_markdown(signals.page_signals(written))).select("url", "document")
+
+
 _LETTERS = "regexp_replace({}, '[^A-Za-z0-9]', '', 'g')"
 _ARTICLE = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
 
