@@ -165,7 +165,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, hot: int = HOT)
     every = written(every.join(shared, "anchor"), "occurrences")
     release(spark)
     # Equal passages are one reference, that of the smallest id. A passage alone on its anchor can match only itself.
-    distinct = written(every.groupBy("anchor", "own").agg(F.min("id").alias("least")), "passages")
+    distinct = written(every.groupBy("anchor", "own").agg(F.min("id").alias("least"), F.count("*").alias("n")), "passages")
     release(spark)
     variants = written(distinct.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1"), "variants")
     first = every.join(distinct.join(variants, "anchor"), ["anchor", "own"]).filter("id = least")
@@ -181,8 +181,9 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, hot: int = HOT)
     owners = owners.unionByName(_window_owners(texts.filter(F.col("variants") >= hot).drop("variants"), window))
     owners = written(owners, "owners")
     release(spark)
-    owners = distinct.join(owners, ["anchor", "own"], "left")
-    found = every.join(owners, ["anchor", "own"])
+    owners = written(distinct.join(owners, ["anchor", "own"], "left"), "answers")
+    release(spark)
+    found = _answered(every, owners)
     windows = F.sequence(F.lit(0), F.col("more").cast("int"))
     repeated = F.filter(windows, lambda k: F.coalesce(F.element_at("mins", k + 1), F.col("least")) < F.col("id"))
     found = found.withColumn("repeated", F.when(F.col("mins").isNull() & (F.col("least") < F.col("id")), windows).when(F.col("mins").isNotNull(), repeated))
@@ -193,6 +194,15 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, hot: int = HOT)
     return gone
 
 
+def _answered(every: DataFrame, owners: DataFrame) -> DataFrame:
+    """Each occurrence with its passage's answer. Passages with more than a quarter of a task's share of all occurrences, at most four a task,
+    are answered by a broadcast, so their occurrences stay where they are."""
+    keys = ["anchor", "own"]
+    share = (owners.agg(F.sum("n")).first()[0] or 0) / (4 * int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(owners.filter(F.col("n") > share).drop("n"))
+    return every.join(hot, keys).unionByName(every.join(hot, keys, "left_anti").join(owners.filter(F.col("n") <= share).drop("n"), keys))
+
+
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Every row of ``documents`` with a last column ``repeats``: struct(n_words, n_removed, kept).
 
