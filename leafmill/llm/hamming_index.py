@@ -1,12 +1,15 @@
 """Multi-index hashing: nearest vectors by cosine through learned, rotated binary codes.
 
 Codes are signs of the centred vectors after learned rotations (iterative quantisation, several of them side by side). A code is cut into
-substrings of 16 bits and every row is indexed under each. Two codes within ``SUBS * (PROBE + 1) - 1`` bits share, by
-the pigeonhole principle, a substring that differs in at most ``PROBE`` bits, so probing those neighbours of a
-query's substrings finds every code within that radius. Queries that have enough neighbours of a score at which, in a sample, nearly all
-true neighbours are within that radius are answered by probing. For the others, the radius that true neighbours need is learned from a sample; where it is so wide that probing would
-visit nearly every bucket of every substring, the codes themselves are scanned in blocks, which finds the same codes: every
-one within the radius. Candidates are reranked by the exact cosine of the original vectors.
+``SUBS`` substrings of 16 bits and every row is indexed under each. Two codes within r bits share, by the pigeonhole principle, a substring that
+differs in at most r // SUBS bits. The radius that true neighbours need is learned from a sample, and gives that number of flips: probing all
+neighbours of a query's substrings with up to as many flips finds every code within the radius. Candidates are reranked by the exact
+cosine of the original vectors.
+
+Probing pays while a substring's neighbours are few: up to ``FLIPS`` flips. Where the radius asks for more, as with nearly isotropic vectors,
+one flip is probed for queries whose neighbours score as high as a sample proves to be within its reach, if there are such scores; the
+others, and queries with too few codes within the radius, scan the codes in blocks, which finds the same codes that full probing would: every one within the
+radius.
 
 Equal vectors are one entry of the index with its smallest ids, as many as an answer can name: no answer can hold more of them, and a very
 common vector is no hot bucket.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +31,28 @@ from leafmill.llm.common import map_arrow, release, shards, written
 SAMPLE = 4_000  # vectors that rotations and radius are learned from
 BITS = 256
 WIDTH = 16  # bits of a substring
-PROBE = 1  # bits by which a probed substring may differ
+SUBS = BITS // WIDTH
+FLIPS = 3  # bits by which a probed substring may differ at most: 697 of 65,536 values
 BLOCK = 2_048  # vectors of a block
-NEAR = BITS // WIDTH * (PROBE + 1) - 1  # bits within which probing finds every code
+NEAR = SUBS * 2 - 1  # bits within which probing with one flip finds every code
 PAIRS = 200  # true neighbours of about one score that must show that they are within NEAR bits
 RECALL = 0.99  # of the true neighbours in the sample, within the radius
 
 
 @dataclass
 class Codes:
+    """``flips`` is how many bits of a substring probing flips; 0 where probing answers nothing."""
+
     centre: np.ndarray
     rotations: np.ndarray  # dimensions x bits
     radius: int
     sure: float = float("inf")  # score from which ``RECALL`` of true neighbours are within ``NEAR`` bits
 
+    @property
+    def flips(self) -> int:
+        wanted = self.radius // SUBS
+        return wanted if 1 <= wanted <= FLIPS else 1 if wanted == 0 or self.sure < float("inf") else 0
+
     def of(self, unit: np.ndarray) -> np.ndarray:
         """Unit vectors to codes: 64-bit words."""
         bits = (unit - self.centre) @ self.rotations > 0
@@ -170,18 +182,22 @@ def _nearest_of_size(entries: DataFrame, queries: DataFrame, size: int, k: int)
     index = written(_coded(entries, codes, size, ["key", "ids", "v"]), "index")
     asked = written(_coded(queries, codes, size, ["query_id", "v"]), "asked")
 
-    # Probing: the substring itself and those that differ in up to PROBE bits.
-    masks = [0, *(1 << b for b in range(WIDTH))]
+    if not learned.flips:
+        return _cosine_rank(written(_scan(index, asked, codes, size, k), "scanned"), k)
+    # Probing: the substring itself and those that differ in up to so many bits.
+    reach = SUBS * (learned.flips + 1) - 1
+    masks = [sum(1 << b for b in bits) for n in range(learned.flips + 1) for bits in combinations(range(WIDTH), n)]
     subs = asked.select("query_id", "code", F.explode(_substrings("code")).alias("s"))
     probes = subs.select("query_id", "code", F.col("s.place").alias("place"), F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("s.value").bitwiseXOR(m))).alias("value"))
     table = index.select(F.col("key"), F.col("code").alias("other"), F.explode(_substrings("code")).alias("s")).select("key", "other", F.col("s.place").alias("place"), F.col("s.value").alias("value"))
     apart = F.aggregate(F.zip_with("code", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    found = probes.join(table, ["place", "value"]).filter(apart <= NEAR).select("query_id", "key").distinct()
+    found = probes.join(table, ["place", "value"]).filter(apart <= reach).select("query_id", "key").distinct()
     met = found.join(index.select("key", "v", "ids"), "key").join(asked.select("query_id", F.col("v").alias("q")), "query_id")
     scored = _scored(met, size).select("query_id", "vec_id", "score")
     probed = written(scored.filter("query_id <> vec_id"), "probed")
-    # A query is answered if it has k neighbours within the radius and the k-th scores as those do that are hardly ever beyond it.
-    done = probed.filter(F.col("score") >= sure).groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).filter(F.col("n") >= k).select("query_id")
+    # A query is answered if it has k neighbours within reach, and reach is what true neighbours need, or the k-th scores as those do that are hardly ever beyond it.
+    good = probed if learned.radius <= reach else probed.filter(F.col("score") >= sure)
+    done = good.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).filter(F.col("n") >= k).select("query_id")
     done = written(done, "done")
     rest = asked.join(done, "query_id", "left_anti")
     release(spark)

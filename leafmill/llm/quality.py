@@ -119,19 +119,20 @@ def rated_sample(documents: DataFrame, ratings: DataFrame, id_col: str = "doc_id
     """Features and grades of at most ``sample`` rated documents, the first by the hash of their id.
 
     ``ratings``: id, grade. Ratings without an id or grade and ratings of unknown documents are ignored; several ratings of a document
-    count as its lowest. Rows without a text take part as empty texts.
+    count as its lowest, and rows of one id as one document, whose text is that of the least hash. Rows without a text take part as empty texts.
     """
     known = ratings.filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "id")  # at most ``sample`` rows of two numbers
+    joined = joined.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("grade").alias("grade"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t) for t in octets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["id", "grade", "found"])
 
-    rows = map_arrow(joined.select("id", "text", "grade"), scan, "id long, grade int, found array<int>").orderBy("id").limit(2 * sample).toArrow()
+    rows = map_arrow(joined.select("id", "text", "grade"), scan, "id long, grade int, found array<int>").orderBy("id").toArrow()
     column = rows.column("found").combine_chunks()
     flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], rows.column("grade").to_numpy().astype(np.int64)
