@@ -198,7 +198,10 @@ def _answered(every: DataFrame, owners: DataFrame) -> DataFrame:
     """Each occurrence with its passage's answer. Passages with more than a quarter of a task's share of all occurrences, at most four a task,
     are answered by a broadcast, so their occurrences stay where they are."""
     keys = ["anchor", "own"]
-    share = (owners.agg(F.sum("n")).first()[0] or 0) / (4 * int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total, most = owners.agg(F.sum("n"), F.max("n")).first()
+    share = (total or 0) / (4 * int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if (most or 0) <= share:
+        return every.join(owners.drop("n"), keys)
     hot = F.broadcast(owners.filter(F.col("n") > share).drop("n"))
     return every.join(hot, keys).unionByName(every.join(hot, keys, "left_anti").join(owners.filter(F.col("n") <= share).drop("n"), keys))
 
