@@ -25,7 +25,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write a step to the shared folder and read it back: it survives lost executors and cuts lineage."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    step._step_path = path
+    return step
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete written steps that nothing will read again: what was made of them is written itself."""
+    for step in steps:
+        jvm, session = step.sparkSession._jvm, step.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(step._step_path)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -137,7 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = joined.select("a", F.col("m").alias("b")).unionByName(
             joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        now = written(small.filter("a > b").distinct(), "links")
+        before, now = now, written(small.filter("a > b").distinct(), "links")
+        discard(before)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
         if tuple(row) == seen and row[0] == row[2]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

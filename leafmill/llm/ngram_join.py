@@ -21,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ascii_words, components, gram_hashes, hashes, map_arrow, octets, release, written
+from leafmill.llm.common import ascii_words, components, discard, gram_hashes, hashes, map_arrow, octets, release, written
 
 WORDS = 5
 PERCENT = 75
 CLASSES = 1 << 18  # hash classes of the frequency table: a fixed 2 MB, whatever the corpus
 CHUNKS = 16
 SKETCH = 256  # classes of the suffix filter
+PAIRS = 200_000  # pairs that a task looks at together
 BLOCK = 1024  # sets of a prefix group that are compared with as many others at a time
 
 
@@ -171,6 +172,48 @@ def _star_pairs(group: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     return map_arrow(compared, scan, "a long, b long").distinct()
 
 
+def _changes(table: pa.Table) -> np.ndarray:
+    """Whether the next row belongs to another pair of blocks."""
+    keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("token", "p", "q")])
+    return (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+
+
+def _block_pairs(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of sets in different components that pass every filter, of whole pairs of blocks laid end to end.
+
+    Rows of a pair of blocks are put in order, those of its first block in front, so that the partners of each are neighbours; pairs are
+    then numbered through and looked at ``PAIRS`` at a time.
+    """
+    sig, size, place, comp, own, p, q = (table.column(c).to_numpy() for c in ("sig", "size", "place", "comp", "own", "p", "q"))
+    group = np.concatenate([[0], np.cumsum(_changes(table))])
+    order = np.lexsort((sig, own != p, group))
+    sig, comp, group, own, p, q = (x[order] for x in (sig, comp, group, own, p, q))
+    size, place = size[order].astype(np.int64), place[order].astype(np.int64)
+    end = np.searchsorted(group, group, "right")
+    alone = p == q
+    begin = np.where(alone, np.arange(len(sig)) + 1, np.searchsorted(2 * group + (own != p), 2 * group + 1, "left"))
+    count = np.where(alone | (own == p), end - begin, 0)
+    done = np.concatenate([[0], np.cumsum(count)])
+    sketch = None
+    for start in range(0, int(done[-1]), PAIRS):
+        number = np.arange(start, min(start + PAIRS, int(done[-1])))
+        i = np.searchsorted(done, number, "right") - 1
+        j = begin[i] + number - done[i]
+        both, least = size[i] + size[j], np.minimum(size[i], size[j])
+        # The overlap o satisfies o (100 + percent) >= percent (a + b), and 2 o = a + b - difference.
+        fits = (comp[i] != comp[j]) & (sig[i] != sig[j]) & (least * 100 >= (both - least) * percent)
+        fits &= np.minimum(size[i] - place[i], size[j] - place[j]) * (100 + percent) >= percent * both
+        i, j, both = i[fits], j[fits], both[fits]
+        if not len(i):
+            continue
+        if sketch is None:
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(sig), SKETCH)[order].astype(np.int16)
+        apart = np.concatenate([np.abs(sketch[i[k : k + 4096]] - sketch[j[k : k + 4096]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 4096)])
+        keep = (both - apart) * (100 + percent) >= 2 * percent * both
+        found = np.unique(np.stack((np.minimum(sig[i], sig[j])[keep], np.maximum(sig[i], sig[j])[keep]), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+
 def _cross_pairs(group: DataFrame, percent: int) -> DataFrame:
     """Pairs of a prefix group's sets in different components that pass every filter, found in blocks.
 
@@ -187,60 +230,20 @@ def _cross_pairs(group: DataFrame, percent: int) -> DataFrame:
         .sortWithinPartitions("token", "p", "q")
     )
 
-    def pairs_of(rows: pa.Table) -> np.ndarray:
-        if rows.num_rows < 2:
-            return np.empty((0, 2), np.int64)
-        sig, size, place, comp, own, p, q = (rows.column(c).to_numpy() for c in ("sig", "size", "place", "comp", "own", "p", "q"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(sig), SKETCH).astype(np.int16)
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        found = []
-        size, place = size.astype(np.int64), place.astype(np.int64)
-        for i in left:
-            js = right[(comp[right] != comp[i])]
-            if p[0] == q[0]:
-                js = js[sig[js] > sig[i]]
-            both = size[js] + size[i]
-            least = np.minimum(size[js], size[i])
-            # The overlap o satisfies o (100 + percent) >= percent (a + b), and 2 o = a + b - difference.
-            fits = (least * 100 >= (both - least) * percent) & (np.minimum(size[js] - place[js], size[i] - place[i]) * (100 + percent) >= percent * both)
-            js = js[fits]
-            if not len(js):
-                continue
-            apart = np.abs(sketch[js] - sketch[i]).sum(axis=1, dtype=np.int64)
-            js = js[(size[js] + size[i] - apart) * (100 + percent) >= 2 * percent * (size[js] + size[i])]
-            if len(js):
-                found.append(np.stack((np.minimum(sig[js], sig[i]), np.maximum(sig[js], sig[i])), axis=1))
-        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.Table] = []
-        last: tuple = ()
+        rest: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
             if not table.num_rows:
                 continue
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("token", "p", "q")])
-            cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
-            if rest and tuple(keys[:, 0]) != last:
-                yield as_batch([pairs_of(pa.concat_tables(rest))])
-                rest = []
-            last = tuple(keys[:, -1])
-            done = []
-            for start, end in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
-                part = table.slice(start, end - start)
-                if end == table.num_rows:
-                    rest.append(part)
-                else:
-                    done.append(pairs_of(pa.concat_tables([*rest, part])))
-                    rest = []
-            if done:
-                yield as_batch(done)
-        if rest:
-            yield as_batch([pairs_of(pa.concat_tables(rest))])
-
-    def as_batch(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+            ends = np.flatnonzero(_changes(table))
+            last = int(ends[-1]) + 1 if len(ends) else 0
+            rest = table.slice(last)
+            if last:
+                yield from _block_pairs(table.slice(0, last), percent)
+        if rest is not None and rest.num_rows:
+            yield from _block_pairs(rest, percent)
 
     return map_arrow(dealt, scan, "a long, b long").distinct()
 
@@ -261,6 +264,7 @@ def _verified(pairs: DataFrame, source: DataFrame, owners: DataFrame, n: int, pe
     joined = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("items_a", "items_b")))
     total = F.size("items_a") + F.size("items_b") - F.col("common")
     links = written(joined.filter(F.col("common") * 100 >= total * percent).select("a", "b").distinct(), "links")
+    discard(pairs, sets)
     release(source.sparkSession)
     return links
 
@@ -292,6 +296,7 @@ def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     shared = written(shared, "tokens")
     release(spark)
     group = written(prefixes.join(shared, "token").distinct().join(reps, "sig"), "groups")
+    discard(prefixes, shared)
     release(spark)
     owners = known.join(group.select("sig", "rep").distinct(), "sig").filter("id = rep").groupBy("sig", "id").agg(F.min("th").alias("th"), F.min("sketch").alias("sketch"))
     owners = written(owners, "owners")
@@ -300,6 +305,7 @@ def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     links = _verified(_star_pairs(group, sketches, percent), source, owners, n, percent)
     comps = components(links).withColumnsRenamed({"node": "sig", "root": "comp"})
     labelled = written(group.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "labelled")
+    discard(group)
     mixed = labelled.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
     crossing = labelled.join(mixed.select("token", "n"), "token").join(sketches, "sig")
     links = links.unionByName(_verified(_cross_pairs(crossing, percent), source, owners, n, percent))
