@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from leafmill.operators import attempts, catalog, places, site
 from leafmill.plans import workflows
 from leafmill.plans.page_queries import _REASON
-from leafmill.plans.registry import query
+from leafmill.plans.registry import ORACLES, query
 from leafmill.plans.views import portable, run, table, view
+from leafmill.sources.tables import ResultTables
 
 # ----------------------------------------------------------------------------- sites
 
@@ -136,6 +137,15 @@ def site_scrape(spark, sf):
     return done.counts
 
 
+@query("saved_scrape", ORACLES["site_scrape"])
+def saved_scrape(spark, sf):
+    """The counts of a scrape that was saved, from its table."""
+    tables = ResultTables(spark, "leafmill_" + "".join(c if c.isalnum() else "_" for c in spark.sparkContext.applicationId))
+    done = workflows.scrape_sites(_homes(spark, sf), view(spark, sf, "sitemaps"), _site_captures(spark, sf))
+    workflows.save_scrape(tables, "scraped", done)
+    return tables.read("scraped_counts")
+
+
 # ------------------------------------------------------------------------ catalogues
 
 PAGE = 10

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -11,6 +12,7 @@ from leafmill.functions.urls import authority_of
 from leafmill.operators import catalog, extract, products, signals, site
 from leafmill.session import durable
 from leafmill.sources.captures import latest_captures
+from leafmill.sources.tables import NoRows, ResultTables, TableInfo
 
 # What a contact page is called and which mailboxes are shared ones.
 CONTACT_WORDS = ("contact", "about", "team", "support")
@@ -34,12 +36,30 @@ def scrape_sites(sites: DataFrame, documents: DataFrame, captures: DataFrame, li
         "site", "source", "rank", "url", *seen, "title", "status_code", "blocked", "block_reason", "links_count", "markdown"
     )
     pages = latest_captures(read, "site", "source", "rank").drop(*seen)
-    counts = pages.groupBy("site", "source").agg(
+    return SiteScrape(site.site_profiles(sites, documents, captures, mapped), pages, _counts(pages))
+
+
+def _counts(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("site", "source").agg(
         F.count("*").alias("pages"),
         F.sum(F.col("blocked").cast("int")).alias("blocked_pages"),
         F.sum("links_count").alias("links"),
     )
-    return SiteScrape(site.site_profiles(sites, documents, captures, mapped), pages, counts)
+
+
+def save_scrape(tables: ResultTables, name: str, done: SiteScrape, append: bool = False) -> dict[str, TableInfo]:
+    """Save a scrape as ``<name>_pages``, ``<name>_pages_errors`` (refused pages), ``<name>_profiles`` and ``<name>_counts``.
+
+    Pages are read and written by one job; their errors and counts are taken from what it wrote.
+    """
+    out = {"pages": tables.emit("site_scrape", done.pages, table=f"{name}_pages", append=append)}
+    written = tables.read(f"{name}_pages")
+    refused = written.filter("blocked").select("url", F.concat(F.lit("blocked: "), F.col("block_reason")).alias("error"))
+    with contextlib.suppress(NoRows):
+        out["errors"] = tables.save(f"{name}_pages_errors", refused)
+    out["profiles"] = tables.emit("site_scrape", done.profiles, table=f"{name}_profiles", append=append)
+    out["counts"] = tables.save(f"{name}_counts", _counts(written))
+    return out
 
 
 @dataclass
@@ -57,6 +77,15 @@ def export_catalogs(catalog_pages: DataFrame, collection_pages: DataFrame, page_
     return CatalogExport(listed, variants, catalog.store_summary(variants), errors.unionByName(listing_errors))
 
 
+def save_catalogs(tables: ResultTables, name: str, done: CatalogExport, append: bool = False) -> dict[str, TableInfo]:
+    """Save an export as ``<name>_variants`` with its errors, ``<name>_collections`` and ``<name>_summary``, which is taken from the variants saved."""
+    out = {"variants": tables.emit("catalog", done.variants, done.errors, f"{name}_variants", append)}
+    with contextlib.suppress(NoRows):
+        out["collections"] = tables.emit("catalog", done.collections, table=f"{name}_collections", append=append)
+    out["summary"] = tables.save(f"{name}_summary", catalog.store_summary(tables.read(f"{name}_variants")))
+    return out
+
+
 def contact_pages(pages: DataFrame, per_site: int) -> DataFrame:
     """At most ``per_site`` pages of each site, contact-like URLs first."""
     path = F.lower(F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*(.*)$", 1))

@@ -225,3 +225,17 @@ def test_ragged_keys_beyond_the_width_go_into_a_map(spark):
     got = {r["id"]: (r["k0"], r["other_keys"]) for r in wide.collect()}
     assert got[0] == ("[0]", {}) and got[7] == (None, {"k7": "[7]"})
     assert json_rows(rows.filter("ord < 2"), width=4).columns == ["id", "k0", "z", "k1"]
+
+
+def test_results_and_errors_are_saved_together(spark, tables):
+    rows, errors = _rows(spark), spark.createDataFrame([("u9", "blocked: challenge")], "url string, error string")
+    assert tables.emit("op", rows, errors, "found").row_count == 3 and tables.read("found_errors").count() == 1
+    tables.emit("op", rows, errors.limit(0), "found", append=True)
+    assert tables.read("found").count() == 6 and tables.read("found_errors").count() == 1
+    assert tables.emit("op", rows).name == "auto_op" and not tables.exists("auto_op_errors")
+    export = workflows.CatalogExport(
+        spark.createDataFrame([], "store_url string, title string"), spark.createDataFrame([("s", 1, "v", 2.0, True), ("s", 2, "w", 3.0, False)], "store_url string, product_id long, vendor string, price double, available boolean"), None, errors,
+    )
+    saved = workflows.save_catalogs(tables, "shop", export)
+    assert set(saved) == {"variants", "summary"} and tables.read("shop_summary").first()["out_of_stock"] == 1
+    assert tables.read("shop_variants_errors").count() == 1
