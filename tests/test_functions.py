@@ -86,28 +86,40 @@ def test_first_by_keeps_the_first_of_each_key_in_order(spark):
     assert got == want
 
 
+def _walked(page):
+    """The events of a page as dicts, by place."""
+    events = markup.Events()
+    markup.walk(page, events)
+    names = list(events.columns)
+    assert len({len(column) for column in events.columns.values()} | {len(events.held)}) == 1
+    events.end_page()
+    assert len(events.arrays()) == 1
+    return [dict(zip(names, row, strict=True)) for row in zip(*events.columns.values(), strict=True)]
+
+
 def test_event_stream_nests_and_closes_everything():
-    rows, ends = markup.walk("<ul><li>a<li>b<ul><li>c</ul></ul><p>x<p>y<table><tr><td>1<td>2<tr><td>3</table>")
-    opened = {r[2]: r for r in rows if r[0] == "open"}
-    assert sum(r[0] == "close" for r in rows) == len(opened)
-    parents = [(r[1], rows[r[3]][1] if r[3] >= 0 else None) for r in opened.values()]
+    rows = _walked("<ul><li>a<li>b<ul><li>c</ul></ul><p>x<p>y<table><tr><td>1<td>2<tr><td>3</table>")
+    opened = [r for r in rows if r["kind"] == "open"]
+    assert sum(r["kind"] == "close" for r in rows) == len(opened)
+    parents = [(r["tag"], rows[r["parent"]]["tag"] if r["parent"] >= 0 else None) for r in opened]
     assert parents == [
         ("ul", None), ("li", "ul"), ("li", "ul"), ("ul", "li"), ("li", "ul"), ("p", None), ("p", None),
         ("table", None), ("tr", "table"), ("td", "tr"), ("td", "tr"), ("tr", "table"), ("td", "tr"),
     ]
-    for place, row in opened.items():
-        assert place < ends[place] < len(rows)
-        assert row[3] < 0 or (row[3] < place < ends[row[3]] and row[4] == opened[row[3]][4] + 1)
-    items = [(r[5], r[6] >= 0, r[7]) for r in opened.values() if r[1] == "li"]
-    assert items == [(1, False, False), (2, True, True), (1, False, True)]
+    for row in opened:
+        assert row["pos"] < row["end"] < len(rows)
+        above = rows[row["parent"]] if row["parent"] >= 0 else None
+        assert above is None or (above["pos"] < row["pos"] < above["end"] and row["depth"] == above["depth"] + 1)
+    items = [(r["nth"], r["prev"] >= 0, r["rest"], r["type_nth"], r["type_rest"]) for r in opened if r["tag"] == "li"]
+    assert items == [(1, False, 1, 1, 1), (2, True, 0, 2, 0), (1, False, 0, 1, 0)]
+    assert [(r["nth"], r["rest"], r["type_nth"], r["type_rest"]) for r in opened if r["tag"] == "p"] == [(2, 2, 1, 1), (3, 1, 2, 0)]
 
 
 def test_event_stream_survives_broken_markup():
     for page in ("<", "<a", "<a href='x", "</p>", "<![cdata", "<!--", "<p class=\"a>b</p>", "<script>x", "a < b", "<div " * 50, "\x00<b>"):
-        rows, ends = markup.walk(page)
-        assert len(rows) == len(ends)
-    deep, _ = markup.walk("<b>" * 5000 + "x")
-    assert [r[4] for r in deep if r[0] == "open"] == list(range(5000))
+        rows = _walked(page)
+        assert [r["pos"] for r in rows] == list(range(len(rows)))
+    assert [r["depth"] for r in _walked("<b>" * 5000 + "x") if r["kind"] == "open"] == list(range(5000))
 
 
 def test_numbers_of_pages_neither_fail_nor_mislead(spark):
