@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.plans.registry import query
-from leafmill.plans.views import run, table, view
+from leafmill.plans.views import table, view
 from leafmill.session import scratch_path
 from leafmill.sources.captures import read_captures
 from leafmill.sources.tables import ResultTables, json_rows, shrink
