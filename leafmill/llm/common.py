@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import math
 from collections.abc import Callable, Iterable, Iterator
@@ -99,8 +101,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with batches of few rows, so that a worker holds few texts as Python objects at a time."""
-    return df.mapInArrow(lambda batches: function(sliced(batches)), schema)
+    """``mapInArrow`` with batches of few rows, so that a worker holds few texts as Python objects at a time. A task's memory goes back to the
+    system at its end: Spark keeps idle workers, and they would hold on to it beside the workers of the next step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(sliced(batches))
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def first_by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
