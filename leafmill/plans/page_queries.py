@@ -248,6 +248,7 @@ def article_documents(spark, sf):
  '<html><head><title>' || p_name || '</title></head><body><nav><a href="/">Home</a></nav><div class="advert">Buy now</div><article><h1>' || p_name
  || '</h1><p>' || p_type || ': ' || {_PRAISE} || '</p><p>See <a href="/p/' || CAST(p_partkey AS STRING) || '">the part</a> in <b>size</b> '
  || CAST(p_size AS STRING) || '.</p></article><footer>Parts of ' || p_brand || '</footer></body></html>' AS html FROM @part""",
+        dealt="part",
     )
     return documents.page_document(signals.with_markdown(signals.page_signals(written))).select("url", "document")
 

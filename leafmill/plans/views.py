@@ -21,14 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A SQL text with ``@table`` names, over the Parquet files of ``sf_dir``."""
-    return spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir.rstrip('/')}/{m[1]}.parquet`" if m[1] in TABLES else m[0], sql))
+def run(spark: SparkSession, sf_dir: str, sql: str, dealt: str | None = None) -> DataFrame:
+    """A SQL text with ``@table`` names, over the Parquet files of ``sf_dir``.
+
+    The rows of the table named by ``dealt`` are dealt over all tasks first: where each slim row becomes a page, a file of a few
+    megabytes, whose splits may all but one be empty, is work for the whole cluster.
+    """
+
+    def source(m: re.Match) -> str:
+        if m[1] not in TABLES:
+            return m[0]
+        files = f"parquet.`{sf_dir.rstrip('/')}/{m[1]}.parquet`"
+        if m[1] != dealt:
+            return files
+        parts = max(spark.sparkContext.defaultParallelism, table(spark, sf_dir, dealt).rdd.getNumPartitions())
+        return f"(SELECT /*+ REPARTITION({parts}) */ * FROM {files})"
+
+    return spark.sql(re.sub(r"@(\w+)", source, sql))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = run(spark, sf_dir, VIEWS[name])
     source = PAGE_VIEWS.get(name)
+    if name in ROW_VIEWS:
+        return run(spark, sf_dir, VIEWS[name], dealt=source)
+    df = run(spark, sf_dir, VIEWS[name])
     return df if source is None else spread(df, table(spark, sf_dir, source))
 
 
@@ -251,6 +267,9 @@ PAGE_VIEWS = {
     "attempts": "pages",
 }
 
+# Those that make a page of each row of a slim table.
+ROW_VIEWS = ("product_pages", "site_pages", "places")
+
 VIEWS = {
     "captures": _CAPTURES,
     "product_pages": _PRODUCTS,
