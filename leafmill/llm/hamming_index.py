@@ -8,7 +8,7 @@ cosine of the original vectors.
 
 Probing pays while a substring's neighbours are few: up to ``FLIPS`` flips. Where the radius asks for more, as with nearly isotropic vectors,
 one flip is probed for queries whose neighbours score as high as a sample proves to be within its reach, if there are such scores; the
-others, and queries with too few codes within the radius, scan the codes in blocks, which finds the same codes that full probing would: every one within the
+others, queries whose buckets are crowded, as those of a large group of near copies, and queries with too few codes within the radius, scan the codes in blocks, which finds the same codes that full probing would: every one within the
 radius.
 
 Equal vectors are one entry of the index with its smallest ids, as many as an answer can name: no answer can hold more of them, and a very
@@ -33,6 +33,8 @@ BITS = 256
 WIDTH = 16  # bits of a substring
 SUBS = BITS // WIDTH
 FLIPS = 3  # bits by which a probed substring may differ at most: 697 of 65,536 values
+CROWD = 1_024  # entries in all of a query's buckets up to which probing pays, or as many as a ``CROWD_SHARE`` of the index
+CROWD_SHARE = 64
 BLOCK = 2_048  # vectors of a block
 NEAR = SUBS * 2 - 1  # bits within which probing with one flip finds every code
 PAIRS = 200  # true neighbours of about one score that must show that they are within NEAR bits
@@ -190,6 +192,11 @@ def _nearest_of_size(entries: DataFrame, queries: DataFrame, size: int, k: int)
     subs = asked.select("query_id", "code", F.explode(_substrings("code")).alias("s"))
     probes = subs.select("query_id", "code", F.col("s.place").alias("place"), F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("s.value").bitwiseXOR(m))).alias("value"))
     table = index.select(F.col("key"), F.col("code").alias("other"), F.explode(_substrings("code")).alias("s")).select("key", "other", F.col("s.place").alias("place"), F.col("s.value").alias("value"))
+    # A group of near copies shares its buckets: its queries would meet all of it in every place. They scan, which meets each entry once.
+    held = table.groupBy("place", "value").agg(F.count("*").alias("n"))
+    met_by = probes.join(held, ["place", "value"]).groupBy("query_id").agg(F.sum("n").alias("n"))
+    crowded = written(met_by.filter(F.col("n") > max(CROWD, index.count() // CROWD_SHARE)).select("query_id"), "crowded")
+    probes = probes.join(crowded, "query_id", "left_anti")
     apart = F.aggregate(F.zip_with("code", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     found = probes.join(table, ["place", "value"]).filter(apart <= reach).select("query_id", "key").distinct()
     met = found.join(index.select("key", "v", "ids"), "key").join(asked.select("query_id", F.col("v").alias("q")), "query_id")
