@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,10 @@ SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 # Sites may be broadcast up to this many hosts.
 BROADCAST_HOSTS = 100_000
 # A host with up to this many pages and links together is crawled in one task; a larger one level by level over all tasks.
-HOST_LINKS = 250_000
+# It holds 20 bytes a link to a captured page, and some copies of these while they are sorted.
+HOST_LINKS = 8_000_000
+# Levels of up to this many pages are not worth a call of numpy each.
+FEW_PAGES = 32
 # Levels of a crawl after which the visited pages are rewritten as one table.
 LEVELS_PER_TABLE = 16
 _HREF = r"""href=["']([^"']+)["']"""
@@ -140,13 +143,14 @@ def crawl_by_links(sites: DataFrame, captures: DataFrame, limit: int | None = No
 
     Gives (site, url, rank): every page that links lead to, or the first ``limit`` of a site; a link to a page
     that was not captured is skipped and not counted. Links are taken from the html once, on the sites' hosts only. As a crawl stays on its
-    host, hosts of up to ``host_links`` pages and links are crawled to their end in one pass, each within a task, whatever their depth.
+    host, hosts of up to ``host_links`` pages and links are crawled to their end in one pass, each within a task, whatever their depth;
+    all tasks together turn URLs into numbers before, so that a host's task holds numbers alone.
     Larger hosts advance one level per round, all at once; their links are stored by URL, so a round shuffles
     its frontier and slim rows of what was visited.
     """
     spark = captures.sparkSession
     host = F.expr(authority_of("url")).alias("host")
-    links = durable(page_links(_on_hosts(sites, captures)).select(host, "url", "links"))
+    links = durable(page_links(_on_hosts(sites, captures)).select(host, "url", "links", F.monotonically_increasing_id().alias("page")))
     sizes = links.groupBy("host").agg(F.sum(F.size("links") + 1).alias("n"))
     starts = sites.select(F.expr(authority_of("site")).alias("host"), "site").distinct()
     large = durable(sizes.filter(F.col("n") > host_links).select("host"))
@@ -169,29 +173,56 @@ def crawl_by_links(sites: DataFrame, captures: DataFrame, limit: int | None = No
 
 
 def _within_hosts(starts: DataFrame, links: DataFrame, limit: int | None) -> DataFrame:
-    """Crawls of hosts whose links are known to fit a task."""
-
-    def crawl(sites: pa.Table, pages: pa.Table) -> pa.Table:
-        urls = pages.column("url").to_pylist()
-        number = {url: k for k, url in enumerate(urls)}
-        targets = pages.column("links").combine_chunks() if pages.num_rows else None
-        out: tuple[list, list, list] = ([], [], [])
-        for site in sites.column("site").to_pylist():
-            waiting = deque([number[site]] if site in number else [])
-            seen, rank = set(waiting), 0
-            while waiting and rank != limit:
-                page = waiting.popleft()
-                rank += 1
-                for column, value in zip(out, (site, urls[page], rank), strict=True):
-                    column.append(value)
-                for url in targets[page].as_py() or ():
-                    found = number.get(url)
-                    if found is not None and found not in seen:
-                        seen.add(found)
-                        waiting.append(found)
-        return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["site", "url", "rank"])
-
-    return starts.groupBy("host").cogroup(links.groupBy("host")).applyInArrow(crawl, "site string, url string, rank long")
+    """Crawls of hosts whose links are known to fit a task, as numbers of pages."""
+    pages = links.select("url", "page")
+    found = links.select("host", F.col("page").alias("source"), F.posexplode("links").alias("i", "url")).join(pages, "url")
+    found = found.select("host", "source", "i", F.col("page").alias("target"))
+    begun = starts.withColumn("url", F.col("site")).join(pages, "url").select("host", "site", "page")
+
+    def crawl(sites: pa.Table, found: pa.Table) -> pa.Table:
+        source, i, target = (found.column(c).to_numpy() for c in ("source", "i", "target"))
+        order = np.lexsort((i, source))
+        begin = sites.column("page").to_numpy()
+        numbers = np.unique(np.concatenate([source, target, begin]))
+        offsets = np.searchsorted(source[order], numbers, side="left")
+        offsets = np.append(offsets, len(source))
+        targets = np.searchsorted(numbers, target[order])
+        out = [pa.table({"site": pa.array([], pa.string()), "page": pa.array([], pa.int64()), "rank": pa.array([], pa.int64())})]
+        for site, first in zip(sites.column("site").to_pylist(), np.searchsorted(numbers, begin).tolist()):
+            visited = numbers[visit_order(first, offsets, targets, limit)]
+            out.append(pa.table({"site": pa.repeat(site, len(visited)), "page": visited, "rank": np.arange(1, len(visited) + 1)}))
+        return pa.concat_tables(out)
+
+    visits = begun.groupBy("host").cogroup(found.groupBy("host")).applyInArrow(crawl, "site string, page long, rank long")
+    return visits.join(pages, "page").select("site", "url", "rank")
+
+
+def visit_order(first: int, offsets: np.ndarray, targets: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Pages from ``first`` on, level by level, each level in the order in which the one before names its pages.
+
+    The links of page k are ``targets[offsets[k]:offsets[k + 1]]``. Levels of few pages, as chains have, are followed page by page.
+    """
+    seen = np.zeros(len(offsets) - 1, dtype=bool)
+    seen[first] = True
+    level, levels, count = np.array([first]), [], 0
+    while len(level) and (limit is None or count < limit):
+        levels.append(level)
+        count += len(level)
+        if len(level) <= FEW_PAGES:
+            following = []
+            for page in level.tolist():
+                for k in targets[offsets[page] : offsets[page + 1]].tolist():
+                    if not seen[k]:
+                        seen[k] = True
+                        following.append(k)
+            level = np.array(following, dtype=np.int64)
+            continue
+        begin, sizes = offsets[level], offsets[level + 1] - offsets[level]
+        named = targets[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        named = named[~seen[named]]
+        level = named[np.sort(np.unique(named, return_index=True)[1])]
+        seen[level] = True
+    return np.concatenate([*levels, np.array([], dtype=np.int64)])[:limit]
 
 
 def _visit(sites: DataFrame, links: DataFrame, limit: int | None, buckets: int) -> DataFrame:
@@ -255,7 +286,7 @@ def site_pages(
         "site", F.lit("sitemap").alias("source"), "rank", "url", count.cast("long").alias("count"), cut.alias("truncated")
     )
     unmapped = sites.select("site").distinct().join(totals.select("site"), "site", "left_anti")
-    crawled = crawl_by_links(unmapped, captures, limit)
+    crawled = durable(crawl_by_links(unmapped, captures, limit))
     sizes = crawled.groupBy("site").agg(F.count("*").alias("count"))
     followed = crawled.join(sizes, "site").select(
         "site", F.lit("links").alias("source"), "rank", "url", "count", F.lit(False).alias("truncated")
