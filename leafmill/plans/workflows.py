@@ -30,12 +30,11 @@ def scrape_sites(sites: DataFrame, documents: DataFrame, captures: DataFrame, li
     """Profile of each site, its pages (all, or the first ``limit``) with their signals and markdown, and counts."""
     mapped = durable(site.sitemap_pages(sites, documents))
     listed = site.site_pages(sites, documents, captures, limit, mapped)
-    found = listed.select("site", "source", "rank", "url").join(captures, "url")
-    seen = ["seen_at"] if "seen_at" in captures.columns else []
-    read = signals.with_markdown(signals.page_signals(found)).select(
-        "site", "source", "rank", "url", *seen, "title", "status_code", "blocked", "block_reason", "links_count", "markdown"
+    # The capture is chosen before it is read: none but the latest is parsed, and counts need no markdown.
+    found = listed.select("site", "source", "rank", "url").join(latest_captures(captures), "url")
+    pages = signals.with_markdown(signals.page_signals(found)).select(
+        "site", "source", "rank", "url", "title", "status_code", "blocked", "block_reason", "links_count", "markdown"
     )
-    pages = latest_captures(read, "site", "source", "rank").drop(*seen)
     return SiteScrape(site.site_profiles(sites, documents, captures, mapped), pages, _counts(pages))
 
 
