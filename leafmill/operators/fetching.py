@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.session import durable
 
 FILTER_ROWS = 16_000_000  # winners up to which a filter of their keys is sent to every task: 4 bytes each, so 64 MB
+SENT_ROWS = 100_000  # winners up to which their rows may be sent to every task
 BITS = 32  # per winner; a row that lost passes with a chance of one in so many
 _BUCKET = 32_768  # bits of one bitmap of Spark's bitmap functions
 
@@ -20,6 +21,9 @@ def late_fetch(winners: DataFrame, wide: DataFrame, keys: list[str]) -> DataFram
     """
     winners = durable(winners)
     n = winners.count()
+    if n > SENT_ROWS:
+        # Spark guesses their size by that of the files they come from, which says nothing of rows made of them.
+        winners = winners.hint("merge")
     if not n or n > FILTER_ROWS:
         return _joined(winners, wide, keys)
     size = max(1, n * BITS // _BUCKET) * _BUCKET
