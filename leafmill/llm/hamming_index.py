@@ -36,6 +36,7 @@ FLIPS = 3  # bits by which a probed substring may differ at most: 697 of 65,536
 CROWD = 1_024  # entries in all of a query's buckets up to which probing pays, or as many as a ``CROWD_SHARE`` of the index
 CROWD_SHARE = 64
 BLOCK = 2_048  # vectors of a block
+SET = 32  # blocks of queries that a task holds while blocks of entries pass by
 NEAR = SUBS * 2 - 1  # bits within which probing with one flip finds every code
 PAIRS = 200  # true neighbours of about one score that must show that they are within NEAR bits
 RECALL = 0.99  # of the true neighbours in the sample, within the radius
@@ -194,12 +195,12 @@ def _nearest_of_size(entries: DataFrame, queries: DataFrame, size: int, k: int)
     table = index.select(F.col("key"), F.col("code").alias("other"), F.explode(_substrings("code")).alias("s")).select("key", "other", F.col("s.place").alias("place"), F.col("s.value").alias("value"))
     # A group of near copies shares its buckets: its queries would meet all of it in every place. They scan, which meets each entry once.
     held = table.groupBy("place", "value").agg(F.count("*").alias("n"))
-    met_by = probes.join(held, ["place", "value"]).groupBy("query_id").agg(F.sum("n").alias("n"))
+    met_by = _merged(probes, held, ["place", "value"]).groupBy("query_id").agg(F.sum("n").alias("n"))
     crowded = written(met_by.filter(F.col("n") > max(CROWD, index.count() // CROWD_SHARE)).select("query_id"), "crowded")
     probes = probes.join(crowded, "query_id", "left_anti")
     apart = F.aggregate(F.zip_with("code", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    found = probes.join(table, ["place", "value"]).filter(apart <= reach).select("query_id", "key").distinct()
-    met = found.join(index.select("key", "v", "ids"), "key").join(asked.select("query_id", F.col("v").alias("q")), "query_id")
+    found = _merged(probes, table, ["place", "value"]).filter(apart <= reach).select("query_id", "key").distinct()
+    met = _merged(_merged(found, index.select("key", "v", "ids"), ["key"]), asked.select("query_id", F.col("v").alias("q")), ["query_id"])
     scored = _scored(met, size).select("query_id", "vec_id", "score")
     probed = written(scored.filter("query_id <> vec_id"), "probed")
     # A query is answered if it has k neighbours within reach, and reach is what true neighbours need, or the k-th scores as those do that are hardly ever beyond it.
@@ -214,6 +215,12 @@ def _nearest_of_size(entries: DataFrame, queries: DataFrame, size: int, k: int)
     return _cosine_rank(answers, k)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """A join that shuffles both sides, never a broadcast: what explode makes of a row, and vectors that pack well in a file, are many times
+    the bytes that the planner takes them for, and a broadcast would go through the driver."""
+    return left.join(right.hint("merge"), on)
+
+
 def _scored(pairs: DataFrame, size: int) -> DataFrame:
     """Exact cosines in double precision of (query_id, q, v, ids), one row per id."""
 
@@ -227,10 +234,15 @@ def _scored(pairs: DataFrame, size: int) -> DataFrame:
     return rows.select("query_id", F.explode("ids").alias("vec_id"), "score")
 
 
+def _place_of(number: str):
+    """The partition and the place in it that ``monotonically_increasing_id`` has put into a number."""
+    return F.shiftright(F.col(number), 33), F.col(number).bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def _scan(index: DataFrame, queries: DataFrame, codes, size: int, k: int) -> DataFrame:
     """Every index entry within the learned radius of each query, found block by block; the best ``k`` of each block of entries.
 
-    Queries and entries are packed into blocks; each pair of blocks is a row of its own, so work spreads however few queries there are. A query
+    Queries and entries are packed into blocks, which meet in a grid, so work spreads however few queries there are and no side is broadcast. A query
     with fewer than ``k`` entries of a block within the radius takes that block's nearest codes as well, so an answer is never short.
     """
 
@@ -256,13 +268,17 @@ def _scan(index: DataFrame, queries: DataFrame, codes, size: int, k: int) -> Dat
 
     left = block_of(index, ["ids", "v"], "index-blocks").withColumnsRenamed({"ids": "their", "m": "theirs", "b": "t"})
     right = block_of(queries.repartition(shards(queries.count(), BLOCK)), ["query_id", "v"], "query-blocks")
-    numbers = [r["b"] for r in right.select("b").collect()]  # one number per block of queries
-    if not numbers:
+    asked, (entries, most) = right.count(), left.agg(F.count("*"), F.max(_place_of("t")[1])).first()
+    if not asked or not entries:
         return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    # A block of queries goes to groups of blocks of entries, and a block of entries to every block of queries.
-    groups = left.count()
-    meets = left.withColumn("g", F.pmod(F.xxhash64("t"), F.lit(groups))).withColumn("b", F.explode(F.array(*map(F.lit, numbers))))
-    pairs = meets.join(right.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), ["g", "b"])
+    # A grid of cells, each a group of blocks of entries with a set of blocks of queries. A block of entries is copied once a set and a block of
+    # queries once a group: as many groups as make both copies about equal, or as keep all tasks busy.
+    sets = shards(asked, SET)
+    groups = min(entries, max(entries * sets // asked, 4 * queries.sparkSession.sparkContext.defaultParallelism))
+    part, place = _place_of("t")
+    meets = left.withColumn("g", F.pmod(part * (most + 1) + place, F.lit(groups))).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    held = right.withColumn("h", F.pmod(_place_of("b")[0], F.lit(sets)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    pairs = _merged(meets, held, ["g", "h"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
