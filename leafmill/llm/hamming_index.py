@@ -36,7 +36,7 @@ FLIPS = 3  # bits by which a probed substring may differ at most: 697 of 65,536
 CROWD = 1_024  # entries in all of a query's buckets up to which probing pays, or as many as a ``CROWD_SHARE`` of the index
 CROWD_SHARE = 64
 BLOCK = 2_048  # vectors of a block
-SET = 32  # blocks of queries that a task holds while blocks of entries pass by
+SET = 1 << 25  # bytes of blocks of queries that a task holds while blocks of entries pass by, or a block
 NEAR = SUBS * 2 - 1  # bits within which probing with one flip finds every code
 PAIRS = 200  # true neighbours of about one score that must show that they are within NEAR bits
 RECALL = 0.99  # of the true neighbours in the sample, within the radius
@@ -273,7 +273,7 @@ def _scan(index: DataFrame, queries: DataFrame, codes, size: int, k: int) -> Dat
         return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     # A grid of cells, each a group of blocks of entries with a set of blocks of queries. A block of entries is copied once a set and a block of
     # queries once a group: as many groups as make both copies about equal, or as keep all tasks busy.
-    sets = shards(asked, SET)
+    sets = shards(asked, max(1, SET // (BLOCK * size * 8)))
     groups = min(entries, max(entries * sets // asked, 4 * queries.sparkSession.sparkContext.defaultParallelism))
     part, place = _place_of("t")
     meets = left.withColumn("g", F.pmod(part * (most + 1) + place, F.lit(groups))).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))

@@ -37,7 +37,7 @@ def test_probes_are_never_broadcast(spark, monkeypatch):
         assert joins and not [line for line in joins if "Broadcast" in line and "LeftAnti" not in line], label
 
 
-@pytest.mark.parametrize(("block", "held"), [(16, 2), (16, 32), (64, 1), (1000, 32)])
+@pytest.mark.parametrize(("block", "held"), [(16, 2 * 16 * 32 * 8), (16, 1 << 25), (64, 1), (1000, 1 << 25)])
 def test_every_block_of_queries_meets_every_block_of_entries_once(spark, monkeypatch, block, held):
     monkeypatch.setattr(hamming_index, "BLOCK", block)
     monkeypatch.setattr(hamming_index, "SET", held)
